@@ -7,8 +7,8 @@ the prefix hash are grouped in one shuffle, as the pair separates everything tha
 Survivors are recognised in the second scan by a sieve: the set of hash buckets of surviving pairs, at most
 `sieve_buckets` rows of one long whatever the input, so it can always be broadcast. A false hit of the sieve only
 costs one more full hash; it never changes a result. Groups of copies are folded by map-side aggregation and never
-gathered; the join that hands the verdict back has one row a group on its right side, so a hot group is a skewed
-left side that Spark splits.
+gathered. Verdicts go back by a join on the full hash; groups that hold 1/HOT_GROUPS of all rows or more, of which there
+can be HOT_GROUPS at most, are broadcast, so no task of that join gets a hot group.
 """
 
 from __future__ import annotations
@@ -18,6 +18,7 @@ from pyspark.sql import functions as F
 
 from .common import packed, text_or_empty
 
+HOT_GROUPS = 10_000
 UPPER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ"
 
 
@@ -49,7 +50,11 @@ def exact_dedup(
     hits = marked.where("hit").withColumn("text_sha256", digest)
     groups = hits.groupBy("text_sha256").agg(F.max("doc_id").alias("keep_id"), F.count("*").alias("group_size"))
     groups = groups.where("group_size > 1").withColumnRenamed("text_sha256", "group_sha256")
-    grouped = hits.join(groups, F.col("text_sha256") == F.col("group_sha256"), "left")
+    rows_in = docs.count()
+    hot = F.col("group_size") >= max(1000, rows_in // HOT_GROUPS)
+    grouped = hits.join(F.broadcast(groups.where(hot)), F.col("text_sha256") == F.col("group_sha256"), "left")
+    big, rest = grouped.where("group_sha256 is not null"), grouped.where("group_sha256 is null").drop("group_sha256", "keep_id", "group_size")
+    grouped = big.unionByName(rest.join(groups.where(~hot), F.col("text_sha256") == F.col("group_sha256"), "left"))
     single = F.col("group_size").isNull()
     found = grouped.select(
         "row",

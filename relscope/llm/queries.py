@@ -2,16 +2,32 @@
 
 from __future__ import annotations
 
+import public_tokenizers
+from pyspark.sql import functions as F
+
+from . import sentencepiece_codec
 from .common import table
 from .exact_dedup import UPPER, exact_dedup
 
 
+def op1_sentencepiece(spark, sf_dir, model=None):
+    model = model or public_tokenizers.path("piece_bpe_32k.model")
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    coded = sentencepiece_codec.decode(sentencepiece_codec.encode(docs, model), model)
+    return coded.select(
+        "doc_id",
+        (F.octet_length("ids") / 4).cast("long").alias("n_tokens"),
+        F.sha2("ids", 256).alias("ids_sha256"),
+        F.sha2("text", 256).alias("decoded_sha256"),
+    )
+
+
 def op9_exact_dedup(spark, sf_dir):
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
     return exact_dedup(docs, digest_all=True).select("doc_id", "keep_id", "group_size", "kept", "text_sha256")
 
 
-QUERIES = {"op9_exact_dedup": op9_exact_dedup}
+QUERIES = {"op1_sentencepiece": op1_sentencepiece, "op9_exact_dedup": op9_exact_dedup}
 
 ORACLE = {
     "op9_exact_dedup": f"""
