@@ -111,7 +111,8 @@ def chunk_table(docs: DataFrame, model: str, text_col: str = "text", table_rows:
             if len(seen) > LOCAL_ROWS:
                 yield pd.DataFrame({"chunk": list(seen), "n": list(seen.values())})
                 seen = Counter()
-        yield pd.DataFrame({"chunk": list(seen), "n": list(seen.values())})
+        if seen:
+            yield pd.DataFrame({"chunk": list(seen), "n": list(seen.values())})
 
     def segmented(batches):
         for pdf in batches:
