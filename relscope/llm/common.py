@@ -54,3 +54,20 @@ def packed(df: DataFrame, **keys) -> DataFrame:
     Extra columns of the caller can then have any name without clashing with an operator's own.
     """
     return df.select(F.struct(*[F.col(f"`{c}`") for c in df.columns]).alias("row"), *[v.alias(k) for k, v in keys.items()])
+
+
+#: A group that holds this fraction of all rows or more is hot; there can be no more hot groups than this number.
+HOT_GROUPS = 10_000
+
+
+def join_groups(rows: DataFrame, groups: DataFrame, key: str, size: str, total: int) -> DataFrame:
+    """rows left-joined with groups (one row for each `key`, `size` rows each) so that no task gets a hot group.
+
+    Groups of total / HOT_GROUPS rows or more, of which there are HOT_GROUPS at most, are broadcast; rows of others
+    meet their group in a shuffle. Both sides must name the key alike, and share no other name.
+    """
+    hot = F.col(size) >= max(1000, total // HOT_GROUPS)
+    others = [c for c in groups.columns if c != key]
+    once = rows.join(F.broadcast(groups.where(hot)), key, "left")
+    met, rest = once.where(F.col(size).isNotNull()), once.where(F.col(size).isNull()).drop(*others)
+    return met.unionByName(rest.join(groups.where(~hot), key, "left").select(met.columns))

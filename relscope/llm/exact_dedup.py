@@ -16,9 +16,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import packed, text_or_empty
+from .common import join_groups, packed, text_or_empty
 
-HOT_GROUPS = 10_000
 UPPER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ"
 
 
@@ -49,12 +48,8 @@ def exact_dedup(
     digest = F.sha2(normalised(text), 256)
     hits = marked.where("hit").withColumn("text_sha256", digest)
     groups = hits.groupBy("text_sha256").agg(F.max("doc_id").alias("keep_id"), F.count("*").alias("group_size"))
-    groups = groups.where("group_size > 1").withColumnRenamed("text_sha256", "group_sha256")
-    rows_in = docs.count()
-    hot = F.col("group_size") >= max(1000, rows_in // HOT_GROUPS)
-    grouped = hits.join(F.broadcast(groups.where(hot)), F.col("text_sha256") == F.col("group_sha256"), "left")
-    big, rest = grouped.where("group_sha256 is not null"), grouped.where("group_sha256 is null").drop("group_sha256", "keep_id", "group_size")
-    grouped = big.unionByName(rest.join(groups.where(~hot), F.col("text_sha256") == F.col("group_sha256"), "left"))
+    groups = groups.where("group_size > 1")
+    grouped = join_groups(hits, groups, "text_sha256", "group_size", docs.count())
     single = F.col("group_size").isNull()
     found = grouped.select(
         "row",

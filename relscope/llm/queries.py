@@ -5,7 +5,7 @@ from __future__ import annotations
 import public_tokenizers
 from pyspark.sql import functions as F
 
-from . import sentencepiece_codec
+from . import packing, sentencepiece_codec, token_counts, warc
 from .common import table
 from .exact_dedup import UPPER, exact_dedup
 
@@ -22,14 +22,42 @@ def op1_sentencepiece(spark, sf_dir, model=None):
     )
 
 
+def op3_warc(spark, sf_dir):
+    back = warc.round_trip(table(spark, sf_dir, "pages").select("page_id", "url", "html"))
+    return back.select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
+
+
+def op5_token_counts(spark, sf_dir, model=None):
+    vocabulary = token_counts.marked_vocabulary(model or public_tokenizers.path("piece_bpe_32k.model"))
+    return token_counts.token_counts(table(spark, sf_dir, "documents").select("doc_id", "text"), *vocabulary)
+
+
+def op8_best_fit_packing(spark, sf_dir, tokenizer=None):
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    return packing.pack_documents(docs, tokenizer or public_tokenizers.path("word_bpe_49k.json"))
+
+
 def op9_exact_dedup(spark, sf_dir):
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
     return exact_dedup(docs, digest_all=True).select("doc_id", "keep_id", "group_size", "kept", "text_sha256")
 
 
-QUERIES = {"op1_sentencepiece": op1_sentencepiece, "op9_exact_dedup": op9_exact_dedup}
+QUERIES = {
+    "op1_sentencepiece": op1_sentencepiece,
+    "op3_warc": op3_warc,
+    "op5_token_counts": op5_token_counts,
+    "op8_best_fit_packing": op8_best_fit_packing,
+    "op9_exact_dedup": op9_exact_dedup,
+}
 
 ORACLE = {
+    "op3_warc": """
+        WITH p AS (SELECT page_id, octet_length(encode(coalesce(html, ''))) AS payload_bytes, sha1(coalesce(html, '')) AS payload_digest FROM pages),
+             r AS (SELECT *, max(page_id) OVER (PARTITION BY payload_digest) AS top FROM p)
+        SELECT page_id, payload_bytes, payload_digest,
+               CASE WHEN payload_bytes >= 1000 AND page_id <> top THEN 'revisit' ELSE 'response' END AS record_type,
+               CASE WHEN payload_bytes >= 1000 AND page_id <> top THEN top END AS refers_to
+        FROM r""",
     "op9_exact_dedup": f"""
         WITH n AS (SELECT doc_id, translate(coalesce(text, ''), '{UPPER}', '{UPPER.lower()}') AS t FROM documents)
         SELECT doc_id, max(doc_id) OVER g AS keep_id, count(*) OVER g AS group_size,
