@@ -5,7 +5,7 @@ from __future__ import annotations
 import public_tokenizers
 from pyspark.sql import functions as F
 
-from . import packing, sentencepiece_codec, token_counts, warc
+from . import language_id, packing, sentencepiece_codec, token_counts, warc
 from .common import table
 from .exact_dedup import UPPER, exact_dedup
 
@@ -42,12 +42,20 @@ def op9_exact_dedup(spark, sf_dir):
     return exact_dedup(docs, digest_all=True).select("doc_id", "keep_id", "group_size", "kept", "text_sha256")
 
 
+def op10_language_id(spark, sf_dir):
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text", "lang")
+    fold = docs.withColumn("held_out", language_id.held_out())
+    model = language_id.Model(language_id.train(fold.where("not held_out")))
+    return language_id.predict(docs, model).select("doc_id", language_id.held_out().alias("held_out"), "lang_pred", "score")
+
+
 QUERIES = {
     "op1_sentencepiece": op1_sentencepiece,
     "op3_warc": op3_warc,
     "op5_token_counts": op5_token_counts,
     "op8_best_fit_packing": op8_best_fit_packing,
     "op9_exact_dedup": op9_exact_dedup,
+    "op10_language_id": op10_language_id,
 }
 
 ORACLE = {

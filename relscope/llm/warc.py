@@ -93,7 +93,7 @@ def write_archives(records: DataFrame, folder: str) -> DataFrame:
                     if out is not None:
                         out.close()
                     name, at = f"{uuid.uuid4().hex}.warc.gz", 0
-                    out = store.open_output_stream(f"{top}/archives/{name}")
+                    out = store.open_output_stream(f"{top}/archives/{name}", compression=None)
                 page_id, refers_to = _whole(page_id), _whole(refers_to)
                 member = gzip.compress(_record(page_id, url, payload, digest, refers_to), 5, mtime=0)
                 out.write(member)
