@@ -5,7 +5,7 @@ from __future__ import annotations
 import public_tokenizers
 from pyspark.sql import functions as F
 
-from . import language_id, packing, sentencepiece_codec, token_counts, warc
+from . import language_id, packing, pii, sentencepiece_codec, token_counts, warc
 from .common import table
 from .exact_dedup import UPPER, exact_dedup
 
@@ -32,6 +32,19 @@ def op5_token_counts(spark, sf_dir, model=None):
     return token_counts.token_counts(table(spark, sf_dir, "documents").select("doc_id", "text"), *vocabulary)
 
 
+def op6_pii(spark, sf_dir):
+    found = pii.personal_data(table(spark, sf_dir, "documents").select("doc_id", "text"))
+    text = F.array_join(F.transform("spans", lambda s: F.concat_ws(":", s["kind"], s["start"], s["finish"])), ",")
+    base = F.filter("spans", lambda s: s["kind"].isin(pii.BASE))
+    base_text = F.array_join(F.transform(base, lambda s: F.concat_ws(":", s["kind"], s["start"], s["finish"])), ",")
+
+    def count(kind):
+        return F.size(F.filter("spans", lambda s: s["kind"] == kind)).cast("long").alias(f"n_{kind}")
+
+    counts = [count(k) for k in pii.BASE]
+    return found.select("doc_id", *counts, F.sha2(base_text, 256).alias("base_sha256"), text.alias("spans"))
+
+
 def op8_best_fit_packing(spark, sf_dir, tokenizer=None):
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
     return packing.pack_documents(docs, tokenizer or public_tokenizers.path("word_bpe_49k.json"))
@@ -53,6 +66,7 @@ QUERIES = {
     "op1_sentencepiece": op1_sentencepiece,
     "op3_warc": op3_warc,
     "op5_token_counts": op5_token_counts,
+    "op6_pii": op6_pii,
     "op8_best_fit_packing": op8_best_fit_packing,
     "op9_exact_dedup": op9_exact_dedup,
     "op10_language_id": op10_language_id,
