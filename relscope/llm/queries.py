@@ -5,7 +5,7 @@ from __future__ import annotations
 import public_tokenizers
 from pyspark.sql import functions as F
 
-from . import language_id, packing, pii, sentencepiece_codec, token_counts, warc
+from . import language_id, packing, pii, quality, sentencepiece_codec, token_counts, warc
 from .common import table
 from .exact_dedup import UPPER, exact_dedup
 
@@ -22,6 +22,10 @@ def op1_sentencepiece(spark, sf_dir, model=None):
     )
 
 
+def op2_quality(spark, sf_dir):
+    return quality.classify(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels")).drop("text_key")
+
+
 def op3_warc(spark, sf_dir):
     back = warc.round_trip(table(spark, sf_dir, "pages").select("page_id", "url", "html"))
     return back.select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
@@ -64,6 +68,7 @@ def op10_language_id(spark, sf_dir):
 
 QUERIES = {
     "op1_sentencepiece": op1_sentencepiece,
+    "op2_quality": op2_quality,
     "op3_warc": op3_warc,
     "op5_token_counts": op5_token_counts,
     "op6_pii": op6_pii,
