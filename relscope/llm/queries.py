@@ -5,7 +5,7 @@ from __future__ import annotations
 import public_tokenizers
 from pyspark.sql import functions as F
 
-from . import language_id, packing, pii, quality, sentencepiece_codec, token_counts, warc
+from . import embedding_dedup, language_id, near_text, packing, pii, quality, sentencepiece_codec, token_counts, warc
 from .common import table
 from .exact_dedup import UPPER, exact_dedup
 
@@ -31,6 +31,10 @@ def op3_warc(spark, sf_dir):
     return back.select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
 
 
+def op4_embedding_near_dedup(spark, sf_dir):
+    return embedding_dedup.near_vectors(table(spark, sf_dir, "embeddings"))
+
+
 def op5_token_counts(spark, sf_dir, model=None):
     vocabulary = token_counts.marked_vocabulary(model or public_tokenizers.path("piece_bpe_32k.model"))
     return token_counts.token_counts(table(spark, sf_dir, "documents").select("doc_id", "text"), *vocabulary)
@@ -49,6 +53,10 @@ def op6_pii(spark, sf_dir):
     return found.select("doc_id", *counts, F.sha2(base_text, 256).alias("base_sha256"), text.alias("spans"))
 
 
+def op7_ngram_jaccard_join(spark, sf_dir):
+    return near_text.near_texts(table(spark, sf_dir, "documents"))
+
+
 def op8_best_fit_packing(spark, sf_dir, tokenizer=None):
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
     return packing.pack_documents(docs, tokenizer or public_tokenizers.path("word_bpe_49k.json"))
@@ -70,8 +78,10 @@ QUERIES = {
     "op1_sentencepiece": op1_sentencepiece,
     "op2_quality": op2_quality,
     "op3_warc": op3_warc,
+    "op4_embedding_near_dedup": op4_embedding_near_dedup,
     "op5_token_counts": op5_token_counts,
     "op6_pii": op6_pii,
+    "op7_ngram_jaccard_join": op7_ngram_jaccard_join,
     "op8_best_fit_packing": op8_best_fit_packing,
     "op9_exact_dedup": op9_exact_dedup,
     "op10_language_id": op10_language_id,
