@@ -1,4 +1,9 @@
-"""All registered queries and their SQL oracles, collected from the operator modules."""
+"""All registered queries and their SQL oracles, collected from the modules beside this one."""
 
-QUERIES: dict = {}
-ORACLE: dict = {}
+from __future__ import annotations
+
+from . import facts
+
+MODULES = [facts]
+QUERIES: dict = {k: v for m in MODULES for k, v in m.QUERIES.items()}
+ORACLE: dict = {k: v for m in MODULES for k, v in m.ORACLE.items()}
