@@ -2,8 +2,8 @@
 
 from __future__ import annotations
 
-from . import facts
+from . import facts, paths
 
-MODULES = [facts]
+MODULES = [facts, paths]
 QUERIES: dict = {k: v for m in MODULES for k, v in m.QUERIES.items()}
 ORACLE: dict = {k: v for m in MODULES for k, v in m.ORACLE.items()}
