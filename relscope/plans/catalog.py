@@ -2,8 +2,8 @@
 
 from __future__ import annotations
 
-from . import facts, paths
+from . import facts, paths, rewrites
 
-MODULES = [facts, paths]
+MODULES = [facts, paths, rewrites]
 QUERIES: dict = {k: v for m in MODULES for k, v in m.QUERIES.items()}
 ORACLE: dict = {k: v for m in MODULES for k, v in m.ORACLE.items()}
