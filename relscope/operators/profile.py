@@ -49,11 +49,25 @@ def unpivoted(df: DataFrame, names: list[str]) -> DataFrame:
 
 
 def profile(tables: dict[str, DataFrame], approx: bool = False, rsd: float = 0.02) -> DataFrame:
-    """One row per column of every table; approx counts distinct values by sketches, in the same scan as the rest."""
-    return union([_profile_one(name, df, approx, rsd) for name, df in tables.items()])
+    """One row per column of every table; approx counts distinct values by sketches, in the same scan as the rest.
 
+    The cells of all tables go through one aggregation of distinct (table, column, value), not one for each table.
+    """
+    facts = union([_facts_of(i, name, df, approx, rsd) for i, (name, df) in enumerate(tables.items())])
+    if not approx:
+        cells = union([unpivoted(df, df.columns).select(F.lit(i).alias("place"), "ordinal", "value") for i, df in enumerate(tables.values())])
+        distinct = cells.groupBy("place", "ordinal", "value").agg(F.lit(1)).groupBy("place", "ordinal").agg(F.count(F.lit(1)).alias("unique_count"))
+        facts = facts.drop("unique_count").join(F.broadcast(distinct), ["place", "ordinal"], "left")  # one row a column
+    n = F.col("n")
+    return facts.select(
+        "table", "column", "ordinal", "type", (F.col("total_count") < n).alias("nullable"),
+        F.coalesce("unique_count", F.lit(0).cast("long")).alias("unique_count"), "total_count", n.alias("row_count"),
+        F.round(F.when(n == 0, 0.0).otherwise((n - F.col("total_count")) / n), 3).alias("null_ratio"), "avg_len", "max_len", "min_num", "max_num",
+    )
 
-def _profile_one(name: str, df: DataFrame, approx: bool, rsd: float) -> DataFrame:
+
+def _facts_of(place: int, name: str, df: DataFrame, approx: bool, rsd: float) -> DataFrame:
+    """Counts, lengths and ranges of one table's columns, in one scan."""
     aggregates: list[Column] = [F.count(F.lit(1)).alias("n")]
     rows = []
     for i, field in enumerate(df.schema.fields):
@@ -73,16 +87,14 @@ def _profile_one(name: str, df: DataFrame, approx: bool, rsd: float) -> DataFram
                 (F.col(f"d{i}") if approx else no.cast("long")).alias("unique_count"),
             )
         )
-    facts = df.agg(*aggregates).select("n", F.explode(F.array(*rows)).alias("r")).select("n", "r.*")
-    if not approx:
-        distinct = unpivoted(df, df.columns).groupBy("ordinal", "value").agg(F.lit(1)).groupBy("ordinal").agg(F.count(F.lit(1)).alias("unique_count"))
-        facts = facts.drop("unique_count").join(distinct, "ordinal", "left")
-    rows_ = F.col("n")
-    return facts.select(
-        F.lit(name).alias("table"), "column", "ordinal", "type", (F.col("total_count") < rows_).alias("nullable"),
-        F.coalesce("unique_count", F.lit(0).cast("long")).alias("unique_count"), "total_count", rows_.alias("row_count"),
-        F.round(F.when(rows_ == 0, 0.0).otherwise((rows_ - F.col("total_count")) / rows_), 3).alias("null_ratio"), "avg_len", "max_len", "min_num", "max_num",
-    )
+    facts = df.agg(*aggregates).select("n", F.explode(F.array(*rows)).alias("r"))
+    return facts.select(F.lit(place).alias("place"), F.lit(name).alias("table"), "n", "r.*")
+
+
+def settled(facts: DataFrame) -> DataFrame:
+    """Facts with one row a column, computed now and held by the driver, so that what is derived from them (keys, names,
+    advisories) neither scans the tables again nor drags their plans along. Never for rows of data."""
+    return facts.sparkSession.createDataFrame(facts.collect(), facts.schema)
 
 
 def sample_values(df: DataFrame, name: str, n: int) -> DataFrame:

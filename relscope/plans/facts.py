@@ -45,7 +45,7 @@ BY_NAME = f"""{KEYED}, {FIRST_PK}, fk AS (SELECT *, {CANDIDATES} AS cand FROM ke
 
 
 def keyed_of(spark, sf_dir):
-    return keys.detect_keys(prof.profile(shop(spark, sf_dir)))
+    return keys.detect_keys(prof.settled(prof.profile(shop(spark, sf_dir))))
 
 
 @query("src_tables", " UNION ALL ".join(f"SELECT '{t}' AS \"table\", count(*) AS row_count FROM {t}" for t in fixtures.GIVEN))
@@ -91,7 +91,7 @@ VALUES = " UNION ALL ".join(f"SELECT '{t}' AS \"table\", '{c}' AS \"column\", li
 @query("enum_values", f"SELECT v.\"table\", v.\"column\", array_to_string(vals, '|') AS vals FROM ({VALUES}) v")
 def _(spark, sf_dir):
     tables = shop(spark, sf_dir)
-    chosen = prof.profile(tables).where("type in ('VARCHAR', 'TEXT') and unique_count between 1 and 15")
+    chosen = prof.settled(prof.profile(tables)).where("type in ('VARCHAR', 'TEXT') and unique_count between 1 and 15")
     return prof.enum_values(tables, chosen).select("table", "column", F.array_join("values", "|").alias("vals"))
 
 
@@ -191,7 +191,7 @@ def _value_tables(spark, sf_dir):
 @query("rel_by_value", f"WITH {BY_VALUE} SELECT * FROM by_value")
 def _(spark, sf_dir):
     tables = _value_tables(spark, sf_dir)
-    return relationships.by_value(tables, keys.detect_keys(prof.profile(tables)))
+    return relationships.by_value(tables, keys.detect_keys(prof.settled(prof.profile(tables))))
 
 
 @query(
@@ -200,9 +200,9 @@ def _(spark, sf_dir):
     "SELECT * EXCLUDE (r) FROM every QUALIFY row_number() OVER (PARTITION BY source_table, source_column, target_table, target_column ORDER BY r) = 1",
 )
 def _(spark, sf_dir):
-    keyed = keyed_of(spark, sf_dir).cache()
+    keyed = keyed_of(spark, sf_dir)
     tables = _value_tables(spark, sf_dir)
-    value = relationships.by_value(tables, keys.detect_keys(prof.profile(tables)))
+    value = relationships.by_value(tables, keys.detect_keys(prof.settled(prof.profile(tables))))
     return relationships.combine({"name": relationships.by_name(keyed), "self": relationships.self_references(keyed), "value": value})
 
 
@@ -232,8 +232,8 @@ def _(spark, sf_dir):
 )
 def _(spark, sf_dir):
     tables = _value_tables(spark, sf_dir)
-    keyed = keys.detect_keys(prof.profile(tables))
-    return relationships.implicit_fks(tables, keyed, relationships.by_name(keyed))
+    keyed = keys.detect_keys(prof.settled(prof.profile(tables)))
+    return relationships.implicit_fks(tables, keyed, prof.settled(relationships.by_name(keyed)))
 
 
 # Advisories: the evidence map is spread to columns, as maps have no order to compare by.
@@ -252,8 +252,8 @@ ALL_ADV = f"{BY_NAME}, adv AS ({' UNION ALL '.join(s for _, s in ADV.values())})
 
 def _parts(spark, sf_dir):
     tables = shop(spark, sf_dir)
-    keyed = keys.detect_keys(prof.profile(tables)).cache()
-    return tables, keyed, relationships.by_name(keyed)
+    keyed = keys.detect_keys(prof.settled(prof.profile(tables)))
+    return tables, keyed, prof.settled(relationships.by_name(keyed))
 
 
 for _name, (_rule, _sql) in ADV.items():

@@ -28,7 +28,7 @@ def query(name, oracle=None):
 
 @query("orphan_tables", f"WITH {BY_NAME} SELECT \"table\", max(row_count) AS row_count, count(*) AS column_count FROM keyed WHERE \"table\" NOT IN (SELECT source_table FROM by_name UNION SELECT target_table FROM by_name) GROUP BY 1")
 def _(spark, sf_dir):
-    keyed = keyed_of(spark, sf_dir).cache()
+    keyed = keyed_of(spark, sf_dir)
     return restructure.orphan_tables(keyed, relationships.by_name(keyed))
 
 
@@ -102,7 +102,7 @@ def _(spark, sf_dir):
 @query("vertical_split", "SELECT event_id, user_id AS s0, user_id + 41 AS s41 FROM events WHERE event_id % 20 = 0")
 def _(spark, sf_dir):
     events = given(spark, sf_dir, "events").select("event_id", "user_id", "event_type", "value", *[F.lit(i).alias(f"d{i}") for i in range(6)], *[F.when(F.col("event_id") % 20 == 0, F.col("user_id") + i).alias(f"s{i}") for i in range(42)])
-    _, side = restructure.vertical_split(events, ["event_id"], prof.profile({"events": events}))
+    _, side = restructure.vertical_split(events, ["event_id"], prof.settled(prof.profile({"events": events})))
     return side.select("event_id", "s0", "s41")
 
 
@@ -129,8 +129,8 @@ def _(spark, sf_dir):
 
 def _types(spark, sf_dir, names):
     tables = shop(spark, sf_dir, names)
-    facts = prof.profile(tables)
-    return tables, keys.detect_keys(facts), prof.suggest_type(facts, prof.pattern_fit(tables))
+    facts = prof.settled(prof.profile(tables))
+    return tables, keys.detect_keys(facts), prof.settled(prof.suggest_type(facts, prof.pattern_fit(tables)))
 
 
 @query("rebuild_tables", f"SELECT row_number() OVER (ORDER BY 1) * 0 + 1 AS has_key, CAST(employees_ref AS SMALLINT) AS employees_ref, name, employee_id FROM {sql('employees')}")
@@ -147,7 +147,7 @@ def _(spark, sf_dir):
 )
 def _(spark, sf_dir):
     tables, keyed, types = _types(spark, sf_dir, list(SHOP))
-    made = restructure.rebuild_decisions(tables, keyed, types, relationships.by_name(keyed))
+    made = restructure.rebuild_decisions(tables, keyed, types, prof.settled(relationships.by_name(keyed)))
     return made.where("kind in ('pk', 'fk', 'rename')")
 
 
