@@ -17,6 +17,7 @@ def spark():
         .config("spark.sql.shuffle.partitions", "2")
         .config("spark.sql.codegen.wholeStage", "false")  # tables are tiny here: compiling plans would take most of the time
         .config("spark.sql.session.timeZone", "UTC")
+        .config("spark.driver.extraJavaOptions", "-XX:TieredStopAtLevel=1 -XX:+UseSerialGC")  # short runs: no time for the second compiler
         .config("spark.ui.enabled", "false")
         .config("spark.driver.memory", "4g")
         .getOrCreate()
