@@ -244,12 +244,21 @@ def trusted_ids(labels: DataFrame) -> DataFrame:
     return labels.where("quality = 1 and doc_id is not null").select("doc_id").distinct()
 
 
-def classify(docs: DataFrame, labels: DataFrame, quantile: float = 0.995, folds: int = 5, slack: float = 0.15, prior_chars: int = 200, least: int = 20, table_rows: int = 1 << 18) -> DataFrame:
+def upper_quantile(value: str, quantile: float, errors: float) -> Column:
+    """Aggregate: the quantile (over 0.5, under 1) of a sample plus `errors` of its standard errors, the square root of
+    q (1 - q) / n over the density there. The density is that of an exponential tail through the median and the
+    quantile, so the error falls with the square root of n whatever the unit and spread of the values."""
+    top, middle = (F.percentile_approx(value, q, 10_000) for q in (quantile, 0.5))
+    scale = (top - middle) / float(-np.log(2 * (1 - quantile)))
+    return top + errors * scale * F.sqrt(F.lit(quantile / (1 - quantile)) / F.count(value))
+
+
+def classify(docs: DataFrame, labels: DataFrame, quantile: float = 0.995, folds: int = 5, errors: float = 2.0, prior_chars: int = 200, least: int = 20, table_rows: int = 1 << 18) -> DataFrame:
     """One row per row of docs (doc_id, text, lang): doc_id, text_key, lang, perplexity, threshold, kept.
 
     Trusted documents whose crc32 of the id modulo `folds` is not 0 train the model; the others set the thresholds. The
-    limit is the quantile of a finite set, so texts just beyond it stay: `slack` is added to its log. The
-    measure held against it is the perplexity with `prior_chars` characters of the language's mean added, so short
+    limit is the quantile of a finite set, so `errors` standard errors are added to it, which go to 0 as the set grows
+    (see upper_quantile). The measure held against it is the perplexity with `prior_chars` characters of the language's mean added, so short
     texts are not judged by a few characters; the perplexity returned is the plain one. Languages with fewer than
     `least` trusted documents to set a threshold by, and null, take the threshold over all languages; if there is none
     either, every text with a word is kept. Texts without a word of prose (null, empty, white space, only numbers) have
@@ -273,9 +282,9 @@ def classify(docs: DataFrame, labels: DataFrame, quantile: float = 0.995, folds:
     base = F.coalesce("mean", F.lit(whole["mean"]).cast("double"), F.lit(0.0))
     measured = measured.withColumn("measure", (base * prior_chars - F.col("log_p")) / (F.col("size") + prior_chars))
     judges = measured.where(F.col("trusted") & sets & (F.col("size") > 0))
-    limits = judges.where("mean is not null").groupBy("lang").agg(F.percentile_approx("measure", quantile, 10_000).alias("own_limit"))
-    other = judges.agg(F.percentile_approx("measure", quantile, 10_000)).first()[0]
-    limit = F.coalesce("own_limit", F.lit(other).cast("double")) + slack
+    limits = judges.where("mean is not null").groupBy("lang").agg(upper_quantile("measure", quantile, errors).alias("own_limit"))
+    other = judges.agg(upper_quantile("measure", quantile, errors)).first()[0]
+    limit = F.coalesce("own_limit", F.lit(other).cast("double"))
     kept = (F.col("size") > 0) & F.coalesce(F.col("measure") <= limit, F.lit(True))
     judged = measured.join(F.broadcast(limits), "lang", "left")
     return judged.select("doc_id", "text_key", "lang", F.when(F.col("size") > 0, F.exp(-F.col("log_p") / F.col("size"))).alias("perplexity"), F.exp(limit).alias("threshold"), kept.alias("kept"))

@@ -18,7 +18,7 @@ def test_stages_against_brute_force(spark):
     bad = {r.doc_id for r in table(spark, SF, "labels").where("quality = 0").collect()}
     clean = {r.doc_id for r in table(spark, SF, "labels").where("quality = 1").collect()}
     kept = {r.doc_id for r in rows}
-    assert len(clean & kept) >= 0.98 * len(clean) and len(bad & kept) <= 0.35 * len(bad)
+    assert len(clean & kept) >= 0.98 * len(clean) and len(bad & kept) <= 0.12 * len(bad)
 
     good = spark.createDataFrame(rows, docs.schema)
     once = stages["exact dedup"](spark, good, SF)
