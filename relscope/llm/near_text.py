@@ -2,8 +2,8 @@
 
 Texts with the same set of shingles are one text with a weight. Every distinct set has a MinHash signature, cut into
 the trees of a forest; a tree holds signatures by prefix, and texts that share a prefix of the current depth in some
-tree are candidates. The join starts with the longest prefixes and shortens them while the recall estimated from what
-was found (each pair weighted by the inverse of the chance to meet at its similarity) is below the target.
+tree are candidates. The prefix is the longest by which a pair right at the threshold meets with the target's chance, so
+what is found of a pair does not depend on the other texts.
 
 Candidates within a prefix are filtered by a 64-byte sketch of the signature at a similarity five standard deviations
 below the threshold, and only spanning edges of what passes leave a task. The groups they span are then verified: each
@@ -112,9 +112,13 @@ def meeting_chance(similarity, depth: int):
     return 1 - (1 - similarity**depth) ** TREES
 
 
+def prefix_depth(limit: float, target: float, shallowest: int) -> int:
+    """The longest prefix by which sets at the threshold meet with the target's chance; `shallowest` if none does."""
+    return next((d for d in range(DEEPEST, shallowest, -1) if meeting_chance(limit, d) >= target), shallowest)
+
+
 def candidates(sets: DataFrame, depth: int, threshold: float, rows: int) -> DataFrame:
-    """Spanning edges (node, root) of sets that share a prefix of `depth` and pass the sketch; beside them, for the
-    recall, sums over the likely links that met: how many were to be expected, and how many there are to be found."""
+    """Spanning edges (node, root) of sets that share a prefix of `depth` and pass the sketch."""
     tree = F.explode(F.sequence(F.lit(0), F.lit(TREES - 1)))
     forest = sets.select("rep", "sketch", "signature", tree.alias("tree"))
     prefix = F.expr(f"substring(signature, tree * {4 * DEEPEST} + 1, {4 * depth})")
@@ -126,24 +130,17 @@ def candidates(sets: DataFrame, depth: int, threshold: float, rows: int) -> Data
         for pdf, cell in whole_cells(batches, "key"):
             sketch = np.frombuffer(b"".join(pdf["sketch"]), np.uint8).reshape(len(pdf), -1)
             own, same = pdf["own"].to_numpy(), (pdf["lo"] == pdf["hi"]).to_numpy()
-            a, b, found, all_ = [], [], 0.0, 0.0
+            a, b = [], []
             for i, j in pairs(cell, own, same):
                 share = EQUAL_HALVES[sketch[i] ^ sketch[j]].sum(1) / HASHES
                 near = share >= least
                 a.append(i[near])
                 b.append(j[near])
-                s = (share[share >= match] * 16 - 1) / 15
-                found += (meeting_chance(s, depth) / (TREES * s**depth)).sum()
-                all_ += (1 / (TREES * s**depth)).sum()
             if a:
-                out = touched(pdf["rep"].to_numpy(), np.ones(len(pdf)), np.concatenate(a), np.concatenate(b))[["node", "root"]]
-                out["found"], out["all"] = 0.0, 0.0
-                if len(out):
-                    out.loc[out.index[0], ["found", "all"]] = found, all_
-                yield out
+                yield touched(pdf["rep"].to_numpy(), np.ones(len(pdf)), np.concatenate(a), np.concatenate(b))[["node", "root"]]
 
     dealt = cells(forest, "key", "rep", BLOCK, rows * TREES)
-    return dealt.mapInPandas(run, "node long, root long, found double, all double")
+    return dealt.mapInPandas(run, "node long, root long")
 
 
 def verified(members: DataFrame, words: int, threshold: tuple[int, int], rows: int) -> DataFrame:
@@ -210,11 +207,7 @@ def near_texts(docs: DataFrame, words: int = 5, threshold: tuple[int, int] = (4,
     total = sign.count()
     sets = cut(sign.where("set_hash is not null").groupBy("set_hash").agg(F.min("doc_id").alias("rep"), F.count("*").alias("weight"), F.first("signature").alias("signature"), F.first("sketch").alias("sketch")))
     n_sets = sets.count()
-    for depth in range(DEEPEST, shallowest - 1, -1):
-        edges = cut(candidates(sets, depth, limit, n_sets))
-        seen = edges.agg(F.sum("found"), F.sum("all")).first()
-        if not seen[1] or seen[0] / seen[1] >= target:
-            break
+    edges = cut(candidates(sets, prefix_depth(limit, target, shallowest), limit, n_sets))
     groups = components(edges.select("node", "root"))
     groups = groups.join(sets.select(F.col("rep").alias("node"), "weight"), "node").withColumnRenamed("node", "doc_id")
     members = cut(rows.join(groups, "doc_id").dropDuplicates(["doc_id"]).select(F.col("doc_id").alias("rep"), "weight", "component", "text"))

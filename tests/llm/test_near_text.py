@@ -65,6 +65,20 @@ def test_near_copies_of_one_text(spark, monkeypatch, block):
     assert {d: c for d, (c, _) in got.items()} == {d: c for d, (c, _) in want.items()}
 
 
+def test_hot_group_and_lone_pairs(spark):
+    """Pairs right at the threshold are found as well beside a large group of close variants."""
+    rng = random.Random(4)
+    base = [f"w{i}" for i in range(300)]
+    rows = [(i, " ".join(base[:i] + [f"x{i}"] + base[i + 1 :])) for i in range(300)]
+    for k in range(1000):
+        a = [f"p{k}q{rng.randrange(10**6)}" for _ in range(94)]
+        rows += [(1000 + 2 * k, " ".join(a)), (1001 + 2 * k, " ".join(a[:84] + [f"z{k}y{i}" for i in range(10)]))]  # 80 of 100 shingles
+    got = near_text.near_texts(spark.createDataFrame(rows, "doc_id long, text string")).where("doc_id >= 1000 and n_links = 1").count() / 2
+    print("lone pairs found", got)
+    assert got >= 996  # 993 with prefixes of 7
+    assert near_text.prefix_depth(0.8, 0.995, 4) == 6 and near_text.prefix_depth(0.5, 0.995, 4) == 4
+
+
 def test_odd_rows(spark):
     rows = [(1, None), (2, ""), (3, " \n"), (4, "one two"), (5, "One  TWO"), (6, "one two three"), (7, "same " * 30_000), (8, "same " * 40_000), (9, "a b c d e"), (9, "a b c d e"), (None, "a b c d e")]
     docs = spark.createDataFrame([(i, t, "k", 1) for i, t in rows], "doc_id long, text string, class_id string, n_links int")
