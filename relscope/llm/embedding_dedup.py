@@ -3,8 +3,9 @@
 A rotation of the principal axes that balances binary codes is learned (Gong and Lazebnik, 2011) from a bounded sample
 of the unit vectors; several starts give several codes. Every distinct vector is coded, and codes are cut into bands; a
 table for each band brings together vectors of one label whose codes agree in it. The band's width follows the number
-of vectors, so buckets stay small as the table grows, and the number of bands follows from the width, so that pairs at
-the threshold meet with probability `recall`. Vectors that meet are compared with their original components.
+of vectors, so buckets stay small as the table grows. The number of bands is measured with the learned codes, on sampled
+vectors and partners at the threshold, so that these meet with probability `recall`; where that would take too many,
+bands are narrowed. Vectors that meet are compared with their original components.
 
 Equal vectors are one vector with a weight before anything is compared; large buckets are compared in blocks.
 """
@@ -20,6 +21,10 @@ from .blocks import TOUCHED, cells, linked, pairs, touched, whole_cells
 from .common import bound_batches, cut, join_groups
 
 BLOCK = 512
+#: Bands beyond which, or beyond the plan if it has more, narrower bands are tried.
+BANDS = 64
+#: Pairs at the threshold by which recall is measured.
+TRIALS = 5000
 
 
 def learn_rotation(unit: np.ndarray, seed: int, rounds: int = 30) -> tuple[np.ndarray, np.ndarray]:
@@ -37,10 +42,55 @@ def learn_rotation(unit: np.ndarray, seed: int, rounds: int = 30) -> tuple[np.nd
 
 
 def band_plan(most: int, dimension: int, threshold: float, recall: float) -> tuple[int, int]:
-    """(width, bands) for a label of `most` vectors: about 16 vectors a bucket, and the recall wanted at the threshold."""
-    width = int(np.clip(np.log2(max(most, 1) / 16), 6, 20)) if dimension >= 6 else dimension
+    """(width, bands) for a label of `most` vectors: about 16 vectors a bucket, and the recall wanted at the threshold if
+    codes keep the angle of the vectors."""
+    width = min(int(np.clip(np.log2(max(most, 1) / 16), 6, 20)), dimension)
+    return width, _planned(width, threshold, recall)
+
+
+def _planned(width: int, threshold: float, recall: float) -> int:
     agree = (1 - np.arccos(threshold) / np.pi) ** width
-    return width, int(np.ceil(np.log(1 - recall) / np.log(1 - agree)))
+    return int(np.ceil(np.log(1 - recall) / np.log(1 - agree)))
+
+
+def partners(unit: np.ndarray, cosine: float, rng: np.random.Generator) -> np.ndarray:
+    """For each unit vector another at this cosine, in a random direction from it."""
+    if unit.shape[1] == 1:
+        return unit
+    away = rng.normal(size=unit.shape)
+    away -= (away * unit).sum(1, keepdims=True) * unit
+    away /= np.linalg.norm(away, axis=1, keepdims=True)
+    return cosine * unit + np.sqrt(max(0.0, 1 - cosine * cosine)) * away
+
+
+def measured_plan(unit: np.ndarray, most: int, threshold: float, recall: float, seed: int) -> tuple[list[tuple[np.ndarray, np.ndarray]], int, int]:
+    """(rotations, width, bands): band_plan with as many more bands as pairs at the threshold need to meet.
+
+    Centring widens the angle of vectors that share a direction, so the plan's bands are only the least there are.
+    """
+    width, bands = band_plan(most, unit.shape[1], threshold, recall)
+    rng = np.random.default_rng(seed)
+    # codes fit the vectors they were learned from better than others, so a fifth is held out to measure by
+    apart = np.arange(len(unit)) % 5 == 0 if len(unit) >= 100 else np.ones(len(unit), bool)
+    learned = unit[~apart] if len(unit) >= 100 else unit
+    x = unit[apart][rng.integers(apart.sum(), size=TRIALS)]
+    y = partners(x, threshold, rng)
+    turns, same = [], []
+    while True:
+        each, limit = unit.shape[1] // width, max(BANDS, bands)
+        met, n = np.zeros(len(x), bool), 0
+        while n < bands or (met.mean() < recall and n < limit):
+            if n // each == len(turns):
+                mean, axes = learn_rotation(learned, seed + len(turns))
+                turns.append((mean, axes))
+                same.append(((x - mean) @ axes >= 0) == ((y - mean) @ axes >= 0))
+            k = n % each * width
+            met |= same[n // each][:, k : k + width].all(1)
+            n += 1
+        if met.mean() >= recall or width == 1:
+            return turns[: -(-n // each)], width, n
+        width -= 1
+        bands = _planned(width, threshold, recall)
 
 
 def near_vectors(vectors: DataFrame, threshold: float = 0.93, sample: int = 20_000, recall: float = 0.99, seed: int = 7) -> DataFrame:
@@ -85,9 +135,8 @@ def _touches(part: DataFrame, dimension: int, threshold: float, sample: int, rec
     some = np.array(some.tolist(), np.float64).reshape(-1, dimension)
     some /= np.linalg.norm(some / np.abs(some).max(1, keepdims=True), axis=1, keepdims=True) * np.abs(some).max(1, keepdims=True)
     counts = part.groupBy("label").agg(F.count("*").alias("n")).agg(F.max("n"), F.sum("n")).first()
-    width, bands = band_plan(counts[0] or 0, dimension, threshold, recall)
-    turns = -(-bands * width // (dimension // width * width))
-    sent = spark.sparkContext.broadcast([learn_rotation(some, seed + k) for k in range(turns)])
+    turns, width, bands = measured_plan(some, counts[0] or 0, threshold, recall, seed)
+    sent = spark.sparkContext.broadcast(turns)
     each = dimension // width
 
     def unit(v):

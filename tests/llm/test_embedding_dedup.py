@@ -41,6 +41,49 @@ def test_recall_on_the_table(spark):
     assert sum(got[i].component_id == c for i, c in groups.items()) >= 0.99 * len(groups)
 
 
+def common_direction(rng, n, share, d=64):
+    """Unit vectors with a mean cosine of `share`."""
+    x = rng.normal(size=(n, d))
+    x /= np.linalg.norm(x, axis=1, keepdims=True)
+    x[:, 0] += np.sqrt(share / (1 - share))
+    return x / np.linalg.norm(x, axis=1, keepdims=True)
+
+
+@pytest.mark.parametrize("share", [0.0, 0.5, 0.7])
+@pytest.mark.parametrize("width", [10, 14])
+def test_recall_of_wide_bands(width, share):
+    """Pairs right at the threshold that the plan has not seen, also of vectors that share a direction."""
+    rng = np.random.default_rng(width)
+    turns, narrowed, bands = embedding_dedup.measured_plan(common_direction(rng, 4000, share), 16 << width, 0.93, 0.99, 7)
+    x = common_direction(rng, 4000, share)
+    y = embedding_dedup.partners(x, 0.93, rng)
+    assert np.allclose((x * y).sum(1), 0.93)
+    met, each = np.zeros(len(x), bool), 64 // narrowed
+    for n in range(bands):
+        mean, axes = turns[n // each]
+        part = axes[:, n % each * narrowed :][:, :narrowed]
+        met |= (((x - mean) @ part >= 0) == ((y - mean) @ part >= 0)).all(1)
+    print("width", narrowed, "bands", bands, "recall", met.mean())
+    assert met.mean() >= 0.98
+
+
+def test_common_direction(spark):
+    rng = np.random.default_rng(8)
+    x = common_direction(rng, 1000, 0.7)
+    both = np.concatenate([x, embedding_dedup.partners(x, 0.931, rng)])
+    rows = [(i, v.tolist(), 1) for i, v in enumerate(both)]
+    links, _ = brute(rows)
+    got = embedding_dedup.near_vectors(spark.createDataFrame(rows, "vec_id long, embedding array<double>, label int")).collect()
+    print("links", sum(links.values()), "found", sum(r.n_links for r in got))
+    assert sum(r.n_links for r in got) >= 0.98 * sum(links.values())
+
+
+def test_width_within_the_dimension():
+    assert embedding_dedup.band_plan(16 << 14, 8, 0.93, 0.99)[0] == 8
+    one = np.ones((3, 1))
+    assert embedding_dedup.measured_plan(one, 1, 0.93, 0.99, 7)[1] == 1
+
+
 @pytest.mark.parametrize("block", [512, 16])
 def test_hot_vectors_and_blocks(spark, monkeypatch, block):
     monkeypatch.setattr(embedding_dedup, "BLOCK", block)
