@@ -2,46 +2,29 @@
 
 from __future__ import annotations
 
-import tempfile
-import uuid
-
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-#: Arrow rows a batch handed to a Python worker; texts may be long, so batches are short.
-BATCH_ROWS = 1000
+from ..operators.loops import cut, scratch, shared_dir  # noqa: F401
+
+#: Bounds of an Arrow batch handed to a Python worker, whichever is reached first.
+BATCH_ROWS, BATCH_BYTES = 1000, 8 << 20
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def bound_batches(spark: SparkSession, rows: int = BATCH_ROWS) -> None:
-    """Bound the Arrow batches of the Python stages that follow in this session."""
-    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(rows))
-
-
-def shared_dir(spark: SparkSession) -> str:
-    """The folder named by spark.checkpoint.dir; a temporary one only where that is unset (tests)."""
-    named = spark.conf.get("spark.checkpoint.dir", None)
-    if named:
-        return named.rstrip("/")
-    known = spark.sparkContext._jsc.sc().getCheckpointDir()
-    if not known.isDefined():
-        spark.sparkContext.setCheckpointDir(tempfile.mkdtemp(prefix="relscope-"))
-        known = spark.sparkContext._jsc.sc().getCheckpointDir()
-    return known.get().rstrip("/")
-
-
-def scratch(spark: SparkSession, name: str) -> str:
-    """A new path in the shared folder, used once."""
-    return f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
+def bound_batches(spark: SparkSession) -> None:
+    """Bound the Arrow batches of this session. The bounds are read when a plan runs, so all operators use the same."""
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(BATCH_ROWS))
+    spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(BATCH_BYTES))
 
 
-def cut(df: DataFrame) -> DataFrame:
-    """Cut lineage with a reliable checkpoint in the shared folder."""
-    shared_dir(df.sparkSession)
-    return df.checkpoint(eager=True)
+def slices(frame, rows: int):
+    """Parts of a batch, for work whose arrays are many times the batch."""
+    for at in range(0, len(frame), rows):
+        yield frame.iloc[at : at + rows]
 
 
 def text_or_empty(name: str):
@@ -60,14 +43,17 @@ def packed(df: DataFrame, **keys) -> DataFrame:
 HOT_GROUPS = 10_000
 
 
-def join_groups(rows: DataFrame, groups: DataFrame, key: str, size: str, total: int) -> DataFrame:
+def join_groups(rows: DataFrame, groups: DataFrame, key: str, size: str, total: int, nulls: bool = False) -> DataFrame:
     """rows left-joined with groups (one row for each `key`, `size` rows each) so that no task gets a hot group.
 
-    Groups of total / HOT_GROUPS rows or more, of which there are HOT_GROUPS at most, are broadcast; rows of others
-    meet their group in a shuffle. Both sides must name the key alike, and share no other name.
+    Groups of 1/HOT_GROUPS of all `total` rows or more, of which there are HOT_GROUPS at most, are broadcast; rows of
+    others meet their group in a shuffle. The rule is a share at every size, so the hot part of the rows does not
+    change its nature as a table grows. With nulls, rows without a key, which belong to no group, are not shuffled.
+    Both sides must name the key alike, and share no other name.
     """
-    hot = F.col(size) >= max(1000, total // HOT_GROUPS)
+    hot = F.col(size) * HOT_GROUPS >= total
     others = [c for c in groups.columns if c != key]
     once = rows.join(F.broadcast(groups.where(hot)), key, "left")
-    met, rest = once.where(F.col(size).isNotNull()), once.where(F.col(size).isNull()).drop(*others)
-    return met.unionByName(rest.join(groups.where(~hot), key, "left").select(met.columns))
+    known = F.col(size).isNotNull()
+    met, rest = once.where(known | F.col(key).isNull() if nulls else known), once.where(~known & F.col(key).isNotNull() if nulls else ~known)
+    return met.unionByName(rest.drop(*others).join(groups.where(~hot), key, "left").select(met.columns))

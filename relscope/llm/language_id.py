@@ -63,7 +63,7 @@ def grams(words: list[str]) -> tuple[np.ndarray, np.ndarray]:
 
 def train(docs: DataFrame, text_col: str = "text", lang_col: str = "lang") -> pd.DataFrame:
     """(lang, slot, n): counts of hashed n-grams, and behind them of letters of each script. Nulls teach nothing."""
-    bound_batches(docs.sparkSession, 1000)
+    bound_batches(docs.sparkSession)
 
     def run(batches):
         sums: dict[str, np.ndarray] = {}
@@ -127,7 +127,7 @@ def predict(docs: DataFrame, model: Model, penalty: float = 6.0, id_col: str = "
     Every row is predicted, repeated ids too; other columns are left out.
     """
     spark = docs.sparkSession
-    bound_batches(spark, 1000)
+    bound_batches(spark)
     sent = spark.sparkContext.broadcast(model)
 
     def run(batches):

@@ -302,7 +302,7 @@ def personal_data(docs: DataFrame, field: Field | None = None, id_col: str = "do
     searched, repeated ids too; other columns are left out.
     """
     spark = docs.sparkSession
-    bound_batches(spark, 1000)
+    bound_batches(spark)
     sent = spark.sparkContext.broadcast(field or trained())
 
     def run(batches):
@@ -321,7 +321,7 @@ def redact(docs: DataFrame, field: Field | None = None, text_col: str = "text",
     All columns stay; size_col, where docs has it as a long, becomes the new number of characters. Null texts stay null.
     """
     spark = docs.sparkSession
-    bound_batches(spark, 1000)
+    bound_batches(spark)
     sent = spark.sparkContext.broadcast(field or trained())
 
     def masked(text: str, spans) -> str:

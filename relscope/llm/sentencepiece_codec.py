@@ -24,13 +24,15 @@ import sentencepiece
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import bound_batches, cut
+from .common import bound_batches, cut, slices
 
 MARK = "▁"
 #: A line feed is in no piece but its own byte piece, so it ends a chunk as well.
 CHUNK = re.compile(f"\n|{MARK}*[^{MARK}\n]+|{MARK}+")
 MAX_CHUNK = 64
 LOCAL_ROWS = 300_000
+#: Texts whose chunks are held as strings at once.
+TEXTS = 500
 _loaded: dict = {}
 
 
@@ -132,7 +134,7 @@ def encode(docs: DataFrame, model: str, id_col: str = "doc_id", text_col: str =
     id stay apart. Further columns of docs are left out.
     """
     spark = docs.sparkSession
-    bound_batches(spark, 500)
+    bound_batches(spark)
     rows = chunk_table(docs, model, text_col, table_rows).select("chunk", "ids").toPandas()
     sent = spark.sparkContext.broadcast((rows["chunk"].tolist(), [bytes(x) for x in rows["ids"]]))
 
@@ -140,7 +142,8 @@ def encode(docs: DataFrame, model: str, id_col: str = "doc_id", text_col: str =
         table, sp = ChunkTable(model, dict(zip(*sent.value))), _processor(model)
         first, last = array("I", [sp.bos_id()]).tobytes(), array("I", [sp.eos_id()]).tobytes()
         for pdf in batches:
-            yield pd.DataFrame({"doc_id": pdf["doc_id"], "ids": [first + x + last for x in table.ids(pdf["text"])]})
+            for part in slices(pdf, TEXTS):
+                yield pd.DataFrame({"doc_id": part["doc_id"], "ids": [first + x + last for x in table.ids(part["text"])]})
 
     kind = docs.schema[id_col].dataType.simpleString()
     texts = docs.select(F.col(f"`{id_col}`").alias("doc_id"), F.coalesce(F.col(f"`{text_col}`"), F.lit("")).alias("text"))

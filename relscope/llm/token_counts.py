@@ -88,7 +88,7 @@ def token_counts(docs: DataFrame, initial: set[str], inner: set[str], id_col: st
     automaton is as large as the vocabulary, whatever the corpus.
     """
     spark = docs.sparkSession
-    bound_batches(spark, 1000)
+    bound_batches(spark)
     sent = spark.sparkContext.broadcast(LongestMatch(initial, inner))
 
     def run(batches):

@@ -80,7 +80,7 @@ def _whole(value):
 def write_archives(records: DataFrame, folder: str) -> DataFrame:
     """Write the records of plan_records under folder; the index as a stored DataFrame."""
     spark = records.sparkSession
-    bound_batches(spark, 500)
+    bound_batches(spark)
 
     def run(batches):
         store, top = fs.FileSystem.from_uri(folder)
@@ -145,7 +145,7 @@ def read_archives(index: DataFrame, folder: str, gap: int = 1 << 16, most: int =
     """The records that the index rows name: page_id, url, record_type, refers_to, payload (null for a revisit),
     payload_bytes and payload_digest, both of the full payload. Damaged records raise. No index rows, no records."""
     spark = index.sparkSession
-    bound_batches(spark, 100)
+    bound_batches(spark)
 
     def run(batches):
         store, top = fs.FileSystem.from_uri(folder)
