@@ -12,35 +12,50 @@ length are dealt over hash buckets of about `BUCKET` pieces, ranked within their
 
 from __future__ import annotations
 
+import json
 import os
-import re
 import zlib
 from array import array
 from bisect import bisect_left, insort
+from itertools import chain
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from .common import bound_batches, cut
 from .words import gather, per_text, split_words
 
-BUCKET = 2000
-CACHE_WORDS = 400_000
+BUCKET = 500
+CACHE_PARTS = 400_000
 _cache: dict[str, WordIds] = {}
 
-
-#: Words of these characters are normalised and split as the tokenizer's file says, without its general Unicode steps.
-SIMPLE = re.compile("[!-~À-ÖØ-öø-ÿ]*").fullmatch
-PARTS = re.compile("'s|'t|'re|'ve|'m|'ll|'d|[a-zß-öø-ÿ]+|[0-9]|[^a-zß-öø-ÿ0-9]+").findall
+#: The only normaliser and pre-tokenizer that texts are split for word by word; any other tokenizer gets whole texts.
+NORMALIZER = {"type": "Sequence", "normalizers": [{"type": "NFC"}, {"type": "Replace", "pattern": {"Regex": "\\s+"}, "content": " "}, {"type": "Lowercase"}]}
+SPLIT = "'s|'t|'re|'ve|'m|'ll|'d|[\\p{L}]+|[\\p{N}]|[^\\s\\p{L}\\p{N}]+"
+PRE_TOKENIZER = {
+    "type": "Sequence",
+    "pretokenizers": [
+        {"type": "Split", "pattern": {"Regex": SPLIT}, "behavior": "Removed", "invert": True},
+        {"type": "ByteLevel", "add_prefix_space": False, "trim_offsets": True, "use_regex": False},
+    ],
+}
+#: Words of these characters have nothing to compose, and their letters and digits are those of PARTS.
+SIMPLE = "^[!-~À-ÖØ-öø-ÿ]*$"
+LETTERS = "a-zß-öø-ÿ"
+PARTS = f"('s|'t|'re|'ve|'m|'ll|'d|[{LETTERS}]+|[0-9]|[^{LETTERS}0-9]+)"
 
 
 class WordIds:
-    """Packed ids of white-space-separated words; the tokenizer never looks across white space.
+    """Ids of the white-space-separated words of a batch, where the tokenizer's file shows that it never looks across
+    white space.
 
-    A word is split into its parts, and each distinct part goes through the tokenizer's model once while it is
-    remembered. Words with other characters, or with what may be a special token, go through the whole tokenizer.
+    Distinct words are lower-cased and cut into the parts that the file's pattern gives, by Arrow; each distinct part
+    goes through the tokenizer's model once while it is remembered. Words with other characters, or with what may be a
+    special token, go through the whole tokenizer.
     """
 
     def __init__(self, path: str):
@@ -48,64 +63,108 @@ class WordIds:
 
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         self.tok = Tokenizer.from_file(path)
-        self.words: dict[str, bytes] = {}
+        made = json.loads(self.tok.to_str())
+        self.apart = (
+            made["normalizer"] == NORMALIZER
+            and made["pre_tokenizer"] == PRE_TOKENIZER
+            and all("<|" in t["content"] for t in made["added_tokens"])
+            and made["model"].get("type") == "BPE"
+            and not made["model"].get("dropout")
+        )
         self.parts: dict[str, bytes] = {}
+        if self.apart:
+            self.shown = {ord(c): self.tok.pre_tokenizer.pre_tokenize_str(c)[0][0] for c in map(chr, range(0xDF, 0x100)) if c != "÷"}
 
     def part(self, part: str) -> bytes:
-        if (ids := self.parts.get(part)) is None:
-            if len(self.parts) > CACHE_WORDS:
-                self.parts.clear()
-            plain = part if part.isascii() else self.tok.pre_tokenizer.pre_tokenize_str(part)[0][0]
-            self.parts[part] = ids = array("I", [t.id for t in self.tok.model.tokenize(plain)]).tobytes()
-        return ids
-
-    def word(self, word: str) -> bytes:
-        if SIMPLE(word) and "<|" not in word:
-            return b"".join(map(self.part, PARTS(word.lower())))
-        return array("I", self.tok.encode(word, add_special_tokens=False).ids).tobytes()
-
-    def of(self, distinct: list[str]) -> list[bytes]:
-        if len(self.words) + len(distinct) > CACHE_WORDS:
-            self.words.clear()
-        known, out = self.words, []
-        for w in distinct:
-            if (ids := known.get(w)) is None:
-                known[w] = ids = self.word(w)
-            out.append(ids)
-        return out
+        plain = part if part.isascii() else part.translate(self.shown)
+        return array("I", [t.id for t in self.tok.model.tokenize(plain)]).tobytes()
+
+    def whole(self, text: str) -> bytes:
+        return array("I", self.tok.encode(text, add_special_tokens=False).ids).tobytes()
+
+    def of(self, distinct: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        """(ids of the words joined, number of ids of each)."""
+        words = pa.array(distinct, pa.large_string())
+        simple = pc.and_not(pc.match_substring_regex(words, SIMPLE), pc.match_substring(words, "<|")).to_numpy(zero_copy_only=False).astype(bool)
+        lowered = pc.utf8_lower(words)
+        one = pc.and_(pc.match_substring_regex(lowered, f"^[{LETTERS}]+$"), pa.array(simple)).to_numpy(zero_copy_only=False).astype(bool)
+        # a part's end is marked by a character that no simple word has
+        marked = pc.replace_substring_regex(lowered.filter(pa.array(simple & ~one)), PARTS, "\\1\n")
+        codes, parts, counts = split_words(marked)
+        letters = lowered.filter(pa.array(one)).to_numpy(zero_copy_only=False).tolist()
+        if len(self.parts) > CACHE_PARTS:
+            self.parts.clear()
+        known, ids = self.parts, []
+        for p in chain(parts, letters):
+            if (got := known.get(p)) is None:
+                known[p] = got = self.part(p)
+            ids.append(got)
+        ids += [self.whole(distinct[i]) for i in np.flatnonzero(~simple)]
+        lengths = np.fromiter(map(len, ids), np.int64, len(ids)) // 4
+        flat, starts = np.frombuffer(b"".join(ids), np.uint32), np.cumsum(lengths) - lengths
+        # words in order: the parts of a simple one, the one entry of another
+        each = np.ones(len(distinct), np.int64)
+        several = simple & ~one
+        each[several] = counts
+        place = np.empty(each.sum(), np.int64)
+        place[np.repeat(several, each)] = codes
+        place[np.repeat(one, each)] = np.arange(len(parts), len(parts) + len(letters))
+        place[np.repeat(~simple, each)] = np.arange(len(parts) + len(letters), len(ids))
+        out, size = gather(flat, starts, lengths, place)
+        return out, per_text(size, each)
 
 
 def token_ids(path: str, texts) -> tuple[np.ndarray, np.ndarray]:
     """(ids of all texts joined, number of ids of each text)."""
     if path not in _cache:
         _cache[path] = WordIds(path)
+    known = _cache[path]
+    if not known.apart:
+        whole = [known.whole(t) for t in texts]
+        return np.frombuffer(b"".join(whole), np.uint32), np.fromiter(map(len, whole), np.int64, len(whole)) // 4
     codes, distinct, counts = split_words(texts, at_spaces=True)
-    packed = _cache[path].of(distinct)
-    lengths = np.fromiter(map(len, packed), np.int64, len(packed)) // 4
-    flat = np.frombuffer(b"".join(packed), np.uint32)
+    flat, lengths = known.of(distinct)
     ids, size = gather(flat, np.cumsum(lengths) - lengths, lengths, codes)
     return ids, per_text(size, counts)
 
 
-def pieces(docs: DataFrame, tokenizer: str, capacity: int = 4096, end_id: int = 1, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """(doc_id, piece, start, length, ids): each text's ids and end_id, cut after every `capacity`; ids are packed."""
-    bound_batches(docs.sparkSession, 1000)
+def pieces(docs: DataFrame, tokenizer: str, capacity: int = 4096, end_id: int = 1, id_col: str = "doc_id", text_col: str = "text", keep_ids: bool = True) -> DataFrame:
+    """(doc_id, piece, start, length, ids_crc32, ids): each text's ids and end_id, cut after every `capacity`; ids are
+    packed as little-endian unsigned 32-bit, and null unless keep_ids is set."""
+    bound_batches(docs.sparkSession)
 
     def run(batches):
         for pdf in batches:
             if not len(pdf):
                 continue
             ids, size = token_ids(tokenizer, pdf["text"].tolist())
-            rows, at = [], 0
-            for doc, n in zip(pdf["doc_id"], size.tolist()):
-                own = np.append(ids[at : at + n], np.uint32(end_id)).astype("<u4")
-                at += n
-                rows += [(doc, k // capacity, k, min(capacity, n + 1 - k), own[k : k + capacity].tobytes()) for k in range(0, n + 1, capacity)]
-            yield pd.DataFrame(rows, columns=["doc_id", "piece", "start", "length", "ids"])
+            ends = np.cumsum(size + 1)
+            closed = np.full(ends[-1], end_id, "<u4")
+            inside = np.ones(len(closed), bool)
+            inside[ends - 1] = False
+            closed[inside] = ids
+            raw = memoryview(closed).cast("B")
+            n = -(-(size + 1) // capacity)
+            first = np.cumsum(n) - n
+            piece = np.arange(n.sum()) - np.repeat(first, n)
+            start = piece * capacity
+            length = np.minimum(capacity, np.repeat(size + 1, n) - start)
+            at = (np.repeat(ends - size - 1, n) + start) * 4
+            parts = [raw[a : a + m] for a, m in zip(at.tolist(), (length * 4).tolist())]
+            yield pd.DataFrame(
+                {
+                    "doc_id": pdf["doc_id"].repeat(n).reset_index(drop=True),
+                    "piece": piece,
+                    "start": start,
+                    "length": length,
+                    "ids_crc32": [zlib.crc32(x) for x in parts],
+                    "ids": [bytes(x) for x in parts] if keep_ids else None,
+                }
+            )
 
     kind = docs.schema[id_col].dataType.simpleString()
     texts = docs.select(F.col(f"`{id_col}`").alias("doc_id"), F.coalesce(F.col(f"`{text_col}`"), F.lit("")).alias("text"))
-    return texts.mapInPandas(run, f"doc_id {kind}, piece int, start long, length long, ids binary")
+    return texts.mapInPandas(run, f"doc_id {kind}, piece int, start long, length long, ids_crc32 long, ids binary")
 
 
 def plan_slots(histogram: dict[int, int], capacity: int) -> list[tuple[int, int, int, int, int]]:
@@ -180,10 +239,5 @@ def pack_documents(docs: DataFrame, tokenizer: str, capacity: int = 4096, end_id
     out. The pieces' checkpoint holds their checksum in place of the ids, which the documents give again.
     """
 
-    def checksum(batches):
-        for pdf in batches:
-            yield pd.DataFrame({"doc_id": pdf["doc_id"], "piece": pdf["piece"], "start": pdf["start"], "length": pdf["length"], "ids_crc32": [zlib.crc32(x) for x in pdf["ids"]]})
-
-    made = pieces(docs, tokenizer, capacity, end_id, **names)
-    kind = made.schema["doc_id"].dataType.simpleString()
-    return pack(cut(made.mapInPandas(checksum, f"doc_id {kind}, piece int, start long, length long, ids_crc32 long")), capacity)
+    made = pieces(docs, tokenizer, capacity, end_id, keep_ids=False, **names).drop("ids")
+    return pack(cut(made), capacity)

@@ -13,14 +13,14 @@ def split_words(texts, at_spaces: bool = False) -> tuple[np.ndarray, list[str],
     Words are what ASCII white space separates; at_spaces splits at single blanks and line feeds only, which leaves
     empty words out as well but keeps other white space inside words.
     """
-    column = pa.array(texts, pa.large_string())
+    column = texts if isinstance(texts, pa.Array) else pa.array(texts, pa.large_string())
     if at_spaces:
         lists = pc.split_pattern(pc.replace_substring(column, "\n", " "), " ")
     else:
         lists = pc.ascii_split_whitespace(column)
     flat, counts = lists.flatten(), np.diff(lists.offsets.to_numpy())
     coded = flat.dictionary_encode()
-    codes, distinct = coded.indices.to_numpy(zero_copy_only=False).astype(np.int64), coded.dictionary.to_pylist()
+    codes, distinct = coded.indices.to_numpy(zero_copy_only=False).astype(np.int64), coded.dictionary.to_numpy(zero_copy_only=False).tolist()
     if "" in (empty := {w: i for i, w in enumerate(distinct) if not w}):
         keep = codes != empty[""]
         counts = np.add.reduceat(np.append(keep, False).astype(np.int64), np.append(0, np.cumsum(counts))[:-1]) * (counts > 0) if len(counts) else counts
