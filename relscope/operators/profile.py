@@ -1,7 +1,9 @@
 """Column profiles: one scan for counts, lengths and ranges, one aggregation of distinct (column, value) pairs.
 
-Distinct values are counted by unpivoting to (column, value) and grouping twice, which shuffles each distinct value once
-whatever the number of columns; the built-in count of several distinct columns would multiply the rows instead.
+Distinct values are counted by unpivoting to (column, hash of value) and grouping twice, which shuffles two 64-bit hashes
+for each distinct value, however long it is and however many columns there are; the built-in count of several distinct
+columns would multiply the rows instead. Two values of a column are taken for one if both hashes are equal (a chance of
+n * n / 2^129 for n distinct values).
 """
 
 from __future__ import annotations
@@ -48,6 +50,30 @@ def unpivoted(df: DataFrame, names: list[str]) -> DataFrame:
     return df.select(F.explode(cells).alias("c")).select("c.ordinal", "c.value").where("value is not null")
 
 
+def columns(tables: dict[str, DataFrame]) -> DataFrame:
+    """(table, column, ordinal) of every column, from the schemas alone: nothing is scanned."""
+    rows = [(t, c, i) for t, df in tables.items() for i, c in enumerate(df.columns)]
+    return next(iter(tables.values())).sparkSession.createDataFrame(rows, "table string, column string, ordinal int")
+
+
+def _has_map(kind: T.DataType) -> bool:
+    if isinstance(kind, T.ArrayType):
+        return _has_map(kind.elementType)
+    if isinstance(kind, T.StructType):
+        return any(_has_map(f.dataType) for f in kind.fields)
+    return isinstance(kind, (T.MapType, T.VariantType))
+
+
+def hashed_cells(df: DataFrame) -> DataFrame:
+    """(ordinal, h1, h2): two hashes of every cell, nulls left out. Maps, which have no hash, count by their text."""
+    cells = []
+    for i, f in enumerate(df.schema.fields):
+        value = F.col(f"`{f.name}`")
+        shown = value.cast("string") if _has_map(f.dataType) else value
+        cells.append(F.when(value.isNotNull(), F.struct(F.lit(i).alias("ordinal"), F.xxhash64(shown).alias("h1"), F.xxhash64(F.lit("salt"), shown).alias("h2"))))
+    return df.select(F.explode(F.array_compact(F.array(*cells))).alias("c")).select("c.*")
+
+
 def profile(tables: dict[str, DataFrame], approx: bool = False, rsd: float = 0.02) -> DataFrame:
     """One row per column of every table; approx counts distinct values by sketches, in the same scan as the rest.
 
@@ -55,8 +81,8 @@ def profile(tables: dict[str, DataFrame], approx: bool = False, rsd: float = 0.0
     """
     facts = union([_facts_of(i, name, df, approx, rsd) for i, (name, df) in enumerate(tables.items())])
     if not approx:
-        cells = union([unpivoted(df, df.columns).select(F.lit(i).alias("place"), "ordinal", "value") for i, df in enumerate(tables.values())])
-        distinct = cells.groupBy("place", "ordinal", "value").agg(F.lit(1)).groupBy("place", "ordinal").agg(F.count(F.lit(1)).alias("unique_count"))
+        cells = union([hashed_cells(df).select(F.lit(i).alias("place"), "*") for i, df in enumerate(tables.values()) if df.columns])
+        distinct = cells.groupBy("place", "ordinal", "h1", "h2").agg(F.lit(1)).groupBy("place", "ordinal").agg(F.count(F.lit(1)).alias("unique_count"))
         facts = facts.drop("unique_count").join(F.broadcast(distinct), ["place", "ordinal"], "left")  # one row a column
     n = F.col("n")
     return facts.select(
@@ -136,27 +162,36 @@ def pattern_fit(tables: dict[str, DataFrame]) -> DataFrame:
     return union(parts)
 
 
-def suggest_type(facts: DataFrame, fit: DataFrame) -> DataFrame:
-    """(table, column, target_type, identity, confidence) from a profile and its pattern fit, over all rows."""
+def suggest_type(facts: DataFrame, fit: DataFrame, enums: bool = True) -> DataFrame:
+    """(table, column, target_type, nullable, identity, confidence, reason) from a profile and its pattern fit, over all
+    rows. Without `enums`, strings with few values get a type by their length as others do."""
     p = facts.join(fit, ["table", "column"], "left")
-    name = F.lower("column")
+    name, kind, longest = F.lower("column"), F.col("type"), F.coalesce("longest", F.lit(0))
     unique = (F.col("unique_count") == F.col("total_count")) & (F.col("total_count") > 0)
-    key = (F.col("type") == "INT") & ((name == "id") | name.endswith("_id")) & unique & ~F.col("nullable")
-    integer = (
-        F.when((F.col("max_num") > 2147483647) | (F.col("min_num") < -2147483648), "bigint")
-        .when((F.col("max_num") < 32768) & (F.col("min_num") > -32768), "smallint")
-        .otherwise("integer")
+    key = (kind == "INT") & ((name == "id") | name.endswith("_id")) & unique & ~F.col("nullable")
+    few = F.lit(enums) & (F.col("unique_count") <= 20) & (F.col("total_count") > 10)
+    big = (F.col("max_num") > 2147483647) | (F.col("min_num") < -2147483648)
+    rules = [
+        (key, "bigint", "high", "unique non-null key"),
+        ((kind == "INT") & big, "bigint", "medium", "beyond the integer range"),
+        ((kind == "INT") & (F.col("max_num") < 32768) & (F.col("min_num") > -32768), "smallint", "medium", "within the smallint range"),
+        (kind == "INT", "integer", "medium", "integer"),
+        ((kind == "FLOAT") & F.col("money"), "numeric(15,2)", "high", "two decimals throughout"),
+        (kind == "FLOAT", "double precision", "medium", "floating point"),
+        (kind == "TEXT", "text", "medium", "long text"),
+        ((kind == "VARCHAR") & F.col("uuid"), "uuid", "high", "uuid pattern"),
+        ((kind == "VARCHAR") & F.col("email"), "varchar(320)", "high", "email pattern"),
+        ((kind == "VARCHAR") & F.col("json"), "jsonb", "medium", "json pattern"),
+        ((kind == "VARCHAR") & F.col("ip"), "inet", "medium", "address pattern"),
+        ((kind == "VARCHAR") & few, "enum", "medium", "few distinct values"),
+        ((kind == "VARCHAR") & longest.between(1, 50), "varchar(50)", "medium", "length"),
+        ((kind == "VARCHAR") & longest.between(51, 255), "varchar(255)", "medium", "length"),
+        (kind == "BOOLEAN", "boolean", "high", "direct"),
+        (kind == "TIMESTAMP", "timestamptz", "high", "direct"),
+        (kind == "UUID", "uuid", "high", "direct"),
+        (kind == "BINARY", "bytea", "high", "direct"),
+    ]
+    chosen = F.coalesce(*[F.when(F.coalesce(test, F.lit(False)), F.struct(*map(F.lit, out))) for test, *out in rules], F.struct(F.lit("text"), F.lit("medium"), F.lit("no values to go by")))
+    return p.withColumn("chosen", chosen).select(
+        "table", "column", F.col("chosen.col1").alias("target_type"), "nullable", F.when(key, "ALWAYS").alias("identity"), F.col("chosen.col2").alias("confidence"), F.col("chosen.col3").alias("reason")
     )
-    has = F.coalesce(F.col("longest"), F.lit(0)) > 0
-    few = (F.col("unique_count") <= 20) & (F.col("total_count") > 10)
-    special = F.when(F.col("uuid"), "uuid").when(F.col("email"), "varchar(320)").when(F.col("json"), "jsonb").when(F.col("ip"), "inet")
-    by_length = F.when(~has, "text").when(F.col("longest") <= 50, "varchar(50)").when(F.col("longest") <= 255, "varchar(255)").otherwise("text")
-    string = F.coalesce(special, F.when(few, "enum"), by_length)
-    kind = (
-        F.when(key, "bigint").when(F.col("type") == "INT", integer)
-        .when((F.col("type") == "FLOAT") & F.col("money"), "numeric(15,2)").when(F.col("type") == "FLOAT", "double precision")
-        .when(F.col("type") == "VARCHAR", string).when(F.col("type") == "BOOLEAN", "boolean").when(F.col("type") == "TIMESTAMP", "timestamptz")
-        .when(F.col("type") == "UUID", "uuid").when(F.col("type") == "BINARY", "bytea").otherwise("text")
-    )
-    sure = key | F.col("type").isin("BOOLEAN", "TIMESTAMP", "UUID", "BINARY") | ((F.col("type") == "FLOAT") & F.col("money")) | ((F.col("type") == "VARCHAR") & (F.col("uuid") | F.col("email")))
-    return p.select("table", "column", kind.alias("target_type"), F.when(key, "ALWAYS").alias("identity"), F.when(F.coalesce(sure, F.lit(False)), "high").otherwise("medium").alias("confidence"))
