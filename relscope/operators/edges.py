@@ -38,20 +38,21 @@ def component(edges: DataFrame, start: str) -> DataFrame:
 
 def levels(edges: DataFrame) -> DataFrame:
     """(node, level): the longest path from a root, by peeling nodes without edges into them; what is left lies on or
-    behind a cycle and gets one level more than the highest. Self loops are ignored."""
-    left = cut(edges.where("src <> dst").select("src", "dst").distinct())
-    nodes = cut(edges.select(F.col("src").alias("node")).union(edges.select(F.col("dst").alias("node"))).distinct())
+    behind a cycle and gets one level more than the highest. Self loops are ignored. A level is one job: edges into the
+    nodes that are left are counted down by those of the nodes just peeled."""
+    steps = cut(edges.where("src <> dst").select("src", "dst").distinct())
+    nodes = edges.select(F.col("src").alias("node")).union(edges.select(F.col("dst").alias("node"))).distinct()
+    into = steps.groupBy(F.col("dst").alias("node")).agg(F.count(F.lit(1)).alias("n"))
+    state = cut(nodes.join(into, "node", "left").select("node", F.coalesce("n", F.lit(0)).alias("n")))
     done, level = None, 0
-    while True:
-        roots = cut(nodes.join(left.select(F.col("dst").alias("node")).distinct(), "node", "left_anti"))
-        if roots.isEmpty():
-            break
-        found = roots.withColumn("level", F.lit(level))
+    while not (peeled := state.where("n = 0").select("node")).isEmpty():
+        found = peeled.withColumn("level", F.lit(level))
         done = found if done is None else done.unionByName(found)
-        nodes = cut(nodes.join(roots, "node", "left_anti"))
-        left = cut(left.join(roots.withColumnRenamed("node", "src"), "src", "left_anti"))
+        gone = peeled.join(steps, peeled["node"] == steps["src"]).groupBy("dst").agg(F.count(F.lit(1)).alias("k"))
+        left = state.where("n > 0").join(gone, F.col("node") == F.col("dst"), "left")
+        state = cut(left.select("node", (F.col("n") - F.coalesce("k", F.lit(0))).alias("n")))
         level += 1
-    rest = nodes.withColumn("level", F.lit(level))
+    rest = state.select("node", F.lit(level).alias("level"))
     return rest if done is None else done.unionByName(rest)
 
 

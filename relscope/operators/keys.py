@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from .loops import cut
+
 SUFFIX = "^(.+)_(id|ref|key)$"
 
 
@@ -49,17 +51,18 @@ def detect_keys(profile: DataFrame) -> DataFrame:
     return profile.withColumn("key_type", kind)
 
 
-def pk_surrogate(df: DataFrame, name: str, order: list[str] | None = None, slices: int = 64) -> DataFrame:
-    """df with a bigint key `name` in front. With `order` (a number first), ids are 1..n in that order, which is total if the
-    columns are unique: rows are ranked within slices of the first column's quantiles, and the slices' sizes are summed,
-    so no task holds the table. Without it ids are unique only."""
+def pk_surrogate(df: DataFrame, name: str, order: list[str] | None = None) -> DataFrame:
+    """df with a bigint key `name` in front. With `order`, ids are 1..n in that order, which is total if the columns are
+    unique: the rows are sorted once by ranges of the whole order, so a hot first value is split by the columns after it
+    and the number of ranges follows the data; a row's place in its range is stored with it, and the sizes of the ranges
+    are summed. Without it ids are unique only."""
     if order is None:
         return df.select((F.monotonically_increasing_id() + 1).alias(name), "*")
-    bounds = sorted(set(df.approxQuantile(order[0], [i / slices for i in range(1, slices)], 0.01)))
-    slice_ = sum([(F.col(order[0]) >= b).cast("int") for b in bounds], F.lit(0))
-    dealt = df.withColumn("slice__", F.coalesce(slice_, F.lit(-1)))
-    inside = F.row_number().over(Window.partitionBy("slice__").orderBy(*order))
-    sizes = dealt.groupBy("slice__").agg(F.count(F.lit(1)).alias("n__"))
-    before = F.coalesce(F.sum("n__").over(Window.orderBy("slice__").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
-    base = sizes.select("slice__", before.alias("base__"))  # at most one row a slice
-    return dealt.withColumn("inside__", inside).join(F.broadcast(base), "slice__").select((F.col("base__") + F.col("inside__")).alias(name), *df.columns)
+    # a range's number and a row's place in it; stored, as they must not change between the two uses
+    place = cut(df.orderBy(*order).withColumn("place__", F.monotonically_increasing_id()))
+    part, inside = F.shiftright("place__", 33), F.col("place__").bitwiseAND((1 << 33) - 1)
+    sizes = place.groupBy(part.alias("part__")).agg(F.count(F.lit(1)).alias("n__"))
+    before = F.coalesce(F.sum("n__").over(Window.orderBy("part__").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    base = sizes.select("part__", before.alias("base__"))  # one row a range
+    met = place.withColumn("part__", part).join(F.broadcast(base), "part__")
+    return met.select((F.col("base__") + inside + 1).alias(name), *[F.col(f"`{c}`") for c in df.columns])
