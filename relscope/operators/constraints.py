@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import re
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -61,12 +63,27 @@ def domain(df: DataFrame, column: str, allowed: list[str]) -> DataFrame:
     return df.where(c.isNotNull() & ~c.isin(*allowed)).groupBy(c.alias("value")).agg(F.count(F.lit(1)).alias("n"))
 
 
+def _arguments(kind: str) -> list[int]:
+    return [int(x) for x in re.findall(r"\d+", kind.partition("(")[2])]
+
+
 def cast(df: DataFrame, column: str, old: str, new: str) -> DataFrame:
-    """Rows whose value would be lost by the change of type; none for changes that only widen."""
+    """Rows whose value would be lost by the change of type; none for changes that only widen. A change within one type
+    is checked where its length, or its digits before or behind the point, become fewer."""
     base = tuple(x.lower().split("(")[0].strip() for x in (old, new))
-    if base[0] == base[1] or base in WIDENING:
+    had, has = _arguments(old), _arguments(new)
+    value = F.col(column)
+    if base[1] in ("varchar", "char") and has:
+        narrower = base[0] not in ("varchar", "char") or not had or has[0] < had[0]
+        return df.where(F.length(value.cast("string")) > has[0]) if narrower else df.limit(0)
+    if base[0] == base[1]:
+        whole = lambda x: x[0] - (x[1] if len(x) > 1 else 0)
+        if not has or had and whole(has) >= whole(had) and (has[1:] or [0]) >= (had[1:] or [0]):
+            return df.limit(0)
+    elif base in WIDENING:
         return df.limit(0)
-    return df.where(F.col(column).isNotNull() & F.col(column).try_cast(SPARK_TYPE.get(base[1], new)).isNull())
+    target = SPARK_TYPE.get(base[1]) or (f"decimal({has[0]},{(has[1:] or [0])[0]})" if base[1] in ("numeric", "decimal") and has else new)
+    return df.where(value.isNotNull() & value.try_cast(target).isNull())
 
 
 def length(df: DataFrame, column: str, most: int) -> DataFrame:

@@ -103,13 +103,25 @@ def self_references(keyed: DataFrame) -> DataFrame:
     return hit.select(F.col("table").alias("source_table"), F.col("column").alias("source_column"), F.col("table").alias("target_table"), F.lit("id").alias("target_column"), F.lit("one-to-many").alias("type"), F.lit("medium").alias("confidence"))
 
 
-def declared(foreign: DataFrame, name_map: DataFrame) -> DataFrame:
-    """Declared foreign keys between loaded tables: mapped, without repeats, of high confidence."""
+def declared(foreign: DataFrame, name_map: DataFrame, keyed: DataFrame) -> DataFrame:
+    """Declared foreign keys between loaded tables: mapped, without repeats, of high confidence; the cardinality is that of
+    the data, one-to-many where a column is not there."""
     n = name_map.select("meta_name", "loaded_name")
     met = foreign.join(n.select(F.col("meta_name").alias("parent_table"), F.col("loaded_name").alias("source_table")), "parent_table")
     met = met.join(n.select(F.col("meta_name").alias("referenced_table"), F.col("loaded_name").alias("target_table")), "referenced_table")
-    out = met.select("source_table", F.col("parent_column").alias("source_column"), "target_table", F.col("referenced_column").alias("target_column"))
-    return out.distinct().withColumns({"type": F.lit("one-to-many"), "confidence": F.lit("high")})
+    out = met.select("source_table", F.col("parent_column").alias("source_column"), "target_table", F.col("referenced_column").alias("target_column")).distinct()
+    unique = F.col("unique_count") == F.col("total_count")
+    for side in ("source", "target"):
+        out = out.join(keyed.select(F.col("table").alias(f"{side}_table"), F.col("column").alias(f"{side}_column"), unique.alias(f"{side}_unique")), [f"{side}_table", f"{side}_column"], "left")
+    kind = F.when(F.col("source_unique").isNull() | F.col("target_unique").isNull(), "one-to-many").otherwise(cardinality(F.col("source_unique"), F.col("target_unique")))
+    return out.select("source_table", "source_column", "target_table", "target_column", kind.alias("type"), F.lit("high").alias("confidence"))
+
+
+def mark_declared(keyed: DataFrame, rels: DataFrame) -> DataFrame:
+    """The keyed profile with FK for the source columns of declared relationships, unless they are primary keys."""
+    ends = rels.select(F.col("source_table").alias("table"), F.col("source_column").alias("column"), F.lit(True).alias("is_fk")).distinct()
+    kind = F.when(F.col("is_fk") & (F.coalesce("key_type", F.lit("")) != "PK"), "FK").otherwise(F.col("key_type"))
+    return keyed.join(ends, ["table", "column"], "left").withColumn("key_type", kind).drop("is_fk")
 
 
 def combine(parts: dict[str, DataFrame]) -> DataFrame:
@@ -146,7 +158,7 @@ def implicit_fks(tables: dict[str, DataFrame], keyed: DataFrame, known: DataFram
     pk = first_pk(keyed)
     chosen = open_.where(named).withColumn("role", F.lit("s")).unionByName(pk.withColumn("role", F.lit("t")))
     pairs = value_overlaps(tables, chosen, "role = 's'", "role = 't'").where("s_table <> t_table")
-    pairs = pairs.withColumn("overlap", F.round(F.col("common") / F.col("source_size"), 6)).where(F.col("overlap") >= least)
+    pairs = pairs.withColumn("overlap", F.col("common") / F.col("source_size")).where(F.col("overlap") >= least)
     best = F.row_number().over(Window.partitionBy("s_table", "s_column").orderBy(F.desc("overlap"), "t_table", "t_column"))
     out = pairs.withColumn("rank", best).where("rank = 1")
-    return out.select(F.col("s_table").alias("source_table"), F.col("s_column").alias("source_column"), F.col("t_table").alias("target_table"), F.col("t_column").alias("target_column"), "overlap")
+    return out.select(F.col("s_table").alias("source_table"), F.col("s_column").alias("source_column"), F.col("t_table").alias("target_table"), F.col("t_column").alias("target_column"), F.round("overlap", 6).alias("overlap"))
