@@ -19,14 +19,27 @@ def sniff_delimiter(spark: SparkSession, path: str, lines: int = 20) -> str:
     return max(DELIMITERS, key=merit)
 
 
-def read_csv_table(spark: SparkSession, path: str, sep: str | None = None, encoding: str = "UTF-8") -> DataFrame:
-    """A CSV table: header, types inferred, names trimmed (a byte order mark too), unnamed columns dropped."""
-    df = spark.read.csv(path, header=True, inferSchema=True, sep=sep or sniff_delimiter(spark, path), encoding=encoding)
-    names = [c.lstrip("﻿").strip() for c in df.columns]
+def text_encoding(spark: SparkSession, path: str) -> str:
+    """UTF-8 if every line of the files is valid UTF-8 (with a byte order mark or without), else ISO-8859-1, which takes
+    any bytes."""
+    bad = spark.read.text(path).where(~F.is_valid_utf8("value"))
+    return "UTF-8" if bad.isEmpty() else "ISO-8859-1"
+
+
+def read_csv_table(spark: SparkSession, path: str, sep: str | None = None, encoding: str | None = None) -> DataFrame:
+    """A CSV table: header, types inferred, names trimmed (a byte order mark too), unnamed columns dropped. Delimiter and
+    encoding are found out where they are not given."""
+    df = spark.read.csv(path, header=True, inferSchema=True, sep=sep or sniff_delimiter(spark, path), encoding=encoding or text_encoding(spark, path))
+    names = [c.lstrip("\ufeff").strip() for c in df.columns]
     keep = [n for n in names if n and not n.startswith(("Unnamed:", "_c"))]
     return df.toDF(*names).select(*[F.col(f"`{n}`") for n in keep])
 
 
+def read_metadata(spark: SparkSession, keys: str, foreign: str, columns: str) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """Declared primary keys, foreign keys and columns from their three CSV exports."""
+    return primary_keys(read_csv_table(spark, keys)), foreign_keys(read_csv_table(spark, foreign)), declared_columns(read_csv_table(spark, columns))
+
+
 def load_tables(spark: SparkSession, folder: str, names: list[str], loaded: dict[str, DataFrame] | None = None) -> dict[str, DataFrame]:
     """Parquet tables by name, over those already loaded; a table of the same name is replaced."""
     return (loaded or {}) | {n: spark.read.parquet(f"{folder}/{n}.parquet") for n in names}
@@ -66,7 +79,7 @@ def norm_declared_type(name):
         .when(up == "BIT", "BOOLEAN")
         .when(up.isin("TEXT", "NTEXT", "XML"), "TEXT")
         .when(up.isin("VARCHAR", "NVARCHAR", "CHAR", "NCHAR", "SYSNAME"), "VARCHAR")
-        .when(up.isin("DATE", "DATETIME", "DATETIME2", "SMALLDATETIME", "DATETIMEOFFSET", "TIME", "TIMESTAMP"), "TIMESTAMP")
+        .when(up.isin("DATETIME", "DATETIME2", "SMALLDATETIME", "DATE", "TIME", "DATETIMEOFFSET", "TIMESTAMP"), "TIMESTAMP")
         .when(up == "UNIQUEIDENTIFIER", "UUID")
         .when(up.isin("BINARY", "VARBINARY", "IMAGE"), "BINARY")
         .otherwise(up)
@@ -75,10 +88,14 @@ def norm_declared_type(name):
 
 def map_meta_names(meta: DataFrame, loaded: DataFrame) -> DataFrame:
     """(meta_name, loaded_name): the loaded table of a declared name; equal but for case, else ending in _name; the first
-    loaded one wins. Both sides are lists of table names; loaded has (loaded_name, position)."""
-    low, name = F.lower("loaded_name"), F.lower("meta_name")
-    met = meta.join(F.broadcast(loaded), (low == name) | low.endswith(F.concat(F.lit("_"), name)))
-    best = F.row_number().over(Window.partitionBy("meta_name").orderBy(F.when(low == name, 0).otherwise(1), "position"))
+    loaded one wins. Both sides are lists of table names; loaded has (loaded_name, position). A loaded name stands for
+    itself and for what follows each of its underscores, so names meet by equality."""
+    low = F.lower("loaded_name")
+    parts = F.split(low, "_")
+    endings = F.transform(F.sequence(F.lit(1), F.size(parts)), lambda i: F.struct(F.array_join(F.slice(parts, i, F.size(parts)), "_").alias("name"), (i > 1).cast("int").alias("cut")))
+    known = loaded.select("loaded_name", "position", F.explode(endings).alias("e")).select("loaded_name", "position", "e.*")
+    met = meta.withColumn("name", F.lower("meta_name")).join(known, "name")
+    best = F.row_number().over(Window.partitionBy("meta_name").orderBy("cut", "position"))
     return met.withColumn("rank", best).where("rank = 1").select("meta_name", "loaded_name")
 
 
@@ -101,20 +118,40 @@ def preview(df: DataFrame, order: list[str], rows: int = 500) -> DataFrame:
     return df.orderBy(*order).limit(rows).select(*[F.coalesce(F.col(f"`{c}`").cast("string"), F.lit("")).alias(c) for c in df.columns])
 
 
-def table_shape(df: DataFrame, name: str) -> DataFrame:
-    """(table, row_count, column_count)."""
-    return df.agg(F.lit(name).alias("table"), F.count(F.lit(1)).alias("row_count")).withColumn("column_count", F.lit(len(df.columns)))
+def table_shape(df: DataFrame, name: str, declared: list[str]) -> DataFrame:
+    """(table, row_count, column_count, columns_match, first_row): whether the columns are the declared ones in order, and
+    the smallest row (column by column, nulls first) as text, empty without rows."""
+    cells = F.min(F.struct(*[F.col(f"`{c}`") for c in df.columns]))
+    found = df.agg(F.lit(name).alias("table"), F.count(F.lit(1)).alias("row_count"), cells.alias("r"))
+    shown = F.when(F.col("r").isNotNull(), F.concat_ws("|", *[F.coalesce(F.col(f"r.`{c}`").cast("string"), F.lit("")) for c in df.columns]))
+    return found.select("table", "row_count", F.lit(len(df.columns)).alias("column_count"), F.lit(df.columns == declared).alias("columns_match"), F.coalesce(shown, F.lit("")).alias("first_row"))
 
 
 def sink_facts(facts: DataFrame, path: str, kind: str = "json") -> DataFrame:
-    """Write facts as JSON or parquet and read them back."""
+    """Write facts (profile rows or relationships) as JSON or parquet and read them back."""
     facts.write.mode("overwrite").format(kind).save(path)
     return facts.sparkSession.read.schema(facts.schema).format(kind).load(path)
 
 
-def sink_partitioned(df: DataFrame, path: str, time_col: str) -> DataFrame:
-    """Write df partitioned by the day of time_col and read it back, with column `day`. Rows of a day are dealt to few
-    writers by range, so a hot day is split and a day does not get a file from every task."""
-    dated = df.withColumn("day", F.to_date(time_col))
-    dated.repartitionByRange("day", time_col).write.mode("overwrite").partitionBy("day").parquet(path)
+def partition_candidates(keyed: DataFrame, types: DataFrame, least: int = 1000) -> DataFrame:
+    """(table, row_count): tables that only grow, to be partitioned by created_at: no updated_at, `least` rows or more and
+    a primary key that counts up (an identity)."""
+    key = types.where("identity is not null").select("table", "column", F.lit(True).alias("counts"))
+    met = keyed.join(key, ["table", "column"], "left")
+    name = F.lower("column")
+    per = met.groupBy("table").agg(F.max("row_count").alias("row_count"), F.max(name == "created_at").alias("made"), F.max(name == "updated_at").alias("kept"), F.max((F.col("key_type") == "PK") & F.coalesce("counts", F.lit(False))).alias("key"))
+    return per.where(F.col("made") & ~F.col("kept") & F.col("key") & (F.col("row_count") >= least)).select("table", "row_count")
+
+
+def sink_partitioned(df: DataFrame, path: str, column: str, by: str = "range", parts: int = 16) -> DataFrame:
+    """Write df in partitions and read it back. range: by the day of a time column, as `day`; list: by the values of a
+    column, as `part`; hash: by a hash of a column in `parts` partitions, as `part`. Rows are dealt to writers by ranges
+    of the partition and a hash of the row, so a hot one is split and none gets a file from every task."""
+    if by not in ("range", "list", "hash"):
+        raise ValueError(f"no such partitioning: {by}")
+    value = F.col(f"`{column}`")
+    name, part = ("day", F.to_date(value)) if by == "range" else ("part", value if by == "list" else F.pmod(F.xxhash64(value), F.lit(parts)))
+    made = df.withColumn(name, part)
+    spread = value if by == "range" else F.xxhash64(*[F.col(f"`{c}`") for c in df.columns])
+    made.repartitionByRange(name, spread).write.mode("overwrite").partitionBy(name).parquet(path)
     return df.sparkSession.read.parquet(path)
