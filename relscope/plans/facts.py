@@ -28,24 +28,31 @@ P = profile_sql()
 BASE = """coalesce(nullif(regexp_extract(lower("column"), '^(.+)_(id|ref|key)$', 1), ''), nullif(regexp_extract(lower(regexp_replace(regexp_replace("column", '([a-z])([A-Z])', '\\1_\\2', 'g'), '([A-Z]+)([A-Z][a-z])', '\\1_\\2', 'g')), '^(.+)_(id|ref|key)$', 1), ''))"""
 CANDIDATES = f"""CASE WHEN {BASE} LIKE '%s' THEN [{BASE}, rtrim({BASE}, 's')] WHEN {BASE} LIKE '%y' THEN [{BASE}, {BASE} || 's', {BASE}[:-2] || 'ie', {BASE}[:-2] || 'ies'] WHEN {BASE} IS NOT NULL THEN [{BASE}, {BASE} || 's'] END"""
 TABLE_PK = """replace(lower("column"), '_', '') IN (rtrim(lower("table"), 's') || 'id', lower("table") || 'id')"""
-KEYED = f"""p AS ({P}), keyed AS (SELECT *, CASE
+KEYED_OF = f"""keyed AS (SELECT *, CASE
     WHEN (lower("column") = 'id' OR {TABLE_PK}) AND unique_count = total_count AND total_count > 0 AND NOT nullable THEN 'PK'
     WHEN lower("column") IN ('uuid', 'guid') AND unique_count = total_count AND total_count > 0 THEN 'PK'
     WHEN {BASE} IS NOT NULL THEN 'FK'
     WHEN unique_count = total_count AND total_count > 0 AND NOT nullable THEN 'UQ' END AS key_type FROM p)"""
+KEYED = f"p AS ({P}), {KEYED_OF}"
 FIRST_PK = """first_pk AS (SELECT * FROM keyed WHERE key_type = 'PK' QUALIFY row_number() OVER (PARTITION BY "table" ORDER BY ordinal) = 1)"""
 CARD = "CASE WHEN s.unique_count = s.total_count AND t.unique_count = t.total_count THEN 'one-to-one' WHEN t.unique_count = t.total_count THEN 'one-to-many' ELSE 'many-to-many' END"
 SCORE = "(CASE WHEN list_contains(s.cand, lower(t.\"table\")) THEN 2 ELSE 0 END + CASE WHEN lower(t.\"column\") = 'id' THEN 1 ELSE 0 END + CASE WHEN s.type = t.type THEN 1 ELSE 0 END)"
-BY_NAME = f"""{KEYED}, {FIRST_PK}, fk AS (SELECT *, {CANDIDATES} AS cand FROM keyed WHERE key_type = 'FK'),
+NAMED = f"""{FIRST_PK}, fk AS (SELECT *, {CANDIDATES} AS cand FROM keyed WHERE key_type = 'FK'),
   by_name AS (SELECT s."table" AS source_table, s."column" AS source_column, t."table" AS target_table, t."column" AS target_column, {CARD} AS type,
     CASE WHEN {SCORE} >= 3 THEN 'high' WHEN {SCORE} >= 2 THEN 'medium' ELSE 'low' END AS confidence
   FROM fk s JOIN first_pk t ON list_contains(s.cand, lower(t."table")) AND s."table" <> t."table"),
   selfs AS (SELECT "table" AS source_table, "column" AS source_column, "table" AS target_table, 'id' AS target_column, 'one-to-many' AS type, 'medium' AS confidence
     FROM fk WHERE list_contains(cand, lower("table")) OR list_contains(cand, rtrim(lower("table"), 's')))"""
+BY_NAME = f"{KEYED}, {NAMED}"
 
 
-def keyed_of(spark, sf_dir):
-    return keys.detect_keys(prof.settled(prof.profile(shop(spark, sf_dir))))
+def by_name_sql(names):
+    """The relationships by name, and what they stand on, of other tables than the shop's."""
+    return f"p AS ({profile_sql(names)}), {KEYED_OF}, {NAMED}"
+
+
+def keyed_of(spark, sf_dir, names=None):
+    return keys.detect_keys(prof.settled(prof.profile(shop(spark, sf_dir, names))))
 
 
 @query("src_tables", " UNION ALL ".join(f"SELECT '{t}' AS \"table\", count(*) AS row_count FROM {t}" for t in fixtures.GIVEN))
@@ -95,12 +102,22 @@ def _(spark, sf_dir):
     return prof.enum_values(tables, chosen).select("table", "column", F.array_join("values", "|").alias("vals"))
 
 
-FIT = {"uuid": prof.PATTERNS["uuid"], "email": prof.PATTERNS["email"], "json": prof.PATTERNS["json"], "ip": prof.PATTERNS["ip"], "money": prof.PATTERNS["money"]}
-PATTERN_COLUMNS = ["token", "email", "payload", "address", "price", "label"]
-FIT_SQL = " UNION ALL ".join(
-    f"SELECT 'patterns' AS \"table\", '{c}' AS \"column\", " + ", ".join(f"coalesce(bool_and(regexp_matches(nullif(trim({c}), ''), '{p}')), false) AS {k}" for k, p in FIT.items()) + f", max(length(nullif(trim({c}), ''))) AS longest FROM {sql('patterns')}"
-    for c in PATTERN_COLUMNS
-)
+def fit_sql(table, names):
+    """The patterns, written out for the oracle."""
+    parts = []
+    for c in names:
+        v = f"nullif(trim(CAST({c} AS VARCHAR)), '')"
+        parts.append(
+            f"SELECT '{table}' AS \"table\", '{c}' AS \"column\", "
+            f"coalesce(bool_and(regexp_full_match({v}, '[0-9a-fA-F]{{8}}-[0-9a-fA-F]{{4}}-[0-9a-fA-F]{{4}}-[0-9a-fA-F]{{4}}-[0-9a-fA-F]{{12}}')), false) AS uuid, "
+            f"coalesce(bool_and(regexp_full_match({v}, '[^@\\s]+@[^@\\s]+\\.[^@\\s]+')), false) AS email, coalesce(bool_and(left(ltrim({v}), 1) IN ('{{', '[')), false) AS json, "
+            f"coalesce(bool_and(regexp_matches({v}, '^[0-9]{{1,3}}\\.[0-9]{{1,3}}\\.[0-9]{{1,3}}\\.[0-9]{{1,3}}')), false) AS ip, coalesce(bool_and(regexp_full_match({v}, '-?[0-9]+\\.[0-9][0-9]')), false) AS money, "
+            f"max(length({v})) AS longest FROM {sql(table)}"
+        )
+    return " UNION ALL ".join(parts)
+
+
+FIT_SQL = fit_sql("patterns", ["token", "email", "payload", "address", "price", "label"])
 
 
 @query("pattern_fit", FIT_SQL)
@@ -108,20 +125,32 @@ def _(spark, sf_dir):
     return prof.pattern_fit({"patterns": view(spark, sf_dir, "patterns")})
 
 
-_PSQL = " UNION ALL ".join(
-    f"SELECT '{c}' AS \"column\", 'VARCHAR' AS type, count(DISTINCT {c}) AS unique_count, count({c}) AS total_count FROM {sql('patterns')}" for c in PATTERN_COLUMNS
-)
+def types_sql(enums=True):
+    """The suggested types over p and f, as CASE."""
+    key = """(type = 'INT' AND (lower(p."column") = 'id' OR ends_with(lower(p."column"), '_id')) AND unique_count = total_count AND total_count > 0 AND NOT nullable)"""
+    few = "unique_count <= 20 AND total_count > 10" if enums else "false"
+    rules = [
+        (key, "bigint", "high", "unique non-null key"), ("type = 'INT' AND (max_num > 2147483647 OR min_num < -2147483648)", "bigint", "medium", "beyond the integer range"),
+        ("type = 'INT' AND max_num < 32768 AND min_num > -32768", "smallint", "medium", "within the smallint range"), ("type = 'INT'", "integer", "medium", "integer"),
+        ("type = 'FLOAT' AND money", "numeric(15,2)", "high", "two decimals throughout"), ("type = 'FLOAT'", "double precision", "medium", "floating point"), ("type = 'TEXT'", "text", "medium", "long text"),
+        ("type = 'VARCHAR' AND uuid", "uuid", "high", "uuid pattern"), ("type = 'VARCHAR' AND email", "varchar(320)", "high", "email pattern"), ("type = 'VARCHAR' AND json", "jsonb", "medium", "json pattern"),
+        ("type = 'VARCHAR' AND ip", "inet", "medium", "address pattern"), (f"type = 'VARCHAR' AND {few}", "enum", "medium", "few distinct values"),
+        ("type = 'VARCHAR' AND longest BETWEEN 1 AND 50", "varchar(50)", "medium", "length"), ("type = 'VARCHAR' AND longest BETWEEN 51 AND 255", "varchar(255)", "medium", "length"),
+        ("type = 'BOOLEAN'", "boolean", "high", "direct"), ("type = 'TIMESTAMP'", "timestamptz", "high", "direct"),
+    ]
+    last = ["text", "medium", "no values to go by"]
+    case = lambda i: "CASE " + " ".join(f"WHEN {r[0]} THEN '{r[i + 1]}'" for r in rules) + f" ELSE '{last[i]}' END"
+    return f"""SELECT p."table", p."column", {case(0)} AS target_type, nullable, CASE WHEN {key} THEN 'ALWAYS' END AS identity, {case(1)} AS confidence, {case(2)} AS reason
+      FROM p LEFT JOIN f ON p."table" = f."table" AND p."column" = f."column" """
 
 
-@query(
-    "suggest_type",
-    f"""WITH p AS ({_PSQL}), f AS ({FIT_SQL}), i AS (SELECT 'id' AS "column", count(DISTINCT id) = count(*) AS u FROM {sql('patterns')})
-    SELECT 'patterns' AS "table", p."column", CASE WHEN uuid THEN 'uuid' WHEN email THEN 'varchar(320)' WHEN json THEN 'jsonb' WHEN ip THEN 'inet' WHEN unique_count <= 20 AND total_count > 10 THEN 'enum'
-      WHEN longest <= 50 THEN 'varchar(50)' WHEN longest <= 255 THEN 'varchar(255)' ELSE 'text' END AS target_type, CAST(NULL AS VARCHAR) AS identity, CASE WHEN uuid OR email THEN 'high' ELSE 'medium' END AS confidence
-    FROM p JOIN f ON p."column" = f."column" UNION ALL SELECT 'patterns', 'id', 'bigint', 'ALWAYS', 'high' FROM i WHERE u""",
-)
+def fits_sql(names):
+    return " UNION ALL ".join(fit_sql(t, own) for t in names if (own := [c for c, k in fixtures.columns(t) if k in ("VARCHAR", "FLOAT")]))
+
+
+@query("suggest_type", f"WITH p AS ({profile_sql(['patterns', 'typed'])}), f AS ({fits_sql(['patterns', 'typed'])}) {types_sql()}")
 def _(spark, sf_dir):
-    tables = {"patterns": view(spark, sf_dir, "patterns")}
+    tables = {n: view(spark, sf_dir, n) for n in ("patterns", "typed")}
     return prof.suggest_type(prof.profile(tables), prof.pattern_fit(tables))
 
 
@@ -132,13 +161,13 @@ def _(spark, sf_dir):
 
 @query("table_pk_name", f'SELECT "table", "column", {TABLE_PK} AS is_table_pk FROM ({P})')
 def _(spark, sf_dir):
-    p = prof.profile(shop(spark, sf_dir))
+    p = prof.columns(shop(spark, sf_dir))
     return p.select("table", "column", keys.is_table_pk(F.col("table"), F.col("column")).alias("is_table_pk"))
 
 
 @query("fk_name_candidates", f"SELECT \"table\", \"column\", array_to_string({CANDIDATES}, '|') AS candidates FROM ({P}) WHERE {BASE} IS NOT NULL")
 def _(spark, sf_dir):
-    p = prof.profile(shop(spark, sf_dir))
+    p = prof.columns(shop(spark, sf_dir))
     return p.select("table", "column", F.array_join(keys.fk_candidates(F.col("column")), "|").alias("candidates")).where("candidates is not null")
 
 
@@ -168,10 +197,7 @@ def _(spark, sf_dir):
     return relationships.by_name(keyed_of(spark, sf_dir)).drop("type")
 
 
-#: Columns whose values are compared: no timestamps and floats, whose string forms differ between engines.
-VALUE_TABLES = ["regions", "nations", "customers", "suppliers", "parts", "orders", "lineitems", "employees", "supply"]
-_SKIP = {("customers", "balance"), ("suppliers", "balance"), ("parts", "price"), ("orders", "total"), ("orders", "ordered_at"), ("lineitems", "quantity")}
-_PAIRS = [(t, c) for t in VALUE_TABLES for c, _ in fixtures.columns(t) if (t, c) not in _SKIP]
+_PAIRS = [(t, c) for t in fixtures.SHOP for c, _ in fixtures.columns(t)]
 CELLS = " UNION ALL ".join(f"SELECT DISTINCT '{t}' AS t, '{c}' AS c, CAST({c} AS VARCHAR) AS v FROM {sql(t)} WHERE {c} IS NOT NULL" for t, c in _PAIRS)
 BY_VALUE = f"""{KEYED}, cells AS MATERIALIZED ({CELLS}),
   srcs AS (SELECT * FROM keyed WHERE coalesce(key_type, '') NOT IN ('PK', 'UQ') AND type <> 'TEXT' AND unique_count >= 2),
@@ -184,13 +210,9 @@ BY_VALUE = f"""{KEYED}, cells AS MATERIALIZED ({CELLS}),
   by_value AS (SELECT * FROM found QUALIFY row_number() OVER (PARTITION BY list_sort([source_table || '.' || source_column, target_table || '.' || target_column]) ORDER BY source_table, source_column) = 1)"""
 
 
-def _value_tables(spark, sf_dir):
-    return {t: df.select(*[c for c, _ in fixtures.columns(t) if (t, c) not in _SKIP]) for t, df in shop(spark, sf_dir, VALUE_TABLES).items()}
-
-
 @query("rel_by_value", f"WITH {BY_VALUE} SELECT * FROM by_value")
 def _(spark, sf_dir):
-    tables = _value_tables(spark, sf_dir)
+    tables = shop(spark, sf_dir)
     return relationships.by_value(tables, keys.detect_keys(prof.settled(prof.profile(tables))))
 
 
@@ -200,9 +222,8 @@ def _(spark, sf_dir):
     "SELECT * EXCLUDE (r) FROM every QUALIFY row_number() OVER (PARTITION BY source_table, source_column, target_table, target_column ORDER BY r) = 1",
 )
 def _(spark, sf_dir):
-    keyed = keyed_of(spark, sf_dir)
-    tables = _value_tables(spark, sf_dir)
-    value = relationships.by_value(tables, keys.detect_keys(prof.settled(prof.profile(tables))))
+    tables, keyed = shop(spark, sf_dir), keyed_of(spark, sf_dir)
+    value = relationships.by_value(tables, keyed)
     return relationships.combine({"name": relationships.by_name(keyed), "self": relationships.self_references(keyed), "value": value})
 
 
@@ -231,7 +252,7 @@ def _(spark, sf_dir):
     WHERE n / k.unique_count >= 0.9 QUALIFY row_number() OVER (PARTITION BY source_table, source_column ORDER BY n / k.unique_count DESC, target_table, target_column) = 1""",
 )
 def _(spark, sf_dir):
-    tables = _value_tables(spark, sf_dir)
+    tables = shop(spark, sf_dir)
     keyed = keys.detect_keys(prof.settled(prof.profile(tables)))
     return relationships.implicit_fks(tables, keyed, prof.settled(relationships.by_name(keyed)))
 

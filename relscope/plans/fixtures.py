@@ -34,6 +34,7 @@ SHOP = {
         "employee_id:INT employees_ref:INT name:VARCHAR",
     ),
     "articles": ("SELECT doc_id AS id, text AS body, lang FROM {documents}", "id:INT body:VARCHAR lang:VARCHAR"),
+    "accounts": ("SELECT CAST(c_custkey AS STRING) AS customer_ref, CAST(c_custkey % 100 AS INT) AS points FROM {customer}", "customer_ref:VARCHAR points:INT"),
     "supply": ("SELECT DISTINCT l_partkey AS part_id, l_suppkey AS supplier_id FROM {lineitem}", "part_id:INT supplier_id:INT"),
 }
 
@@ -46,6 +47,10 @@ FLAWED = {
     "patterns": "SELECT c_custkey AS id, substr(md5(c_name), 1, 8) || '-' || substr(md5(c_name), 9, 4) || '-' || substr(md5(c_name), 13, 4) || '-' || substr(md5(c_name), 17, 4) || '-' || substr(md5(c_name), 21, 12) AS token, "
     "'u' || CAST(c_custkey AS STRING) || '@mail.example.com' AS email, '{{\"k\": ' || CAST(c_custkey AS STRING) || '}}' AS payload, "
     "'10.0.' || CAST(c_custkey % 256 AS STRING) || '.7' AS address, CAST(c_custkey AS STRING) || '.50' AS price, c_name AS label FROM {customer}",
+    "typed": "SELECT c_custkey AS id, CAST(c_nationkey AS INT) AS small, c_custkey + 40000 AS middle, c_custkey + 3000000000 AS large, c_acctbal + 0.125 AS ratio, CAST(c_nationkey AS DOUBLE) + 0.25 AS money, "
+    "c_acctbal > 0 AS flag, TIMESTAMP '2024-01-02 03:04:05' AS seen, c_mktsegment AS few, repeat(c_name, 5) AS longer, repeat(c_name, 20) AS body, NULLIF(c_name, c_name) AS none FROM {customer}",
+    "log": "SELECT event_id AS id, ts AS created_at, event_type AS kind FROM {events}",
+    "entities": "SELECT event_id AS id, ts AS seen FROM {events}",
     "raw_codes": "SELECT e.event_id, CASE WHEN e.event_id % 5 = 0 THEN 'x' || CAST(e.event_id AS STRING) WHEN e.event_id % 7 = 0 THEN '' ELSE CAST(e.event_id AS STRING) END AS code, e.event_type FROM {events} e",
     "segments": "SELECT DISTINCT c_mktsegment AS segment_id, 'Segment ' || c_mktsegment AS label FROM {customer}",
     "segmented": "SELECT c_custkey AS customer_id, c_mktsegment AS segment_id, c_name AS name FROM {customer}",
@@ -94,7 +99,22 @@ def sql(name: str) -> str:
 
 
 def columns(name: str) -> list[tuple[str, str]]:
-    return [tuple(c.split(":")) for c in SHOP[name][1].split()]
+    return [tuple(c.split(":")) for c in (SHOP[name][1] if name in SHOP else OTHERS[name]).split()]
+
+
+#: Columns of the typed view with their display types before lengths are known.
+TYPED = "id:INT small:INT middle:INT large:INT ratio:FLOAT money:FLOAT flag:BOOLEAN seen:TIMESTAMP few:VARCHAR longer:VARCHAR body:VARCHAR none:VARCHAR"
+#: Columns of other views that are profiled.
+OTHERS = {
+    "typed": TYPED,
+    "patterns": "id:INT token:VARCHAR email:VARCHAR payload:VARCHAR address:VARCHAR price:VARCHAR label:VARCHAR",
+    "segments": "segment_id:VARCHAR label:VARCHAR",
+    "segmented": "customer_id:INT segment_id:VARCHAR name:VARCHAR",
+    "entities": "id:INT seen:TIMESTAMP",
+    "eav": "entity_id:INT attribute_name:VARCHAR attribute_value:VARCHAR",
+    "log": "id:INT created_at:TIMESTAMP kind:VARCHAR",
+    "one_supplier": "part_id:INT supplier_id:INT",
+}
 
 
 def profile_sql(names=None) -> str:

@@ -4,12 +4,12 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from ..operators import edges, search
+from ..operators import edges, keys, search
 from ..operators import profile as prof
 from ..operators import relationships
 from ..operators.loops import scratch
 from ..sources import readers
-from .facts import KEYED, keyed_of
+from .facts import BY_NAME, CARD, KEYED, keyed_of
 from .fixtures import SHOP, columns, given, shop, sql, view
 
 QUERIES: dict = {}
@@ -37,25 +37,28 @@ def _(spark, sf_dir):
 
 
 META_PK = [("Customers", "name"), ("ORDERS", "order_id"), ("missing", "x")]
-META_FK = [("orders", "agent_ref", "customers", "customer_id"), ("Orders", "agent_ref", "Customers", "customer_id"), ("nations", "region_id", "absent", "id")]
+META_FK = [("orders", "agent_ref", "customers", "customer_id"), ("Orders", "agent_ref", "Customers", "customer_id"), ("accounts", "customer_ref", "customers", "customer_id"), ("nations", "region_id", "absent", "id")]
 META_COLUMNS = [("customers", "active", "bit", "YES"), ("orders", "total", " money ", "NO"), ("articles", "body", "nvarchar", None)]
 
 
 def _metadata(spark):
-    pk = readers.primary_keys(spark.createDataFrame(META_PK, "`TableName ` string, ColumnName string"))
-    fk = readers.foreign_keys(spark.createDataFrame(META_FK, "ParentTable string, ParentColumn string, ReferencedTable string, ReferencedColumn string"))
-    col = readers.declared_columns(spark.createDataFrame(META_COLUMNS, "TableName string, ColumnName string, DataType string, IsNullable string"))
+    """The three exports, written as CSV and read as such, and their table names mapped to the shop's."""
+    paths = []
+    for rows, schema in ((META_PK, "`TableName ` string, ColumnName string"), (META_FK, "ParentTable string, ParentColumn string, ReferencedTable string, ReferencedColumn string"), (META_COLUMNS, "TableName string, ColumnName string, DataType string, IsNullable string")):
+        paths.append(scratch(spark, "metadata"))
+        spark.createDataFrame(rows, schema).write.csv(paths[-1], header=True)
+    pk, fk, col = readers.read_metadata(spark, *paths)
     names = pk.select("table_name").union(fk.select("parent_table")).union(fk.select("referenced_table")).union(col.select("table_name")).distinct().toDF("meta_name")
     loaded = spark.createDataFrame([(n, i) for i, n in enumerate(SHOP)], "loaded_name string, position int")
     return pk, fk, col, readers.map_meta_names(names, loaded)
 
 
-@query("src_metadata", "SELECT 'nations' AS source_table, 'x' AS source_column WHERE false UNION ALL SELECT 'customers', 'active' UNION ALL SELECT 'orders', 'total' UNION ALL SELECT 'articles', 'body'")
+@query("src_metadata", "SELECT * FROM (VALUES ('customers', 'active', 'BOOLEAN', true), ('orders', 'total', 'FLOAT', false), ('articles', 'body', 'VARCHAR', true)) v(source_table, source_column, declared_type, is_nullable)")
 def _(spark, sf_dir):
     _, _, col, names = _metadata(spark)
-    there = keyed_of(spark, sf_dir).select("table", "column")
+    there = prof.columns(shop(spark, sf_dir)).select("table", "column")
     met = col.join(names, F.col("table_name") == F.col("meta_name"))
-    return met.join(there, (F.col("loaded_name") == F.col("table")) & (F.col("column_name") == F.col("column"))).select(F.col("loaded_name").alias("source_table"), F.col("column_name").alias("source_column"))
+    return met.join(there, (F.col("loaded_name") == F.col("table")) & (F.col("column_name") == F.col("column"))).select(F.col("loaded_name").alias("source_table"), F.col("column_name").alias("source_column"), "declared_type", "is_nullable")
 
 
 TYPE_CASE = "CASE WHEN upper(t) IN ('LONG', 'INT') THEN 'INT' WHEN upper(t) = 'DECIMAL' THEN 'FLOAT' WHEN upper(t) = 'BIT' THEN 'BOOLEAN' WHEN upper(t) = 'NVARCHAR' THEN 'VARCHAR' ELSE upper(t) END"
@@ -90,11 +93,17 @@ def _(spark, sf_dir):
     return readers.apply_metadata(keyed_of(spark, sf_dir), pk, col, names).select("table", "column", "key_type", "type", "nullable")
 
 
-@query("rel_metadata", f"SELECT 'orders' AS source_table, 'agent_ref' AS source_column, 'customers' AS target_table, 'customer_id' AS target_column, 'one-to-many' AS type, 'high' AS confidence, (SELECT count(*) FROM {sql('orders')}) AS row_count")
+@query(
+    "rel_metadata",
+    f"""WITH {KEYED}, d AS (SELECT * FROM (VALUES ('orders', 'agent_ref', 'customers', 'customer_id'), ('accounts', 'customer_ref', 'customers', 'customer_id')) v(source_table, source_column, target_table, target_column))
+    SELECT d.*, {CARD} AS type, 'high' AS confidence, CASE WHEN s.key_type = 'PK' THEN 'PK' ELSE 'FK' END AS key_type FROM d JOIN keyed s ON s."table" = source_table AND s."column" = source_column JOIN keyed t ON t."table" = target_table AND t."column" = target_column""",
+)
 def _(spark, sf_dir):
     _, fk, _, names = _metadata(spark)
-    rows = prof.profile(shop(spark, sf_dir, ["orders"])).where("ordinal = 0").select(F.col("table").alias("source_table"), "row_count")
-    return relationships.declared(fk, names).join(rows, "source_table")
+    keyed = keyed_of(spark, sf_dir)
+    rels = relationships.declared(fk, names, keyed)
+    marked = relationships.mark_declared(keyed, rels).select(F.col("table").alias("source_table"), F.col("column").alias("source_column"), "key_type")
+    return rels.join(marked, ["source_table", "source_column"])
 
 
 @query("table_group", "SELECT event_id, CASE WHEN strpos(event_type || '_' || CAST(user_id AS VARCHAR), '_') > 0 THEN split_part(event_type || '_' || CAST(user_id AS VARCHAR), '_', 1) ELSE '' END AS table_group FROM events")
@@ -107,15 +116,24 @@ def _(spark, sf_dir):
     return readers.preview(view(spark, sf_dir, "customers").select("customer_id", "name", "note", "fax"), ["customer_id"])
 
 
-@query("table_shape", " UNION ALL ".join(f"SELECT '{t}' AS \"table\", count(*) AS row_count, {len(columns(t))} AS column_count FROM {sql(t)}" for t in SHOP))
+def _first_row(t):
+    shown = ", ".join(f"coalesce(CAST({c} AS VARCHAR), '')" for c, _ in columns(t))
+    return f"coalesce((SELECT array_to_string([{shown}], '|') FROM {sql(t)} ORDER BY {', '.join(f'{c} NULLS FIRST' for c, _ in columns(t))} LIMIT 1), '')"
+
+
+@query("table_shape", " UNION ALL ".join(f"SELECT '{t}' AS \"table\", count(*) AS row_count, {len(columns(t))} AS column_count, true AS columns_match, {_first_row(t)} AS first_row FROM {sql(t)}" for t in SHOP))
 def _(spark, sf_dir):
-    return prof.union([readers.table_shape(df, t) for t, df in shop(spark, sf_dir).items()])
+    return prof.union([readers.table_shape(df, t, [c for c, _ in columns(t)]) for t, df in shop(spark, sf_dir).items()])
 
 
-@query("sink_facts", f'WITH {KEYED} SELECT "table", "column", key_type, total_count FROM keyed')
+@query("sink_facts", f"""WITH {BY_NAME} SELECT 'column' AS kind, "table", "column", key_type AS detail, total_count FROM keyed UNION ALL SELECT 'relationship', source_table, source_column, target_table || '.' || target_column || ' ' || type, NULL FROM by_name""")
 def _(spark, sf_dir):
-    facts = keyed_of(spark, sf_dir).select("table", "column", "key_type", "total_count")
-    return readers.sink_facts(facts, scratch(spark, "facts"))
+    keyed = keyed_of(spark, sf_dir)
+    facts = readers.sink_facts(keyed, scratch(spark, "facts"))
+    rels = readers.sink_facts(relationships.by_name(keyed), scratch(spark, "relationships"))
+    own = facts.select(F.lit("column").alias("kind"), "table", "column", F.col("key_type").alias("detail"), "total_count")
+    other = rels.select(F.lit("relationship").alias("kind"), F.col("source_table").alias("table"), F.col("source_column").alias("column"), F.concat_ws(" ", F.concat_ws(".", "target_table", "target_column"), "type").alias("detail"), F.lit(None).cast("long").alias("total_count"))
+    return own.unionByName(other)
 
 
 @query("sink_partitioned", "SELECT CAST(CAST(ts AS DATE) AS VARCHAR) AS day, count(*) AS n FROM events GROUP BY 1")
@@ -123,6 +141,24 @@ def _(spark, sf_dir):
     return readers.sink_partitioned(given(spark, sf_dir, "events"), scratch(spark, "days"), "ts").groupBy(F.col("day").cast("string").alias("day")).agg(F.count(F.lit(1)).alias("n"))
 
 
+@query("sink_partitioned_list", "SELECT event_type AS part, count(*) AS n, sum(event_id) AS ids FROM events GROUP BY 1")
+def _(spark, sf_dir):
+    return readers.sink_partitioned(given(spark, sf_dir, "events"), scratch(spark, "kinds"), "event_type", "list").groupBy("part").agg(F.count(F.lit(1)).alias("n"), F.sum("event_id").alias("ids"))
+
+
+@query("sink_partitioned_hash", "SELECT user_id, 1 AS parts, count(*) AS n FROM events GROUP BY 1")
+def _(spark, sf_dir):
+    back = readers.sink_partitioned(given(spark, sf_dir, "events"), scratch(spark, "users"), "user_id", "hash")
+    return back.groupBy("user_id").agg(F.count_distinct("part").alias("parts"), F.count(F.lit(1)).alias("n"))
+
+
+@query("partition_candidates", f"SELECT 'log' AS \"table\", count(*) AS row_count FROM {sql('log')} HAVING count(*) >= 1000 AND count(DISTINCT id) = count(*)")
+def _(spark, sf_dir):
+    tables = {"log": view(spark, sf_dir, "log"), "typed": view(spark, sf_dir, "typed")}
+    facts = prof.settled(prof.profile(tables))
+    return readers.partition_candidates(keys.detect_keys(facts), prof.suggest_type(facts, prof.pattern_fit(tables)))
+
+
 # 2.5 search and trace
 
 SEARCHED = {"nations": (["nation_id", "name", "region_id"], "nation_id"), "customers": (["customer_id", "name", "nation_id", "segment", "note"], "customer_id"), "parts": (["part_id", "name", "brand", "size"], "part_id"), "orders": (["order_id", "customer_id", "status"], "order_id")}
@@ -171,7 +207,7 @@ RELS = [
 ENDS = sorted({(a, b) for a, b, _, _ in RELS} | {(c, d) for _, _, c, d in RELS})
 STEPS = " UNION ALL ".join(f"SELECT {i} AS rank, '{a}' AS ft, '{b}' AS fc, '{c}' AS tt, '{d}' AS tc UNION ALL SELECT {i}, '{c}', '{d}', '{a}', '{b}'" for i, (a, b, c, d) in enumerate(RELS))
 ONE = "SELECT CAST(1 AS BIGINT) AS seed_id, 'lineitems' AS t, 'part_id' AS c, '7' AS v"
-MANY = f"SELECT customer_id AS seed_id, 'orders' AS t, 'customer_id' AS c, CAST(customer_id AS VARCHAR) AS v FROM {sql('customers')} WHERE customer_id % 50 = 0"
+MANY = f"SELECT customer_id AS seed_id, 'orders' AS t, 'customer_id' AS c, CAST(customer_id AS VARCHAR) AS v FROM {sql('customers')}"
 
 
 def _trace_sql(seeds, depth=5):
@@ -193,7 +229,7 @@ def _one(spark):
 
 
 def _many(spark, sf_dir):
-    c = view(spark, sf_dir, "customers").where("customer_id % 50 = 0")
+    c = view(spark, sf_dir, "customers")
     return c.select(F.col("customer_id").alias("seed_id"), F.lit("orders").alias("table"), F.lit("customer_id").alias("column"), F.col("customer_id").cast("string").alias("value"))
 
 
@@ -243,9 +279,9 @@ def _(spark, sf_dir):
     return edges.reach(view(spark, sf_dir, "row_edges"), spark.createDataFrame([("n3",)], "node string"), 2, "in")
 
 
-@query("edge_resolve", f"SELECT DISTINCT a.order_id AS caller, b.supplier_id AS target FROM {sql('lineitems')} a JOIN {sql('supply')} b ON a.part_id = b.part_id WHERE a.quantity > 45 AND b.supplier_id IN (SELECT supplier_id FROM {sql('suppliers')} WHERE balance > 0)")
+@query("edge_resolve", f"SELECT DISTINCT a.order_id AS caller, b.supplier_id AS target FROM {sql('lineitems')} a JOIN {sql('supply')} b ON a.part_id = b.part_id WHERE b.supplier_id IN (SELECT supplier_id FROM {sql('suppliers')} WHERE balance > 0)")
 def _(spark, sf_dir):
-    calls = view(spark, sf_dir, "lineitems").where("quantity > 45").select(F.col("order_id").alias("caller"), F.col("part_id").alias("field"))
+    calls = view(spark, sf_dir, "lineitems").select(F.col("order_id").alias("caller"), F.col("part_id").alias("field"))
     assigned = view(spark, sf_dir, "supply").select(F.col("part_id").alias("field"), F.col("supplier_id").alias("target"))
     return edges.resolve(calls, assigned, view(spark, sf_dir, "suppliers").where("balance > 0").select(F.col("supplier_id").alias("target")))
 

@@ -6,8 +6,8 @@ from pyspark.sql import functions as F
 
 from ..operators import constraints, keys, migrate, relationships, restructure
 from ..operators import profile as prof
-from .facts import BY_NAME, KEYED, keyed_of
-from .fixtures import SHOP, given, shop, sql, view
+from .facts import BY_NAME, KEYED, VALUES, by_name_sql, fits_sql, keyed_of, types_sql
+from .fixtures import SHOP, columns, given, profile_sql, shop, sql, view
 
 QUERIES: dict = {}
 ORACLE: dict = {}
@@ -37,24 +37,55 @@ SIZE = "greatest(4, CAST(floor(max_len * 1.5) AS INT))"
 
 @query(
     "type_downsize",
-    f"""WITH {KEYED}, t AS (SELECT "table", "column", CASE WHEN type = 'INT' AND greatest(abs(max_num), abs(min_num)) <= 32768 THEN 'smallint' WHEN type = 'INT' AND greatest(abs(max_num), abs(min_num)) <= 2147483647 THEN 'integer'
-    WHEN type IN ('VARCHAR', 'TEXT') AND {SIZE} < 10000 THEN 'varchar(' || {SIZE} || ')' END AS new_type FROM keyed WHERE type <> 'VARCHAR' OR max_len IS NOT NULL) SELECT * FROM t WHERE new_type IS NOT NULL UNION ALL SELECT "table", "column", 'varchar(4)' FROM keyed WHERE type = 'VARCHAR' AND max_len IS NULL""",
+    f"""WITH {KEYED}, t AS (SELECT "table", "column", CASE WHEN type = 'INT' THEN 'bigint' ELSE 'text' END AS old_type, CASE WHEN type = 'INT' AND min_num >= -32768 AND max_num <= 32767 THEN 'smallint' WHEN type = 'INT' AND min_num >= -2147483648 AND max_num <= 2147483647 THEN 'integer'
+    WHEN type IN ('VARCHAR', 'TEXT') AND max_len > 0 AND {SIZE} < 10000 THEN 'varchar(' || {SIZE} || ')' END AS new_type FROM keyed) SELECT * FROM t WHERE new_type IS NOT NULL""",
 )
 def _(spark, sf_dir):
     return restructure.type_downsize(keyed_of(spark, sf_dir))
 
 
+@query("type_downsize_declared", f"""WITH p AS ({profile_sql(['typed'])}), f AS ({fits_sql(['typed'])}), d AS ({types_sql()}) SELECT p."table", p."column", target_type AS old_type, {SIZE} AS n, 'varchar(' || {SIZE} || ')' AS new_type FROM p JOIN d ON p."column" = d."column" WHERE (target_type = 'text' OR starts_with(target_type, 'varchar(')) AND max_len > 0
+    AND {SIZE} < CASE WHEN target_type = 'text' THEN 10000 ELSE CAST(regexp_extract(target_type, '[0-9]+') AS INT) END UNION ALL SELECT p."table", p."column", target_type, NULL, 'smallint' FROM p JOIN d ON p."column" = d."column" WHERE target_type IN ('bigint', 'integer') AND min_num >= -32768 AND max_num <= 32767""".replace(f"{SIZE} AS n, ", "").replace("target_type, NULL, 'smallint'", "target_type, 'smallint'"))
+def _(spark, sf_dir):
+    tables = {"typed": view(spark, sf_dir, "typed")}
+    facts = prof.settled(prof.profile(tables))
+    return restructure.type_downsize(facts, prof.suggest_type(facts, prof.pattern_fit(tables)))
+
+
+@query("type_downsize_apply", f"SELECT CAST(customer_id AS SMALLINT) AS customer_id, name, CAST(nation_id AS SMALLINT) AS nation_id, balance, note, CAST(active AS SMALLINT) AS active FROM {sql('customers')}")
+def _(spark, sf_dir):
+    customers = view(spark, sf_dir, "customers").select("customer_id", "name", "nation_id", "balance", "note", "active")
+    changes = {r["column"]: r["new_type"] for r in restructure.type_downsize(prof.profile({"customers": customers})).collect()}
+    return restructure.apply_downsize(customers, changes)
+
+
 @query("strict_nulls", f"WITH {KEYED} SELECT \"table\", \"column\" FROM keyed WHERE total_count = row_count AND row_count > 0 AND coalesce(key_type, '') <> 'PK'")
 def _(spark, sf_dir):
     return restructure.strict_nulls(keyed_of(spark, sf_dir))
 
 
-@query("enum_discovery", f"SELECT segment, count(*) AS n, dense_rank() OVER (ORDER BY segment) AS segment_code FROM {sql('customers')} GROUP BY segment")
+@query("strict_nulls_apply", f"SELECT order_id, customer_id, status, total, agent_ref, ordered_at FROM {sql('orders')}")
 def _(spark, sf_dir):
-    found = restructure.enum_discovery(keyed_of(spark, sf_dir)).where("table = 'customers' and column = 'segment'")
-    name = found.first()["column"]
-    coded = restructure.encode_enum(view(spark, sf_dir, "customers"), name)
-    return coded.groupBy(name, F.col(f"{name}_code").cast("long").alias(f"{name}_code")).agg(F.count(F.lit(1)).alias("n"))
+    orders = view(spark, sf_dir, "orders")
+    found = restructure.strict_nulls(keys.detect_keys(prof.profile({"orders": orders})))
+    strict = restructure.apply_strict(orders, [r["column"] for r in found.collect()])
+    if [f.name for f in strict.schema.fields if f.nullable] != ["order_id", "agent_ref"]:
+        raise ValueError("columns without nulls are nullable")
+    return strict
+
+
+ENUMS = "type IN ('VARCHAR', 'TEXT') AND total_count >= 10 AND unique_count BETWEEN 1 AND 15 AND unique_count < total_count AND coalesce(key_type, '') <> 'PK'"
+_CODED = " UNION ALL ".join(f"SELECT '{t}' AS \"table\", '{c}' AS \"column\", {c} AS value, count(*) AS n, CASE WHEN {c} IS NOT NULL THEN dense_rank() OVER (ORDER BY {c} NULLS LAST) END AS code FROM {sql(t)} GROUP BY {c}" for t in SHOP for c, k in columns(t) if k == "VARCHAR" and c != "body")
+
+
+@query("enum_discovery", f'WITH {KEYED} SELECT c.* FROM ({_CODED}) c SEMI JOIN (SELECT * FROM keyed WHERE {ENUMS}) k ON k."table" = c."table" AND k."column" = c."column"')
+def _(spark, sf_dir):
+    tables, parts = shop(spark, sf_dir), []
+    for r in restructure.enum_discovery(keyed_of(spark, sf_dir)).collect():
+        t, c = r["table"], r["column"]
+        coded = restructure.encode_enum(tables[t].select(F.col(c).alias("value")), "value")
+        parts.append(coded.groupBy("value", F.col("value_code").cast("long").alias("code")).agg(F.count(F.lit(1)).alias("n")).select(F.lit(t).alias("table"), F.lit(c).alias("column"), "*"))
+    return prof.union(parts)
 
 
 @query("dead_columns", f"WITH {KEYED}, d AS (SELECT \"table\", \"column\", CASE WHEN total_count = 0 THEN 'all_null' WHEN unique_count = 1 AND NOT nullable THEN 'constant' END AS kind FROM keyed WHERE row_count >= 5 AND coalesce(key_type, '') <> 'PK') SELECT * FROM d WHERE kind IS NOT NULL")
@@ -76,9 +107,32 @@ def _(spark, sf_dir):
     return restructure.junction_unique_side(view(spark, sf_dir, "supply"), "part_id", "supplier_id")
 
 
-@query("inline_lookup", f"SELECT s.customer_id, s.name, l.label AS segment_label FROM {sql('segmented')} s LEFT JOIN {sql('segments')} l ON l.segment_id = s.segment_id")
+@query("mn_candidates", f"SELECT 'supply' AS \"table\", 'part_id' AS left_column, 'supplier_id' AS right_column, count(DISTINCT part_id) = count(*) AS left_unique, count(DISTINCT supplier_id) = count(*) AS right_unique, count(*) AS row_count FROM {sql('supply')} UNION ALL SELECT 'one_supplier', 'part_id', 'supplier_id', count(DISTINCT part_id) = count(*), count(DISTINCT supplier_id) = count(*), count(*) FROM {sql('one_supplier')} UNION ALL SELECT 'segmented', 'customer_id', 'segment_id', count(DISTINCT customer_id) = count(*), count(DISTINCT segment_id) = count(*), count(*) FROM {sql('segmented')}")
 def _(spark, sf_dir):
-    return restructure.inline_lookup(view(spark, sf_dir, "segmented"), "segment_id", view(spark, sf_dir, "segments"), "segment_id", "label", "segment")
+    tables = {n: view(spark, sf_dir, n) for n in ("supply", "one_supplier", "segmented", "entities")}
+    return restructure.mn_candidates(tables, keys.detect_keys(prof.settled(prof.profile(tables))))
+
+
+@query("inline_lookup", f"SELECT s.customer_id, s.name, l.label AS segments_label FROM {sql('segmented')} s LEFT JOIN {sql('segments')} l ON l.segment_id = s.segment_id")
+def _(spark, sf_dir):
+    tables = {n: view(spark, sf_dir, n) for n in ("segments", "segmented", "entities")}
+    keyed = keys.detect_keys(prof.settled(prof.profile(tables)))
+    r = restructure.lookup_candidates(keyed, prof.settled(relationships.by_name(keyed))).first()
+    return restructure.inline_lookup(tables[r["consumer"]], r["consumer_column"], tables[r["table"]], r["key"], r["label"], r["table"])
+
+
+_THIN = by_name_sql(["segments", "segmented", "regions", "nations", "accounts"])
+
+
+@query(
+    "inline_lookup_flag",
+    f"""WITH {_THIN}, thin AS (SELECT "table", max("column") FILTER (key_type = 'PK') AS key, max("column") FILTER (coalesce(key_type, '') <> 'PK') AS label FROM keyed GROUP BY 1 HAVING count(*) = 2 AND count(*) FILTER (key_type = 'PK') = 1),
+    inbound AS (SELECT target_table, count(*) AS n, min(source_table) AS consumer, min(source_column) AS consumer_column FROM by_name GROUP BY 1 HAVING count(*) = 1)
+    SELECT "table", key, label, consumer, consumer_column FROM thin JOIN inbound ON target_table = "table" WHERE label IN ('name', 'label', 'title', 'value', 'description') AND "table" NOT IN (SELECT source_table FROM by_name)""",
+)
+def _(spark, sf_dir):
+    keyed = keys.detect_keys(prof.settled(prof.profile({n: view(spark, sf_dir, n) for n in ("segments", "segmented", "regions", "nations", "accounts")})))
+    return restructure.lookup_candidates(keyed, prof.settled(relationships.by_name(keyed)))
 
 
 @query("merge_1_1", f"SELECT p.customer_id, p.name, d.balance FROM {sql('persons')} p JOIN {sql('details')} d ON d.customer_id = p.customer_id")
@@ -94,9 +148,22 @@ def _(spark, sf_dir):
     return restructure.same_keys(view(spark, sf_dir, "orders"), "customer_id", view(spark, sf_dir, "customers"), "customer_id")
 
 
+def _eav(spark, sf_dir):
+    tables = {n: view(spark, sf_dir, n) for n in ("eav", "entities", "log")}
+    keyed = keys.detect_keys(prof.settled(prof.profile(tables)))
+    return tables, restructure.eav_candidates(keyed, prof.settled(relationships.by_name(keyed)))
+
+
 @query("eav_collapse", "SELECT event_id AS entity_id, event_type AS kind, CAST(user_id AS VARCHAR) AS \"user\" FROM events")
 def _(spark, sf_dir):
-    return restructure.eav_collapse(view(spark, sf_dir, "eav"), "entity_id", "attribute_name", "attribute_value", ["kind", "user"])
+    tables, found = _eav(spark, sf_dir)
+    r = found.first()
+    return restructure.eav_collapse(tables[r["table"]], r["entity"], r["attribute"], r["value"], ["kind", "user"])
+
+
+@query("eav_collapse_flag", f"""WITH {by_name_sql(["eav", "entities", "log"])} SELECT k."table", min(source_column) AS entity, 'attribute_name' AS attribute, 'attribute_value' AS value FROM keyed k JOIN by_name b ON b.source_table = k."table" WHERE k."table" = 'eav' GROUP BY 1""")
+def _(spark, sf_dir):
+    return _eav(spark, sf_dir)[1]
 
 
 @query("vertical_split", "SELECT event_id, user_id AS s0, user_id + 41 AS s41 FROM events WHERE event_id % 20 = 0")
@@ -127,28 +194,75 @@ def _(spark, sf_dir):
     return restructure.normalize_names({"CustomerOrders": orders})["customer_order"]
 
 
-def _types(spark, sf_dir, names):
-    tables = shop(spark, sf_dir, names)
+SINGULAR = {"regions": "region", "nations": "nation", "customers": "customer", "suppliers": "supplier", "parts": "part", "orders": "order", "lineitems": "lineitem", "employees": "employee", "articles": "article", "accounts": "account", "supply": "supply"}
+_NAMES = ", ".join(f"('{t}', '{n}')" for t, n in SINGULAR.items())
+_ENUM = f"(type IN ('VARCHAR', 'TEXT') AND total_count >= 10 AND unique_count BETWEEN 1 AND 15 AND unique_count < total_count AND coalesce(key_type, '') NOT IN ('PK', 'FK'))"
+PLAN = f"""{BY_NAME}, f AS ({fits_sql(SHOP)}), types AS ({types_sql(enums=False)}), names(old, new) AS (VALUES {_NAMES}),
+  plan AS (SELECT k.*, new AS t, CASE WHEN {_ENUM} THEN new || '_' || k."column" || '_enum' ELSE y.target_type END AS target, total_count = row_count AND row_count > 0 AS not_null, {_ENUM} AS is_enum
+    FROM keyed k JOIN types y ON y."table" = k."table" AND y."column" = k."column" JOIN names ON old = k."table"),
+  fks AS (SELECT source_table, source_column, target_table, min(target_column) AS target_column FROM by_name GROUP BY ALL),
+  fk_rows AS (SELECT s.new AS t, source_column AS c, d.new AS ref_t, target_column AS ref_c FROM fks JOIN names s ON s.old = source_table JOIN names d ON d.old = target_table),
+  keyless AS (SELECT t FROM plan GROUP BY 1 HAVING count(*) FILTER (key_type = 'PK') = 0)"""
+
+
+def _rebuild(spark, sf_dir):
+    tables = shop(spark, sf_dir)
     facts = prof.settled(prof.profile(tables))
-    return tables, keys.detect_keys(facts), prof.settled(prof.suggest_type(facts, prof.pattern_fit(tables)))
+    keyed = keys.detect_keys(facts)
+    types = prof.settled(prof.suggest_type(facts, prof.pattern_fit(tables), enums=False))
+    return tables, prof.settled(restructure.rebuild_columns(tables, keyed, types)), prof.settled(relationships.by_name(keyed))
+
+
+#: What each column of a rebuilt table holds: counts over all rows, and its least and greatest value as text.
+_CONTENT = " UNION ALL ".join(
+    f"SELECT '{SINGULAR[t]}' AS \"table\", '{c}' AS \"column\", count(*) AS n_rows, count({c}) AS n_values, count(DISTINCT {c}) AS n_distinct, CAST(sum(length(CAST({c} AS VARCHAR))) AS BIGINT) AS n_chars FROM {sql(t)}"
+    for t in SHOP for c, k in columns(t) if k != "FLOAT"
+)
 
 
-@query("rebuild_tables", f"SELECT row_number() OVER (ORDER BY 1) * 0 + 1 AS has_key, CAST(employees_ref AS SMALLINT) AS employees_ref, name, employee_id FROM {sql('employees')}")
+@query(
+    "rebuild_tables",
+    f"""WITH {PLAN}, content AS ({_CONTENT}) SELECT c.*, NOT not_null AS nullable, CASE target WHEN 'smallint' THEN 'smallint' WHEN 'integer' THEN 'int' WHEN 'bigint' THEN 'bigint' WHEN 'timestamptz' THEN 'timestamp' ELSE 'string' END AS stored FROM content c JOIN plan p ON p.t = c."table" AND p."column" = c."column"
+    UNION ALL SELECT t, t || '_id', max(row_count), max(row_count), max(row_count), NULL, false, 'bigint' FROM plan WHERE t IN (SELECT t FROM keyless) GROUP BY t""",
+)
+def _(spark, sf_dir):
+    tables, plan, rels = _rebuild(spark, sf_dir)
+    made, _ = restructure.rebuild_tables(tables, plan, rels)
+    before, parts = {r["new_table"]: r["table"] for r in plan.select("table", "new_table").distinct().collect()}, []
+    for name, df in made.items():
+        for f in df.schema.fields:
+            if f.dataType.simpleString() in ("double", "decimal(15,2)"):
+                continue
+            c = F.col(f.name)
+            own = f.name in tables[before[name]].columns
+            chars = F.sum(F.length(c.cast("string"))) if own else F.lit(None).cast("long")
+            digest = df.agg(F.count(F.lit(1)).alias("n_rows"), F.count(c).alias("n_values"), F.count_distinct(c).alias("n_distinct"), chars.alias("n_chars"))
+            # a surrogate key is new to the table and counts up from the rows' places, so only its uniqueness is compared
+            parts.append(digest.select(F.lit(name).alias("table"), F.lit(f.name).alias("column"), "*", F.lit(f.nullable and own).alias("nullable"), F.lit(f.dataType.simpleString()).alias("stored")))
+    return prof.union(parts)
+
+
+@query(
+    "rebuild_constraints",
+    f"""WITH {PLAN} SELECT t AS "table", 'pk' AS kind, string_agg("column", ',' ORDER BY ordinal) AS "column", CAST(NULL AS VARCHAR) AS ref_table, CAST(NULL AS VARCHAR) AS ref_column FROM plan WHERE key_type = 'PK' GROUP BY t UNION ALL SELECT t, 'pk', t || '_id', NULL, NULL FROM keyless
+    UNION ALL SELECT t, 'not_null', "column", NULL, NULL FROM plan WHERE not_null UNION ALL SELECT t, 'unique', "column", NULL, NULL FROM plan WHERE key_type = 'UQ' UNION ALL SELECT t, 'enum', "column", NULL, NULL FROM plan WHERE is_enum
+    UNION ALL SELECT t, 'fk', c, ref_t, ref_c FROM fk_rows""",
+)
 def _(spark, sf_dir):
-    made = restructure.rebuild_tables(*_types(spark, sf_dir, ["employees", "supply"]))
-    return made["employee"].select((F.col("employee_id") >= 0).cast("long").alias("has_key"), "employees_ref", "name", "employee_id")
+    return restructure.rebuild_tables(*_rebuild(spark, sf_dir))[1]
 
 
 @query(
     "rebuild_decisions",
-    f"""WITH {BY_NAME} SELECT 'pk' AS kind, "table", CAST(NULL AS VARCHAR) AS "column", 'surrogate' AS detail FROM keyed GROUP BY "table" HAVING count(*) FILTER (key_type = 'PK') = 0
-    UNION ALL SELECT 'fk', source_table, source_column, target_table || '.' || target_column FROM by_name
-    UNION ALL SELECT 'rename', t, NULL, n FROM (VALUES ('regions', 'region'), ('nations', 'nation'), ('customers', 'customer'), ('suppliers', 'supplier'), ('parts', 'part'), ('orders', 'order'), ('lineitems', 'lineitem'), ('employees', 'employee'), ('articles', 'article')) v(t, n)""",
+    f"""WITH {PLAN}, vals AS ({VALUES}) SELECT 'rename' AS kind, new AS "table", CAST(NULL AS VARCHAR) AS "column", old AS detail FROM names WHERE old <> new
+    UNION ALL SELECT 'type', t, "column", target || CASE WHEN not_null THEN ' not null' ELSE '' END FROM plan
+    UNION ALL SELECT 'enum', t, p."column", array_to_string(vals, '|') FROM plan p JOIN vals v ON v."table" = p."table" AND v."column" = p."column" WHERE is_enum
+    UNION ALL SELECT 'pk', t, t || '_id', 'surrogate' FROM keyless UNION ALL SELECT 'fk', t, c, ref_t || '.' || ref_c FROM fk_rows""",
 )
 def _(spark, sf_dir):
-    tables, keyed, types = _types(spark, sf_dir, list(SHOP))
-    made = restructure.rebuild_decisions(tables, keyed, types, prof.settled(relationships.by_name(keyed)))
-    return made.where("kind in ('pk', 'fk', 'rename')")
+    tables, plan, rels = _rebuild(spark, sf_dir)
+    values = prof.enum_values(tables, plan.where("is_enum"))
+    return restructure.rebuild_decisions(tables, plan, rels, values)
 
 
 # 2.8 constraint checks
@@ -194,12 +308,21 @@ def _(spark, sf_dir):
     return constraints.cast(view(spark, sf_dir, "raw_codes"), "code", "varchar(20)", "bigint").select("event_id", "code")
 
 
+@query("check_cast_narrower", f"SELECT order_id, 'total' AS \"column\" FROM {sql('orders')} WHERE abs(round(total, 2)) >= 100000 UNION ALL SELECT order_id, 'status' FROM {sql('orders')} WHERE length(status) > 0")
+def _(spark, sf_dir):
+    orders = view(spark, sf_dir, "orders")
+    total = constraints.cast(orders.withColumn("total", F.col("total").cast("decimal(15,2)")), "total", "numeric(15,2)", "numeric(7,2)")
+    status = constraints.cast(orders, "status", "varchar(10)", "varchar(0)")
+    return total.select("order_id", F.lit("total").alias("column")).unionByName(status.select("order_id", F.lit("status").alias("column")))
+
+
 FORMS = ["smallint", "integer", "bigint", "serial", "numeric(15,2)", "decimal", "text", "varchar(50)", "timestamp", "timestamptz", "uuid"]
-OK_PAIRS = ", ".join(f"('{k}', '{x}')" for k, v in constraints.COMPATIBLE.items() for x in v)
 LIST = "[" + ", ".join(f"'{f}'" for f in FORMS) + "]"
+#: The types that go together, written out for the oracle.
+TOGETHER = "smallint integer,smallint bigint,integer bigint,integer serial,bigint bigserial,serial integer,serial bigint,bigserial bigint,numeric decimal,decimal numeric,text varchar,varchar text,timestamp timestamptz,timestamptz timestamp"
 
 
-@query("check_fk_types", f"WITH e AS (SELECT event_id, {LIST}[1 + event_id % 11] AS source_type, {LIST}[1 + user_id % 11] AS target_type FROM events) SELECT * FROM e WHERE split_part(source_type, '(', 1) <> split_part(target_type, '(', 1) AND (split_part(source_type, '(', 1), split_part(target_type, '(', 1)) NOT IN ({OK_PAIRS})")
+@query("check_fk_types", f"WITH e AS (SELECT event_id, {LIST}[1 + event_id % 11] AS source_type, {LIST}[1 + user_id % 11] AS target_type FROM events) SELECT * FROM e WHERE split_part(source_type, '(', 1) <> split_part(target_type, '(', 1) AND NOT list_contains(string_split('{TOGETHER}', ','), split_part(source_type, '(', 1) || ' ' || split_part(target_type, '(', 1))")
 def _(spark, sf_dir):
     forms = F.array(*map(F.lit, FORMS))
     ends = given(spark, sf_dir, "events").select("event_id", F.element_at(forms, (F.col("event_id") % 11 + 1).cast("int")).alias("source_type"), F.element_at(forms, (F.col("user_id") % 11 + 1).cast("int")).alias("target_type"))
@@ -231,10 +354,10 @@ def _(spark, sf_dir):
     return migrate.schema_diff(prof.profile({"orders": view(spark, sf_dir, "orders")}), prof.profile({"orders": view(spark, sf_dir, "orders_nulls")}))
 
 
-@query("domain_diff", "WITH o AS (SELECT DISTINCT p_type AS v FROM part WHERE p_partkey % 2 = 0 AND p_size < 9), n AS (SELECT DISTINCT p_type AS v FROM part WHERE p_partkey % 2 = 1 AND p_size < 9) SELECT v AS value, 'added' AS change FROM (SELECT v FROM n EXCEPT SELECT v FROM o) UNION ALL SELECT v, 'removed' FROM (SELECT v FROM o EXCEPT SELECT v FROM n)")
+@query("domain_diff", f"WITH o AS (SELECT DISTINCT CAST(agent_ref AS VARCHAR) AS v FROM {sql('orders')} WHERE agent_ref IS NOT NULL), n AS (SELECT DISTINCT CAST(user_id AS VARCHAR) AS v FROM events) SELECT v AS value, 'added' AS change FROM (SELECT v FROM n EXCEPT SELECT v FROM o) UNION ALL SELECT v, 'removed' FROM (SELECT v FROM o EXCEPT SELECT v FROM n)")
 def _(spark, sf_dir):
-    part = given(spark, sf_dir, "part").where("p_size < 9")
-    return migrate.domain_diff(part.where("p_partkey % 2 = 0"), part.where("p_partkey % 2 = 1"), "p_type")
+    old, new = view(spark, sf_dir, "orders").select(F.col("agent_ref").alias("id")), given(spark, sf_dir, "events").select(F.col("user_id").alias("id"))
+    return migrate.domain_diff(old, new, "id")
 
 
 @query("migrate_select", f"SELECT customer_id AS id, lower(name) AS name, trim(segment) AS kind FROM {sql('customers')} UNION ALL SELECT supplier_id, upper(name), NULL FROM {sql('suppliers')}")
