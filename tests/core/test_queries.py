@@ -1,6 +1,7 @@
 """Every registered query with an oracle against DuckDB, at the smallest scale."""
 
 import duckdb
+import pandas as pd
 import pytest
 
 from relscope.plans import catalog
@@ -21,7 +22,7 @@ def rows_of(frame):
     frame = frame[sorted(frame.columns)]
 
     def shown(v):
-        if v is None or v != v:
+        if pd.isna(v):
             return "-"
         return f"{float(v):.6f}" if isinstance(v, float) or hasattr(v, "dtype") and v.dtype.kind == "f" else str(v)
 
