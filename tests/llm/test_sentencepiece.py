@@ -42,6 +42,14 @@ def test_table_is_bounded(spark):
     assert codec.chunk_table(docs, MODEL).count() == 8
 
 
+def test_repeated_and_null_ids(spark):
+    sp = sentencepiece.SentencePieceProcessor(model_file=MODEL)
+    rows = [(1, "one text"), (1, "another"), (1, "one text"), (None, "no id"), (None, None)]
+    got = codec.decode(codec.encode(spark.createDataFrame(rows, "doc_id long, text string"), MODEL), MODEL).collect()
+    shown = sorted((r.doc_id or 0, r.text, np.frombuffer(bytes(r.ids), "<u4").tolist()) for r in got)
+    assert shown == sorted((i or 0, t or "", sp.encode(t or "", add_bos=True, add_eos=True)) for i, t in rows)
+
+
 def test_empty_table(spark):
     docs = spark.createDataFrame([], "doc_id long, text string")
     assert codec.encode(docs, MODEL).count() == 0

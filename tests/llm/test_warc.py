@@ -49,5 +49,13 @@ def test_hot_payload(spark):
     assert len(got) == 3999 and {r.refers_to for r in got} == {5999}
 
 
+def test_repeated_ids(spark):
+    big, other = "a" * 1200, "b" * 1200
+    rows = [(1, "u", big), (1, "u", other), (2, "u", big), (2, "u", big), (3, "u", other), (3, "u", "c")]
+    got = sorted((r.page_id, r.record_type, r.refers_to or 0, r.payload_digest) for r in warc.round_trip(pages(spark, rows)).collect())
+    a, b, c = (hashlib.sha1(x.encode()).hexdigest() for x in (big, other, "c"))
+    assert got == sorted([(1, "revisit", 2, a), (1, "revisit", 3, b), (2, "response", 0, a), (2, "response", 0, a), (3, "response", 0, b), (3, "response", 0, c)])
+
+
 def test_empty(spark):
     assert warc.round_trip(pages(spark, [])).count() == 0
