@@ -108,7 +108,7 @@ def mn_candidates(tables: dict[str, DataFrame], keyed: DataFrame) -> DataFrame:
     for r in shapes.where("size(fks) = 2 and others <= 1").collect():
         left, right = (x["column"] for x in r["fks"])
         sides = junction_unique_side(tables[r["table"]], left, right)
-        parts.append(sides.select(F.lit(r["table"]).alias("table"), F.lit(left).alias("left_column"), F.lit(right).alias("right_column"), "*"))
+        parts.append(sides.select(F.lit(r["table"]).alias("table"), F.lit(left).alias("left_column"), F.lit(right).alias("right_column"), "left_unique", "right_unique", "row_count"))
     none = "table string, left_column string, right_column string, left_unique boolean, right_unique boolean, row_count long"
     return union(parts) if parts else keyed.sparkSession.createDataFrame([], none)
 
