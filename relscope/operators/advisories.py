@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from .profile import enum_values, unpivoted, union
 
+#: The severities; the rule names and thresholds below are fixed as well.
 SEVERITIES = ["error", "warning", "info"]
 
 
