@@ -55,6 +55,23 @@ def test_odd_texts():
         at += n
 
 
+def test_another_tokenizer_gets_whole_texts():
+    path = public_tokenizers.path("byte_bpe_50k.json")
+    tok = Tokenizer.from_file(path)
+    texts = ["the cat  sat", "", " Hello, World! ", "a\n\nb", "é 中 12's"]
+    ids, sizes = packing.token_ids(path, texts)
+    assert not packing._cache[path].apart and packing.WordIds(PATH).apart
+    assert ids.tolist() == [i for t in texts for i in tok.encode(t, add_special_tokens=False).ids] and len(sizes) == len(texts)
+
+
+def test_ids_are_kept_on_demand(spark):
+    tok = Tokenizer.from_file(PATH)
+    rows = packing.pieces(spark.createDataFrame([(1, "a b c d e"), (2, None)], "doc_id long, text string"), PATH, capacity=4).collect()
+    got = {(r.doc_id, r.piece): (r.start, r.length, np.frombuffer(bytes(r.ids), "<u4").tolist()) for r in rows}
+    ids = [*tok.encode("a b c d e").ids, 1]
+    assert got == {(1, 0): (0, 4, ids[:4]), (1, 1): (4, 2, ids[4:]), (2, 0): (0, 1, [1])}
+
+
 def test_plan_is_best_fit():
     rng = random.Random(7)
     for capacity in (5, 17, 64):
