@@ -2,13 +2,18 @@
 
 from __future__ import annotations
 
+import ctypes
+import gc
+import sys
+
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..operators.loops import cut, scratch, shared_dir  # noqa: F401
 
 #: Bounds of an Arrow batch handed to a Python worker, whichever is reached first.
-BATCH_ROWS, BATCH_BYTES = 1000, 8 << 20
+BATCH_ROWS, BATCH_BYTES = 1000, 4 << 20
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -21,6 +26,20 @@ def bound_batches(spark: SparkSession) -> None:
     spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(BATCH_BYTES))
 
 
+def lean(run):
+    """A function on batches whose worker, which Spark keeps for later tasks, gives free memory back to the system at the
+    end of a partition."""
+
+    def wrapped(batches):
+        yield from run(batches)
+        gc.collect()
+        pa.default_memory_pool().release_unused()
+        if sys.platform == "linux":
+            ctypes.CDLL(None).malloc_trim(0)
+
+    return wrapped
+
+
 def slices(frame, rows: int):
     """Parts of a batch, for work whose arrays are many times the batch."""
     for at in range(0, len(frame), rows):

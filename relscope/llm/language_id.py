@@ -16,7 +16,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import bound_batches
+from .common import bound_batches, lean
 from .viterbi import viterbi
 from .words import per_text, split_words
 
@@ -84,7 +84,7 @@ def train(docs: DataFrame, text_col: str = "text", lang_col: str = "lang") -> pd
             yield pd.DataFrame({"lang": lang, "slot": slot, "n": held[slot].astype(np.int64)})
 
     texts = docs.select(F.col(f"`{text_col}`").alias("text"), F.col(f"`{lang_col}`").alias("lang")).where("text is not null and lang is not null")
-    return texts.mapInPandas(run, "lang string, slot int, n long").groupBy("lang", "slot").agg(F.sum("n").alias("n")).toPandas()
+    return texts.mapInPandas(lean(run), "lang string, slot int, n long").groupBy("lang", "slot").agg(F.sum("n").alias("n")).toPandas()
 
 
 class Model:
@@ -163,7 +163,7 @@ def predict(docs: DataFrame, model: Model, penalty: float = 6.0, id_col: str = "
 
     kind = docs.schema[id_col].dataType.simpleString()
     texts = docs.select(F.col(f"`{id_col}`").alias("doc_id"), F.coalesce(F.col(f"`{text_col}`"), F.lit("")).alias("text"))
-    return texts.mapInPandas(run, OUT.format(kind=kind))
+    return texts.mapInPandas(lean(run), OUT.format(kind=kind))
 
 
 def held_out(id_col: str = "doc_id", folds: int = 5):

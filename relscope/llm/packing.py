@@ -26,7 +26,7 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import bound_batches, cut
+from .common import bound_batches, cut, lean
 from .words import gather, per_text, split_words
 
 BUCKET = 500
@@ -164,7 +164,7 @@ def pieces(docs: DataFrame, tokenizer: str, capacity: int = 4096, end_id: int =
 
     kind = docs.schema[id_col].dataType.simpleString()
     texts = docs.select(F.col(f"`{id_col}`").alias("doc_id"), F.coalesce(F.col(f"`{text_col}`"), F.lit("")).alias("text"))
-    return texts.mapInPandas(run, f"doc_id {kind}, piece int, start long, length long, ids_crc32 long, ids binary")
+    return texts.mapInPandas(lean(run), f"doc_id {kind}, piece int, start long, length long, ids_crc32 long, ids binary")
 
 
 def plan_slots(histogram: dict[int, int], capacity: int) -> list[tuple[int, int, int, int, int]]:

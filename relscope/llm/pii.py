@@ -17,7 +17,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import bound_batches
+from .common import bound_batches, lean
 from .viterbi import viterbi
 from .words import split_words
 
@@ -328,7 +328,7 @@ def personal_data(docs: DataFrame, field: Field | None = None, id_col: str = "do
 
     kind = docs.schema[id_col].dataType.simpleString()
     texts = docs.select(F.col(f"`{id_col}`").alias("doc_id"), F.coalesce(F.col(f"`{text_col}`"), F.lit("")).alias("text"))
-    return texts.mapInPandas(run, f"doc_id {kind}, spans array<struct<kind:string,start:int,finish:int>>")
+    return texts.mapInPandas(lean(run), f"doc_id {kind}, spans array<struct<kind:string,start:int,finish:int>>")
 
 
 def redact(docs: DataFrame, field: Field | None = None, text_col: str = "text", size_col: str = "n_chars") -> DataFrame:
@@ -359,7 +359,7 @@ def redact(docs: DataFrame, field: Field | None = None, text_col: str = "text",
                 columns[batch.schema.names.index(size_col)] = sizes
             yield pa.RecordBatch.from_arrays(columns, schema=batch.schema)
 
-    return docs.mapInArrow(run, docs.schema)
+    return docs.mapInArrow(lean(run), docs.schema)
 
 
 def digest(spans) -> str:

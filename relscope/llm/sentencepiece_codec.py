@@ -24,7 +24,7 @@ import sentencepiece
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import bound_batches, cut, slices
+from .common import bound_batches, cut, lean, slices
 
 MARK = "▁"
 #: A line feed is in no piece but its own byte piece, so it ends a chunk as well.
@@ -103,7 +103,13 @@ class ChunkTable:
 
 
 def chunk_table(docs: DataFrame, model: str, text_col: str = "text", table_rows: int = 1 << 21, min_count: int = 16) -> DataFrame:
-    """(chunk, n, ids): the frequent chunks of all texts, each segmented once; at most table_rows of them."""
+    """(chunk, n, ids): the frequent chunks of all texts, each segmented once; at most table_rows of them. A chunk enters
+    when it makes up 1/table_rows of the occurrences and occurs min_count times: for rarer ones a place in the table
+    costs more than segmenting them where they stand."""
+
+    def counted(seen):
+        short = {c: n for c, n in seen.items() if len(c) <= MAX_CHUNK}
+        return pd.DataFrame({"chunk": list(short), "n": list(short.values())})
 
     def count(batches):
         seen: Counter = Counter()
@@ -111,20 +117,20 @@ def chunk_table(docs: DataFrame, model: str, text_col: str = "text", table_rows:
             for text in pdf["text"]:
                 seen.update(chunks(text))
             if len(seen) > LOCAL_ROWS:
-                yield pd.DataFrame({"chunk": list(seen), "n": list(seen.values())})
+                yield counted(seen)
                 seen = Counter()
         if seen:
-            yield pd.DataFrame({"chunk": list(seen), "n": list(seen.values())})
+            yield counted(seen)
 
     def segmented(batches):
         for pdf in batches:
             yield pdf.assign(ids=segment(model, pdf["chunk"].tolist()))
 
     texts = docs.select(F.col(f"`{text_col}`").alias("text")).where("length(text) > 0")
-    counts = texts.mapInPandas(count, "chunk string, n long").groupBy("chunk").agg(F.sum("n").alias("n"))
-    often = cut(counts.where((F.col("n") >= min_count) & (F.length("chunk") <= MAX_CHUNK)))
+    counts = texts.mapInPandas(lean(count), "chunk string, n long").groupBy("chunk").agg(F.sum("n").alias("n"))
+    often = cut(counts.where(F.col("n") >= min_count))
     total = often.agg(F.sum("n")).first()[0] or 0
-    return often.where(F.col("n") >= total / table_rows).mapInPandas(segmented, "chunk string, n long, ids binary")
+    return often.where(F.col("n") >= total / table_rows).mapInPandas(lean(segmented), "chunk string, n long, ids binary")
 
 
 def encode(docs: DataFrame, model: str, id_col: str = "doc_id", text_col: str = "text", table_rows: int = 1 << 21) -> DataFrame:
@@ -147,7 +153,7 @@ def encode(docs: DataFrame, model: str, id_col: str = "doc_id", text_col: str =
 
     kind = docs.schema[id_col].dataType.simpleString()
     texts = docs.select(F.col(f"`{id_col}`").alias("doc_id"), F.coalesce(F.col(f"`{text_col}`"), F.lit("")).alias("text"))
-    return texts.mapInPandas(run, f"doc_id {kind}, ids binary")
+    return texts.mapInPandas(lean(run), f"doc_id {kind}, ids binary")
 
 
 def decode(encoded: DataFrame, model: str) -> DataFrame:
@@ -162,4 +168,4 @@ def decode(encoded: DataFrame, model: str) -> DataFrame:
         for pdf in batches:
             yield pdf.assign(text=[None if x is None else text_of(x, pieces) for x in pdf["ids"]])
 
-    return encoded.mapInPandas(run, f"doc_id {encoded.schema['doc_id'].dataType.simpleString()}, ids binary, text string")
+    return encoded.mapInPandas(lean(run), f"doc_id {encoded.schema['doc_id'].dataType.simpleString()}, ids binary, text string")

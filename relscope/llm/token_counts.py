@@ -14,7 +14,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import bound_batches
+from .common import bound_batches, lean
 from .words import per_text, split_words
 
 NONE = -1
@@ -100,4 +100,4 @@ def token_counts(docs: DataFrame, initial: set[str], inner: set[str], id_col: st
 
     kind = docs.schema[id_col].dataType.simpleString()
     texts = docs.select(F.col(f"`{id_col}`").alias("doc_id"), F.coalesce(F.col(f"`{text_col}`"), F.lit("")).alias("text"))
-    return texts.mapInPandas(run, f"doc_id {kind}, n_words long, n_tokens long")
+    return texts.mapInPandas(lean(run), f"doc_id {kind}, n_words long, n_tokens long")
