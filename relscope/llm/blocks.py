@@ -1,8 +1,8 @@
 """Pairs within buckets, compared in blocks of bounded size inside tasks and never emitted as rows.
 
-A bucket of up to `block` members is one cell. A larger one is split by hash into blocks, and every pair of its blocks
-is a cell, so no task holds more than two blocks whatever the bucket's size, and every pair of members still meets in
-exactly one cell. What a cell gives back is one row for each member that found a partner: its links, and a root that
+A bucket of up to `block` members, and of up to CELL_BYTES where members have a size, is one cell. A larger one is split
+by hash into blocks, and every pair of its blocks is a cell, so no task holds more than two blocks whatever the bucket's
+size, and every pair of members still meets in exactly one cell. What a cell gives back is one row for each member that found a partner: its links, and a root that
 stands for its group within the cell.
 """
 
@@ -18,17 +18,22 @@ from pyspark.sql import functions as F
 from .common import cut, join_groups
 
 TOUCHED = "node long, root long, links long"
+#: Bytes of a block, where members have a size.
+CELL_BYTES = 16 << 20
+#: Narrow rows that one task takes without effort.
+TASK_ROWS = 200_000
 
 
-def cells(members: DataFrame, key: str, node: str, block: int, rows: int) -> DataFrame:
+def cells(members: DataFrame, key: str, node: str, block: int, rows: int, size: str | None = None) -> DataFrame:
     """members of buckets with two or more, dealt to cells: columns lo, hi and own (block) are added. rows: how many
-    members there are, for finding the hot buckets."""
-    sizes = members.groupBy(key).agg(F.count("*").alias("held")).where("held > 1")
+    members there are, for finding the hot buckets; size: the column with a member's bytes, if these differ."""
+    bulk = F.sum(size) if size else F.lit(0)
+    sizes = members.groupBy(key).agg(F.count("*").alias("held"), bulk.cast("long").alias("bulk")).where("held > 1")
     met = join_groups(members, sizes, key, "held", rows).where("held is not null")
-    parts = F.ceil(F.col("held") / block).cast("int")
+    parts = F.ceil(F.greatest(F.col("held") / block, F.col("bulk") / CELL_BYTES)).cast("int")
     own = F.pmod(F.xxhash64(node), parts).cast("int")
     dealt = met.withColumn("own", own).withColumn("other", F.explode(F.sequence(F.lit(0), parts - 1)))
-    dealt = dealt.withColumns({"lo": F.least("own", "other"), "hi": F.greatest("own", "other")}).drop("held", "other")
+    dealt = dealt.withColumns({"lo": F.least("own", "other"), "hi": F.greatest("own", "other")}).drop("held", "bulk", "other")
     return dealt.repartition(key, "lo", "hi").sortWithinPartitions(key, "lo", "hi")
 
 
@@ -87,33 +92,62 @@ def touched(ids: np.ndarray, weight: np.ndarray, a: np.ndarray, b: np.ndarray) -
     return pd.DataFrame({"node": ids[met], "root": ids[root[met]], "links": links[met].astype(np.int64)})
 
 
+def few(df: DataFrame, rows: int) -> DataFrame:
+    """df in as many partitions as `rows` narrow rows are worth, and no more than it has: a round over few edges is then
+    no shuffle of many empty partitions, and beyond that the number of tasks follows the edges."""
+    return df.coalesce(-(-rows // TASK_ROWS) or 1)
+
+
 def components(edges: DataFrame, most: int = 60) -> DataFrame:
     """(node, component): the smallest node each node of the edges (node, root) is connected with.
 
     Large-star and small-star rounds (Kiveris et al., 2014) on checkpointed edges, whose number never grows, until they
-    are stars. A star's hot centre is met through a broadcast of the few hot nodes.
+    are stars. A star's hot centre is met through a broadcast of the few hot nodes. Rounds grow with the logarithm of the
+    longest path; edges that are no stars after `most` of them are an error and never a result.
     """
     flat = cut(edges.where("node <> root").select(F.greatest("node", "root").alias("u"), F.least("node", "root").alias("v")).distinct())
     size, seen = flat.count(), None
     for _ in range(most):
-        both = flat.unionByName(flat.select(F.col("v").alias("u"), F.col("u").alias("v")))
-        low = both.groupBy("u").agg(F.least(F.min("v"), F.first("u")).alias("m"), F.count("*").alias("held"))
-        large = join_groups(both, low, "u", "held", 2 * size).where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")).distinct()
-        low = large.groupBy("u").agg(F.min("v").alias("m"), F.count("*").alias("held"))
-        met = join_groups(large, low, "u", "held", size)
-        flat = cut(met.select(F.explode(F.array(F.struct("v", "m"), F.struct(F.col("u").alias("v"), "m"))).alias("e")).select(F.col("e.v").alias("u"), F.col("e.m").alias("v")).where("u <> v").distinct())
+        flat = few(flat, size)
+        both = flat.unionByName(flat.select(F.col("v").alias("u"), F.col("u").alias("v"))).transform(few, size)
+        low = both.groupBy("u").agg(F.least(F.min("v"), F.first("u")).alias("m"), F.count("*").alias("held")).transform(few, size)
+        large = join_groups(both, low, "u", "held", 2 * size).where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v"))
+        large = large.transform(few, size).distinct().transform(few, size)
+        low = large.groupBy("u").agg(F.min("v").alias("m"), F.count("*").alias("held")).transform(few, size)
+        met = join_groups(large, low, "u", "held", size).transform(few, size)
+        pairs_ = F.array(F.struct("v", "m"), F.struct(F.col("u").alias("v"), "m"))
+        flat = cut(met.select(F.explode(pairs_).alias("e")).select(F.col("e.v").alias("u"), F.col("e.m").alias("v")).where("u <> v").distinct().transform(few, size))
         state = flat.agg(F.count("*"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first()
         size = state[0]
         if state == seen:
             break
         seen = state
-    stars = flat.groupBy("u").agg(F.min("v").alias("v"))
-    return stars.select(F.col("u").alias("node"), F.col("v").alias("component")).unionByName(stars.select(F.col("v").alias("node"), F.col("v").alias("component")).distinct())
+    else:
+        raise RuntimeError(f"components still change after {most} rounds")
+    stars = few(flat, size).groupBy("u").agg(F.min("v").alias("v"))
+    return stars.select(F.col("u").alias("node"), F.col("v").alias("component")).unionByName(stars.select(F.col("v").alias("node"), F.col("v").alias("component")).distinct()).transform(few, size)
 
 
 def linked(found: DataFrame) -> DataFrame:
     """(node, links, component) of the nodes of touched rows."""
     found = cut(found.groupBy("node", "root").agg(F.sum("links").alias("links")))
-    sums = found.groupBy("node").agg(F.sum("links").alias("links"))
+    rows = found.count()
+    found = few(found, rows)
+    sums = found.groupBy("node").agg(F.sum("links").alias("links")).transform(few, rows)
     groups = components(found.select("node", "root"))
-    return sums.join(groups, "node", "left").withColumn("component", F.coalesce("component", "node"))
+    return sums.join(groups, "node", "left").withColumn("component", F.coalesce("component", "node")).transform(few, rows)
+
+
+def settled(nodes: DataFrame, found: DataFrame) -> DataFrame:
+    """nodes (node, id, ...) with links, and least: the smallest id of the nodes connected with it by touched rows."""
+    groups = cut(linked(found).join(nodes.select("node", "id"), "node"))
+    rows = groups.count()
+    groups = few(groups, rows)
+    least = groups.groupBy("component").agg(F.min("id").alias("least"), F.count("*").alias("held")).transform(few, rows)
+    met = join_groups(groups.drop("id"), least, "component", "held", rows).select("node", "links", "least").transform(few, rows)
+    return nodes.join(met, "node", "left").withColumns({"links": F.coalesce("links", F.lit(0)), "least": F.coalesce("least", "id")})
+
+
+def numbered(rows: DataFrame) -> DataFrame:
+    """rows with a number `node` of their own, stored at once so that a number never changes."""
+    return cut(rows.withColumn("node", F.monotonically_increasing_id()))

@@ -17,12 +17,14 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .blocks import TOUCHED, cells, linked, pairs, touched, whole_cells
-from .common import bound_batches, cut, join_groups
+from .blocks import TOUCHED, cells, numbered, pairs, settled, touched, whole_cells
+from .common import bound_batches, cut, join_groups, lean
 
 BLOCK = 512
 #: Bands beyond which, or beyond the plan if it has more, narrower bands are tried.
 BANDS = 64
+#: Bits of the widest band, which a code of 32 bits holds: enough for 2^35 vectors of a label.
+WIDEST = 31
 #: Pairs at the threshold by which recall is measured.
 TRIALS = 5000
 
@@ -44,7 +46,7 @@ def learn_rotation(unit: np.ndarray, seed: int, rounds: int = 30) -> tuple[np.nd
 def band_plan(most: int, dimension: int, threshold: float, recall: float) -> tuple[int, int]:
     """(width, bands) for a label of `most` vectors: about 16 vectors a bucket, and the recall wanted at the threshold if
     codes keep the angle of the vectors."""
-    width = min(int(np.clip(np.log2(max(most, 1) / 16), 6, 20)), dimension)
+    width = min(int(np.clip(np.log2(max(most, 1) / 16), 6, WIDEST)), dimension)
     return width, _planned(width, threshold, recall)
 
 
@@ -98,18 +100,18 @@ def near_vectors(vectors: DataFrame, threshold: float = 0.93, sample: int = 20_0
 
     Rows link when their labels are equal and not null, their vectors have the same length and a cosine, in double
     precision, of `threshold` or more. Null, empty and zero vectors, vectors with null or non-finite components and rows
-    with null labels or ids link with nothing and are kept. Equal vectors always link. Repeated ids count as rows of
-    their own; other columns are left out. An empty table gives an empty result. Pairs found all have the cosine asked
+    with null labels or ids link with nothing and are kept. Equal vectors always link. Rows that repeat an id are told
+    apart by label and vector, so each has its own links; other columns are left out. An empty table gives an empty result. Pairs found all have the cosine asked
     for; about `recall` of those right at the threshold are found, and more of closer ones.
     """
     spark = vectors.sparkSession
-    bound_batches(spark, 5000)
+    bound_batches(spark)
     e = F.col("embedding").cast("array<double>")
     finite = F.forall(e, lambda x: x.isNotNull() & ~F.isnan(x) & (F.abs(x) < float("inf")))
     valid = F.coalesce(finite & F.exists(e, lambda x: x != 0) & F.col("label").isNotNull() & F.col("vec_id").isNotNull(), F.lit(False))
     rows = vectors.select("vec_id", "label", e.alias("v"), valid.alias("valid"))
     good = rows.where("valid").withColumn("v_key", F.xxhash64("label", "v"))
-    distinct = cut(good.groupBy("label", "v").agg(F.min("vec_id").alias("rep"), F.count("*").alias("weight")))
+    distinct = numbered(good.groupBy("label", "v").agg(F.min("vec_id").alias("id"), F.count("*").alias("weight")))
     found = None
     for dimension in sorted(r[0] for r in distinct.select(F.size("v")).distinct().collect()):
         part = distinct.where(F.size("v") == dimension)
@@ -117,10 +119,7 @@ def near_vectors(vectors: DataFrame, threshold: float = 0.93, sample: int = 20_0
         found = touches if found is None else found.unionByName(touches)
     if found is None:
         found = spark.createDataFrame([], TOUCHED)
-    groups = linked(found).withColumnRenamed("node", "rep")
-    verdict = distinct.join(groups, "rep", "left").select(
-        "label", "v", "weight", (F.col("weight") - 1 + F.coalesce("links", F.lit(0))).alias("n_links"), F.coalesce("component", "rep").alias("component_id")
-    )
+    verdict = settled(distinct, found).select("label", "v", "weight", (F.col("weight") - 1 + F.col("links")).alias("n_links"), F.col("least").alias("component_id"))
     # rows find their distinct vector by hash and then by the vector itself; hot vectors are broadcast
     verdict = verdict.withColumn("v_key", F.xxhash64("label", "v")).withColumnRenamed("label", "g_label").withColumnRenamed("v", "g_v")
     met = join_groups(good, verdict, "v_key", "weight", vectors.count())
@@ -131,7 +130,7 @@ def near_vectors(vectors: DataFrame, threshold: float = 0.93, sample: int = 20_0
 
 def _touches(part: DataFrame, dimension: int, threshold: float, sample: int, recall: float, seed: int) -> DataFrame:
     spark = part.sparkSession
-    some = part.select("v", F.xxhash64(F.lit(seed), "rep").alias("h")).orderBy("h").limit(sample).select("v").toPandas()["v"]
+    some = part.select("v", F.xxhash64(F.lit(seed), "v").alias("h")).orderBy("h").limit(sample).select("v").toPandas()["v"]
     some = np.array(some.tolist(), np.float64).reshape(-1, dimension)
     some /= np.linalg.norm(some / np.abs(some).max(1, keepdims=True), axis=1, keepdims=True) * np.abs(some).max(1, keepdims=True)
     counts = part.groupBy("label").agg(F.count("*").alias("n")).agg(F.max("n"), F.sum("n")).first()
@@ -152,10 +151,10 @@ def _touches(part: DataFrame, dimension: int, threshold: float, sample: int, rec
             x = unit(v)
             codes = [((x - m) @ a[:, k * width : (k + 1) * width] >= 0) @ place for m, a in sent.value for k in range(each)]
             codes = np.stack(codes[:bands], 1).astype("<u4")
-            yield pd.DataFrame({"rep": pdf["rep"], "weight": pdf["weight"], "label_key": pdf["label_key"], "vector": [r.tobytes() for r in v], "codes": [r.tobytes() for r in codes]})
+            yield pd.DataFrame({"node": pdf["node"], "weight": pdf["weight"], "label_key": pdf["label_key"], "vector": [r.tobytes() for r in v], "codes": [r.tobytes() for r in codes]})
 
-    keyed = part.select("rep", "weight", "v", F.xxhash64("label").alias("label_key"))
-    coded = cut(keyed.mapInPandas(code, "rep long, weight long, label_key long, vector binary, codes binary"))
+    keyed = part.select("node", "weight", "v", F.xxhash64("label").alias("label_key"))
+    coded = cut(keyed.mapInPandas(lean(code), "node long, weight long, label_key long, vector binary, codes binary"))
     tables = coded.withColumn("band", F.explode(F.sequence(F.lit(0), F.lit(bands - 1))))
     tables = tables.withColumn("key", F.xxhash64("label_key", "band", F.expr("substring(codes, band * 4 + 1, 4)")))
 
@@ -173,6 +172,6 @@ def _touches(part: DataFrame, dimension: int, threshold: float, sample: int, rec
                 a.append(i[first])
                 b.append(j[first])
             if a:
-                yield touched(pdf["rep"].to_numpy(), pdf["weight"].to_numpy(), np.concatenate(a), np.concatenate(b))
+                yield touched(pdf["node"].to_numpy(), pdf["weight"].to_numpy(), np.concatenate(a), np.concatenate(b))
 
-    return cells(tables, "key", "rep", BLOCK, (counts[1] or 0) * bands).mapInPandas(compare, TOUCHED)
+    return cells(tables, "key", "node", BLOCK, (counts[1] or 0) * bands).mapInPandas(lean(compare), TOUCHED)

@@ -1,14 +1,16 @@
 """N-gram Jaccard join by a MinHash LSH forest, followed by exact verification.
 
 Texts with the same set of shingles are one text with a weight. Every distinct set has a MinHash signature, cut into
-the trees of a forest; a tree holds signatures by prefix, and texts that share a prefix of the current depth in some
-tree are candidates. The prefix is the longest by which a pair right at the threshold meets with the target's chance, so
-what is found of a pair does not depend on the other texts.
+the trees of a forest; texts that share a prefix of a tree's hashes are candidates. The prefix is shortened from the
+longest on until a pair right at the threshold meets in some tree with the target's chance, so what is found of a pair
+does not depend on the other texts. Each tree's prefixes are dealt and sorted by Spark's shuffle, where the runs of
+equal prefixes are the nodes of its trie at that depth.
 
 Candidates within a prefix are filtered by a 64-byte sketch of the signature at a similarity five standard deviations
-below the threshold, and only spanning edges of what passes leave a task. The groups they span are then verified: each
-group's texts come together once, in blocks of bounded size, and every pair of a group is compared by its exact sets.
-A link's two ends always lie in one group, so nothing but the links counted there is needed.
+below the threshold, and only spanning edges of what passes leave a task. The groups they span are then verified on the
+sorted hashes of their shingles, in blocks of bounded size. A group of up to a block is compared whole. A larger one is
+compared whole or by prefix, whichever has fewer pairs: a dense group is cheaper whole, a long chain of texts of which
+each is near a few others is cheaper by the prefixes they share, where a pair counts in the first tree it meets in.
 """
 
 from __future__ import annotations
@@ -19,16 +21,18 @@ import numpy as np
 import pandas as pd
 import pyarrow as pa
 import pyarrow.compute as pc
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .blocks import TOUCHED, cells, components, linked, pairs, touched, whole_cells
-from .common import bound_batches, cut, join_groups
+from .blocks import CELL_BYTES, TOUCHED, cells, components, few, numbered, pairs, settled, touched, whole_cells
+from .common import bound_batches, cut, join_groups, lean, packed, slices
 from .words import split_words
 
 TREES, DEEPEST = 18, 7
 HASHES = 128  # of which TREES * DEEPEST are in the forest
 BLOCK = 256
+#: Texts whose shingles are held at once.
+TEXTS = 250
 _rng = np.random.default_rng(20240607)
 FACTORS = _rng.integers(0, 2**63, HASHES, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
 SHIFTS = _rng.integers(0, 2**63, HASHES, dtype=np.uint64)
@@ -85,26 +89,26 @@ def _sketch(signature: np.ndarray) -> np.ndarray:
 
 
 def signed(docs: DataFrame, words: int) -> DataFrame:
-    """(doc_id, set_hash, signature, sketch); null hashes for texts without words."""
+    """(doc_id, text_key, set_hash, signature, sketch); text_key tells rows of one id apart, set_hash is null for texts
+    without words."""
 
     def run(batches):
-        for pdf in batches:
-            hashed, counts = shingle_sets([t or "" for t in pdf["text"]], words)
+        for part in (p for pdf in batches for p in slices(pdf, TEXTS)):
+            hashed, counts = shingle_sets([t or "" for t in part["text"]], words)
             mins = signatures(hashed, counts)
             sketch, ends = _sketch(mins), np.cumsum(counts)
-            n, row, out = 0, [], []
-            for doc, (size, end) in enumerate(zip(counts.tolist(), ends.tolist())):
+            n, out = 0, []
+            for size, end in zip(counts.tolist(), ends.tolist()):
                 if size:
                     key = hashlib.blake2b(hashed[end - size : end].tobytes(), digest_size=16).digest()
                     out.append((key, mins[n, : TREES * DEEPEST].tobytes(), sketch[n].tobytes()))
                     n += 1
                 else:
                     out.append((None, None, None))
-            frame = pd.DataFrame(out, columns=["set_hash", "signature", "sketch"])
-            frame.insert(0, "doc_id", pdf["doc_id"].to_numpy())
-            yield frame
+            yield part[["doc_id", "text_key"]].assign(**dict(zip(["set_hash", "signature", "sketch"], map(list, zip(*out)))))
 
-    return docs.select("doc_id", "text").mapInPandas(run, "doc_id long, set_hash binary, signature binary, sketch binary")
+    keyed = docs.select("doc_id", F.xxhash64("text").alias("text_key"), "text")
+    return keyed.mapInPandas(lean(run), "doc_id long, text_key long, set_hash binary, signature binary, sketch binary")
 
 
 def meeting_chance(similarity, depth: int):
@@ -117,12 +121,16 @@ def prefix_depth(limit: float, target: float, shallowest: int) -> int:
     return next((d for d in range(DEEPEST, shallowest, -1) if meeting_chance(limit, d) >= target), shallowest)
 
 
+def _prefixes(sets: DataFrame, depth: int) -> DataFrame:
+    """sets (signature, ...) once for each tree, with tree and prefix."""
+    trees = sets.withColumn("tree", F.explode(F.sequence(F.lit(0), F.lit(TREES - 1))))
+    return trees.withColumn("prefix", F.expr(f"substring(signature, tree * {4 * DEEPEST} + 1, {4 * depth})"))
+
+
 def candidates(sets: DataFrame, depth: int, threshold: float, rows: int) -> DataFrame:
     """Spanning edges (node, root) of sets that share a prefix of `depth` and pass the sketch."""
-    tree = F.explode(F.sequence(F.lit(0), F.lit(TREES - 1)))
-    forest = sets.select("rep", "sketch", "signature", tree.alias("tree"))
-    prefix = F.expr(f"substring(signature, tree * {4 * DEEPEST} + 1, {4 * depth})")
-    forest = forest.select("rep", "sketch", F.xxhash64("tree", prefix).alias("key"))
+    forest = _prefixes(sets.select("node", "sketch", "signature"), depth)
+    forest = forest.select("node", "sketch", F.xxhash64("tree", "prefix").alias("key"))
     match = threshold + (1 - threshold) / 16
     least = match - 5 * np.sqrt(match * (1 - match) / HASHES)
 
@@ -137,37 +145,74 @@ def candidates(sets: DataFrame, depth: int, threshold: float, rows: int) -> Data
                 a.append(i[near])
                 b.append(j[near])
             if a:
-                yield touched(pdf["rep"].to_numpy(), np.ones(len(pdf)), np.concatenate(a), np.concatenate(b))[["node", "root"]]
+                yield touched(pdf["node"].to_numpy(), np.ones(len(pdf)), np.concatenate(a), np.concatenate(b))[["node", "root"]]
 
-    dealt = cells(forest, "key", "rep", BLOCK, rows * TREES)
-    return dealt.mapInPandas(run, "node long, root long")
+    dealt = cells(forest, "key", "node", BLOCK, rows * TREES)
+    return dealt.mapInPandas(lean(run), "node long, root long")
 
 
-def verified(members: DataFrame, words: int, threshold: tuple[int, int], rows: int) -> DataFrame:
-    """Touched rows of members (rep, weight, component, text): every pair of a component, by its exact sets."""
-    over, under = threshold
+def hashed_members(members: DataFrame, words: int) -> DataFrame:
+    """members (node, weight, component, signature, text) with the text's place taken by its packed shingle hashes."""
 
     def run(batches):
-        for pdf, cell in whole_cells(batches, "component"):
-            hashed, counts = shingle_sets(pdf["text"].tolist(), words)
+        for pdf in batches:
+            hashed, counts = shingle_sets(pdf.pop("text").tolist(), words)
             ends = np.cumsum(counts)
-            own, same = pdf["own"].to_numpy(), (pdf["lo"] == pdf["hi"]).to_numpy()
+            yield pdf.assign(hashes=[hashed[e - n : e].tobytes() for n, e in zip(counts.tolist(), ends.tolist())])
+
+    return members.mapInPandas(lean(run), "node long, weight long, component long, signature binary, hashes binary")
+
+
+def comparisons(members: DataFrame, depth: int, rows: int) -> DataFrame:
+    """Hashed members dealt to what they are compared in: columns key and tree, -1 for a group that is compared whole."""
+    bulk = F.sum(F.length("hashes"))
+    groups = cut(members.groupBy("component").agg(F.count("*").alias("held"), bulk.cast("long").alias("bulk")))
+    n = groups.count()
+    groups = few(groups, n)
+    large = groups.where((F.col("held") > BLOCK) | (F.col("bulk") > CELL_BYTES))
+    met = cut(join_groups(members.select("node", "component", "signature"), large, "component", "held", rows).where("held is not null"))
+    size = met.count()
+    by_prefix = _prefixes(few(met, size), depth).groupBy("component", "tree", "prefix").agg(F.count("*").alias("n")).transform(few, size)
+    by_prefix = by_prefix.groupBy("component").agg(F.sum(F.col("n") * (F.col("n") - 1)).alias("pairs")).transform(few, size)
+    cheaper = by_prefix.join(large, "component").where(F.col("pairs") < F.col("held") * (F.col("held") - 1))
+    split = cut(groups.join(cheaper.select("component", F.lit(True).alias("apart")), "component", "left").drop("bulk"))
+    dealt = join_groups(members, few(split, n), "component", "held", rows).drop("held")
+    whole = dealt.where("apart is null").withColumns({"signature": F.lit(None).cast("binary"), "tree": F.lit(-1), "key": F.col("component")})
+    apart = _prefixes(dealt.where("apart"), depth).withColumn("key", F.xxhash64("component", "tree", "prefix")).drop("prefix")
+    return whole.unionByName(apart).drop("apart")
+
+
+def verified(members: DataFrame, depth: int, threshold: tuple[int, int], rows: int) -> DataFrame:
+    """Touched rows of hashed members: the pairs of comparisons(), by their exact sets."""
+    over, under = threshold
+
+    def run(batches):
+        for pdf, cell in whole_cells(batches, "key"):
+            own, same, tree = pdf["own"].to_numpy(), (pdf["lo"] == pdf["hi"]).to_numpy(), pdf["tree"].to_numpy()
+            group, hashes, signature = pdf["component"].to_numpy(), pdf["hashes"].tolist(), pdf["signature"].tolist()
             a, b = [], []
             bounds = np.append(np.flatnonzero(np.append(True, cell[1:] != cell[:-1])), len(cell))
             for first, last in zip(bounds[:-1].tolist(), bounds[1:].tolist()):
-                size = counts[first:last]
-                part = hashed[ends[first] - counts[first] : ends[last - 1]]
+                part = np.frombuffer(b"".join(hashes[first:last]), np.uint64)
+                size = np.fromiter(map(len, hashes[first:last]), np.int32, last - first) // 8
                 common = _common(part, size)
                 union = size[:, None] + size[None, :] - common
                 link = np.triu(common * under >= over * union, 1) & (common > 0)
                 if not same[first]:
                     link &= own[first:last, None] != own[None, first:last]
                 i, j = np.nonzero(link)
-                a.append(i + first)
-                b.append(j + first)
-            yield touched(pdf["rep"].to_numpy(), pdf["weight"].to_numpy(), np.concatenate(a), np.concatenate(b))
+                i, j = i + first, j + first
+                good = (group[i] == group[j]) & (tree[i] == tree[j])  # keys are hashes
+                if tree[first] >= 0 and len(i):
+                    prefix = np.frombuffer(b"".join(signature[first:last]), "<u4").reshape(last - first, TREES, DEEPEST)[:, :, :depth]
+                    meets = (prefix[i - first] == prefix[j - first]).all(2)
+                    good &= meets.argmax(1) == tree[i]
+                a.append(i[good])
+                b.append(j[good])
+            yield touched(pdf["node"].to_numpy(), pdf["weight"].to_numpy(), np.concatenate(a), np.concatenate(b))
 
-    return cells(members, "component", "rep", BLOCK, rows).mapInPandas(run, TOUCHED)
+    dealt = comparisons(members, depth, rows).withColumn("bytes", F.length("hashes"))
+    return cells(dealt, "key", "node", BLOCK, rows, "bytes").mapInPandas(lean(run), TOUCHED)
 
 
 def _common(part: np.ndarray, size: np.ndarray, columns: int = 4096) -> np.ndarray:
@@ -179,49 +224,68 @@ def _common(part: np.ndarray, size: np.ndarray, columns: int = 4096) -> np.ndarr
     place = np.full(len(values), -1)
     place[shared] = np.arange(len(shared))
     place = place[at]
-    out = np.zeros((n, n), np.float32)
+    out = np.zeros((n, n), np.int32)
     order = np.argsort(place, kind="stable")
     place, owner = place[order], owner[order]
     for first in range(0, len(shared), columns):
         lo, hi = np.searchsorted(place, [first, first + columns])
         some = np.zeros((n, min(columns, len(shared) - first)), np.float32)
         some[owner[lo:hi], place[lo:hi] - first] = 1
-        out += some @ some.T
-    return np.rint(out).astype(np.int64)
+        out += np.rint(some @ some.T).astype(np.int32)  # at most `columns` each, so whole numbers
+    return out
 
 
-def near_texts(docs: DataFrame, words: int = 5, threshold: tuple[int, int] = (4, 5), target: float = 0.995, shallowest: int = 4) -> DataFrame:
-    """(doc_id, class_id, n_links, kept) for every row of docs (doc_id, text).
-
-    Two rows link when the Jaccard similarity of their sets of word shingles is at least threshold[0] / threshold[1].
-    class_id is the smallest doc_id reachable by links, n_links the number of other rows linked directly, copies
-    included; kept marks the row with doc_id = class_id. Texts without a word (null, empty, white space) link with
-    nothing. Rows that repeat an id count as rows of their own; rows with null ids are compared by no one and kept. An
-    empty table gives an empty result. Other columns are left out.
-    """
+def _classes(docs: DataFrame, words: int, threshold: tuple[int, int], target: float, shallowest: int) -> DataFrame:
+    """(doc_id, text_key, set_hash, class_id, n_links, first): a row of near_texts with the key of its text and set, null
+    for rows that are compared by no one; first is the set that stays of its class."""
     spark = docs.sparkSession
-    bound_batches(spark, 1000)
+    bound_batches(spark)
     rows = docs.select("doc_id", "text").where("doc_id is not null")
     limit = threshold[0] / threshold[1]
+    depth = prefix_depth(limit, target, shallowest)
     sign = cut(signed(rows, words))
     total = sign.count()
-    sets = cut(sign.where("set_hash is not null").groupBy("set_hash").agg(F.min("doc_id").alias("rep"), F.count("*").alias("weight"), F.first("signature").alias("signature"), F.first("sketch").alias("sketch")))
+    # a set's node is a number of its own, as rows may repeat an id; its text is that of its smallest (id, text)
+    one = F.min(F.struct("doc_id", "text_key")).alias("one")
+    sets = numbered(sign.where("set_hash is not null").groupBy("set_hash").agg(one, F.count("*").alias("weight"), F.first("signature").alias("signature"), F.first("sketch").alias("sketch")))
     n_sets = sets.count()
-    edges = cut(candidates(sets, prefix_depth(limit, target, shallowest), limit, n_sets))
-    groups = components(edges.select("node", "root"))
-    groups = groups.join(sets.select(F.col("rep").alias("node"), "weight"), "node").withColumnRenamed("node", "doc_id")
-    members = cut(rows.join(groups, "doc_id").dropDuplicates(["doc_id"]).select(F.col("doc_id").alias("rep"), "weight", "component", "text"))
-    found = linked(verified(members, words, threshold, total)).withColumnRenamed("node", "rep")
-    verdict = sets.select("set_hash", "rep", "weight").join(found, "rep", "left").select(
-        "set_hash", "weight", (F.col("weight") - 1 + F.coalesce("links", F.lit(0))).alias("n_links"), F.coalesce("component", "rep").alias("class_id")
-    )
-    met = join_groups(sign.where("set_hash is not null").select("doc_id", "set_hash"), verdict, "set_hash", "weight", total).select("doc_id", "class_id", "n_links")
-    alone = sign.where("set_hash is null").select("doc_id").unionByName(docs.where("doc_id is null").select(F.col("doc_id").cast("long")))
-    alone = alone.select("doc_id", F.col("doc_id").alias("class_id"), F.lit(0).cast("long").alias("n_links"))
-    return met.unionByName(alone).withColumn("kept", F.col("doc_id").eqNullSafe(F.col("class_id")))
-
-
-def keep_one(docs: DataFrame, **options) -> DataFrame:
-    """The rows of docs that near_texts keeps, with docs' own columns."""
-    gone = near_texts(docs, **options).where("not kept").select(F.col("doc_id").alias("gone_id")).distinct()
-    return docs.join(cut(gone), F.col("doc_id") == F.col("gone_id"), "left_anti")
+    edges = cut(candidates(sets, depth, limit, n_sets))
+    groups = sets.select("node", "weight", "signature", "one.*").join(components(edges), "node")
+    texts = rows.withColumn("text_key", F.xxhash64("text")).join(groups, ["doc_id", "text_key"]).dropDuplicates(["node"])
+    members = cut(hashed_members(texts.select("node", "weight", "component", "signature", "text"), words))
+    found = verified(members, depth, threshold, n_sets)
+    # the smallest id of a class, with the set that has it, so one set stays where several share that id
+    done = settled(sets.select("node", "set_hash", "weight", F.struct("one.doc_id", "set_hash").alias("id")), found)
+    verdict = done.select("set_hash", "weight", (F.col("weight") - 1 + F.col("links")).alias("n_links"), F.col("least.doc_id").alias("class_id"), F.col("least.set_hash").alias("first"))
+    met = join_groups(sign.where("set_hash is not null").select("doc_id", "text_key", "set_hash"), verdict, "set_hash", "weight", total).drop("weight")
+    alone = sign.where("set_hash is null").select("doc_id", "text_key").unionByName(docs.where("doc_id is null").select(F.col("doc_id").cast("long"), F.xxhash64("text").alias("text_key")))
+    none = F.lit(None).cast("binary")
+    return met.unionByName(alone.withColumns({"set_hash": none, "class_id": F.col("doc_id"), "n_links": F.lit(0).cast("long"), "first": none}))
+
+
+def near_texts(docs: DataFrame, words: int = 5, threshold: tuple[int, int] = (4, 5), target: float = 0.995, shallowest: int = 4) -> DataFrame:
+    """(doc_id, class_id, n_links, kept) for every row of docs (doc_id, text).
+
+    Two rows link when the Jaccard similarity of their sets of word shingles is at least threshold[0] / threshold[1].
+    class_id is the smallest doc_id reachable by links, n_links the number of other rows linked directly, copies
+    included; kept marks rows with doc_id = class_id. Texts without a word (null, empty, white space) link with
+    nothing. Rows that repeat an id are told apart by their texts, so each has its own class and links; rows with null
+    ids are compared by no one and kept. An empty table gives an empty result. Other columns are left out.
+    """
+    done = _classes(docs, words, threshold, target, shallowest)
+    return done.select("doc_id", "class_id", "n_links", F.col("doc_id").eqNullSafe(F.col("class_id")).alias("kept"))
+
+
+def keep_one(docs: DataFrame, words: int = 5, threshold: tuple[int, int] = (4, 5), target: float = 0.995, shallowest: int = 4) -> DataFrame:
+    """The rows of docs that stay, with docs' own columns: of each class of near_texts the row with the smallest doc_id,
+    and of several texts with this id one of them. Rows that repeat an id and its text share the verdict. Rows with
+    null ids and texts without a word all stay."""
+    done = _classes(docs, words, threshold, target, shallowest).where("set_hash is not null")
+    stays = (F.col("doc_id") == F.col("class_id")) & (F.col("set_hash") == F.col("first"))
+    per = done.groupBy("doc_id", "text_key", "set_hash").agg(F.first(stays).alias("stays"))
+    # of texts with one set and one id, too, only one stays
+    order = F.row_number().over(Window.partitionBy("doc_id", "set_hash").orderBy("text_key"))
+    gone = cut(per.withColumn("stays", F.col("stays") & (order == 1)).where("not stays").select(F.col("doc_id").alias("gone_id"), F.col("text_key").alias("gone_key")))
+    rows = packed(docs.where("doc_id is not null"), doc_id=F.col("doc_id"), text_key=F.xxhash64("text"))
+    left = rows.join(gone, (F.col("doc_id") == F.col("gone_id")) & (F.col("text_key") == F.col("gone_key")), "left_anti")
+    return left.select("row.*").unionByName(docs.where("doc_id is null"))

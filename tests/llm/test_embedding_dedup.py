@@ -99,6 +99,22 @@ def test_hot_vectors_and_blocks(spark, monkeypatch, block):
     assert all(r.kept == (r.vec_id == r.component_id) for r in got.values())
 
 
+def test_repeated_ids_with_other_vectors(spark):
+    rows = [(1, [1.0, 0.0], 1), (1, [0.0, 1.0], 1), (2, [1.0, 0.01], 1), (3, [1.0, 0.0], 1), (3, [0.0, 1.0], 2)]
+    got = sorted((r.vec_id, r.n_links, r.component_id) for r in embedding_dedup.near_vectors(spark.createDataFrame(rows, "vec_id long, embedding array<double>, label int")).collect())
+    assert got == [(1, 0, 1), (1, 2, 1), (2, 2, 1), (3, 0, 3), (3, 2, 1)]
+
+
+@pytest.mark.parametrize("dimension", [6, 8])
+def test_few_dimensions_and_many_vectors(spark, dimension):
+    """Labels so large that the bands' width would pass the dimension."""
+    rng = np.random.default_rng(dimension)
+    rows = [(i, v.tolist(), 1) for i, v in enumerate(rng.normal(size=(9000, dimension)))]
+    links, _ = brute(rows)
+    got = embedding_dedup.near_vectors(spark.createDataFrame(rows, "vec_id long, embedding array<double>, label int")).collect()
+    assert sum(links.values()) >= sum(r.n_links for r in got) >= 0.97 * sum(links.values())
+
+
 def test_odd_rows(spark):
     nan, inf = float("nan"), float("inf")
     rows = [

@@ -89,6 +89,35 @@ def test_odd_rows(spark):
     assert near_text.near_texts(docs.limit(0)).count() == 0
 
 
+def test_repeated_ids_with_other_texts(spark):
+    """Rows of one id are told apart by their texts: none loses a link or goes for another's."""
+    base = [f"w{i}" for i in range(60)]
+    a, b = " ".join(base), " ".join(f"v{i}" for i in range(60))
+    near_a, near_b = " ".join(base[:59] + ["x"]), b.replace("v59", "y")
+    docs = spark.createDataFrame([(1, a), (1, b), (2, near_b), (3, near_a), (5, b), (5, "nothing like the others"), (7, a.upper()), (7, a)], "doc_id long, text string")
+    got = sorted((r.doc_id, r.class_id, r.n_links) for r in near_text.near_texts(docs).collect())
+    assert got == [(1, 1, 2), (1, 1, 3), (2, 1, 2), (3, 1, 3), (5, 1, 2), (5, 5, 0), (7, 1, 3), (7, 1, 3)]
+    assert sorted((r.doc_id, r.text) for r in near_text.keep_one(docs).collect()) == sorted([(1, a), (1, b), (5, "nothing like the others")])
+
+
+def test_long_chain_is_compared_by_prefix(spark, monkeypatch):
+    """Texts of which each is near its neighbours only: the same links as by all pairs, with far fewer comparisons."""
+    monkeypatch.setattr(near_text, "BLOCK", 16)
+    rows = [(i, " ".join(f"w{j}" for j in range(4 * i, 4 * i + 100))) for i in range(300)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    got = {r.doc_id: (r.class_id, r.n_links) for r in near_text.near_texts(docs).collect()}
+    want = brute(rows)
+    assert sum(n for _, n in got.values()) >= 0.99 * sum(n for _, n in want.values())
+    assert all(got[d][1] <= want[d][1] for d in want)
+    members = docs.select(docs.doc_id.alias("node"), "doc_id", "text").withColumn("component", docs.doc_id * 0)
+    sign = near_text.signed(docs, 5).select("doc_id", "signature")
+    hashed = near_text.hashed_members(members.join(sign, "doc_id").selectExpr("node", "1L as weight", "component", "signature", "text"), 5)
+    dealt = near_text.comparisons(hashed, 6, 300)
+    assert dealt.where("tree < 0").count() == 0
+    per = [n for (n,) in dealt.groupBy("key").count().select("count").collect()]
+    assert sum(n * (n - 1) for n in per) < 300 * 299
+
+
 def test_signatures_estimate_similarity():
     a, b = [f"u{i}" for i in range(400)], [f"u{i}" for i in range(400)]
     b[200:240] = [f"v{i}" for i in range(40)]
