@@ -1,10 +1,11 @@
 """Quality classifier: an interpolated modified Kneser-Ney n-gram model of trusted text.
 
-The model is over the characters of words, four at a time: every word is read behind three start marks up to an end
-mark. N-grams are packed exactly into 64 bits (16 for each character), so counting, continuation counts, context
-totals and the interpolation of each order with the next are Spark group-bys and joins sharded by packed n-gram, over
-all trusted text. (Orders: Chen and Goodman, 1999: three discounts an order, lower orders from the number of distinct
-characters before them; n-grams behind a start mark, which nothing can precede, keep their plain counts.)
+The model is over the characters of running text, four at a time and across words: words are separated by one blank
+each, digits count as one digit, and the first word stands behind start marks. N-grams are packed exactly into 64 bits
+(16 for each UTF-16 unit), so counting, continuation counts, context totals and the interpolation of each order with
+the next are Spark group-bys and joins sharded by packed n-gram, over all trusted text. (Orders: Chen and Goodman, 1999:
+three discounts an order, lower orders from the number of distinct characters before them; n-grams behind a start mark,
+which nothing can precede, keep their plain counts.)
 
 Documents meet the probabilities by sharded joins as well. N-grams that make up 1/table_rows or more of the trusted
 text, of which there can be no more than table_rows, would be hot keys of such a join; they alone are sent to the tasks.
@@ -17,7 +18,6 @@ Thresholds are quantiles of the perplexity of trusted documents that the model w
 
 from __future__ import annotations
 
-import re
 from dataclasses import dataclass
 
 import numpy as np
@@ -26,31 +26,61 @@ from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import HOT_GROUPS, bound_batches, cut, join_groups, packed, scratch
+from .common import bound_batches, cut, join_groups, lean, packed, scratch, slices
 from .words import gather, per_text, split_words
 
 ORDER = 4
-START, END = "\x02", "\x03"
+#: Marks the start of a text; no word holds a line feed.
+START, BLANK = 0x0A, 0x20
 FLUSH = 1 << 19
-#: Texts a batch: the arrays of a batch stay in a Python worker beside what earlier stages left there.
-TEXTS = 250
-#: Numbers, addresses and keys say nothing about the prose around them; finding them is another stage's work.
-NOT_PROSE = re.compile(r"[0-9@]").search
+#: Texts whose arrays are held at once: they stay in a Python worker beside what earlier stages left there.
+TEXTS = 100
 #: Trusted ids up to this number (16 MB) are broadcast; beyond it they meet the documents in a shuffle.
 BROADCAST_IDS = 1 << 20
 
 
-def word_grams(words: list[str]) -> tuple[np.ndarray, np.ndarray]:
-    """(packed n-gram that ends at a position, index of its word) for every position of every word and its end."""
-    text = "".join([f"{START * 3}{w}{END}" for w in words])
-    chars = np.frombuffer(text.encode("utf-32-le", "surrogatepass"), "<u4")
-    owner = np.repeat(np.arange(len(words)), np.fromiter(map(len, words), np.int64, len(words)) + ORDER)
-    c = np.minimum(chars, 0xFFFF).astype(np.uint64)
-    gram = c.copy()
-    for back in range(1, ORDER):
-        gram[back:] |= c[:-back] << np.uint64(16 * back)
-    keep = chars != ord(START)
-    return gram[keep], owner[keep]
+@dataclass
+class Grams:
+    """The packed n-grams of a batch: those inside of each distinct word, and those at each distinct seam between the
+    last two units of a word and the first two of the next, the blank behind a word counting as its last unit."""
+
+    counts: np.ndarray  # words of each text
+    codes: np.ndarray  # distinct word of each word
+    inside: np.ndarray
+    word: np.ndarray  # distinct word of each inside n-gram
+    words: int
+    seams: np.ndarray  # distinct seam of each word
+    across: np.ndarray  # two n-grams a seam
+
+    @staticmethod
+    def of(texts: list) -> Grams:
+        codes, distinct, counts = split_words(texts)
+        if not distinct:
+            none = np.zeros(0, np.uint64)
+            return Grams(counts, codes, none, none.astype(np.int64), 0, codes, none.reshape(0, 2))
+        units = np.frombuffer(f" {' '.join(distinct)} ".encode("utf-16-le", "surrogatepass"), "<u2").astype(np.uint64)
+        units[(units >= 0x30) & (units <= 0x39)] = 0x30
+        blanks = np.flatnonzero(units == BLANK)
+        gram = _packed(units[:-3], units[1:-2], units[2:-1], units[3:])
+        word = np.cumsum(units == BLANK)[2:-1] - 1  # of the unit that ends each n-gram; the blank behind a word is its own
+        whole = np.arange(3, len(units)) - blanks[word] >= 3
+        first, last = blanks[:-1], blanks[1:]
+        after = np.append(units, np.uint64(BLANK))  # an empty word, which no text holds, may stand last
+        head, tail = _packed(after[first + 1], after[first + 2]), _packed(units[last - 2], units[last - 1])
+        before = np.empty(len(codes), np.uint64)
+        before[1:] = tail[codes[:-1]]
+        before[(np.cumsum(counts) - counts)[counts > 0]] = START << 16 | START
+        seam, seams = np.unique(before << np.uint64(32) | head[codes], return_inverse=True)
+        t1, t2, u1, u2 = (seam >> np.uint64(k) & np.uint64(0xFFFF) for k in (48, 32, 16, 0))
+        blank = np.full(len(seam), BLANK, np.uint64)
+        return Grams(counts, codes, gram[whole], word[whole], len(distinct), seams, np.stack([_packed(t1, t2, blank, u1), _packed(t2, blank, u1, u2)], 1))
+
+
+def _packed(*units: np.ndarray) -> np.ndarray:
+    out = units[0]
+    for u in units[1:]:
+        out = out << np.uint64(16) | u
+    return out
 
 
 def count_grams(texts: DataFrame) -> DataFrame:
@@ -65,28 +95,23 @@ def count_grams(texts: DataFrame) -> DataFrame:
             return gram, np.bincount(at, np.concatenate([n for _, n in held])).astype(np.int64)
 
         for pdf in batches:
-            codes, distinct, _ = split_words(pdf["text"].tolist())
-            if not distinct:
-                continue
-            prose = np.flatnonzero([not NOT_PROSE(w) for w in distinct])
-            if not len(prose):
-                continue
-            often = np.bincount(codes, minlength=len(distinct))[prose]
-            gram, word = word_grams([distinct[i] for i in prose])
-            some, at = np.unique(gram, return_inverse=True)
-            held.append((some, np.bincount(at, often[word])))
-            size += len(some)
-            if size > FLUSH:
-                held = [merged()]
-                size = len(held[0][0])
-                if size > FLUSH // 2:
-                    yield pd.DataFrame({"gram": held[0][0].view(np.int64), "n": held[0][1]})
-                    held, size = [], 0
+            for part in slices(pdf, TEXTS):
+                g = Grams.of(part["text"].tolist())
+                often, across = np.bincount(g.codes, minlength=g.words), np.bincount(g.seams, minlength=len(g.across))
+                some, at = np.unique(np.concatenate([g.inside, g.across.ravel()]), return_inverse=True)
+                held.append((some, np.bincount(at, np.concatenate([often[g.word], across.repeat(2)]))))
+                size += len(some)
+                if size > FLUSH:
+                    held = [merged()]
+                    size = len(held[0][0])
+                    if size > FLUSH // 2:
+                        yield pd.DataFrame({"gram": held[0][0].view(np.int64), "n": held[0][1]})
+                        held, size = [], 0
         if held:
             gram, n = merged()
             yield pd.DataFrame({"gram": gram.view(np.int64), "n": n})
 
-    return texts.mapInPandas(run, "gram long, n long").groupBy("gram").agg(F.sum("n").alias("n"))
+    return texts.mapInPandas(lean(run), "gram long, n long").groupBy("gram").agg(F.sum("n").alias("n"))
 
 
 def _context(gram: str = "gram") -> Column:
@@ -96,7 +121,7 @@ def _context(gram: str = "gram") -> Column:
 def _shorter(grams: DataFrame, order: int) -> DataFrame:
     """(gram, n) one order down: distinct continuations, or plain counts behind a start mark."""
     tail = F.col("gram").bitwiseAND((1 << 16 * (order - 1)) - 1)
-    starts = F.shiftrightunsigned(tail, 16 * (order - 2)).bitwiseAND(0xFFFF) == ord(START)
+    starts = F.shiftrightunsigned(tail, 16 * (order - 2)).bitwiseAND(0xFFFF) == START
     n = F.when(starts, F.col("n")).otherwise(F.lit(1)) if order > 2 else F.lit(1)
     return grams.select(tail.alias("gram"), n.cast("long").alias("n")).groupBy("gram").agg(F.sum("n").alias("n"))
 
@@ -163,7 +188,7 @@ class Model:
 def train(texts: DataFrame, table_rows: int = 1 << 18) -> Model:
     """The model of all rows of texts (text). Null and empty texts teach nothing; without any text the model gives
     every character the same probability."""
-    bound_batches(texts.sparkSession, TEXTS)
+    bound_batches(texts.sparkSession)
     grams = {ORDER: cut(count_grams(texts.where("length(text) > 0")))}
     for order in range(ORDER, 1, -1):
         grams[order - 1] = cut(_shorter(grams[order], order))
@@ -185,50 +210,53 @@ def train(texts: DataFrame, table_rows: int = 1 << 18) -> Model:
 
 
 def score_batch(texts: list, hot: Hot) -> tuple[np.ndarray, np.ndarray, list, list]:
-    """For each text: log probability of its hot n-grams, number of characters and word ends, and the other n-grams
-    with how often each occurs. Words that are not prose count for nothing."""
-    codes, distinct, counts = split_words([t or "" for t in texts])
-    value, size = np.zeros(len(distinct)), np.zeros(len(distinct))
+    """For each text: log probability of its hot n-grams, number of units and word ends, and the other n-grams with how
+    often each occurs."""
+    g = Grams.of(texts)
     none = [np.zeros(0, np.int64)] * len(texts)
-    prose = np.flatnonzero([not NOT_PROSE(w) for w in distinct]) if distinct else []
-    if not len(prose):
+    if not g.words:
         return np.zeros(len(texts)), np.zeros(len(texts), np.int64), none, none
-    gram, owner = word_grams([distinct[i] for i in prose])
-    owner = prose[owner]
-    some, at = np.unique(gram, return_inverse=True)
+    some, at = np.unique(np.concatenate([g.inside, g.across.ravel()]), return_inverse=True)
     logs, known = hot.look(some)
-    value = np.bincount(owner, logs[at], len(distinct))
-    size = np.bincount(owner, minlength=len(distinct))
-    other = np.flatnonzero(~known[at])
-    asked, of_word = at[other], np.bincount(owner[other], minlength=len(distinct))
-    text_of = np.repeat(np.arange(len(texts)), counts)
-    open_ = of_word[codes] > 0
-    words, often = np.unique(text_of[open_] * len(distinct) + codes[open_], return_counts=True)
-    flat, each = gather(asked, np.cumsum(of_word) - of_word, of_word, words % len(distinct))
-    keys, back = np.unique(np.repeat(words // len(distinct), each) * len(some) + flat, return_inverse=True)
-    times = np.bincount(back, np.repeat(often, each), len(keys)).astype(np.int64)
+    inside, across = at[: len(g.inside)], at[len(g.inside) :].reshape(-1, 2)
+    value = np.bincount(g.word, logs[inside], g.words)[g.codes] + logs[across].sum(1)[g.seams]
+    size = np.bincount(g.word, minlength=g.words)[g.codes] + 2
+    text_of = np.repeat(np.arange(len(texts)), g.counts)
+    keys, often = [], []
+    # of distinct words (and seams) with other n-grams: how often a text has them, times what they hold
+    for owner, grams, n, of in (g.word, inside, g.words, g.codes), (np.arange(len(across)).repeat(2), across.ravel(), len(across), g.seams):
+        other = np.flatnonzero(~known[grams])
+        asked, holds = grams[other], np.bincount(owner[other], minlength=n)
+        open_ = holds[of] > 0
+        item, times = np.unique(text_of[open_] * n + of[open_], return_counts=True)
+        flat, each = gather(asked, np.cumsum(holds) - holds, holds, item % n)
+        keys.append(np.repeat(item // n, each) * len(some) + flat)
+        often.append(np.repeat(times, each))
+    keys, back = np.unique(np.concatenate(keys), return_inverse=True)
+    times = np.bincount(back, np.concatenate(often), len(keys)).astype(np.int64)
     ends = np.searchsorted(keys // len(some), np.arange(1, len(texts)))
-    return per_text(value[codes], counts), per_text(size[codes], counts).astype(np.int64), np.split(some[keys % len(some)].view(np.int64), ends), np.split(times, ends)
+    return per_text(value, g.counts), per_text(size, g.counts).astype(np.int64), np.split(some[keys % len(some)].view(np.int64), ends), np.split(times, ends)
 
 
 def perplexities(docs: DataFrame, model: Model) -> DataFrame:
-    """docs (doc_id, text, ...) with the text's place taken by log_p and size (characters and ends of its words). No
+    """docs (doc_id, text, ...) with the text's place taken by log_p and size (UTF-16 units of its words and their ends). No
     column of docs may be named row_no, gram or times."""
     spark = docs.sparkSession
-    bound_batches(spark, TEXTS)
+    bound_batches(spark)
     sent = spark.sparkContext.broadcast(model.hot)
     others = [f for f in docs.schema.fields if f.name != "text"]
 
     def run(batches):
         hot, no = sent.value, TaskContext.get().partitionId() << 40
         for pdf in batches:
-            log_p, size, gram, times = score_batch(pdf.pop("text").tolist(), hot)
-            yield pdf.assign(row_no=np.arange(no, no + len(pdf)), log_p=log_p, size=size, gram=gram, times=times)
-            no += len(pdf)
+            for part in slices(pdf, TEXTS):
+                log_p, size, gram, times = score_batch(part["text"].tolist(), hot)
+                yield part.drop(columns="text").assign(row_no=np.arange(no, no + len(part)), log_p=log_p, size=size, gram=gram, times=times)
+                no += len(part)
 
     fields = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in others)
     path = scratch(spark, "perplexities")
-    docs.mapInPandas(run, f"{fields}, row_no long, log_p double, size long, gram array<long>, times array<long>").write.parquet(path)
+    docs.mapInPandas(lean(run), f"{fields}, row_no long, log_p double, size long, gram array<long>, times array<long>").write.parquet(path)
     scored = spark.read.parquet(path)
     pairs = scored.select("row_no", F.inline(F.arrays_zip("gram", "times")))
     wanted = cut(pairs.groupBy("gram").agg(F.count("*").alias("asked")))
@@ -261,8 +289,8 @@ def classify(docs: DataFrame, labels: DataFrame, quantile: float = 0.995, folds:
     (see upper_quantile). The measure held against it is the perplexity with `prior_chars` characters of the language's mean added, so short
     texts are not judged by a few characters; the perplexity returned is the plain one. Languages with fewer than
     `least` trusted documents to set a threshold by, and null, take the threshold over all languages; if there is none
-    either, every text with a word is kept. Texts without a word of prose (null, empty, white space, only numbers) have
-    no perplexity and are rejected. Repeated rows are judged each by its own text. text_key is the hash of the text, by which rows that repeat
+    either, every text with a word is kept. Texts without a word (null, empty, white space) have no
+    perplexity and are rejected. Repeated rows are judged each by its own text. text_key is the hash of the text, by which rows that repeat
     an id can be told apart.
     """
     ids = cut(trusted_ids(labels))
@@ -273,20 +301,22 @@ def classify(docs: DataFrame, labels: DataFrame, quantile: float = 0.995, folds:
     sets = F.crc32(F.col("doc_id").cast("string").cast("binary")) % folds == 0
     model = train(rows.where(F.col("trusted") & ~sets).select("text"), table_rows)
     scored = cut(perplexities(rows, model))
-    guides = scored.where(F.col("trusted") & sets & (F.col("size") > 0))
+    judge = F.col("trusted") & sets & (F.col("size") > 0)
+    guides = scored.where(judge)
     rate = (-F.sum("log_p") / F.sum("size")).alias("mean")
-    whole = guides.agg(rate, F.count("*").alias("n")).first()
-    means = guides.where("lang is not null").groupBy("lang").agg(rate, F.count("*").alias("n"))
-    means = means.where(F.col("n") >= max(least, (whole["n"] or 0) // HOT_GROUPS)).drop("n")
-    measured = scored.join(F.broadcast(means), "lang", "left")
+    whole = guides.agg(rate).first()
+    means = guides.where("lang is not null").groupBy("lang").agg(rate, F.count("*").alias("n")).where(F.col("n") >= least)
+    langs = cut(scored.groupBy("lang").agg(F.count("*").alias("held")).join(means.select("lang", "mean"), "lang"))
+    total = scored.count()
+    measured = join_groups(scored, langs, "lang", "held", total, nulls=True).drop("held")
     base = F.coalesce("mean", F.lit(whole["mean"]).cast("double"), F.lit(0.0))
-    measured = measured.withColumn("measure", (base * prior_chars - F.col("log_p")) / (F.col("size") + prior_chars))
-    judges = measured.where(F.col("trusted") & sets & (F.col("size") > 0))
+    measured = cut(measured.withColumn("measure", (base * prior_chars - F.col("log_p")) / (F.col("size") + prior_chars)))
+    judges = measured.where(judge)
     limits = judges.where("mean is not null").groupBy("lang").agg(upper_quantile("measure", quantile, errors).alias("own_limit"))
     other = judges.agg(upper_quantile("measure", quantile, errors)).first()[0]
     limit = F.coalesce("own_limit", F.lit(other).cast("double"))
     kept = (F.col("size") > 0) & F.coalesce(F.col("measure") <= limit, F.lit(True))
-    judged = measured.join(F.broadcast(limits), "lang", "left")
+    judged = join_groups(measured, cut(langs.drop("mean").join(limits, "lang")), "lang", "held", total, nulls=True)
     return judged.select("doc_id", "text_key", "lang", F.when(F.col("size") > 0, F.exp(-F.col("log_p") / F.col("size"))).alias("perplexity"), F.exp(limit).alias("threshold"), kept.alias("kept"))
 
 
