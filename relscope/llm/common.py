@@ -58,6 +58,14 @@ def packed(df: DataFrame, **keys) -> DataFrame:
     return df.select(F.struct(*[F.col(f"`{c}`") for c in df.columns]).alias("row"), *[v.alias(k) for k, v in keys.items()])
 
 
+def sieved(rows: DataFrame, marks: DataFrame, *keys: str, buckets: int = 1 << 20) -> DataFrame:
+    """rows with `hit`, true where marks may have a row of the same keys and null where it has none, by a broadcast of the
+    hash buckets of the marks, at most `buckets` longs. Rows without a hit need not be shuffled to meet the marks."""
+    bucket = F.pmod(F.xxhash64(*keys), F.lit(buckets)).alias("bucket")
+    sieve = marks.select(bucket).distinct().withColumn("hit", F.lit(True))
+    return rows.withColumn("bucket", bucket).join(F.broadcast(sieve), "bucket", "left").drop("bucket")
+
+
 #: A group that holds this fraction of all rows or more is hot; there can be no more hot groups than this number.
 HOT_GROUPS = 10_000
 
