@@ -25,7 +25,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from .blocks import CELL_BYTES, TOUCHED, cells, components, few, numbered, pairs, settled, touched, whole_cells
-from .common import bound_batches, cut, join_groups, lean, packed, slices
+from .common import bound_batches, cut, join_groups, lean, packed, sieved, slices
 from .words import split_words
 
 TREES, DEEPEST = 18, 7
@@ -251,7 +251,10 @@ def _classes(docs: DataFrame, words: int, threshold: tuple[int, int], target: fl
     n_sets = sets.count()
     edges = cut(candidates(sets, depth, limit, n_sets))
     groups = sets.select("node", "weight", "signature", "one.*").join(components(edges), "node")
-    texts = rows.withColumn("text_key", F.xxhash64("text")).join(groups, ["doc_id", "text_key"]).dropDuplicates(["node"])
+    groups = cut(groups)
+    # only texts of the groups are shuffled, and those that share a bucket of the sieve with them
+    near = sieved(rows.withColumn("text_key", F.xxhash64("text")), groups, "doc_id", "text_key").where("hit").drop("hit")
+    texts = near.join(groups, ["doc_id", "text_key"]).dropDuplicates(["node"])
     members = cut(hashed_members(texts.select("node", "weight", "component", "signature", "text"), words))
     found = verified(members, depth, threshold, n_sets)
     # the smallest id of a class, with the set that has it, so one set stays where several share that id
@@ -285,7 +288,8 @@ def keep_one(docs: DataFrame, words: int = 5, threshold: tuple[int, int] = (4, 5
     per = done.groupBy("doc_id", "text_key", "set_hash").agg(F.first(stays).alias("stays"))
     # of texts with one set and one id, too, only one stays
     order = F.row_number().over(Window.partitionBy("doc_id", "set_hash").orderBy("text_key"))
-    gone = cut(per.withColumn("stays", F.col("stays") & (order == 1)).where("not stays").select(F.col("doc_id").alias("gone_id"), F.col("text_key").alias("gone_key")))
+    gone = cut(per.withColumn("stays", F.col("stays") & (order == 1)).where("not stays").select("doc_id", "text_key"))
     rows = packed(docs.where("doc_id is not null"), doc_id=F.col("doc_id"), text_key=F.xxhash64("text"))
-    left = rows.join(gone, (F.col("doc_id") == F.col("gone_id")) & (F.col("text_key") == F.col("gone_key")), "left_anti")
-    return left.select("row.*").unionByName(docs.where("doc_id is null"))
+    rows = sieved(rows, gone, "doc_id", "text_key")
+    left = rows.where("hit").join(gone, ["doc_id", "text_key"], "left_anti").select("row.*")
+    return left.unionByName(rows.where("hit is null").select("row.*")).unionByName(docs.where("doc_id is null"))

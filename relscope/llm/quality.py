@@ -26,7 +26,7 @@ from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import bound_batches, cut, join_groups, lean, packed, scratch, slices
+from .common import bound_batches, cut, join_groups, lean, packed, scratch, sieved, slices
 from .words import gather, per_text, split_words
 
 ORDER = 4
@@ -325,5 +325,7 @@ def keep_good(docs: DataFrame, labels: DataFrame, **options) -> DataFrame:
     verdicts = classify(docs.select("doc_id", "text", "lang"), labels, **options)
     bad = cut(verdicts.where("not kept").select(F.col("doc_id").alias("bad_id"), F.col("text_key").alias("bad_key"), F.col("lang").alias("bad_lang")).distinct())
     rows = packed(docs, doc_id=F.col("doc_id"), text_key=F.xxhash64("text"), lang=F.col("lang"))
-    same = rows["doc_id"].eqNullSafe(bad["bad_id"]) & (rows["text_key"] == bad["bad_key"]) & rows["lang"].eqNullSafe(bad["bad_lang"])
-    return rows.join(bad, same, "left_anti").select("row.*")
+    rows = sieved(rows, bad.select(F.col("bad_id").alias("doc_id"), F.col("bad_key").alias("text_key")), "doc_id", "text_key")
+    same = F.col("doc_id").eqNullSafe(F.col("bad_id")) & (F.col("text_key") == F.col("bad_key")) & F.col("lang").eqNullSafe(F.col("bad_lang"))
+    left = rows.where("hit").join(bad, same, "left_anti").select("row.*")
+    return left.unionByName(rows.where("hit is null").select("row.*"))
