@@ -23,11 +23,12 @@ from pyarrow import fs
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import bound_batches, join_groups, scratch
+from .common import bound_batches, cut, join_groups, lean, scratch
 
 DATE = "2020-01-01T00:00:00Z"
 PROFILE = "http://netpreserve.org/warc/1.1/revisit/identical-payload-digest"
 FILE_BYTES = 1 << 29
+SIEVE = 1 << 20
 INDEX = "file string, offset long, length long, page_id long, url string, record_type string, payload_digest string"
 RECORD = "page_id long, url string, record_type string, refers_to long, payload binary, payload_bytes long, payload_digest string"
 
@@ -40,11 +41,16 @@ def plan_records(pages: DataFrame, least: int = 1000) -> DataFrame:
     """
     body = F.coalesce(F.col("html"), F.lit("")).cast("binary")
     rows = pages.select("page_id", "url", body.alias("payload")).withColumns({"payload_bytes": F.octet_length("payload").cast("long"), "payload_digest": F.sha1("payload")})
-    narrow = rows.where(F.col("payload_bytes") >= least).select("page_id", "payload_digest")
-    groups = narrow.groupBy("payload_digest").agg(F.max("page_id").alias("refers_to"), F.count("*").alias("copies")).where("copies > 1")
-    revisits = join_groups(narrow, groups, "payload_digest", "copies", pages.count())
-    revisits = revisits.where("page_id <> refers_to").select("page_id", "payload_digest", "refers_to").distinct()
-    return rows.join(revisits, ["page_id", "payload_digest"], "left")
+    narrow = cut(rows.where(F.col("payload_bytes") >= least).select("page_id", "payload_digest"))
+    groups = cut(narrow.groupBy("payload_digest").agg(F.max("page_id").alias("refers_to"), F.count("*").alias("copies")).where("copies > 1"))
+    revisits = join_groups(narrow, groups, "payload_digest", "copies", narrow.count())
+    revisits = cut(revisits.where("page_id <> refers_to").select("page_id", "payload_digest", "refers_to").distinct())
+    # payloads that a sieve of the revisits, of a bounded number of buckets, lets through are not shuffled
+    bucket = F.pmod(F.xxhash64("page_id", "payload_digest"), F.lit(SIEVE)).alias("bucket")
+    sieve = revisits.select(bucket).distinct().withColumn("hit", F.lit(True))
+    marked = rows.withColumn("bucket", bucket).join(F.broadcast(sieve), "bucket", "left").drop("bucket")
+    met = marked.where("hit").drop("hit").join(revisits, ["page_id", "payload_digest"], "left")
+    return met.unionByName(marked.where("hit is null").drop("hit"), allowMissingColumns=True)
 
 
 def _record_id(page_id, digest: str) -> str:
@@ -105,7 +111,7 @@ def write_archives(records: DataFrame, folder: str) -> DataFrame:
         if out is not None:
             out.close()
 
-    records.select("page_id", "url", "payload", "payload_digest", "refers_to").mapInPandas(run, INDEX).write.parquet(f"{folder}/index")
+    records.select("page_id", "url", "payload", "payload_digest", "refers_to").mapInPandas(lean(run), INDEX).write.parquet(f"{folder}/index")
     return spark.read.parquet(f"{folder}/index")
 
 
@@ -168,7 +174,7 @@ def read_archives(index: DataFrame, folder: str, gap: int = 1 << 16, most: int =
                 )
 
     ranges = byte_ranges(index, gap, most)
-    return ranges.mapInPandas(run, RECORD)
+    return ranges.mapInPandas(lean(run), RECORD)
 
 
 def round_trip(pages: DataFrame) -> DataFrame:
