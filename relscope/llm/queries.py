@@ -5,7 +5,7 @@ from __future__ import annotations
 import public_tokenizers
 from pyspark.sql import functions as F
 
-from . import embedding_dedup, language_id, near_text, packing, pii, quality, sentencepiece_codec, token_counts, warc
+from . import embedding_dedup, language_id, near_text, packing, periodic_runs, pii, quality, sentencepiece_codec, token_counts, warc
 from .common import table
 from .exact_dedup import UPPER, exact_dedup
 
@@ -74,6 +74,18 @@ def op10_language_id(spark, sf_dir):
     return language_id.predict(docs, model).select("doc_id", language_id.held_out().alias("held_out"), "lang_pred", "score")
 
 
+def op13_periodic_runs(spark, sf_dir):
+    docs = periodic_runs.with_planted_runs(table(spark, sf_dir, "documents").select("doc_id", "text"))
+    found = periodic_runs.find_runs(docs).withColumn("order", F.transform("runs", lambda r: F.struct(r["length"], -r["start"], -r["period"])))
+    best = found.withColumn("best", F.array_max("order"))
+    length, start, period = F.col("best")["length"], -F.col("best")["col2"], -F.col("best")["col3"]
+    lines = F.array_join(F.transform("runs", lambda r: F.concat(F.concat_ws(",", r["start"], r["length"], r["period"]), F.lit("\n"))), "")
+    return best.select(
+        "doc_id", F.size("runs").cast("long").alias("n_runs"), start.alias("start"), length.alias("length"), period.alias("period"), F.floor(1000 * length / period).alias("exponent_milli"),
+        F.sha2(lines.cast("binary"), 256).alias("runs_sha256"), F.sha2(F.col("collapsed").cast("binary"), 256).alias("collapsed_sha256"),
+    )
+
+
 QUERIES = {
     "op1_sentencepiece": op1_sentencepiece,
     "op2_quality": op2_quality,
@@ -85,6 +97,7 @@ QUERIES = {
     "op8_best_fit_packing": op8_best_fit_packing,
     "op9_exact_dedup": op9_exact_dedup,
     "op10_language_id": op10_language_id,
+    "op13_periodic_runs": op13_periodic_runs,
 }
 
 ORACLE = {
