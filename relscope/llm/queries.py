@@ -5,8 +5,8 @@ from __future__ import annotations
 import public_tokenizers
 from pyspark.sql import functions as F
 
-from . import embedding_dedup, language_id, near_text, packing, periodic_runs, pii, quality, sentencepiece_codec, token_counts, warc
-from .common import table
+from . import conversation_repair, embedding_dedup, language_id, near_text, packing, periodic_runs, pii, quality, sentencepiece_codec, token_counts, warc
+from .common import cut, table
 from .exact_dedup import UPPER, exact_dedup
 
 
@@ -74,6 +74,17 @@ def op10_language_id(spark, sf_dir):
     return language_id.predict(docs, model).select("doc_id", language_id.held_out().alias("held_out"), "lang_pred", "score")
 
 
+def op11_conversation_repair(spark, sf_dir):
+    given = table(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text")
+    rows = conversation_repair.damaged(given)
+    report = cut(conversation_repair.repair_report(rows))
+    digests = conversation_repair.repaired_digests(rows, report)
+    ids = given.select(F.col("conv_id").alias("id")).distinct()
+    met = ids.join(report.withColumnRenamed("conv_id", "own"), F.col("id").eqNullSafe(F.col("own")), "left").join(digests, F.col("id").eqNullSafe(F.col("conv_id")), "left")
+    counts = [F.coalesce(c, F.lit(0).cast("long")).alias(c) for c in conversation_repair.COUNTS]
+    return met.select(F.col("id").alias("conv_id"), *counts, F.coalesce("audit", F.lit("")).alias("audit"), F.coalesce("repaired_sha256", F.sha2(F.lit("").cast("binary"), 256)).alias("repaired_sha256"))
+
+
 def op13_periodic_runs(spark, sf_dir):
     docs = periodic_runs.with_planted_runs(table(spark, sf_dir, "documents").select("doc_id", "text"))
     found = periodic_runs.find_runs(docs).withColumn("order", F.transform("runs", lambda r: F.struct(r["length"], -r["start"], -r["period"])))
@@ -97,6 +108,7 @@ QUERIES = {
     "op8_best_fit_packing": op8_best_fit_packing,
     "op9_exact_dedup": op9_exact_dedup,
     "op10_language_id": op10_language_id,
+    "op11_conversation_repair": op11_conversation_repair,
     "op13_periodic_runs": op13_periodic_runs,
 }
 
