@@ -5,7 +5,7 @@ from __future__ import annotations
 import public_tokenizers
 from pyspark.sql import functions as F
 
-from . import conversation_repair, embedding_dedup, language_id, near_text, packing, periodic_runs, pii, quality, sentencepiece_codec, token_counts, warc
+from . import conversation_repair, embedding_dedup, language_id, near_text, packing, periodic_runs, pii, quality, secret_scan, sentencepiece_codec, token_counts, warc
 from .common import cut, table
 from .exact_dedup import UPPER, exact_dedup
 
@@ -40,17 +40,22 @@ def op5_token_counts(spark, sf_dir, model=None):
     return token_counts.token_counts(table(spark, sf_dir, "documents").select("doc_id", "text"), *vocabulary)
 
 
-def op6_pii(spark, sf_dir):
-    found = pii.personal_data(table(spark, sf_dir, "documents").select("doc_id", "text"))
-    text = F.array_join(F.transform("spans", lambda s: F.concat_ws(":", s["kind"], s["start"], s["finish"])), ",")
-    base = F.filter("spans", lambda s: s["kind"].isin(pii.BASE))
-    base_text = F.array_join(F.transform(base, lambda s: F.concat_ws(":", s["kind"], s["start"], s["finish"])), ",")
+def _spans(found, base):
+    """(joined base spans, joined spans, counts of each base kind) of a column of spans."""
+
+    def joined(spans):
+        return F.array_join(F.transform(spans, lambda s: F.concat_ws(":", s["kind"], s["start"], s["finish"])), ",")
 
     def count(kind):
-        return F.size(F.filter("spans", lambda s: s["kind"] == kind)).cast("long").alias(f"n_{kind}")
+        return F.size(F.filter(found, lambda s: s["kind"] == kind)).cast("long").alias(f"n_{kind}")
 
-    counts = [count(k) for k in pii.BASE]
-    return found.select("doc_id", *counts, F.sha2(base_text, 256).alias("base_sha256"), text.alias("spans"))
+    return joined(F.filter(found, lambda s: s["kind"].isin(base))), joined(found), [count(k) for k in base]
+
+
+def op6_pii(spark, sf_dir):
+    found = pii.personal_data(table(spark, sf_dir, "documents").select("doc_id", "text"))
+    base, spans, counts = _spans("spans", pii.BASE)
+    return found.select("doc_id", *counts, F.sha2(base, 256).alias("base_sha256"), spans.alias("spans"))
 
 
 def op7_ngram_jaccard_join(spark, sf_dir):
@@ -85,6 +90,12 @@ def op11_conversation_repair(spark, sf_dir):
     return met.select(F.col("id").alias("conv_id"), *counts, F.coalesce("audit", F.lit("")).alias("audit"), F.coalesce("repaired_sha256", F.sha2(F.lit("").cast("binary"), 256)).alias("repaired_sha256"))
 
 
+def op12_secret_scan(spark, sf_dir):
+    found = secret_scan.secrets(table(spark, sf_dir, "documents").select("doc_id", "text"))
+    base, spans, counts = _spans("spans", secret_scan.BASE)
+    return found.select("doc_id", *counts, F.sha2(base, 256).alias("base_sha256"), spans.alias("spans"))
+
+
 def op13_periodic_runs(spark, sf_dir):
     docs = periodic_runs.with_planted_runs(table(spark, sf_dir, "documents").select("doc_id", "text"))
     found = periodic_runs.find_runs(docs).withColumn("order", F.transform("runs", lambda r: F.struct(r["length"], -r["start"], -r["period"])))
@@ -109,6 +120,7 @@ QUERIES = {
     "op9_exact_dedup": op9_exact_dedup,
     "op10_language_id": op10_language_id,
     "op11_conversation_repair": op11_conversation_repair,
+    "op12_secret_scan": op12_secret_scan,
     "op13_periodic_runs": op13_periodic_runs,
 }
 
