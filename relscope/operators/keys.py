@@ -55,14 +55,15 @@ def pk_surrogate(df: DataFrame, name: str, order: list[str] | None = None) -> Da
     """df with a bigint key `name` in front. With `order`, ids are 1..n in that order, which is total if the columns are
     unique: the rows are sorted once by ranges of the whole order, so a hot first value is split by the columns after it
     and the number of ranges follows the data; a row's place in its range is stored with it, and the sizes of the ranges
-    are summed. Without it ids are unique only."""
+    are summed. Without it ids are unique only. Either way the rows are stored once, so an id does not change from one read
+    to the next."""
     if order is None:
-        return df.select((F.monotonically_increasing_id() + 1).alias(name), "*")
+        return cut(df.select((F.monotonically_increasing_id() + 1).alias(name), *[F.col(f"`{c}`") for c in df.columns]))
     # a range's number and a row's place in it; stored, as they must not change between the two uses
-    place = cut(df.orderBy(*order).withColumn("place__", F.monotonically_increasing_id()))
-    part, inside = F.shiftright("place__", 33), F.col("place__").bitwiseAND((1 << 33) - 1)
-    sizes = place.groupBy(part.alias("part__")).agg(F.count(F.lit(1)).alias("n__"))
-    before = F.coalesce(F.sum("n__").over(Window.orderBy("part__").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
-    base = sizes.select("part__", before.alias("base__"))  # one row a range
-    met = place.withColumn("part__", part).join(F.broadcast(base), "part__")
-    return met.select((F.col("base__") + inside + 1).alias(name), *[F.col(f"`{c}`") for c in df.columns])
+    ranged = df.orderBy(*[F.col(f"`{c}`") for c in order]).select(F.struct(*[F.col(f"`{c}`") for c in df.columns]).alias("row"), F.monotonically_increasing_id().alias("place"))
+    stored = cut(ranged).select("row", F.shiftright("place", 33).alias("part"), F.col("place").bitwiseAND((1 << 33) - 1).alias("inside"))
+    sizes = stored.groupBy("part").agg(F.count(F.lit(1)).alias("n"))
+    before = F.coalesce(F.sum("n").over(Window.orderBy("part").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    base = sizes.select("part", before.alias("base"))  # one row a range
+    met = stored.join(F.broadcast(base), "part")
+    return met.select((F.col("base") + F.col("inside") + 1).alias(name), "row.*")

@@ -1,13 +1,17 @@
-"""Column profiles: one scan for counts, lengths and ranges, one aggregation of distinct (column, value) pairs.
+"""Column profiles: one scan of each table, one aggregation of distinct (column, value) pairs for all tables.
 
-Distinct values are counted by unpivoting to (column, hash of value) and grouping twice, which shuffles two 64-bit hashes
-for each distinct value, however long it is and however many columns there are; the built-in count of several distinct
-columns would multiply the rows instead. Two values of a column are taken for one if both hashes are equal (a chance of
-n * n / 2^129 for n distinct values).
+Every cell becomes a narrow row of its column, a key and its measures (a length or a number), which is grouped by key before
+anything is shuffled and then by column. The key of whole numbers, dates, times and flags is the value itself; others, of any
+width, have two 64-bit hashes. Two values of a column are taken for one if both hashes are equal (a chance of n * n / 2^129
+for n distinct values). The built-in count of several distinct columns would multiply rows of all columns' width instead.
+
+Sketches stand for the distinct values where a profile may be approximate. They are kept with the sums that the other facts
+are made of, so those of new rows can be merged with those of old ones.
 """
 
 from __future__ import annotations
 
+import math
 from functools import reduce
 
 from pyspark.sql import Column, DataFrame
@@ -64,57 +68,101 @@ def _has_map(kind: T.DataType) -> bool:
     return isinstance(kind, (T.MapType, T.VariantType))
 
 
-def hashed_cells(df: DataFrame) -> DataFrame:
-    """(ordinal, h1, h2): two hashes of every cell, nulls left out. Maps, which have no hash, count by their text."""
+def _key(name: str, kind: T.DataType) -> tuple[Column, Column]:
+    """(k1, k2): a cell's value as a long, or two hashes of it; k1 is null for nulls alone. Maps, which have no hash, count by
+    their text."""
+    value = F.col(f"`{name}`")
+    if isinstance(kind, (T.ByteType, T.ShortType, T.IntegerType, T.LongType, T.BooleanType)):
+        return value.cast("long"), F.lit(0).cast("long")
+    if isinstance(kind, T.DateType):
+        return F.unix_date(value).cast("long"), F.lit(0).cast("long")
+    if isinstance(kind, T.TimestampType):
+        return F.unix_micros(value), F.lit(0).cast("long")
+    shown = value.cast("string") if _has_map(kind) else value
+    return F.when(value.isNotNull(), F.xxhash64(shown)), F.xxhash64(F.lit("salt"), shown)
+
+
+def _measures(field: T.StructField) -> tuple[Column, Column]:
+    """(length of a string, value of a number) of a cell, null for cells that have none."""
+    value, none = F.col(f"`{field.name}`"), F.lit(None)
+    length = F.length(value).cast("long") if isinstance(field.dataType, T.StringType) else none.cast("long")
+    return length, value.cast("double") if display_type(field.dataType) in ("INT", "FLOAT") else none.cast("double")
+
+
+def _cells(place: int, df: DataFrame) -> DataFrame:
+    """(place, ordinal, k1, k2, len, num): a row for every cell."""
     cells = []
     for i, f in enumerate(df.schema.fields):
-        value = F.col(f"`{f.name}`")
-        shown = value.cast("string") if _has_map(f.dataType) else value
-        cells.append(F.when(value.isNotNull(), F.struct(F.lit(i).alias("ordinal"), F.xxhash64(shown).alias("h1"), F.xxhash64(F.lit("salt"), shown).alias("h2"))))
-    return df.select(F.explode(F.array_compact(F.array(*cells))).alias("c")).select("c.*")
+        (k1, k2), (length, number) = _key(f.name, f.dataType), _measures(f)
+        cells.append(F.struct(F.lit(i).alias("ordinal"), k1.alias("k1"), k2.alias("k2"), length.alias("len"), number.alias("num")))
+    return df.select(F.explode(F.array(*cells)).alias("c")).select(F.lit(place).alias("place"), "c.*")
+
+
+def _names(tables: dict[str, DataFrame]) -> DataFrame:
+    """(place, ordinal, table, column, kind, text): what the schemas say of every column."""
+    rows = [(i, j, name, f.name, display_type(f.dataType), isinstance(f.dataType, T.StringType)) for i, (name, df) in enumerate(tables.items()) for j, f in enumerate(df.schema.fields)]
+    return next(iter(tables.values())).sparkSession.createDataFrame(rows, "place int, ordinal int, table string, column string, kind string, text boolean")
+
+
+def _facts(sums: DataFrame) -> DataFrame:
+    """The profile from (table, column, ordinal, kind, text, n, total_count, chars, max_len, min_num, max_num, unique_count),
+    a row a column."""
+    zero = F.lit(0).cast("long")
+    n, total = F.coalesce("n", zero), F.coalesce("total_count", zero)
+    avg = F.when(F.col("text") & (total > 0), F.col("chars").cast("double") / total)
+    kind = F.when(F.col("text"), F.when(avg > TEXT_LENGTH, "TEXT").otherwise("VARCHAR")).otherwise(F.col("kind"))
+    return sums.select(
+        "table", "column", "ordinal", kind.alias("type"), (total < n).alias("nullable"), F.coalesce("unique_count", zero).alias("unique_count"), total.alias("total_count"), n.alias("row_count"),
+        F.round(F.when(n == 0, 0.0).otherwise((n - total) / n), 3).alias("null_ratio"), avg.alias("avg_len"), "max_len", "min_num", "max_num",
+    )
 
 
 def profile(tables: dict[str, DataFrame], approx: bool = False, rsd: float = 0.02) -> DataFrame:
-    """One row per column of every table; approx counts distinct values by sketches, in the same scan as the rest.
+    """One row per column of every table, from one scan of each table; approx counts distinct values by sketches.
 
-    The cells of all tables go through one aggregation of distinct (table, column, value), not one for each table.
+    Columns of empty tables have zeros, and nulls where there is nothing to measure.
     """
-    facts = union([_facts_of(i, name, df, approx, rsd) for i, (name, df) in enumerate(tables.items())])
-    if not approx:
-        cells = union([hashed_cells(df).select(F.lit(i).alias("place"), "*") for i, df in enumerate(tables.values()) if df.columns])
-        distinct = cells.groupBy("place", "ordinal", "h1", "h2").agg(F.lit(1)).groupBy("place", "ordinal").agg(F.count(F.lit(1)).alias("unique_count"))
-        facts = facts.drop("unique_count").join(F.broadcast(distinct), ["place", "ordinal"], "left")  # one row a column
-    n = F.col("n")
-    return facts.select(
-        "table", "column", "ordinal", "type", (F.col("total_count") < n).alias("nullable"),
-        F.coalesce("unique_count", F.lit(0).cast("long")).alias("unique_count"), "total_count", n.alias("row_count"),
-        F.round(F.when(n == 0, 0.0).otherwise((n - F.col("total_count")) / n), 3).alias("null_ratio"), "avg_len", "max_len", "min_num", "max_num",
+    if approx:
+        return from_sketches(sketches(tables, rsd))
+    cells = union([_cells(i, df) for i, df in enumerate(tables.values()) if df.columns])
+    keys = cells.groupBy("place", "ordinal", "k1", "k2").agg(F.count(F.lit(1)).alias("held"), F.max("len").alias("len"), F.max("num").alias("num"))
+    known = F.col("k1").isNotNull()
+    sums = keys.groupBy("place", "ordinal").agg(
+        F.sum("held").alias("n"), F.sum(F.when(known, F.col("held"))).alias("total_count"), F.count("k1").alias("unique_count"), F.sum(F.col("held") * F.col("len")).alias("chars"),
+        F.max("len").alias("max_len"), F.min("num").alias("min_num"), F.max("num").alias("max_num"),
     )
+    return _facts(_names(tables).join(sums, ["place", "ordinal"], "left"))
+
 
+SUMS = {"n": F.sum, "total_count": F.sum, "chars": F.sum, "max_len": F.max, "min_num": F.min, "max_num": F.max}
 
-def _facts_of(place: int, name: str, df: DataFrame, approx: bool, rsd: float) -> DataFrame:
-    """Counts, lengths and ranges of one table's columns, in one scan."""
-    aggregates: list[Column] = [F.count(F.lit(1)).alias("n")]
-    rows = []
-    for i, field in enumerate(df.schema.fields):
-        column, kind = F.col(f"`{field.name}`"), display_type(field.dataType)
-        text, number = isinstance(field.dataType, T.StringType), kind in ("INT", "FLOAT")
-        aggregates.append(F.count(column).alias(f"c{i}"))
-        aggregates += [F.avg(F.length(column)).alias(f"a{i}"), F.max(F.length(column)).cast("long").alias(f"m{i}")] if text else []
-        aggregates += [F.min(column).cast("double").alias(f"lo{i}"), F.max(column).cast("double").alias(f"hi{i}")] if number else []
-        aggregates += [F.approx_count_distinct(column.cast("string"), rsd).alias(f"d{i}")] if approx else []
-        no = F.lit(None)
-        shown = F.when(F.col(f"a{i}") > TEXT_LENGTH, "TEXT").otherwise("VARCHAR") if text else F.lit(kind)
-        rows.append(
-            F.struct(
-                F.lit(i).alias("ordinal"), F.lit(field.name).alias("column"), shown.alias("type"), F.col(f"c{i}").alias("total_count"),
-                (F.col(f"a{i}") if text else no.cast("double")).alias("avg_len"), (F.col(f"m{i}") if text else no.cast("long")).alias("max_len"),
-                (F.col(f"lo{i}") if number else no.cast("double")).alias("min_num"), (F.col(f"hi{i}") if number else no.cast("double")).alias("max_num"),
-                (F.col(f"d{i}") if approx else no.cast("long")).alias("unique_count"),
-            )
-        )
-    facts = df.agg(*aggregates).select("n", F.explode(F.array(*rows)).alias("r"))
-    return facts.select(F.lit(place).alias("place"), F.lit(name).alias("table"), "n", "r.*")
+
+def sketches(tables: dict[str, DataFrame], rsd: float = 0.02) -> DataFrame:
+    """(table, column, ordinal, kind, text, n, total_count, chars, max_len, min_num, max_num, sketch): a row a column, to be
+    stored and merged with those of other rows of the table. rsd: the standard error that merged sketches keep."""
+    size = min(21, max(4, math.ceil(2 * math.log2(1.04 / rsd))))
+    parts = []
+    for place, df in enumerate(tables.values()):
+        aggregates, rows = [F.count(F.lit(1)).alias("n")], []
+        for i, f in enumerate(df.schema.fields):
+            value, (length, number), key = F.col(f"`{f.name}`"), _measures(f), _key(f.name, f.dataType)[0]
+            made = {"total_count": F.count(value), "chars": F.sum(length), "max_len": F.max(length), "min_num": F.min(number), "max_num": F.max(number), "sketch": F.hll_sketch_agg(key, F.lit(size))}
+            aggregates += [v.alias(f"{k}{i}") for k, v in made.items()]
+            rows.append(F.struct(F.lit(i).alias("ordinal"), *[F.col(f"{k}{i}").alias(k) for k in made]))
+        if rows:
+            parts.append(df.agg(*aggregates).select(F.lit(place).alias("place"), "n", F.explode(F.array(*rows)).alias("r")).select("place", "n", "r.*"))
+    return _names(tables).join(union(parts), ["place", "ordinal"]).drop("place")
+
+
+def merge_sketches(*parts: DataFrame) -> DataFrame:
+    """Sketches of tables' rows as a whole from sketches of parts of the rows, whatever their number."""
+    whole = [f(k).alias(k) for k, f in SUMS.items()]
+    return union(list(parts)).groupBy("table", "column", "ordinal", "kind", "text").agg(*whole, F.hll_union_agg("sketch").alias("sketch"))
+
+
+def from_sketches(parts: DataFrame) -> DataFrame:
+    """The profile that sketches stand for; the number of distinct values is an estimate, at most that of values."""
+    return _facts(parts.withColumn("unique_count", F.least(F.hll_sketch_estimate("sketch"), "total_count")))
 
 
 def settled(facts: DataFrame) -> DataFrame:

@@ -6,7 +6,8 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from .keys import fk_candidates, singular
-from .profile import union, unpivoted
+from .loops import cut
+from .profile import union
 
 COLUMNS = ["source_table", "source_column", "target_table", "target_column", "type", "confidence"]
 
@@ -46,33 +47,108 @@ def by_name(keyed: DataFrame) -> DataFrame:
     )
 
 
-def value_overlaps(tables: dict[str, DataFrame], keyed: DataFrame, sources: str, targets: str) -> DataFrame:
-    """(s_table, s_column, t_table, t_column, common, source_size) for pairs of columns with common values.
+#: Values that stand for a column, and standard errors by which a share measured on them must miss the share asked for
+#: before a pair is given up: a pair right at it is lost with a chance of 1e-9.
+SAMPLE, MISS = 1024, 6
+#: Columns marked in one long.
+WORD = 62
 
-    Columns are chosen from the profile before anything is scanned. All chosen columns are unpivoted to distinct
-    (column, value) rows and grouped by value once, whatever the number of pairs; a value holds a set of columns, never
-    of rows, so values that occur everywhere stay small.
+
+def _text_hash(name: str):
+    """A hash of a cell's text, null for nulls."""
+    value = F.col(f"`{name}`")
+    return F.when(value.isNotNull(), F.xxhash64(value.cast("string")))
+
+
+def _hashes(df: DataFrame, columns: list[tuple[int, str, int | None]]) -> DataFrame:
+    """(id, h): the hashes of the cells of columns (id, name, limit), below the column's limit if it has one."""
+    cells = []
+    for i, name, limit in columns:
+        h = _text_hash(name)
+        cells.append(F.struct(F.lit(i).alias("id"), (h if limit is None else F.when(h < limit, h)).alias("h")))
+    return df.select(F.explode(F.array(*cells)).alias("c")).select("c.id", "c.h").where("h is not null")
+
+
+def plausible_pairs(tables: dict[str, DataFrame], chosen: list[dict], least: float) -> list[tuple[int, int]]:
+    """Index pairs (source, target) of chosen columns of which the source's values may lie in the target's by `least`.
+
+    A pair cannot if the target has too few values, or both are numbers of ranges apart. Of each source left, the values
+    whose hash is below a limit are drawn, as many as SAMPLE of the number that its profile gives (all of them where there
+    are no more). These few are sent to a scan of the targets, which only tells which of them it meets; so the share that a
+    target has of them bounds its share of the whole, and nothing is shuffled but the hits.
+    """
+    spark = next(iter(tables.values())).sparkSession
+
+    def apart(a, b):
+        return a["type"] == b["type"] == "INT" and (a["max_num"] < b["min_num"] or b["max_num"] < a["min_num"])
+
+    pairs = [
+        (i, j) for i, a in enumerate(chosen) for j, b in enumerate(chosen)
+        if a["s"] and b["t"] and a["table"] != b["table"] and b["unique_count"] >= least * a["unique_count"] and not apart(a, b)
+    ]
+
+    def scanned(ids, limits):
+        own = {n: [(i, chosen[i]["column"], limits(i)) for i in ids if chosen[i]["table"] == n] for n in sorted({chosen[i]["table"] for i in ids})}
+        return union([_hashes(tables[n], columns) for n, columns in own.items()])
+
+    def below(i):
+        share = 2 * SAMPLE / chosen[i]["unique_count"]
+        return None if share >= 1 else int((share - 0.5) * 2**64)  # hashes are signed
+
+    if not pairs:
+        return []
+    # a bounded table: about twice SAMPLE rows for each source column
+    drawn = cut(scanned(sorted({i for i, _ in pairs}), below).distinct())
+    size = {r["id"]: r["n"] for r in drawn.groupBy("id").agg(F.count(F.lit(1)).alias("n")).collect()}
+    met = scanned(sorted({j for _, j in pairs}), lambda j: None).join(F.broadcast(drawn.select("h").distinct()), "h", "left_semi").distinct()
+    hits = met.withColumnRenamed("id", "t").join(F.broadcast(drawn.withColumnRenamed("id", "s")), "h").groupBy("s", "t").agg(F.count(F.lit(1)).alias("n"))
+    found = {(r["s"], r["t"]): r["n"] for r in hits.collect()}  # a row a pair of columns
+
+    def may(i, j):
+        n = size.get(i, 0)
+        slack = MISS * (least * (1 - least) / n) ** 0.5 + 1 / n if n and below(i) is not None else 0
+        return n and found.get((i, j), 0) / n >= least - slack
+
+    return [(i, j) for i, j in pairs if may(i, j)]
+
+
+def value_overlaps(tables: dict[str, DataFrame], keyed: DataFrame, sources: str, targets: str, least: float) -> DataFrame:
+    """(s_table, s_column, t_table, t_column, common, source_size) for pairs of columns of different tables of which the
+    source has at least the share `least` of its values, as text, in the target.
+
+    Columns are chosen from the profile before anything is scanned, and pairs by plausible_pairs(). Only columns of pairs
+    that are left are counted: two hashes of a cell's text are grouped once, whatever the number of pairs, so texts are
+    never shuffled and the shuffle follows the pairs that are left. A group holds a set of columns, never of rows, so
+    values that occur everywhere stay small.
     """
-    chosen = [r.asDict() for r in keyed.where(f"({sources}) or ({targets})").select("table", "column", F.expr(sources).alias("s"), F.expr(targets).alias("t")).orderBy("table", "column").collect()]
+    facts = keyed.where(f"({sources}) or ({targets})").select("table", "column", "type", "unique_count", "min_num", "max_num", F.expr(sources).alias("s"), F.expr(targets).alias("t"))
+    chosen = [r.asDict() for r in facts.orderBy("table", "column").collect()]
     spark = keyed.sparkSession
-    if not chosen:
+    pairs = plausible_pairs(tables, chosen, least) if chosen else []
+    if not pairs:
         return spark.createDataFrame([], "s_table string, s_column string, t_table string, t_column string, common long, source_size long")
+    ids = sorted({i for p in pairs for i in p})
+    # a value's columns are bits, WORD of them in a long
+    words = [F.bit_or(F.when(F.col("word") == w, F.col("bit"))) for w in range(-(-len(ids) // WORD))]
     parts = []
-    for name in sorted({c["table"] for c in chosen}):
-        own = [(i, c) for i, c in enumerate(chosen) if c["table"] == name]
-        ids = F.element_at(F.array(*[F.lit(i) for i, _ in own]), F.col("ordinal") + 1)
-        parts.append(unpivoted(tables[name], [c["column"] for _, c in own]).select(ids.alias("id"), "value"))
-    by_value = union(parts).groupBy("value").agg(F.collect_set("id").alias("ids"))
-    sets = by_value.groupBy("ids").agg(F.count(F.lit(1)).alias("n"))
+    for name in sorted({chosen[i]["table"] for i in ids}):
+        cells = []
+        for at, i in enumerate(ids):
+            if chosen[i]["table"] == name:
+                value = F.col(f"`{chosen[i]['column']}`")
+                text = value.cast("string")
+                cells.append(F.struct(F.lit(at // WORD).alias("word"), F.lit(1 << at % WORD).cast("long").alias("bit"), F.when(value.isNotNull(), F.xxhash64(text)).alias("h1"), F.xxhash64(F.lit("salt"), text).alias("h2")))
+        parts.append(tables[name].select(F.explode(F.array(*cells)).alias("c")).select("c.*").where("h1 is not null"))
+    masks = union(parts).groupBy("h1", "h2").agg(*[w.alias(f"w{k}") for k, w in enumerate(words)])
+    sets = masks.groupBy(*masks.columns[2:]).agg(F.count(F.lit(1)).alias("n"))
     # what is left is one row for each combination of columns that share a value
-    names = F.broadcast(spark.createDataFrame([(i, c["table"], c["column"], bool(c["s"]), bool(c["t"])) for i, c in enumerate(chosen)], "id int, tab string, col string, s boolean, t boolean"))
-    one = sets.select("ids", "n", F.explode("ids").alias("a"))
+    there = [F.when(F.col(f"w{at // WORD}").bitwiseAND(F.lit(1 << at % WORD).cast("long")) != 0, F.lit(i)) for at, i in enumerate(ids)]
+    one = sets.select(F.array_compact(F.array(*there)).alias("ids"), "n").select("ids", "n", F.explode("ids").alias("a"))
     size = one.groupBy("a").agg(F.sum("n").alias("source_size"))
-    two = one.select("n", "a", F.explode("ids").alias("b")).where("a <> b").groupBy("a", "b").agg(F.sum("n").alias("common"))
-    two = two.join(F.broadcast(size), "a")
-    s = names.where("s").select(F.col("id").alias("a"), F.col("tab").alias("s_table"), F.col("col").alias("s_column"))
-    t = names.where("t").select(F.col("id").alias("b"), F.col("tab").alias("t_table"), F.col("col").alias("t_column"))
-    return two.join(s, "a").join(t, "b").select("s_table", "s_column", "t_table", "t_column", "common", "source_size")
+    asked = spark.createDataFrame([(i, j, *(chosen[x][k] for x in (i, j) for k in ("table", "column"))) for i, j in pairs], "a int, b int, s_table string, s_column string, t_table string, t_column string")
+    two = one.select("n", "a", F.explode("ids").alias("b")).join(F.broadcast(asked.select("a", "b")), ["a", "b"]).groupBy("a", "b").agg(F.sum("n").alias("common"))
+    met = two.join(F.broadcast(size), "a").join(F.broadcast(asked), ["a", "b"]).where(F.col("common") >= least * F.col("source_size"))
+    return met.select("s_table", "s_column", "t_table", "t_column", "common", "source_size")
 
 
 def by_value(tables: dict[str, DataFrame], keyed: DataFrame, least: float = 0.5) -> DataFrame:
@@ -80,8 +156,7 @@ def by_value(tables: dict[str, DataFrame], keyed: DataFrame, least: float = 0.5)
     can = "type not in ('TEXT', 'BINARY') and unique_count >= 2"
     sources = f"coalesce(key_type, '') not in ('PK', 'UQ') and {can}"
     targets = f"unique_count = total_count and {can}"
-    pairs = value_overlaps(tables, keyed, sources, targets).where("s_table <> t_table")
-    pairs = pairs.withColumn("overlap", F.col("common") / F.col("source_size")).where(F.col("overlap") >= least)
+    pairs = value_overlaps(tables, keyed, sources, targets, least).withColumn("overlap", F.col("common") / F.col("source_size"))
     grade = F.when(F.col("overlap") >= 0.9, "high").when(F.col("overlap") >= 0.7, "medium").otherwise("low")
     keys = keyed.select("table", "column", "unique_count", "total_count")
     met = pairs.join(keys.alias("s"), (F.col("s.table") == F.col("s_table")) & (F.col("s.column") == F.col("s_column"))).join(
@@ -157,8 +232,7 @@ def implicit_fks(tables: dict[str, DataFrame], keyed: DataFrame, known: DataFram
     open_ = keyed.join(known.select(F.col("source_table").alias("table"), F.col("source_column").alias("column")).distinct(), ["table", "column"], "left_anti")
     pk = first_pk(keyed)
     chosen = open_.where(named).withColumn("role", F.lit("s")).unionByName(pk.withColumn("role", F.lit("t")))
-    pairs = value_overlaps(tables, chosen, "role = 's'", "role = 't'").where("s_table <> t_table")
-    pairs = pairs.withColumn("overlap", F.col("common") / F.col("source_size")).where(F.col("overlap") >= least)
+    pairs = value_overlaps(tables, chosen, "role = 's'", "role = 't'", least).withColumn("overlap", F.col("common") / F.col("source_size"))
     best = F.row_number().over(Window.partitionBy("s_table", "s_column").orderBy(F.desc("overlap"), "t_table", "t_column"))
     out = pairs.withColumn("rank", best).where("rank = 1")
     return out.select(F.col("s_table").alias("source_table"), F.col("s_column").alias("source_column"), F.col("t_table").alias("target_table"), F.col("t_column").alias("target_column"), F.round("overlap", 6).alias("overlap"))

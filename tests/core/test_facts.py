@@ -52,10 +52,12 @@ def test_key_precedence(spark):
 
 
 def test_surrogate_keys(spark):
-    df = frame(spark, [(i % 7, i) for i in range(500)], "a int, b int")
-    rows = keys.pk_surrogate(df, "k", ["a", "b"], slices=3).orderBy("k").collect()
+    df = frame(spark, [(i % 7, i, "x") for i in range(500)], "a int, b int, part string").repartition(5)
+    rows = keys.pk_surrogate(df, "k", ["a", "b"]).orderBy("k").collect()
     assert [r.k for r in rows] == list(range(1, 501)) and [(r.a, r.b) for r in rows] == sorted((i % 7, i) for i in range(500))
-    assert keys.pk_surrogate(df, "k").select("k").distinct().count() == 500
+    loose = keys.pk_surrogate(df, "k")
+    assert loose.columns == ["k", "a", "b", "part"] and loose.select("k").distinct().count() == 500
+    assert sorted(loose.collect()) == sorted(loose.repartition(3, "b").collect())
     assert keys.pk_surrogate(df.limit(0), "k", ["a", "b"]).count() == 0
 
 
