@@ -54,19 +54,11 @@ SAMPLE, MISS = 1024, 6
 WORD = 62
 
 
-def _text_hash(name: str):
-    """A hash of a cell's text, null for nulls."""
-    value = F.col(f"`{name}`")
-    return F.when(value.isNotNull(), F.xxhash64(value.cast("string")))
-
-
 def _hashes(df: DataFrame, columns: list[tuple[int, str, int | None]]) -> DataFrame:
-    """(id, h): the hashes of the cells of columns (id, name, limit), below the column's limit if it has one."""
-    cells = []
-    for i, name, limit in columns:
-        h = _text_hash(name)
-        cells.append(F.struct(F.lit(i).alias("id"), (h if limit is None else F.when(h < limit, h)).alias("h")))
-    return df.select(F.explode(F.array(*cells)).alias("c")).select("c.id", "c.h").where("h is not null")
+    """(id, h): a hash of the text of every cell of columns (id, name, limit), below the column's limit if it has one."""
+    cells = [F.struct(F.lit(i).alias("id"), F.lit(limit).cast("long").alias("top"), F.col(f"`{name}`").cast("string").alias("text")) for i, name, limit in columns]
+    texts = df.select(F.explode(F.array(*cells)).alias("c")).select("c.*").where("text is not null")
+    return texts.select("id", "top", F.xxhash64("text").alias("h")).where("top is null or h < top").select("id", "h")
 
 
 def plausible_pairs(tables: dict[str, DataFrame], chosen: list[dict], least: float) -> list[tuple[int, int]]:
@@ -135,10 +127,10 @@ def value_overlaps(tables: dict[str, DataFrame], keyed: DataFrame, sources: str,
         cells = []
         for at, i in enumerate(ids):
             if chosen[i]["table"] == name:
-                value = F.col(f"`{chosen[i]['column']}`")
-                text = value.cast("string")
-                cells.append(F.struct(F.lit(at // WORD).alias("word"), F.lit(1 << at % WORD).cast("long").alias("bit"), F.when(value.isNotNull(), F.xxhash64(text)).alias("h1"), F.xxhash64(F.lit("salt"), text).alias("h2")))
-        parts.append(tables[name].select(F.explode(F.array(*cells)).alias("c")).select("c.*").where("h1 is not null"))
+                text = F.col(f"`{chosen[i]['column']}`").cast("string")
+                cells.append(F.struct(F.lit(at // WORD).alias("word"), F.lit(1 << at % WORD).cast("long").alias("bit"), text.alias("text")))
+        parts.append(tables[name].select(F.explode(F.array(*cells)).alias("c")).select("c.*").where("text is not null"))
+    parts = [p.select("word", "bit", F.xxhash64("text").alias("h1"), F.xxhash64(F.lit("salt"), "text").alias("h2")) for p in parts]
     masks = union(parts).groupBy("h1", "h2").agg(*[w.alias(f"w{k}") for k, w in enumerate(words)])
     sets = masks.groupBy(*masks.columns[2:]).agg(F.count(F.lit(1)).alias("n"))
     # what is left is one row for each combination of columns that share a value
