@@ -24,17 +24,27 @@ CELL_BYTES = 16 << 20
 TASK_ROWS = 200_000
 
 
-def cells(members: DataFrame, key: str, node: str, block: int, rows: int, size: str | None = None) -> DataFrame:
-    """members of buckets with two or more, dealt to cells: columns lo, hi and own (block) are added. rows: how many
-    members there are, for finding the hot buckets; size: the column with a member's bytes, if these differ."""
+def bucketed(members: DataFrame, key: str, node: str, block: int, rows: int, size: str | None = None) -> DataFrame:
+    """members of buckets with two or more, with the number of the bucket's blocks (parts), the block of the member (own) and
+    the bucket's smallest node (root). rows: how many members there are, for finding the hot buckets; size: the column with
+    a member's bytes, if these differ."""
     bulk = F.sum(size) if size else F.lit(0)
-    sizes = members.groupBy(key).agg(F.count("*").alias("held"), bulk.cast("long").alias("bulk")).where("held > 1")
+    sizes = members.groupBy(key).agg(F.count("*").alias("held"), bulk.cast("long").alias("bulk"), F.min(node).alias("root")).where("held > 1")
     met = join_groups(members, sizes, key, "held", rows).where("held is not null")
     parts = F.ceil(F.greatest(F.col("held") / block, F.col("bulk") / CELL_BYTES)).cast("int")
-    own = F.pmod(F.xxhash64(node), parts).cast("int")
-    dealt = met.withColumn("own", own).withColumn("other", F.explode(F.sequence(F.lit(0), parts - 1)))
-    dealt = dealt.withColumns({"lo": F.least("own", "other"), "hi": F.greatest("own", "other")}).drop("held", "bulk", "other")
-    return dealt.repartition(key, "lo", "hi").sortWithinPartitions(key, "lo", "hi")
+    return met.withColumn("parts", parts).withColumn("own", F.pmod(F.xxhash64(node), F.col("parts")).cast("int")).drop("held", "bulk")
+
+
+def dealt(rows: DataFrame, key: str) -> DataFrame:
+    """Rows of cells (key, lo, hi), each cell's rows in one task and together."""
+    return rows.repartition(key, "lo", "hi").sortWithinPartitions(key, "lo", "hi")
+
+
+def cells(members: DataFrame, key: str, node: str, block: int, rows: int, size: str | None = None) -> DataFrame:
+    """members of buckets with two or more, dealt to cells of every two blocks: columns lo, hi and own are added."""
+    met = bucketed(members, key, node, block, rows, size)
+    met = met.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)))
+    return dealt(met.withColumns({"lo": F.least("own", "other"), "hi": F.greatest("own", "other")}).drop("parts", "root", "other"), key)
 
 
 def whole_cells(batches: Iterator[pd.DataFrame], key: str) -> Iterator[tuple[pd.DataFrame, np.ndarray]]:

@@ -7,10 +7,12 @@ does not depend on the other texts. Each tree's prefixes are dealt and sorted by
 equal prefixes are the nodes of its trie at that depth.
 
 Candidates within a prefix are filtered by a 64-byte sketch of the signature at a similarity five standard deviations
-below the threshold, and only spanning edges of what passes leave a task. The groups they span are then verified on the
-sorted hashes of their shingles, in blocks of bounded size. A group of up to a block is compared whole. A larger one is
-compared whole or by prefix, whichever has fewer pairs: a dense group is cheaper whole, a long chain of texts of which
-each is near a few others is cheaper by the prefixes they share, where a pair counts in the first tree it meets in.
+below the threshold, and only spanning edges of what passes leave a task, of which a prefix has no more than sets. The
+groups they span are then verified on the sorted hashes of their shingles, in blocks of bounded size. A pair links if its
+exact similarity reaches the threshold and it shares a prefix in some tree, wherever it is compared: a group of up to a
+block is compared whole, a larger one whole or by prefix, whichever has fewer pairs. A dense group is cheaper whole, a long
+chain of texts of which each is near a few others is cheaper by the prefixes they share, where a pair counts in the first
+tree it meets in.
 """
 
 from __future__ import annotations
@@ -24,8 +26,8 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .blocks import CELL_BYTES, TOUCHED, cells, components, few, numbered, pairs, settled, touched, whole_cells
-from .common import bound_batches, cut, join_groups, lean, packed, sieved, slices
+from .blocks import CELL_BYTES, TOUCHED, bucketed, cells, components, dealt, few, numbered, pairs, settled, touched, whole_cells
+from .common import HOT_GROUPS, bound_batches, cut, join_groups, lean, packed, sieved, slices
 from .words import split_words
 
 TREES, DEEPEST = 18, 7
@@ -128,27 +130,64 @@ def _prefixes(sets: DataFrame, depth: int) -> DataFrame:
 
 
 def candidates(sets: DataFrame, depth: int, threshold: float, rows: int) -> DataFrame:
-    """Spanning edges (node, root) of sets that share a prefix of `depth` and pass the sketch."""
+    """Spanning edges (node, root) of sets that share a prefix of `depth` and pass the sketch.
+
+    A prefix of up to BLOCK sets is one cell. Of a larger one all sets meet its first block; what passes there hangs on the
+    prefix's smallest node. Only the sets that passed with none of that block meet the others, in a second round. So a
+    dense group costs two rows a set, of which it has one edge, however large it is.
+    """
     forest = _prefixes(sets.select("node", "sketch", "signature"), depth)
     forest = forest.select("node", "sketch", F.xxhash64("tree", "prefix").alias("key"))
     match = threshold + (1 - threshold) / 16
     least = match - 5 * np.sqrt(match * (1 - match) / HASHES)
 
-    def run(batches):
-        for pdf, cell in whole_cells(batches, "key"):
-            sketch = np.frombuffer(b"".join(pdf["sketch"]), np.uint8).reshape(len(pdf), -1)
-            own, same = pdf["own"].to_numpy(), (pdf["lo"] == pdf["hi"]).to_numpy()
-            a, b = [], []
-            for i, j in pairs(cell, own, same):
-                share = EQUAL_HALVES[sketch[i] ^ sketch[j]].sum(1) / HASHES
-                near = share >= least
-                a.append(i[near])
-                b.append(j[near])
-            if a:
-                yield touched(pdf["node"].to_numpy(), np.ones(len(pdf)), np.concatenate(a), np.concatenate(b))[["node", "root"]]
+    def passing(pdf, cell, own, same):
+        sketch = np.frombuffer(b"".join(pdf["sketch"]), np.uint8).reshape(len(pdf), -1)
+        a, b = [np.zeros(0, np.int64)], [np.zeros(0, np.int64)]
+        for i, j in pairs(cell, own, same):
+            near = EQUAL_HALVES[sketch[i] ^ sketch[j]].sum(1) / HASHES >= least
+            a.append(i[near])
+            b.append(j[near])
+        return np.concatenate(a), np.concatenate(b)
 
-    dealt = cells(forest, "key", "node", BLOCK, rows * TREES)
-    return dealt.mapInPandas(lean(run), "node long, root long")
+    def first(batches):
+        for pdf, cell in whole_cells(batches, "key"):
+            node, own, hi, parts = (pdf[c].to_numpy() for c in ("node", "own", "hi", "parts"))
+            a, b = passing(pdf, cell, own, hi == 0)
+            one = parts[a] == 1
+            small = touched(node, np.ones(len(pdf)), a[one], b[one])[["node", "root"]]
+            linked = np.zeros(len(pdf), bool)
+            linked[a], linked[b] = True, True
+            hung = pdf.loc[linked & (parts > 1), ["node", "root"]]
+            loose = pdf.loc[~linked & (parts > 1) & (own > 0), ["key", "node", "sketch"]]
+            yield pd.concat([small, hung, loose]).reindex(columns=["node", "root", "key", "sketch"]).astype({"root": "Int64", "key": "Int64"})
+
+    met = bucketed(forest, "key", "node", BLOCK, rows * TREES)
+    all_blocks = F.sequence(F.lit(0), F.col("parts") - 1)
+    hi = F.explode(F.when(F.col("own") == 0, all_blocks).otherwise(F.array("own")))
+    found = cut(dealt(met.withColumns({"lo": F.lit(0), "hi": hi}), "key").mapInPandas(lean(first), "node long, root long, key long, sketch binary"))
+    edges, loose = found.where("root is not null").select("node", "root"), found.where("root is null").select("key", "node", "sketch")
+    if loose.isEmpty():
+        return edges
+
+    def second(batches):
+        for pdf, cell in whole_cells(batches, "key"):
+            node, own = pdf["node"].to_numpy(), pdf["asks"].to_numpy().astype(np.int64)
+            a, b = passing(pdf, cell, own, np.zeros(len(pdf), bool))
+            other = node[a] != node[b]
+            ends = np.concatenate([a[other], b[other]])
+            yield pdf.iloc[np.unique(ends[own[ends] == 1])][["node", "root"]]
+
+    counts = loose.groupBy("key").agg(F.count("*").alias("loose"))
+    known = cut(forest.join(F.broadcast(counts.select("key")) if counts.count() <= HOT_GROUPS else counts.select("key"), "key", "left_semi"))
+    known = bucketed(known, "key", "node", BLOCK, known.count()).where("own > 0")
+    known = join_groups(known, counts, "key", "loose", rows * TREES)
+    n = F.ceil(F.col("loose") / BLOCK).cast("int")
+    asked = known.select("key", "node", "sketch", "root", F.lit(False).alias("asks"), F.explode(F.sequence(F.lit(0), n - 1)).alias("lo"), F.col("own").alias("hi"))
+    sizes = known.groupBy("key").agg(F.first("parts").alias("parts"), F.first("root").alias("root"), F.first("loose").alias("loose"))
+    asking = join_groups(loose, sizes, "key", "loose", rows * TREES)
+    asking = asking.select("key", "node", "sketch", "root", F.lit(True).alias("asks"), F.pmod(F.xxhash64("node", F.lit(1)), n).cast("int").alias("lo"), F.explode(F.sequence(F.lit(1), F.col("parts") - 1)).alias("hi"))
+    return edges.unionByName(dealt(asked.unionByName(asking), "key").mapInPandas(lean(second), "node long, root long"))
 
 
 def hashed_members(members: DataFrame, words: int) -> DataFrame:
@@ -176,12 +215,18 @@ def comparisons(members: DataFrame, depth: int, rows: int) -> DataFrame:
     by_prefix = by_prefix.groupBy("component").agg(F.sum(F.col("n") * (F.col("n") - 1)).alias("pairs")).transform(few, size)
     cheaper = by_prefix.join(large, "component").where(F.col("pairs") < F.col("held") * (F.col("held") - 1))
     split = cut(groups.join(cheaper.select("component", F.lit(True).alias("apart")), "component", "left").drop("bulk"))
-    dealt = join_groups(members, few(split, n), "component", "held", rows).drop("held")
-    whole = dealt.where("apart is null").withColumns({"signature": F.lit(None).cast("binary"), "tree": F.lit(-1), "key": F.col("component")})
-    apart = _prefixes(dealt.where("apart"), depth).withColumn("key", F.xxhash64("component", "tree", "prefix")).drop("prefix")
+    out = join_groups(members, few(split, n), "component", "held", rows).drop("held")
+    whole = out.where("apart is null").withColumns({"tree": F.lit(-1), "key": F.col("component")})
+    apart = _prefixes(out.where("apart"), depth).withColumn("key", F.xxhash64("component", "tree", "prefix")).drop("prefix")
     return whole.unionByName(apart).drop("apart")
 
 
+def _meets(a: np.ndarray, b: np.ndarray, tree: np.ndarray) -> np.ndarray:
+    """Whether pairs share a prefix in any tree, and where they are compared for one tree, whether it is their first."""
+    meets = (a == b).all(2)
+    return meets.any(1) & ((tree < 0) | (meets.argmax(1) == tree))
+
+
 def verified(members: DataFrame, depth: int, threshold: tuple[int, int], rows: int) -> DataFrame:
     """Touched rows of hashed members: the pairs of comparisons(), by their exact sets."""
     over, under = threshold
@@ -203,16 +248,15 @@ def verified(members: DataFrame, depth: int, threshold: tuple[int, int], rows: i
                 i, j = np.nonzero(link)
                 i, j = i + first, j + first
                 good = (group[i] == group[j]) & (tree[i] == tree[j])  # keys are hashes
-                if tree[first] >= 0 and len(i):
+                if len(i):
                     prefix = np.frombuffer(b"".join(signature[first:last]), "<u4").reshape(last - first, TREES, DEEPEST)[:, :, :depth]
-                    meets = (prefix[i - first] == prefix[j - first]).all(2)
-                    good &= meets.argmax(1) == tree[i]
+                    good &= np.concatenate([_meets(prefix[p - first], prefix[q - first], tree[p]) for p, q in zip(np.array_split(i, len(i) // 4096 + 1), np.array_split(j, len(i) // 4096 + 1))])
                 a.append(i[good])
                 b.append(j[good])
             yield touched(pdf["node"].to_numpy(), pdf["weight"].to_numpy(), np.concatenate(a), np.concatenate(b))
 
-    dealt = comparisons(members, depth, rows).withColumn("bytes", F.length("hashes"))
-    return cells(dealt, "key", "node", BLOCK, rows, "bytes").mapInPandas(lean(run), TOUCHED)
+    compared = comparisons(members, depth, rows).withColumn("bytes", F.length("hashes"))
+    return cells(compared, "key", "node", BLOCK, rows, "bytes").mapInPandas(lean(run), TOUCHED)
 
 
 def _common(part: np.ndarray, size: np.ndarray, columns: int = 4096) -> np.ndarray:
@@ -266,7 +310,7 @@ def _classes(docs: DataFrame, words: int, threshold: tuple[int, int], target: fl
     return met.unionByName(alone.withColumns({"set_hash": none, "class_id": F.col("doc_id"), "n_links": F.lit(0).cast("long"), "first": none}))
 
 
-def near_texts(docs: DataFrame, words: int = 5, threshold: tuple[int, int] = (4, 5), target: float = 0.995, shallowest: int = 4) -> DataFrame:
+def near_texts(docs: DataFrame, words: int = 5, threshold: tuple[int, int] = (4, 5), target: float = 0.999, shallowest: int = 4) -> DataFrame:
     """(doc_id, class_id, n_links, kept) for every row of docs (doc_id, text).
 
     Two rows link when the Jaccard similarity of their sets of word shingles is at least threshold[0] / threshold[1].
@@ -279,7 +323,7 @@ def near_texts(docs: DataFrame, words: int = 5, threshold: tuple[int, int] = (4,
     return done.select("doc_id", "class_id", "n_links", F.col("doc_id").eqNullSafe(F.col("class_id")).alias("kept"))
 
 
-def keep_one(docs: DataFrame, words: int = 5, threshold: tuple[int, int] = (4, 5), target: float = 0.995, shallowest: int = 4) -> DataFrame:
+def keep_one(docs: DataFrame, words: int = 5, threshold: tuple[int, int] = (4, 5), target: float = 0.999, shallowest: int = 4) -> DataFrame:
     """The rows of docs that stay, with docs' own columns: of each class of near_texts the row with the smallest doc_id,
     and of several texts with this id one of them. Rows that repeat an id and its text share the verdict. Rows with
     null ids and texts without a word all stay."""

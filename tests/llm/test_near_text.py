@@ -76,7 +76,7 @@ def test_hot_group_and_lone_pairs(spark):
     got = near_text.near_texts(spark.createDataFrame(rows, "doc_id long, text string")).where("doc_id >= 1000 and n_links = 1").count() / 2
     print("lone pairs found", got)
     assert got >= 996  # 993 with prefixes of 7
-    assert near_text.prefix_depth(0.8, 0.995, 4) == 6 and near_text.prefix_depth(0.5, 0.995, 4) == 4
+    assert near_text.prefix_depth(0.8, 0.995, 4) == 6 and near_text.prefix_depth(0.8, 0.999, 4) == 5 and near_text.prefix_depth(0.5, 0.995, 4) == 4
 
 
 def test_odd_rows(spark):
@@ -118,6 +118,50 @@ def test_long_chain_is_compared_by_prefix(spark, monkeypatch):
     assert sum(n * (n - 1) for n in per) < 300 * 299
 
 
+def variants(n, rng):
+    """Texts near one base text, most of them near each other, and some that only share its prefixes."""
+    base = [f"w{i}" for i in range(200)]
+    rows = []
+    for i in range(n):
+        w = list(base)
+        for _ in range(rng.randint(0, 4)):
+            w[rng.randrange(len(w))] = f"x{rng.randint(0, 99)}"
+        rows.append((i, " ".join(w)))
+    return rows
+
+
+def test_edges_follow_the_size_of_a_group(spark, monkeypatch):
+    monkeypatch.setattr(near_text, "BLOCK", 32)
+    found = {}
+    for n in (300, 600, 1200):
+        docs = spark.createDataFrame(variants(n, random.Random(n)), "doc_id long, text string")
+        sets = near_text.numbered(near_text.signed(docs, 5).dropDuplicates(["set_hash"]))
+        edges = near_text.candidates(sets, 5, 0.8, n)
+        found[n] = (edges.count(), edges.distinct().count())
+    print("edges, distinct edges", found)
+    for n, (rows, distinct) in found.items():
+        assert distinct <= near_text.TREES * n and rows <= 2.2 * near_text.TREES * n
+    assert found[1200][0] <= 2.5 * found[600][0]
+
+
+def test_links_do_not_depend_on_blocks(spark, monkeypatch):
+    """Dense groups, chains and texts that share prefixes only get the same links whatever they are compared in."""
+    rng = random.Random(12)
+    rows = variants(150, rng)
+    rows += [(1000 + i, " ".join(f"c{j}" for j in range(4 * i, 4 * i + 100))) for i in range(150)]
+    common = [f"q{i}" for i in range(150)]
+    rows += [(2000 + i, " ".join(common + [f"own{i}x{j}" for j in range(rng.choice([10, 20, 35, 60]))])) for i in range(120)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string").repartition(3)
+    got = {}
+    for block in (256, 40, 9):
+        monkeypatch.setattr(near_text, "BLOCK", block)
+        got[block] = sorted((r.doc_id, r.class_id, r.n_links) for r in near_text.near_texts(docs).collect())
+    assert got[256] == got[40] == got[9]
+    want = brute(rows)
+    assert sum(n for _, _, n in got[9]) >= 0.999 * sum(n for _, n in want.values())
+    assert all(n <= want[d][1] for d, _, n in got[9])
+
+
 def test_signatures_estimate_similarity():
     a, b = [f"u{i}" for i in range(400)], [f"u{i}" for i in range(400)]
     b[200:240] = [f"v{i}" for i in range(40)]
