@@ -5,7 +5,10 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .loops import cut, search_frontier
+from .graphs import chains, components, shortened
+from .loops import cut_round as cut
+from .loops import search_frontier
+from .profile import union
 
 
 def degree(edges: DataFrame, types: list[str]) -> DataFrame:
@@ -31,50 +34,121 @@ def reach(edges: DataFrame, starts: DataFrame, depth: int | None = None, directi
 
 
 def component(edges: DataFrame, start: str) -> DataFrame:
-    """(src, dst, type): the edges of the undirected component of a node."""
-    nodes = reach(edges, edges.sparkSession.createDataFrame([(start,)], "node string"), direction="both")
-    return edges.join(nodes.select(F.col("node").alias("src")), "src", "left_semi")
+    """(src, dst, type): the edges of the undirected component of a node, in rounds by the logarithm of its paths."""
+    found = cut(components(edges.select(F.col("src").alias("node"), F.col("dst").alias("root"))))
+    own = found.where(F.col("node") == start).select("component")
+    nodes = found.join(F.broadcast(own), "component").select(F.col("node").alias("src"))  # own is one row
+    alone = edges.sparkSession.createDataFrame([(start,)], "src string").select(F.col("src").cast(edges.schema["src"].dataType).alias("src"))
+    return edges.join(nodes.unionByName(alone).distinct(), "src", "left_semi")
+
+
+def _ends(edges: DataFrame) -> DataFrame:
+    return edges.select(F.col("src").alias("node")).unionByName(edges.select(F.col("dst").alias("node"))).distinct()
+
+
+def _without(edges: DataFrame, nodes: DataFrame, *sides: str) -> DataFrame:
+    for side in sides:
+        edges = edges.join(nodes.select(F.col("node").alias(side)), side, "left_anti")
+    return edges
+
+
+def _longest(base: DataFrame) -> DataFrame:
+    return base.groupBy("node").agg(F.max("base").alias("base"))
 
 
 def levels(edges: DataFrame) -> DataFrame:
-    """(node, level): the longest path from a root, by peeling nodes without edges into them; what is left lies on or
-    behind a cycle and gets one level more than the highest. Self loops are ignored. A level is one job: edges into the
-    nodes that are left are counted down by those of the nodes just peeled."""
-    steps = cut(edges.where("src <> dst").select("src", "dst").distinct())
-    nodes = edges.select(F.col("src").alias("node")).union(edges.select(F.col("dst").alias("node"))).distinct()
-    into = steps.groupBy(F.col("dst").alias("node")).agg(F.count(F.lit(1)).alias("n"))
-    state = cut(nodes.join(into, "node", "left").select("node", F.coalesce("n", F.lit(0)).alias("n")))
-    done, level = None, 0
-    while not (peeled := state.where("n = 0").select("node")).isEmpty():
-        found = peeled.withColumn("level", F.lit(level))
-        done = found if done is None else done.unionByName(found)
-        gone = peeled.join(steps, peeled["node"] == steps["src"]).groupBy("dst").agg(F.count(F.lit(1)).alias("k"))
-        left = state.where("n > 0").join(gone, F.col("node") == F.col("dst"), "left")
-        state = cut(left.select("node", (F.col("n") - F.coalesce("k", F.lit(0))).alias("n")))
-        level += 1
-    rest = state.select("node", F.lit(level).alias("level"))
-    return rest if done is None else done.unionByName(rest)
-
-
-def _peeled(edges: DataFrame) -> DataFrame:
-    """Edges left when nodes without edges into them or out of them are taken away, again and again."""
-    size = edges.count()
+    """(node, level): the longest path from a root; what lies on or behind a cycle gets one level more than the highest. Self
+    loops are ignored.
+
+    A round shortens every chain to one edge of its length, and then takes away what has no edges in, whose level is known,
+    and what has no edges out, whose level follows from the nodes before it at the end. So a path or a tree takes rounds by
+    the logarithm of its size; only where edges part and meet again all along do rounds follow the depth. What is taken
+    away gets its level in the reverse order of the rounds.
+    """
+    nodes = _ends(edges)
+    left = cut(edges.where("src <> dst").select("src", "dst").distinct().withColumn("w", F.lit(1).cast("long")))
+    base = nodes.select("node", F.lit(None).cast("long").alias("base")).limit(0)
+    known = [nodes.join(_ends(left), "node", "left_anti").select("node", F.lit(0).cast("long").alias("level"))]
+    later: list[tuple[str, DataFrame]] = []
+    size = left.count()
     while size:
-        edges = cut(edges.join(edges.select(F.col("dst").alias("src")).distinct(), "src", "left_semi").join(edges.select(F.col("src").alias("dst")).distinct(), "dst", "left_semi"))
-        now = edges.count()
+        chain = chains(left, base)
+        later.append(("chain", chain.where("not ring").select("node", "head", "dist", "base")))
+        left, over = shortened(left, chain)
+        left, base = cut(left), cut(_longest(base.unionByName(over)))
+        sources, targets = left.select(F.col("src").alias("node")).distinct(), left.select(F.col("dst").alias("node")).distinct()
+        roots = cut(sources.join(targets, "node", "left_anti").join(base, "node", "left").select("node", F.coalesce("base", F.lit(0)).alias("level")))
+        leaves = cut(targets.join(sources, "node", "left_anti"))
+        known.append(roots)
+        into = left.join(leaves.select(F.col("node").alias("dst")), "dst").join(base.withColumnRenamed("node", "dst"), "dst", "left")
+        later.append(("leaf", cut(into.select(F.col("dst").alias("node"), F.col("src").alias("head"), F.col("w").alias("dist"), "base"))))
+        passed = left.join(roots.select(F.col("node").alias("src"), "level"), "src").select(F.col("dst").alias("node"), (F.col("level") + F.col("w")).alias("base"))
+        base = cut(_longest(base.unionByName(passed)))
+        middle = _ends(left).join(roots, "node", "left_anti").join(leaves, "node", "left_anti")
+        left = cut(_without(_without(left, roots, "src"), leaves, "dst"))
+        # what has lost all its edges had none in but from roots
+        known.append(cut(middle.join(_ends(left), "node", "left_anti").join(base, "node").select("node", F.col("base").alias("level"))))
+        now = left.count()
         if now == size:
             break
         size = now
-    return edges
+    known.append(_ends(left).select("node", F.lit(None).cast("long").alias("level")))  # on or behind a cycle
+    level = cut(union(known))
+    for kind, rows in reversed(later):
+        if rows.isEmpty():
+            continue
+        met = rows.join(level.select(F.col("node").alias("head"), "level"), "head")
+        reached = F.when(F.col("level").isNotNull(), F.greatest("base", F.col("level") + F.col("dist")))
+        if kind == "leaf":
+            met = met.groupBy("node").agg(F.when(F.count(reached) == F.count("*"), F.max(reached)).alias("level"))
+        else:
+            met = met.select("node", reached.alias("level"))
+        level = cut(level.unionByName(met))
+    top = level.agg((F.coalesce(F.max("level"), F.lit(-1)) + 1).alias("top"))
+    return level.join(F.broadcast(top)).select("node", F.coalesce("level", "top").cast("int").alias("level"))  # top is one row
 
 
 def cycle_nodes(edges: DataFrame) -> DataFrame:
-    """(node): nodes on a cycle of two or more. After peeling, strongly connected parts are found by passing the largest
-    name forward and coming back from the nodes that keep their own; parts of one node are no cycle."""
-    left = _peeled(cut(edges.where("src <> dst").select("src", "dst").distinct()))
-    found = None
+    """(node): nodes on a cycle of two or more.
+
+    Rounds as of levels() take away what has no edges in or no edges out, and shorten every chain to one edge; so rings,
+    paths and trees take rounds by the logarithm of their size. In what is left, strongly connected parts are found by
+    passing the largest name forward and coming back from the nodes that keep their own. A chain is on a cycle if the edge
+    in its place is: if both its ends are in one part.
+    """
+    left = cut(edges.where("src <> dst").select("src", "dst").distinct().withColumn("w", F.lit(1).cast("long")))
+    none = _ends(left).select("node", F.lit(None).cast("long").alias("base")).limit(0)
+    rings, rounds, size = [], [], left.count()
+    while size:
+        chain = chains(left, none)
+        rings.append(chain.where("ring").select("node", F.col("first").alias("part")))
+        tails = chain.where("not ring").join(chain.select(F.col("node").alias("next")), "next", "left_anti").select("first", F.col("next").alias("tail"))
+        held = cut(chain.where("not ring").join(tails, "first").select("node", "head", "tail"))
+        left, _ = shortened(left, chain)
+        left = cut(_without(left, chain.where("ring").select("node"), "src"))
+        loops = cut(left.where("src = dst").select(F.col("src").alias("node")))
+        rounds.append((held, loops))
+        left = left.where("src <> dst")
+        sources, targets = left.select(F.col("src").alias("dst")).distinct(), left.select(F.col("dst").alias("src")).distinct()
+        left = cut(left.join(sources, "dst", "left_semi").join(targets, "src", "left_semi"))
+        now = left.count()
+        if now == size:
+            break
+        size = now
+    part = cut(union([_strong_parts(left.select("src", "dst")), *rings]))
+    for held, loops in reversed(rounds):
+        part = cut(part.unionByName(loops.join(part, "node", "left_anti").select("node", F.col("node").alias("part"))))
+        ends = [part.select(F.col("node").alias(e), F.col("part").alias(f"{e}_part")) for e in ("head", "tail")]
+        same = held.join(ends[0], "head").join(ends[1], "tail").where("head_part = tail_part").select("node", F.col("head_part").alias("part"))
+        part = cut(part.unionByName(same))
+    return part.select("node").distinct()
+
+
+def _strong_parts(left: DataFrame) -> DataFrame:
+    """(node, part): the strongly connected parts of two nodes or more."""
+    found = left.select(F.col("src").alias("node"), F.col("src").alias("part")).limit(0)
     while not left.isEmpty():
-        color = cut(left.select(F.col("src").alias("node")).distinct().withColumn("color", F.col("node")))
+        color = cut(_ends(left).withColumn("color", F.col("node")))
         while True:
             passed = left.join(color.withColumnRenamed("node", "src"), "src").groupBy(F.col("dst").alias("node")).agg(F.max("color").alias("got"))
             new = cut(color.join(passed, "node", "left").select("node", F.greatest("color", "got").alias("color"), (F.coalesce("got", "color") > F.col("color")).alias("up")))
@@ -82,15 +156,17 @@ def cycle_nodes(edges: DataFrame) -> DataFrame:
             if new.where("up").isEmpty():
                 break
         same = color.select(F.col("node").alias("src"), F.col("color").alias("a")).join(left, "src").join(color.select(F.col("node").alias("dst"), F.col("color").alias("b")), "dst").where("a = b").select("src", "dst")
-        same = cut(same)
-        part = reach(same, color.where("node = color").select("node"), direction="in")
-        own = cut(color.join(part.select("node"), "node", "left_semi"))
-        big = own.join(own.groupBy("color").agg(F.count(F.lit(1)).alias("n")).where("n > 1"), "color", "left_semi").select("node")
-        found = big if found is None else found.unionByName(big)
-        gone = own.select("node")
-        left = left.join(gone.withColumnRenamed("node", "src"), "src", "left_anti").join(gone.withColumnRenamed("node", "dst"), "dst", "left_anti")
-        left = _peeled(cut(left))
-    return found if found is not None else edges.select(F.col("src").alias("node")).limit(0)
+        back = reach(cut(same), color.where("node = color").select("node"), direction="in")
+        own = cut(color.join(back.select("node"), "node", "left_semi"))
+        big = own.groupBy("color").agg(F.count(F.lit(1)).alias("n")).where("n > 1")
+        found = found.unionByName(own.join(big, "color", "left_semi").select("node", F.col("color").alias("part")))
+        left = cut(_without(left, own, "src", "dst"))
+        size = left.count()
+        while size:  # what has no edges in or out is on no cycle
+            left = cut(left.join(left.select(F.col("dst").alias("src")).distinct(), "src", "left_semi").join(left.select(F.col("src").alias("dst")).distinct(), "dst", "left_semi"))
+            if size == (size := left.count()):
+                break
+    return found
 
 
 def resolve(calls: DataFrame, assigned: DataFrame, known: DataFrame) -> DataFrame:
@@ -110,13 +186,34 @@ def entity_filter(entities: DataFrame, kinds=None, files=None, hidden: DataFrame
     return out if hidden is None else out.join(hidden.select("id"), "id", "left_anti")
 
 
-def interval_gaps(intervals: DataFrame, total: DataFrame | None = None) -> DataFrame:
+def sliced(intervals: DataFrame, parts: int | None = None) -> DataFrame:
+    """intervals (owner, start, size) with the range (slice) of the order by owner, start and size that each lies in, stored.
+    An owner with many intervals, and one with many equal ones, is spread over many ranges of about the same size."""
+    order = ["owner", "start", "size", "salt"]
+    salted = intervals.select("owner", "start", "size").withColumn("salt", F.monotonically_increasing_id())
+    ranged = salted.repartitionByRange(parts, *order) if parts else salted.repartitionByRange(*order)
+    return cut(ranged.drop("salt").withColumn("slice", F.spark_partition_id()))
+
+
+def interval_gaps(intervals: DataFrame, total: DataFrame | None = None, parts: int | None = None) -> DataFrame:
     """(owner, gap_start, gap_size): room before each interval (owner, start, size) that none before it covers, and up
-    to the owner's total (owner, total) behind the last one."""
-    by = Window.partitionBy("owner").orderBy("start", "size")
-    reached = F.coalesce(F.max(F.col("start") + F.col("size")).over(by.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
-    inner = intervals.select("owner", reached.alias("gap_start"), (F.col("start") - reached).alias("gap_size"))
+    to the owner's total (owner, total) behind the last one.
+
+    The running maximum of the ends is taken within each range of the whole order; an owner that lies in several ranges
+    carries the maximum of its ranges before into the next. At most two owners of a range do, so what is carried is sent to
+    all tasks, and no owner is one task's work.
+    """
+    rows = sliced(intervals, parts)
+    end = F.col("start") + F.col("size")
+    tops = rows.groupBy("owner", "slice").agg(F.max(end).alias("top"))
+    by_owner = Window.partitionBy("owner")
+    before = F.max("top").over(by_owner.orderBy("slice").rowsBetween(Window.unboundedPreceding, -1))
+    carried = tops.withColumn("n", F.count(F.lit(1)).over(by_owner)).withColumn("carried", before).where("n > 1").select("owner", "slice", "carried")
+    inside = F.max(end).over(Window.partitionBy("owner", "slice").orderBy("start", "size").rowsBetween(Window.unboundedPreceding, -1))
+    met = rows.withColumn("inside", inside).join(F.broadcast(carried), ["owner", "slice"], "left")
+    reached = F.coalesce(F.greatest("inside", "carried"), F.lit(0))
+    inner = met.select("owner", reached.alias("gap_start"), (F.col("start") - reached).alias("gap_size"))
     if total is not None:
-        ends = intervals.groupBy("owner").agg(F.max(F.col("start") + F.col("size")).alias("gap_start")).join(total, "owner")
+        ends = tops.groupBy("owner").agg(F.max("top").alias("gap_start")).join(total, "owner")
         inner = inner.unionByName(ends.select("owner", "gap_start", (F.col("total") - F.col("gap_start")).alias("gap_size")))
     return inner.where("gap_size > 0")

@@ -35,6 +35,15 @@ def cut(df: DataFrame) -> DataFrame:
     return df.checkpoint(eager=True)
 
 
+def cut_round(df: DataFrame) -> DataFrame:
+    """df written to a table in the shared folder and read again. Unlike a checkpoint the table hands on nothing of what the
+    optimizer had estimated and inferred; in a loop that joins its rounds with each other these would square with every
+    round, and planning would take longer than the work."""
+    path = scratch(df.sparkSession, "round")
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
 def search_frontier(start: DataFrame, hop: Callable[[DataFrame, int], DataFrame], key: list[str], depth: int | None = None) -> DataFrame:
     """All rows reached from start by hop(frontier, depth), each key once, at its first depth."""
     seen = frontier = cut(start.dropDuplicates(key))
