@@ -83,7 +83,10 @@ def cast(df: DataFrame, column: str, old: str, new: str) -> DataFrame:
     elif base in WIDENING:
         return df.limit(0)
     target = SPARK_TYPE.get(base[1]) or (f"decimal({has[0]},{(has[1:] or [0])[0]})" if base[1] in ("numeric", "decimal") and has else new)
-    return df.where(value.isNotNull() & value.try_cast(target).isNull())
+    became = value.try_cast(target)
+    # within numbers of fixed point, rounding is a loss, too
+    lost = became.isNull() | (became != value) if base[0] == base[1] and base[1] in ("numeric", "decimal") else became.isNull()
+    return df.where(value.isNotNull() & lost)
 
 
 def length(df: DataFrame, column: str, most: int) -> DataFrame:

@@ -79,12 +79,13 @@ def encode_enum(df: DataFrame, column: str) -> DataFrame:
     """df with `<column>_code`, the place of the value among the sorted distinct values. Distinct values are counted
     first: a few, as discovered enums have, are ranked at once and broadcast; others are ranked by ranges and met in a
     shuffle."""
-    values = df.select(F.col(column).alias("v")).dropna().distinct()
+    rows = df.select(F.struct(*[F.col(f"`{c}`") for c in df.columns]).alias("row"), F.col(f"`{column}`").alias("v"))
+    values = rows.select("v").dropna().distinct()
     if values.count() <= 1000:
         codes = F.broadcast(values.withColumn("code", F.row_number().over(Window.orderBy("v"))))
     else:
         codes = pk_surrogate(values, "code", ["v"])
-    return df.join(codes, F.col(column) == F.col("v"), "left").drop("v").withColumnRenamed("code", f"{column}_code")
+    return rows.join(codes, "v", "left").select("row.*", F.col("code").alias(f"{column}_code"))
 
 
 def dead_columns(keyed: DataFrame) -> DataFrame:

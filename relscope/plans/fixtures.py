@@ -80,15 +80,23 @@ def given(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def view(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    """A fixture as a Spark DataFrame."""
-    text = text_of(name)
-    used = {t for t in GIVEN if "{" + t + "}" in text}
-    for t in used:
+def filled(spark: SparkSession, sf_dir: str, text: str) -> DataFrame:
+    """SQL over given tables, named in braces, as a Spark DataFrame."""
+    for t in (t for t in GIVEN if "{" + t + "}" in text):
         given(spark, sf_dir, t).createOrReplaceTempView(f"given_{t}")
     return spark.sql(_fill(text, lambda t: f"given_{t}"))
 
 
+def filled_sql(text: str) -> str:
+    """The same SQL for the oracle."""
+    return _fill(text, str)
+
+
+def view(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    """A fixture as a Spark DataFrame."""
+    return filled(spark, sf_dir, text_of(name))
+
+
 def shop(spark: SparkSession, sf_dir: str, names=None) -> dict[str, DataFrame]:
     return {n: view(spark, sf_dir, n) for n in (names or SHOP)}
 

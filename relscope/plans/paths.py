@@ -10,7 +10,7 @@ from ..operators import relationships
 from ..operators.loops import scratch
 from ..sources import readers
 from .facts import BY_NAME, CARD, KEYED, keyed_of
-from .fixtures import SHOP, columns, given, shop, sql, view
+from .fixtures import SHOP, columns, filled, filled_sql, given, shop, sql, view
 
 QUERIES: dict = {}
 ORACLE: dict = {}
@@ -36,26 +36,42 @@ def _(spark, sf_dir):
     return readers.read_csv_table(spark, path)
 
 
-META_PK = [("Customers", "name"), ("ORDERS", "order_id"), ("missing", "x")]
-META_FK = [("orders", "agent_ref", "customers", "customer_id"), ("Orders", "agent_ref", "Customers", "customer_id"), ("accounts", "customer_ref", "customers", "customer_id"), ("nations", "region_id", "absent", "id")]
-META_COLUMNS = [("customers", "active", "bit", "YES"), ("orders", "total", " money ", "NO"), ("articles", "body", "nvarchar", None)]
+#: Declared metadata as an export would have it, derived from the given tables: keys and references between names as they
+#: are stored in other cases, repeated, missing and padded; a type for every event type, by the rows that have it.
+META_PK = "SELECT * FROM (SELECT CASE WHEN r_regionkey = 0 THEN 'Customers' WHEN r_regionkey = 1 THEN 'ORDERS' ELSE r_name END AS t, CASE WHEN r_regionkey = 0 THEN 'name' WHEN r_regionkey = 1 THEN 'order_id' ELSE 'x' END AS c FROM {region}) m"
+META_FK = (
+    "SELECT CASE WHEN n_nationkey % 4 = 0 THEN 'orders' WHEN n_nationkey % 4 = 1 THEN 'Orders' WHEN n_nationkey % 4 = 2 THEN 'accounts' ELSE 'nations' END AS pt, "
+    "CASE WHEN n_nationkey % 4 < 2 THEN 'agent_ref' WHEN n_nationkey % 4 = 2 THEN 'customer_ref' ELSE 'region_id' END AS pc, "
+    "CASE WHEN n_nationkey % 4 = 3 THEN n_name ELSE 'customers' END AS rt, CASE WHEN n_nationkey % 4 = 3 THEN 'id' ELSE 'customer_id' END AS rc FROM {nation}"
+)
+META_COLUMNS = (
+    "SELECT CASE p_partkey % 3 WHEN 0 THEN 'customers' WHEN 1 THEN 'orders' ELSE 'articles' END AS t, CASE p_partkey % 3 WHEN 0 THEN 'active' WHEN 1 THEN 'total' ELSE 'body' END AS c, "
+    "CASE p_partkey % 3 WHEN 0 THEN 'bit' WHEN 1 THEN ' money ' ELSE 'nvarchar' END AS d, CASE p_partkey % 3 WHEN 0 THEN 'YES' WHEN 1 THEN 'NO' END AS n FROM {part} GROUP BY p_partkey % 3"
+)
 
 
-def _metadata(spark):
+def _metadata(spark, sf_dir):
     """The three exports, written as CSV and read as such, and their table names mapped to the shop's."""
     paths = []
-    for rows, schema in ((META_PK, "`TableName ` string, ColumnName string"), (META_FK, "ParentTable string, ParentColumn string, ReferencedTable string, ReferencedColumn string"), (META_COLUMNS, "TableName string, ColumnName string, DataType string, IsNullable string")):
+    for text, names in ((META_PK, ["TableName ", "ColumnName"]), (META_FK, ["ParentTable", "ParentColumn", "ReferencedTable", "ReferencedColumn"]), (META_COLUMNS, ["TableName", "ColumnName", "DataType", "IsNullable"])):
         paths.append(scratch(spark, "metadata"))
-        spark.createDataFrame(rows, schema).write.csv(paths[-1], header=True)
+        filled(spark, sf_dir, text).toDF(*names).write.csv(paths[-1], header=True)
     pk, fk, col = readers.read_metadata(spark, *paths)
     names = pk.select("table_name").union(fk.select("parent_table")).union(fk.select("referenced_table")).union(col.select("table_name")).distinct().toDF("meta_name")
     loaded = spark.createDataFrame([(n, i) for i, n in enumerate(SHOP)], "loaded_name string, position int")
     return pk, fk, col, readers.map_meta_names(names, loaded)
 
 
-@query("src_metadata", "SELECT * FROM (VALUES ('customers', 'active', 'BOOLEAN', true), ('orders', 'total', 'FLOAT', false), ('articles', 'body', 'VARCHAR', true)) v(source_table, source_column, declared_type, is_nullable)")
+DECLARED = f"d AS (SELECT DISTINCT lower(pt) AS source_table, pc AS source_column, rt AS target_table, rc AS target_column FROM ({filled_sql(META_FK)}) WHERE rt = 'customers')"
+DECLARED_ROWS = f"""declared AS (SELECT d.*, {CARD} AS type, 'high' AS confidence FROM d JOIN keyed s ON s."table" = source_table AND s."column" = source_column JOIN keyed t ON t."table" = target_table AND t."column" = target_column)"""
+
+
+@query(
+    "src_metadata",
+    f"SELECT t AS source_table, c AS source_column, CASE trim(d) WHEN 'bit' THEN 'BOOLEAN' WHEN 'money' THEN 'FLOAT' ELSE 'VARCHAR' END AS declared_type, coalesce(n, 'YES') = 'YES' AS is_nullable FROM ({filled_sql(META_COLUMNS)})",
+)
 def _(spark, sf_dir):
-    _, _, col, names = _metadata(spark)
+    _, _, col, names = _metadata(spark, sf_dir)
     there = prof.columns(shop(spark, sf_dir)).select("table", "column")
     met = col.join(names, F.col("table_name") == F.col("meta_name"))
     return met.join(there, (F.col("loaded_name") == F.col("table")) & (F.col("column_name") == F.col("column"))).select(F.col("loaded_name").alias("source_table"), F.col("column_name").alias("source_column"), "declared_type", "is_nullable")
@@ -89,23 +105,34 @@ def _(spark, sf_dir):
     CASE WHEN ("table", "column") IN (('customers', 'active'), ('articles', 'body')) THEN true WHEN ("table", "column") = ('orders', 'total') THEN false ELSE nullable END AS nullable FROM keyed""",
 )
 def _(spark, sf_dir):
-    pk, _, col, names = _metadata(spark)
+    pk, _, col, names = _metadata(spark, sf_dir)
     return readers.apply_metadata(keyed_of(spark, sf_dir), pk, col, names).select("table", "column", "key_type", "type", "nullable")
 
 
 @query(
     "rel_metadata",
-    f"""WITH {KEYED}, d AS (SELECT * FROM (VALUES ('orders', 'agent_ref', 'customers', 'customer_id'), ('accounts', 'customer_ref', 'customers', 'customer_id')) v(source_table, source_column, target_table, target_column))
-    SELECT d.*, {CARD} AS type, 'high' AS confidence, CASE WHEN s.key_type = 'PK' THEN 'PK' ELSE 'FK' END AS key_type FROM d JOIN keyed s ON s."table" = source_table AND s."column" = source_column JOIN keyed t ON t."table" = target_table AND t."column" = target_column""",
+    f"""WITH {KEYED}, {DECLARED}, {DECLARED_ROWS}
+    SELECT declared.*, CASE WHEN s.key_type = 'PK' THEN 'PK' ELSE 'FK' END AS key_type FROM declared JOIN keyed s ON s."table" = source_table AND s."column" = source_column""",
 )
 def _(spark, sf_dir):
-    _, fk, _, names = _metadata(spark)
+    _, fk, _, names = _metadata(spark, sf_dir)
     keyed = keyed_of(spark, sf_dir)
     rels = relationships.declared(fk, names, keyed)
     marked = relationships.mark_declared(keyed, rels).select(F.col("table").alias("source_table"), F.col("column").alias("source_column"), "key_type")
     return rels.join(marked, ["source_table", "source_column"])
 
 
+@query(
+    "rel_combine_metadata",
+    f"""WITH {BY_NAME}, {DECLARED}, {DECLARED_ROWS}, every AS (SELECT *, 'metadata' AS origin, 0 AS r FROM declared UNION ALL SELECT *, 'name', 1 FROM by_name UNION ALL SELECT *, 'self', 2 FROM selfs)
+    SELECT * EXCLUDE (r) FROM every QUALIFY row_number() OVER (PARTITION BY source_table, source_column, target_table, target_column ORDER BY r) = 1""",
+)
+def _(spark, sf_dir):
+    _, fk, _, names = _metadata(spark, sf_dir)
+    keyed = keyed_of(spark, sf_dir)
+    return relationships.combine({"metadata": relationships.declared(fk, names, keyed), "name": relationships.by_name(keyed), "self": relationships.self_references(keyed)})
+
+
 @query("table_group", "SELECT event_id, CASE WHEN strpos(event_type || '_' || CAST(user_id AS VARCHAR), '_') > 0 THEN split_part(event_type || '_' || CAST(user_id AS VARCHAR), '_', 1) ELSE '' END AS table_group FROM events")
 def _(spark, sf_dir):
     return given(spark, sf_dir, "events").select("event_id", readers.table_group(F.concat_ws("_", "event_type", F.col("user_id").cast("string"))).alias("table_group"))

@@ -213,33 +213,41 @@ def _rebuild(spark, sf_dir):
     return tables, prof.settled(restructure.rebuild_columns(tables, keyed, types)), prof.settled(relationships.by_name(keyed))
 
 
-#: What each column of a rebuilt table holds: counts over all rows, and its least and greatest value as text.
+def _checked(value, number):
+    """A value as a number that both engines derive alike: of its text by md5, of a number with two decimals in hundredths."""
+    return f"CAST(round({value} * 100) AS BIGINT)" if number else f"CAST('0x' || substr(md5(CAST({value} AS VARCHAR)), 1, 8) AS BIGINT)"
+
+
+#: What each column of a rebuilt table holds: counts over all rows, and a sum over all its values.
 _CONTENT = " UNION ALL ".join(
-    f"SELECT '{SINGULAR[t]}' AS \"table\", '{c}' AS \"column\", count(*) AS n_rows, count({c}) AS n_values, count(DISTINCT {c}) AS n_distinct, CAST(sum(length(CAST({c} AS VARCHAR))) AS BIGINT) AS n_chars FROM {sql(t)}"
-    for t in SHOP for c, k in columns(t) if k != "FLOAT"
+    f"SELECT '{SINGULAR[t]}' AS \"table\", '{c}' AS \"column\", count(*) AS n_rows, count({c}) AS n_values, count(DISTINCT {c}) AS n_distinct, CAST(sum({_checked(c, k == 'FLOAT')}) AS BIGINT) AS checksum FROM {sql(t)}"
+    for t in SHOP for c, k in columns(t)
 )
+STORED = "CASE target WHEN 'smallint' THEN 'smallint' WHEN 'integer' THEN 'int' WHEN 'bigint' THEN 'bigint' WHEN 'timestamptz' THEN 'timestamp' WHEN 'double precision' THEN 'double' WHEN 'numeric(15,2)' THEN 'decimal(15,2)' ELSE 'string' END"
 
 
 @query(
     "rebuild_tables",
-    f"""WITH {PLAN}, content AS ({_CONTENT}) SELECT c.*, NOT not_null AS nullable, CASE target WHEN 'smallint' THEN 'smallint' WHEN 'integer' THEN 'int' WHEN 'bigint' THEN 'bigint' WHEN 'timestamptz' THEN 'timestamp' ELSE 'string' END AS stored FROM content c JOIN plan p ON p.t = c."table" AND p."column" = c."column"
+    f"""WITH {PLAN}, content AS ({_CONTENT}) SELECT c.*, NOT not_null AS nullable, {STORED} AS stored FROM content c JOIN plan p ON p.t = c."table" AND p."column" = c."column"
     UNION ALL SELECT t, t || '_id', max(row_count), max(row_count), max(row_count), NULL, false, 'bigint' FROM plan WHERE t IN (SELECT t FROM keyless) GROUP BY t""",
 )
 def _(spark, sf_dir):
     tables, plan, rels = _rebuild(spark, sf_dir)
     made, _ = restructure.rebuild_tables(tables, plan, rels)
-    before, parts = {r["new_table"]: r["table"] for r in plan.select("table", "new_table").distinct().collect()}, []
+    before, sums, kinds = {r["new_table"]: r["table"] for r in plan.select("table", "new_table").distinct().collect()}, [], []
     for name, df in made.items():
+        own = set(tables[before[name]].columns)
+        kinds += [(name, f.name, f.nullable and f.name in own, f.dataType.simpleString()) for f in df.schema.fields]
+        each = []
         for f in df.schema.fields:
-            if f.dataType.simpleString() in ("double", "decimal(15,2)"):
-                continue
             c = F.col(f.name)
-            own = f.name in tables[before[name]].columns
-            chars = F.sum(F.length(c.cast("string"))) if own else F.lit(None).cast("long")
-            digest = df.agg(F.count(F.lit(1)).alias("n_rows"), F.count(c).alias("n_values"), F.count_distinct(c).alias("n_distinct"), chars.alias("n_chars"))
-            # a surrogate key is new to the table and counts up from the rows' places, so only its uniqueness is compared
-            parts.append(digest.select(F.lit(name).alias("table"), F.lit(f.name).alias("column"), "*", F.lit(f.nullable and own).alias("nullable"), F.lit(f.dataType.simpleString()).alias("stored")))
-    return prof.union(parts)
+            value = F.round(c * 100).cast("long") if f.dataType.simpleString() in ("double", "decimal(15,2)") else F.conv(F.substring(F.md5(c.cast("string").cast("binary")), 1, 8), 16, 10).cast("long")
+            # a surrogate key is new to the table and unique in no order, so its values are not compared
+            each.append(F.struct(F.lit(f.name).alias("column"), (F.sum(value) if f.name in own else F.lit(None).cast("long")).alias("checksum")))
+        sums.append(df.agg(F.array(*each).alias("all")).select(F.lit(name).alias("table"), F.explode("all").alias("c")).select("table", "c.*"))
+    facts = prof.profile(made).select("table", "column", F.col("row_count").alias("n_rows"), F.col("total_count").alias("n_values"), F.col("unique_count").alias("n_distinct"))
+    kinds = spark.createDataFrame(kinds, "table string, column string, nullable boolean, stored string")
+    return facts.join(prof.union(sums), ["table", "column"]).join(kinds, ["table", "column"])
 
 
 @query(
@@ -293,6 +301,16 @@ def _(spark, sf_dir):
     return constraints.foreign_key(view(spark, sf_dir, "orders_dangling"), ["customer_id"], view(spark, sf_dir, "customers"), ["customer_id"]).select("order_id", "customer_id")
 
 
+@query(
+    "check_fk_composite",
+    f"SELECT order_id, line_number FROM {sql('lineitems')} l WHERE part_id % 100 <> 0 AND NOT EXISTS (SELECT 1 FROM {sql('supply')} s WHERE s.part_id = l.part_id AND s.supplier_id = l.supplier_id AND s.part_id % 10 <> 7)",
+)
+def _(spark, sf_dir):
+    lines = view(spark, sf_dir, "lineitems").withColumn("part_id", F.expr("CASE WHEN part_id % 100 <> 0 THEN part_id END"))
+    supply = view(spark, sf_dir, "supply").where("part_id % 10 <> 7").select(F.col("part_id").alias("p"), F.col("supplier_id").alias("s"))
+    return constraints.foreign_key(lines, ["part_id", "supplier_id"], supply, ["p", "s"]).select("order_id", "line_number")
+
+
 @query("check_expr", f"SELECT customer_id, balance FROM {sql('customers')} WHERE NOT (balance >= 0 OR note IS NOT NULL)")
 def _(spark, sf_dir):
     return constraints.expression(view(spark, sf_dir, "customers"), "balance >= 0 or note is not null").select("customer_id", "balance")
@@ -316,6 +334,12 @@ def _(spark, sf_dir):
     return total.select("order_id", F.lit("total").alias("column")).unionByName(status.select("order_id", F.lit("status").alias("column")))
 
 
+@query("check_cast_digits", f"SELECT order_id FROM {sql('orders')} WHERE order_id % 2 = 1")
+def _(spark, sf_dir):
+    eighths = view(spark, sf_dir, "orders").select("order_id", F.expr("CAST(order_id / 8 AS DECIMAL(15, 3))").alias("eighths"))
+    return constraints.cast(eighths, "eighths", "numeric(15,3)", "numeric(15,2)").select("order_id")
+
+
 FORMS = ["smallint", "integer", "bigint", "serial", "numeric(15,2)", "decimal", "text", "varchar(50)", "timestamp", "timestamptz", "uuid"]
 LIST = "[" + ", ".join(f"'{f}'" for f in FORMS) + "]"
 #: The types that go together, written out for the oracle.
