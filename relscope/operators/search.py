@@ -8,6 +8,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from .loops import cut, search_frontier
+from ..sources.readers import sink_bucketed
 from .profile import union, unpivoted
 
 PER_TABLE, TOTAL = 100, 500
@@ -61,22 +62,50 @@ def search_fields(df: DataFrame, fields: list[str], query: str, key: str, most:
     return df.where(any_).orderBy(key).limit(most)
 
 
-def trace(tables: dict[str, DataFrame], rels: DataFrame, seeds: DataFrame, max_depth: int = 5) -> tuple[DataFrame, DataFrame]:
+#: Seeds up to this number are looked up in the buckets of their values alone.
+FEW_SEEDS = 100
+
+
+def value_index(tables: dict[str, DataFrame], rels: DataFrame, path: str, buckets: int = 64) -> DataFrame:
+    """(value, table, column): where each value of the columns at the ends of the relationships occurs, stored in buckets of
+    the value. Traces that are given it neither scan nor shuffle the tables."""
+    return sink_bucketed(union(_ends(tables, rels)).distinct(), path, ["value"], buckets)
+
+
+def _ends(tables: dict[str, DataFrame], rels: DataFrame) -> list[DataFrame]:
+    """(table, column, value) of the cells of each table that stand at an end of a relationship."""
+    ends = [tuple(r) for r in rels.select("source_table", "source_column").union(rels.select("target_table", "target_column")).distinct().collect()]
+    parts = []
+    for name in sorted({t for t, _ in ends}):
+        columns = sorted(c for t, c in ends if t == name)
+        labels = F.element_at(F.array(*map(F.lit, columns)), F.col("ordinal") + 1)
+        parts.append(unpivoted(tables[name], columns).select(F.lit(name).alias("table"), labels.alias("column"), "value"))
+    return parts
+
+
+def looked_up(index: DataFrame, seeds: DataFrame) -> DataFrame:
+    """(table, column, value) of an index for the seeds' values: from the buckets of a few values, or by a join in which the
+    index stays where it is."""
+    wanted = seeds.where("value is not null").select("value").distinct()
+    some = [r["value"] for r in wanted.limit(FEW_SEEDS + 1).collect()]
+    found = index.where(F.col("value").isin(some)) if len(some) <= FEW_SEEDS else index.join(wanted, "value", "left_semi")
+    return found.select("table", "column", "value")
+
+
+def trace(tables: dict[str, DataFrame], rels: DataFrame, seeds: DataFrame, max_depth: int = 5, index: DataFrame | None = None) -> tuple[DataFrame, DataFrame]:
     """Nodes (seed_id, table, column, values, depth) and edges (seed_id, from_table, from_column, to_table, to_column).
 
     seeds: (seed_id, table, column, value). rels: (rank, source_table, source_column, target_table, target_column),
     followed both ways. A node is a column that the seed's value occurs in; the start is a node even if it does not.
     Each reached node has one edge: of the lowest rank among the relationships that reach it first. Only cells with a
-    seed's value are kept, by a semi-join, before the search begins.
+    seed's value are kept, by a semi-join, before the search begins; with an index of value_index() on the same
+    relationships they are read from it, and tables are not used.
     """
-    ends = [tuple(r) for r in rels.select("source_table", "source_column").union(rels.select("target_table", "target_column")).distinct().collect()]
-    wanted = seeds.select("value").distinct()
-    present = []
-    for name in sorted({t for t, _ in ends}):
-        columns = sorted(c for t, c in ends if t == name)
-        labels = F.element_at(F.array(*map(F.lit, columns)), F.col("ordinal") + 1)
-        present.append(unpivoted(tables[name], columns).join(wanted, "value", "left_semi").select(F.lit(name).alias("table"), labels.alias("column"), "value").distinct())
-    there = cut(union(present))
+    if index is not None:
+        there = cut(looked_up(index, seeds))
+    else:
+        wanted = seeds.select("value").distinct()
+        there = cut(union([cells.join(wanted, "value", "left_semi").select("table", "column", "value").distinct() for cells in _ends(tables, rels)]))
     back = rels.select("rank", F.col("target_table").alias("from_table"), F.col("target_column").alias("from_column"), F.col("source_table").alias("to_table"), F.col("source_column").alias("to_column"))
     steps = rels.select("rank", F.col("source_table").alias("from_table"), F.col("source_column").alias("from_column"), F.col("target_table").alias("to_table"), F.col("target_column").alias("to_column")).unionByName(back)
     steps = F.broadcast(steps)  # one row a relationship

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from ..operators import advisories as adv
 from ..operators import keys, relationships
 from ..operators import profile as prof
+from ..operators.loops import scratch
 from . import fixtures
 from .fixtures import profile_sql, shop, sql, view
 
@@ -73,6 +74,25 @@ def _(spark, sf_dir):
     return prof.profile(shop(spark, sf_dir), approx=True)
 
 
+_MERGED = profile_sql(["orders", "lineitems"])
+
+
+@query(
+    "profile_merged",
+    f'SELECT "table", "column", type, total_count, row_count, null_ratio, max_len, min_num, max_num, true AS near FROM ({_MERGED})',
+)
+def _(spark, sf_dir):
+    """Sketches of two halves of each table, stored, read and merged: exact but for the distinct values, which are near."""
+    tables, stored = shop(spark, sf_dir, ["orders", "lineitems"]), []
+    for half in (0, 1):
+        stored.append(scratch(spark, "sketches"))
+        prof.sketches({n: df.where(f"order_id % 2 = {half}") for n, df in tables.items()}).write.parquet(stored[-1])
+    merged = prof.from_sketches(prof.merge_sketches(*[spark.read.parquet(p) for p in stored]))
+    exact = prof.profile(tables).select("table", "column", F.col("unique_count").alias("exact"))
+    near = F.abs(F.col("unique_count") - F.col("exact")) <= 0.1 * F.col("exact")
+    return merged.join(exact, ["table", "column"]).select("table", "column", "type", "total_count", "row_count", "null_ratio", "max_len", "min_num", "max_num", near.alias("near"))
+
+
 for _name, _columns in {"display_type": "type", "null_ratio": "null_ratio", "avg_len": "avg_len", "value_range": "min_num, max_num, max_len"}.items():
 
     def _f(spark, sf_dir, columns=_columns):

@@ -179,6 +179,15 @@ def _(spark, sf_dir):
     return back.groupBy("user_id").agg(F.count_distinct("part").alias("parts"), F.count(F.lit(1)).alias("n"))
 
 
+@query(
+    "sink_bucketed",
+    f"SELECT c.customer_id, c.name, count(*) AS n_orders, sum(o.order_id) AS order_ids FROM {sql('orders')} o JOIN {sql('customers')} c ON o.customer_id = c.customer_id GROUP BY ALL",
+)
+def _(spark, sf_dir):
+    orders, customers = (readers.sink_bucketed(view(spark, sf_dir, n), scratch(spark, n), ["customer_id"]) for n in ("orders", "customers"))
+    return orders.join(customers.select("customer_id", "name"), "customer_id").groupBy("customer_id", "name").agg(F.count(F.lit(1)).alias("n_orders"), F.sum("order_id").alias("order_ids"))
+
+
 @query("partition_candidates", f"SELECT 'log' AS \"table\", count(*) AS row_count FROM {sql('log')} HAVING count(*) >= 1000 AND count(DISTINCT id) = count(*)")
 def _(spark, sf_dir):
     tables = {"log": view(spark, sf_dir, "log"), "typed": view(spark, sf_dir, "typed")}
@@ -246,9 +255,10 @@ def _trace_sql(seeds, depth=5):
         QUALIFY row_number() OVER (PARTITION BY b.seed_id, b.t, b.c ORDER BY s.rank, a.t, a.c) = 1)"""
 
 
-def _trace(spark, sf_dir, seeds):
+def _trace(spark, sf_dir, seeds, indexed=False):
     rels = spark.createDataFrame([(i, *r) for i, r in enumerate(RELS)], "rank int, source_table string, source_column string, target_table string, target_column string")
-    return search.trace(shop(spark, sf_dir, sorted({t for t, _ in ENDS})), rels, seeds)
+    tables = shop(spark, sf_dir, sorted({t for t, _ in ENDS}))
+    return search.trace(tables, rels, seeds, index=search.value_index(tables, rels, scratch(spark, "index")) if indexed else None)
 
 
 def _one(spark):
@@ -273,6 +283,11 @@ def _(spark, sf_dir):
     return _trace(spark, sf_dir, _many(spark, sf_dir))[0].select("seed_id", "table", "column", F.element_at("values", 1).alias("value"), "depth")
 
 
+@query("trace_indexed", f"WITH RECURSIVE {_trace_sql(MANY)} {NODES}")
+def _(spark, sf_dir):
+    return _trace(spark, sf_dir, _many(spark, sf_dir), indexed=True)[0].select("seed_id", "table", "column", F.element_at("values", 1).alias("value"), "depth")
+
+
 @query("trace_edges", f"WITH RECURSIVE {_trace_sql(MANY)} SELECT * FROM links")
 def _(spark, sf_dir):
     return _trace(spark, sf_dir, _many(spark, sf_dir))[1]
