@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import re
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from .loops import cut, search_frontier
@@ -47,6 +47,56 @@ def search(tables: dict[str, tuple[DataFrame, list[str]]], query: str, mode: str
     return union(parts).orderBy("rank", "n").limit(TOTAL).select("table", "column", "value", "row_key")
 
 
+#: Characters of the pieces of text that an index holds.
+GRAM = 3
+
+
+def gram_index(spark: SparkSession, stored: dict[str, str], path: str) -> DataFrame:
+    """(table, file, gram): the pieces of GRAM characters, in small letters, of the cells in each file of stored tables (name
+    -> folder), sorted by piece and stored at path. It has a row a file and piece, whatever the number of rows."""
+    parts = []
+    for name, folder in stored.items():
+        df = spark.read.parquet(folder)
+        texts = df.select(F.col("_metadata.file_path").alias("file"), F.explode(F.array(*[F.lower(F.col(f"`{c}`").cast("string")) for c in df.columns])).alias("text")).distinct()
+        places = F.sequence(F.lit(1), F.length("text") - (GRAM - 1))
+        grams = texts.where(F.length("text") >= GRAM).select("file", F.explode(F.array_distinct(F.transform(places, lambda i: F.substr("text", i, F.lit(GRAM))))).alias("gram"))
+        parts.append(grams.distinct().select(F.lit(name).alias("table"), "file", "gram"))
+    union(parts).repartitionByRange("gram").sortWithinPartitions("gram").write.parquet(path)
+    return spark.read.parquet(path)
+
+
+def needed(query: str, mode: str) -> str:
+    """The longest piece of text that every hit holds, in small letters; empty where a pattern does not tell."""
+    if mode != "regex":
+        return query.lower()
+    if set(query) & set("|()[]{}\\"):
+        return ""
+    runs = [run[:-1] if after in ("*", "?") else run for run, after in re.findall(r"([^\^$.+*?]+)([+*?]?)", query)]
+    return max(runs, key=len, default="").lower()
+
+
+def files_with(index: DataFrame, table: str, query: str, mode: str) -> list[str] | None:
+    """The files of a table that may have hits, which are those with all pieces of what every hit holds; None where that is
+    too short to tell, and all files have to be read."""
+    text = needed(query, mode)
+    grams = sorted({text[i : i + GRAM] for i in range(len(text) - GRAM + 1)})
+    if not grams:
+        return None
+    held = index.where((F.col("table") == table) & F.col("gram").isin(grams)).groupBy("file").agg(F.count(F.lit(1)).alias("n"))
+    return sorted(r["file"] for r in held.where(F.col("n") == len(grams)).collect())  # names of files
+
+
+def search_stored(spark: SparkSession, stored: dict[str, str], keys: dict[str, list[str]], index: DataFrame, query: str, mode: str = "contains", scope: str = "all") -> DataFrame:
+    """search() on stored tables (name -> folder) with their key columns, reading only files that a gram_index of the same
+    files leaves."""
+    tables = {}
+    for name, folder in stored.items():
+        whole = spark.read.parquet(folder)
+        files = files_with(index, name, query, mode) if scope in ("all", name) else []
+        tables[name] = (whole if files is None else spark.read.schema(whole.schema).parquet(*files) if files else whole.limit(0), keys[name])
+    return search(tables, query, mode, scope)
+
+
 def by_table(hits: DataFrame, shown: int = 10) -> DataFrame:
     """Hits of each table with their number, `shown` of them."""
     w = Window.partitionBy("table")

@@ -226,6 +226,21 @@ for _name, (_query, _mode, _scope, _test) in {
     query(_name, _hits(_test, tuple(SEARCHED) if _scope == "all" else (_scope,)))(_f)
 
 
+for _name, (_query, _mode, _test) in {
+    "search_indexed": ("#00000001", "contains", "contains(lower(value), '#00000001')"),
+    "search_indexed_regex": ("^customer#.*77$", "regex", "regexp_matches(value, '(?i)^customer#.*77$')"),
+}.items():
+
+    def _f(spark, sf_dir, args=(_query, _mode)):
+        """Tables stored in files by ranges of their keys, and searched through an index of those files."""
+        stored, key = {t: scratch(spark, f"stored-{t}") for t in SEARCHED}, {t: [k] for t, (_, k) in SEARCHED.items()}
+        for t, (df, k) in _tables(spark, sf_dir).items():
+            df.repartitionByRange(8, *k).write.parquet(stored[t])
+        return search.search_stored(spark, stored, key, search.gram_index(spark, stored, scratch(spark, "grams")), *args)
+
+    query(_name, _hits(_test))(_f)
+
+
 @query("search_by_table", f"SELECT *, count(*) OVER (PARTITION BY \"table\") AS n_hits FROM ({_hits(chr(39) + '1' + chr(39) + ' = value')}) QUALIFY row_number() OVER (PARTITION BY \"table\" ORDER BY \"column\", row_key) <= 10")
 def _(spark, sf_dir):
     return search.by_table(search.search(_tables(spark, sf_dir), "1", "exact"))

@@ -93,3 +93,19 @@ def test_an_index_is_read_and_not_shuffled(spark):
     side = plan[: plan.index("FileScan")]
     assert "Bucketed: true" in plan and "Exchange" not in side.split("SortMergeJoin")[1]
     assert search.looked_up(index, many).count() == 400
+
+
+def test_a_search_reads_the_files_that_may_have_hits(spark):
+    rows = spark.range(800).selectExpr("id", "concat('Name#', lpad(id, 6, '0')) as name", "if(id % 100 = 3, 'Äpfel und Birnen', null) as note", "id % 7 as short")
+    stored = {"t": scratch(spark, "stored")}
+    rows.repartitionByRange(8, "id").write.parquet(stored["t"])
+    index = search.gram_index(spark, stored, scratch(spark, "grams"))
+    for query, mode, most in [
+        ("#000123", "contains", 1), ("name#0007", "starts_with", 2), ("Name#000799", "exact", 1), ("name#.*77", "regex", 8), ("000123$", "regex", 1), ("ÄPFEL", "contains", 8), ("nowhere", "contains", 0),
+        ("12", "contains", None), ("n(a|o)me#0001", "regex", None), ("[0-9]+1", "regex", None), ("", "contains", None), ("000x?123", "regex", 8), ("a*b", "regex", None),
+    ]:
+        files = search.files_with(index, "t", query, mode)
+        print(query, mode, files and len(files))
+        assert (files is None) == (most is None) and (files is None or len(files) <= most)
+        got = search.search_stored(spark, stored, {"t": ["id"]}, index, query, mode).collect()
+        assert got == search.search({"t": (rows, ["id"])}, query, mode).collect(), query
