@@ -1,4 +1,6 @@
 import math
+import random
+import zlib
 from collections import Counter, defaultdict
 
 import numpy as np
@@ -128,3 +130,53 @@ def test_odd_rows(spark):
     assert kept.where("doc_id = 200").count() == 1 and kept.where("doc_id is null").count() == 1
     assert quality.classify(frame.limit(0), labels).count() == 0
     assert quality.classify(frame.where("doc_id = 5"), labels.limit(0)).first().kept
+
+
+def test_verdict_against_brute_force(spark):
+    """Means, limits by language or by all below `least`, the characters added to short texts, and what is kept."""
+    rng = random.Random(11)
+    sounds = {"xx": "ab ba abba baab aab", "yy": "cd dc cddc dccd ccd", "zz": "ef fe effe", None: "ab cd ef"}
+    docs = []
+    for i in range(260):
+        lang = ["xx", "xx", "yy", "yy", "yy", "zz", None][i % 7]
+        words = [rng.choice(sounds[lang].split()) for _ in range(rng.randint(1, 25))]
+        if rng.random() < 0.3:
+            words[rng.randrange(len(words))] = "".join(rng.choice("abcdefgh") for _ in range(rng.randint(3, 12)))
+        docs.append((i, " ".join(words), lang))
+    docs += [(300, None, "xx"), (301, "", None), (302, " \n", "yy"), (303, "ab", "new"), (5, "hhh ggg", "xx"), (None, "ab ba", "xx"), (None, "gg hh gh", None)]
+    labels = [(i, 1 if i % 5 else 0, 0) for i in range(0, 260, 1) if i % 4] + [(300, 1, 0), (None, 1, 0), (7, None, 0)]
+    quantile, folds, errors, prior, least = 0.8, 2, 1.0, 30, 20
+    frames = spark.createDataFrame(docs, "doc_id long, text string, lang string"), spark.createDataFrame(labels, "doc_id long, quality int, toxic int")
+    got = quality.classify(*frames, quantile, folds, errors, prior, least, 50).collect()
+    assert len(got) == len(docs)
+
+    trusted = {i for i, q, _ in labels if q == 1 and i is not None}
+    sets = {i: zlib.crc32(str(i).encode()) % folds == 0 for i, _, _ in docs if i is not None}
+    p = brute_model([t or "" for i, t, _ in docs if i in trusted and not sets[i]])
+    rows = []
+    for i, text, lang in docs:
+        s = running(text) if (text or "").split() else ""
+        rows.append([i, lang, sum(math.log(p(s[k - 3 : k + 1])) for k in range(3, len(s))), max(0, len(s) - 3)])
+    judges = [r for r in rows if r[0] in trusted and sets[r[0]] and r[3]]
+
+    def mean(group):
+        return -sum(r[2] for r in group) / sum(r[3] for r in group)
+
+    by = {g: [r for r in judges if r[1] == g] for g in {r[1] for r in judges} - {None}}
+    by = {g: v for g, v in by.items() if len(v) >= least}
+    assert set(by) == {"xx", "yy"}
+    means = {g: mean(v) for g, v in by.items()}
+    measure = {id(r): (means.get(r[1], mean(judges)) * prior - r[2]) / (r[3] + prior) for r in rows}
+
+    def limit(group):
+        values = sorted(measure[id(r)] for r in group)
+        top, middle = (values[math.ceil(q * len(values)) - 1] for q in (quantile, 0.5))
+        scale = (top - middle) / -math.log(2 * (1 - quantile))
+        return top + errors * scale * math.sqrt(quantile / (1 - quantile) / len(values))
+
+    limits, other = {g: limit(v) for g, v in by.items()}, limit(judges)
+    want = sorted((r[0] is None, r[0] or 0, str(r[1]), r[3] > 0 and round(math.exp(-r[2] / r[3]), 6), round(math.exp(limits.get(r[1], other)), 6), r[3] > 0 and measure[id(r)] <= limits.get(r[1], other)) for r in rows)
+    found = sorted((r.doc_id is None, r.doc_id or 0, str(r.lang), r.perplexity is not None and round(r.perplexity, 6), round(r.threshold, 6), r.kept) for r in got)
+    assert found == want
+    kept = [r[-1] for r in want]
+    assert 0.1 < sum(kept) / len(kept) < 0.95
