@@ -15,13 +15,12 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from ..operators.graphs import components, few
 from .common import cut, join_groups
 
 TOUCHED = "node long, root long, links long"
 #: Bytes of a block, where members have a size.
 CELL_BYTES = 16 << 20
-#: Narrow rows that one task takes without effort.
-TASK_ROWS = 200_000
 
 
 def bucketed(members: DataFrame, key: str, node: str, block: int, rows: int, size: str | None = None) -> DataFrame:
@@ -102,42 +101,6 @@ def touched(ids: np.ndarray, weight: np.ndarray, a: np.ndarray, b: np.ndarray) -
     return pd.DataFrame({"node": ids[met], "root": ids[root[met]], "links": links[met].astype(np.int64)})
 
 
-def few(df: DataFrame, rows: int) -> DataFrame:
-    """df in as many partitions as `rows` narrow rows are worth, and no more than it has: a round over few edges is then
-    no shuffle of many empty partitions, and beyond that the number of tasks follows the edges."""
-    return df.coalesce(-(-rows // TASK_ROWS) or 1)
-
-
-def components(edges: DataFrame, most: int = 60) -> DataFrame:
-    """(node, component): the smallest node each node of the edges (node, root) is connected with.
-
-    Large-star and small-star rounds (Kiveris et al., 2014) on checkpointed edges, whose number never grows, until they
-    are stars. A star's hot centre is met through a broadcast of the few hot nodes. Rounds grow with the logarithm of the
-    longest path; edges that are no stars after `most` of them are an error and never a result.
-    """
-    flat = cut(edges.where("node <> root").select(F.greatest("node", "root").alias("u"), F.least("node", "root").alias("v")).distinct())
-    size, seen = flat.count(), None
-    for _ in range(most):
-        flat = few(flat, size)
-        both = flat.unionByName(flat.select(F.col("v").alias("u"), F.col("u").alias("v"))).transform(few, size)
-        low = both.groupBy("u").agg(F.least(F.min("v"), F.first("u")).alias("m"), F.count("*").alias("held")).transform(few, size)
-        large = join_groups(both, low, "u", "held", 2 * size).where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v"))
-        large = large.transform(few, size).distinct().transform(few, size)
-        low = large.groupBy("u").agg(F.min("v").alias("m"), F.count("*").alias("held")).transform(few, size)
-        met = join_groups(large, low, "u", "held", size).transform(few, size)
-        pairs_ = F.array(F.struct("v", "m"), F.struct(F.col("u").alias("v"), "m"))
-        flat = cut(met.select(F.explode(pairs_).alias("e")).select(F.col("e.v").alias("u"), F.col("e.m").alias("v")).where("u <> v").distinct().transform(few, size))
-        state = flat.agg(F.count("*"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first()
-        size = state[0]
-        if state == seen:
-            break
-        seen = state
-    else:
-        raise RuntimeError(f"components still change after {most} rounds")
-    stars = few(flat, size).groupBy("u").agg(F.min("v").alias("v"))
-    return stars.select(F.col("u").alias("node"), F.col("v").alias("component")).unionByName(stars.select(F.col("v").alias("node"), F.col("v").alias("component")).distinct()).transform(few, size)
-
-
 def linked(found: DataFrame) -> DataFrame:
     """(node, links, component) of the nodes of touched rows."""
     found = cut(found.groupBy("node", "root").agg(F.sum("links").alias("links")))

@@ -10,6 +10,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..operators.graphs import HOT_GROUPS, join_groups  # noqa: F401
 from ..operators.loops import cut, scratch, shared_dir  # noqa: F401
 
 #: Bounds of an Arrow batch handed to a Python worker, whichever is reached first.
@@ -34,8 +35,9 @@ def lean(run):
         yield from run(batches)
         gc.collect()
         pa.default_memory_pool().release_unused()
-        if sys.platform == "linux":
-            ctypes.CDLL(None).malloc_trim(0)
+        trim = getattr(ctypes.CDLL(None), "malloc_trim", None) if sys.platform == "linux" else None  # not in every C library
+        if trim:
+            trim(0)
 
     return wrapped
 
@@ -64,23 +66,3 @@ def sieved(rows: DataFrame, marks: DataFrame, *keys: str, buckets: int = 1 << 20
     bucket = F.pmod(F.xxhash64(*keys), F.lit(buckets)).alias("bucket")
     sieve = marks.select(bucket).distinct().withColumn("hit", F.lit(True))
     return rows.withColumn("bucket", bucket).join(F.broadcast(sieve), "bucket", "left").drop("bucket")
-
-
-#: A group that holds this fraction of all rows or more is hot; there can be no more hot groups than this number.
-HOT_GROUPS = 10_000
-
-
-def join_groups(rows: DataFrame, groups: DataFrame, key: str, size: str, total: int, nulls: bool = False) -> DataFrame:
-    """rows left-joined with groups (one row for each `key`, `size` rows each) so that no task gets a hot group.
-
-    Groups of 1/HOT_GROUPS of all `total` rows or more, of which there are HOT_GROUPS at most, are broadcast; rows of
-    others meet their group in a shuffle. The rule is a share at every size, so the hot part of the rows does not
-    change its nature as a table grows. With nulls, rows without a key, which belong to no group, are not shuffled.
-    Both sides must name the key alike, and share no other name.
-    """
-    hot = F.col(size) * HOT_GROUPS >= total
-    others = [c for c in groups.columns if c != key]
-    once = rows.join(F.broadcast(groups.where(hot)), key, "left")
-    known = F.col(size).isNotNull()
-    met, rest = once.where(known | F.col(key).isNull() if nulls else known), once.where(~known & F.col(key).isNotNull() if nulls else ~known)
-    return met.unionByName(rest.drop(*others).join(groups.where(~hot), key, "left").select(met.columns))

@@ -61,9 +61,16 @@ def grams(words: list[str]) -> tuple[np.ndarray, np.ndarray]:
     return (hashed >> np.uint64(40)).astype(np.int64) % BUCKETS, owner
 
 
-def train(docs: DataFrame, text_col: str = "text", lang_col: str = "lang") -> pd.DataFrame:
-    """(lang, slot, n): counts of hashed n-grams, and behind them of letters of each script. Nulls teach nothing."""
+def train(docs: DataFrame, text_col: str = "text", lang_col: str = "lang", most: int = 100) -> pd.DataFrame:
+    """(lang, slot, n): counts of hashed n-grams, and behind them of letters of each script. Nulls teach nothing.
+
+    The model is held whole, half a megabyte a language in every worker, and its counts pass through the driver; so the
+    values of lang are counted before anything else, and more than `most` of them raise ValueError.
+    """
     bound_batches(docs.sparkSession)
+    names = docs.select(F.col(f"`{lang_col}`").alias("lang")).where("lang is not null").distinct().limit(most + 1).count()
+    if names > most:
+        raise ValueError(f"more than {most} languages to learn; a model of so many is not held whole")
 
     def run(batches):
         sums: dict[str, np.ndarray] = {}

@@ -1,6 +1,7 @@
 import zlib
 
 import numpy as np
+import pytest
 
 from relscope.llm import language_id as li
 from relscope.llm import queries
@@ -100,6 +101,13 @@ def test_counts_scores_and_labels_by_brute_force(spark):
         assert r.lang_pred == langs[mass.index(max(mass))] and abs(r.score - max(mass) / sum(mass)) < 1e-12
 
 
+def test_too_many_languages(spark):
+    docs = spark.createDataFrame([("one", "aa"), ("two", "bb"), ("three", "cc"), ("x", None)], "text string, lang string")
+    assert set(li.train(docs, most=3)["lang"]) == {"aa", "bb", "cc"}
+    with pytest.raises(ValueError):
+        li.train(docs, most=2)
+
+
 def test_equal_languages(spark):
     docs = spark.createDataFrame([("one two three", "yy"), ("one two three", "xx")], "text string, lang string")
     got = li.predict(spark.createDataFrame([(1, "two one")], "doc_id long, text string"), li.Model(li.train(docs))).first()
