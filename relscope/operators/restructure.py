@@ -162,10 +162,20 @@ def eav_candidates(keyed: DataFrame, rels: DataFrame) -> DataFrame:
 
 
 def eav_collapse(df: DataFrame, entity: str, attribute: str, value: str, wanted: list[str]) -> DataFrame:
-    """One row an entity, a column for each wanted attribute (its largest value, if several)."""
+    """One row an entity, a column for each wanted attribute. Of several values of one attribute the largest stays and the
+    others are dropped; eav_maps() keeps all."""
     return df.groupBy(entity).agg(*[F.max(F.when(F.col(attribute) == a, F.col(value))).alias(a) for a in wanted])
 
 
+def eav_maps(df: DataFrame, entity: str, attribute: str, value: str) -> DataFrame:
+    """(entity, attributes): one map an entity from each attribute found in its rows to its distinct values in order, as
+    text. Null values leave their attribute with an empty array; rows without an attribute are left out."""
+    rows = df.where(F.col(f"`{attribute}`").isNotNull()).select(F.col(f"`{entity}`").alias("e"), F.col(f"`{attribute}`").cast("string").alias("a"), F.col(f"`{value}`").cast("string").alias("v"))
+    each = rows.groupBy("e", "a").agg(F.array_sort(F.collect_set("v")).alias("v"))
+    made = each.groupBy("e").agg(F.map_from_entries(F.array_sort(F.collect_list(F.struct("a", "v")))).alias("attributes"))
+    return made.select(F.col("e").alias(entity), "attributes")
+
+
 def vertical_split(df: DataFrame, key: list[str], profile: DataFrame, least: int = 50, sparse: int = 40, ratio: float = 0.9) -> tuple[DataFrame, DataFrame | None]:
     """(dense, side): sparse columns of a wide table move to a side table of the rows that have any of them."""
     names = [r["column"] for r in profile.where(F.col("null_ratio") > ratio).select("column").collect()]

@@ -29,11 +29,12 @@ def search(tables: dict[str, tuple[DataFrame, list[str]]], query: str, mode: str
     """(table, column, value, row_key): the first PER_TABLE hits of each table by column, then key; TOTAL in all, in the
     order of the tables. tables: name -> (rows, key columns). row_key is the key as text, as rows have no position. An
     empty query finds nothing; a bad pattern raises ValueError."""
-    if mode == "regex":
-        try:
-            re.compile(query)
-        except re.error as e:
-            raise ValueError(f"bad pattern: {e}") from e
+    if mode == "regex" and tables:
+        spark = next(iter(tables.values()))[0].sparkSession
+        try:  # by the dialect that the tasks will use
+            spark.range(1).select(predicate(F.col("id").cast("string"), query, mode)).collect()
+        except Exception as e:
+            raise ValueError(f"bad pattern: {query}") from e
     parts = []
     for rank, (name, (df, key)) in enumerate(tables.items()):
         if scope not in ("all", name):

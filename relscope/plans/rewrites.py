@@ -161,6 +161,17 @@ def _(spark, sf_dir):
     return restructure.eav_collapse(tables[r["table"]], r["entity"], r["attribute"], r["value"], ["kind", "user"])
 
 
+_SEEN = "SELECT user_id, event_type AS a, CAST(CAST(ts AS DATE) AS VARCHAR) AS v FROM events"
+
+
+@query("eav_maps", f"SELECT user_id, string_agg(a || '=' || vals, ';' ORDER BY a) AS attributes FROM (SELECT user_id, a, array_to_string(list_sort(list(DISTINCT v)), '|') AS vals FROM ({_SEEN}) GROUP BY 1, 2) GROUP BY 1")
+def _(spark, sf_dir):
+    seen = given(spark, sf_dir, "events").select("user_id", F.col("event_type").alias("a"), F.to_date("ts").alias("v"))
+    maps = restructure.eav_maps(seen, "user_id", "a", "v")
+    shown = F.transform(F.map_entries("attributes"), lambda e: F.concat_ws("=", e["key"], F.array_join(e["value"], "|")))
+    return maps.select("user_id", F.array_join(shown, ";").alias("attributes"))
+
+
 @query("eav_collapse_flag", f"""WITH {by_name_sql(["eav", "entities", "log"])} SELECT k."table", min(source_column) AS entity, 'attribute_name' AS attribute, 'attribute_value' AS value FROM keyed k JOIN by_name b ON b.source_table = k."table" WHERE k."table" = 'eav' GROUP BY 1""")
 def _(spark, sf_dir):
     return _eav(spark, sf_dir)[1]

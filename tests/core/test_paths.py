@@ -136,6 +136,10 @@ def test_restructurings(spark):
     lost = restructure.dangling(frame(spark, [(i,) for i in range(10)], "k int"), "k", frame(spark, [(1,), (2,)], "id int"), "id").first()
     assert (lost.dangling, lost.samples) == (8, "0|3|4|5|6")
     assert tuple(restructure.same_keys(frame(spark, [(1,), (1,)], "k int"), "k", frame(spark, [(1,)], "id int"), "id").first()) == (False, True)
+    odd = restructure.encode_enum(frame(spark, [("b", 1, 2), ("a", 3, 4), (None, 5, 6)], "s string, v int, code int"), "s")
+    assert odd.columns == ["s", "v", "code", "s_code"] and {tuple(r) for r in odd.collect()} == {("b", 1, 2, 2), ("a", 3, 4, 1), (None, 5, 6, None)}
+    maps = restructure.eav_maps(frame(spark, [(1, "x", "b"), (1, "x", "a"), (1, "y", None), (1, None, "z"), (2, "x", "c")], "e int, a string, v string"), "e", "a", "v")
+    assert {r.e: r.attributes for r in maps.collect()} == {1: {"x": ["a", "b"], "y": []}, 2: {"x": ["c"]}}
     coded = restructure.encode_enum(frame(spark, [("b",), ("a",), (None,)], "s string"), "s").collect()
     assert {(r.s, r.s_code) for r in coded} == {("b", 2), ("a", 1), (None, None)}
 
