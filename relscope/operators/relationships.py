@@ -50,6 +50,8 @@ def by_name(keyed: DataFrame) -> DataFrame:
 #: Values that stand for a column, and standard errors by which a share measured on them must miss the share asked for
 #: before a pair is given up: a pair right at it is lost with a chance of 1e-9.
 SAMPLE, MISS = 1024, 6
+#: Drawn values that are sent to all tasks at most.
+SENT = 1 << 20
 #: Columns marked in one long.
 WORD = 62
 
@@ -66,7 +68,7 @@ def plausible_pairs(tables: dict[str, DataFrame], chosen: list[dict], least: flo
 
     A pair cannot if the target has too few values, or both are numbers of ranges apart. Of each source left, the values
     whose hash is below a limit are drawn, as many as SAMPLE of the number that its profile gives (all of them where there
-    are no more). These few are sent to a scan of the targets, which only tells which of them it meets; so the share that a
+    are no more). These few meet a scan of the targets, which only tells which of them it meets; so the share that a
     target has of them bounds its share of the whole, and nothing is shuffled but the hits.
     """
     spark = next(iter(tables.values())).sparkSession
@@ -92,8 +94,9 @@ def plausible_pairs(tables: dict[str, DataFrame], chosen: list[dict], least: flo
     # a bounded table: about twice SAMPLE rows for each source column
     drawn = cut(scanned(sorted({i for i, _ in pairs}), below).distinct())
     size = {r["id"]: r["n"] for r in drawn.groupBy("id").agg(F.count(F.lit(1)).alias("n")).collect()}
-    met = scanned(sorted({j for _, j in pairs}), lambda j: None).join(F.broadcast(drawn.select("h").distinct()), "h", "left_semi").distinct()
-    hits = met.withColumnRenamed("id", "t").join(F.broadcast(drawn.withColumnRenamed("id", "s")), "h").groupBy("s", "t").agg(F.count(F.lit(1)).alias("n"))
+    sent = F.broadcast if sum(size.values()) <= SENT else lambda df: df  # beyond some hundred columns they meet in a shuffle
+    met = scanned(sorted({j for _, j in pairs}), lambda j: None).join(sent(drawn.select("h").distinct()), "h", "left_semi").distinct()
+    hits = met.withColumnRenamed("id", "t").join(sent(drawn.withColumnRenamed("id", "s")), "h").groupBy("s", "t").agg(F.count(F.lit(1)).alias("n"))
     found = {(r["s"], r["t"]): r["n"] for r in hits.collect()}  # a row a pair of columns
 
     def may(i, j):

@@ -40,7 +40,7 @@ def overlap_tables(spark):
     }
 
 
-def test_no_overlap_is_lost_to_pruning(spark):
+def test_no_overlap_is_lost_to_pruning(spark, monkeypatch):
     tables = overlap_tables(spark)
     keyed = profile.settled(keys.detect_keys(profile.profile(tables)))
     got = {(r.s_table, r.s_column, r.t_table, r.t_column): (r.common, r.source_size) for r in relationships.value_overlaps(tables, keyed, "true", "true", 0.5).collect()}
@@ -53,6 +53,8 @@ def test_no_overlap_is_lost_to_pruning(spark):
     all_pairs = sum(a["table"] != b["table"] for a in facts for b in facts)
     print("pairs", all_pairs, "left", len(named), "true", len(want))
     assert named >= set(want) and len(named) <= len(want) + 2 < all_pairs / 3
+    monkeypatch.setattr(relationships, "SENT", 0)
+    assert relationships.plausible_pairs(tables, facts, 0.5) == left
 
 
 def test_bucketed_tables_join_without_a_shuffle(spark):
