@@ -31,15 +31,17 @@ def orphan_tables(profile: DataFrame, rels: DataFrame) -> DataFrame:
     return sizes.join(ends, "table", "left_anti")
 
 
-def type_downsize(profile: DataFrame, declared: DataFrame | None = None) -> DataFrame:
-    """(table, column, old_type, new_type): integers that fit a smaller type, and texts that a shorter varchar holds. The
-    old types are declared (table, column, target_type); without them integers are bigint and strings text."""
+def type_downsize(profile: DataFrame, declared: DataFrame | None = None, integers: tuple[str, ...] = ("smallint", "integer")) -> DataFrame:
+    """(table, column, old_type, new_type): integers that fit one of the smaller types `integers`, and texts that a shorter
+    varchar holds. The old types are declared (table, column, target_type); without them integers are bigint and strings
+    text."""
     own = F.when(F.col("type") == "INT", "bigint").when(F.col("type").isin("VARCHAR", "TEXT"), "text")
     p = profile.withColumn("old_type", own) if declared is None else profile.join(declared.select("table", "column", F.col("target_type").alias("old_type")), ["table", "column"])
     old = F.col("old_type")
     small = (F.col("min_num") >= -32768) & (F.col("max_num") <= 32767)
     middle = (F.col("min_num") >= -2147483648) & (F.col("max_num") <= 2147483647)
     number = F.when(old.isin("bigint", "integer") & small, "smallint").when((old == "bigint") & middle, "integer")
+    number = F.when(number.isin(*integers), number)
     size = F.greatest(F.lit(4), F.floor(F.col("max_len") * 1.5).cast("int"))
     had = F.when(old == "text", 10000).otherwise(F.regexp_extract(old, r"^varchar\((\d+)\)$", 1).try_cast("int"))
     text = F.when((F.col("max_len") > 0) & (size < had), F.concat(F.lit("varchar("), size.cast("string"), F.lit(")")))
