@@ -169,9 +169,29 @@ def _strong_parts(left: DataFrame) -> DataFrame:
     return found
 
 
-def resolve(calls: DataFrame, assigned: DataFrame, known: DataFrame) -> DataFrame:
-    """(caller, target): calls through a field resolved to what is assigned to it, once each, for known targets only."""
-    return calls.select("caller", "field").distinct().join(assigned.select("field", "target").distinct().join(known, "target", "left_semi"), "field").select("caller", "target").distinct()
+#: Targets that one caller may hold in one row.
+MOST_TARGETS = 4096
+
+
+def resolve(calls: DataFrame, assigned: DataFrame, known: DataFrame, most: int = MOST_TARGETS) -> DataFrame:
+    """(caller, target): calls through a field resolved to what is assigned to it, once each, for known targets only.
+
+    A caller's fields bring arrays of targets to it, a row a call, and its distinct targets become rows where they are met:
+    so the shuffle holds a row for each call, and none for each pair. Callers whose fields have more than `most` targets in
+    all, and null ones, go by pairs instead, so no row grows with a caller or a field. Both ways give the same pairs.
+    """
+    calls, pairs = calls.select("caller", "field"), cut(assigned.select("field", "target").distinct().join(known, "target", "left_semi"))
+    sizes = pairs.groupBy("field").agg(F.count(F.lit(1)).alias("n"))
+    heavy = cut(calls.join(sizes, "field").groupBy("caller").agg(F.sum("n").alias("n")).where((F.col("n") > most) | F.col("caller").isNull()).select("caller"))
+    some = not heavy.isEmpty()
+    light = calls.join(heavy, "caller", "left_anti").where("caller is not null") if some else calls
+    lists = pairs.join(sizes.where(F.col("n") > most), "field", "left_anti").groupBy("field").agg(F.sort_array(F.collect_list("target")).alias("targets"))
+    met = light.join(lists, "field").select("caller", "targets").repartition("caller")
+    out = met.groupBy("caller").agg(F.array_distinct(F.flatten(F.collect_list("targets"))).alias("targets")).select("caller", F.explode("targets").alias("target"))
+    if some:
+        rest = calls.join(heavy.withColumnRenamed("caller", "c"), F.col("caller").eqNullSafe(F.col("c")), "left_semi").distinct()
+        out = out.unionByName(rest.join(pairs, "field").select("caller", "target").distinct())
+    return out
 
 
 def entity_filter(entities: DataFrame, kinds=None, files=None, hidden: DataFrame | None = None, libraries=()) -> DataFrame:

@@ -1,7 +1,11 @@
 """What shows only beyond the smallest scale: larger keys, and work that follows the rows and not their pairs."""
 
+import random
+
 import duckdb
+import pytest
 
+from relscope.operators import edges
 from relscope.plans import catalog
 
 
@@ -13,3 +17,18 @@ def test_declared_types_of_larger_keys_match_sql(spark, tmp_path):
     got = catalog.QUERIES["type_downsize_declared"](spark, str(tmp_path)).select(*columns).collect()
     want = con.sql(catalog.ORACLE["type_downsize_declared"]).select(*[f'"{c}"' for c in columns]).fetchall()
     assert sorted(map(tuple, got)) == sorted(want)
+
+
+@pytest.mark.parametrize("most", [1, 12, 4096])
+def test_calls_are_resolved_without_a_shuffle_of_pairs(spark, most):
+    draw = random.Random(5)
+    called = [(draw.choice([None, *range(40)]), draw.choice([None, *range(20)])) for _ in range(300)] + [(99, f) for f in range(20)]
+    given = [(draw.choice([None, *range(20)]), draw.choice([None, *range(30)])) for _ in range(200)]
+    calls, assigned = spark.createDataFrame(called, "caller int, field int"), spark.createDataFrame(given, "field int, target int")
+    known = spark.createDataFrame([(t,) for t in [*range(0, 30, 2), 4, None]], "target int")
+    want = {(c, t) for c, f in called for g, t in given if f is not None and f == g and t is not None and t % 2 == 0}
+    got = edges.resolve(calls, assigned, known, most)
+    assert sorted(map(str, got.collect())) == sorted(f"Row(caller={c}, target={t})" for c, t in want)
+    if most == 4096:
+        lone = edges.resolve(calls.dropna(), assigned, known)
+        assert "hashpartitioning(caller" in (plan := lone._jdf.queryExecution().toString()) and "target" not in "".join(x.split(")")[0] for x in plan.split("hashpartitioning(caller")[1:])
