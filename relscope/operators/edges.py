@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from .graphs import chains, components, shortened
 from .loops import cut_round as cut
-from .loops import search_frontier
+from .loops import search_frontier, shuffle_partitions
 from .profile import union
 
 
@@ -208,10 +208,12 @@ def entity_filter(entities: DataFrame, kinds=None, files=None, hidden: DataFrame
 
 def sliced(intervals: DataFrame, parts: int | None = None) -> DataFrame:
     """intervals (owner, start, size) with the range (slice) of the order by owner, start and size that each lies in, stored.
-    An owner with many intervals, and one with many equal ones, is spread over many ranges of about the same size."""
+    An owner with many intervals, and one with many equal ones, is spread over many ranges of about the same size. There
+    are `parts` of them, else as many as a shuffle has partitions: they are not merged by their bytes, of which sorted
+    narrow rows have few for the memory that they take."""
     order = ["owner", "start", "size", "salt"]
     salted = intervals.select("owner", "start", "size").withColumn("salt", F.monotonically_increasing_id())
-    ranged = salted.repartitionByRange(parts, *order) if parts else salted.repartitionByRange(*order)
+    ranged = salted.repartitionByRange(parts or shuffle_partitions(intervals.sparkSession), *order)
     return cut(ranged.drop("salt").withColumn("slice", F.spark_partition_id()))
 
 
@@ -223,7 +225,7 @@ def interval_gaps(intervals: DataFrame, total: DataFrame | None = None, parts: i
     carries the maximum of its ranges before into the next. At most two owners of a range do, so what is carried is sent to
     all tasks, and no owner is one task's work.
     """
-    rows = sliced(intervals, parts)
+    rows = sliced(intervals, parts).repartition(parts or shuffle_partitions(intervals.sparkSession), "owner", "slice")
     end = F.col("start") + F.col("size")
     tops = rows.groupBy("owner", "slice").agg(F.max(end).alias("top"))
     by_owner = Window.partitionBy("owner")

@@ -29,6 +29,11 @@ def scratch(spark: SparkSession, name: str) -> str:
     return f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
 
 
+def shuffle_partitions(spark: SparkSession) -> int:
+    """The session's number of shuffle partitions, for shuffles that are not to be merged by their bytes."""
+    return int(spark.conf.get("spark.sql.shuffle.partitions"))
+
+
 def cut(df: DataFrame) -> DataFrame:
     """Cut lineage by a checkpoint in the shared folder."""
     shared_dir(df.sparkSession)

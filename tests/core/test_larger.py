@@ -32,3 +32,13 @@ def test_calls_are_resolved_without_a_shuffle_of_pairs(spark, most):
     if most == 4096:
         lone = edges.resolve(calls.dropna(), assigned, known)
         assert "hashpartitioning(caller" in (plan := lone._jdf.queryExecution().toString()) and "target" not in "".join(x.split(")")[0] for x in plan.split("hashpartitioning(caller")[1:])
+
+
+def test_ranges_of_intervals_are_not_merged_by_their_bytes(spark):
+    rows = spark.range(5000).selectExpr("id % 7 as owner", "id as start", "1L as size")
+    before = spark.conf.get("spark.sql.shuffle.partitions")
+    spark.conf.set("spark.sql.shuffle.partitions", "8")
+    try:
+        assert edges.sliced(rows).select("slice").distinct().count() == 8
+    finally:
+        spark.conf.set("spark.sql.shuffle.partitions", before)
