@@ -117,20 +117,33 @@ def search_fields(df: DataFrame, fields: list[str], query: str, key: str, most:
 FEW_SEEDS = 100
 
 
+def _there(parts: list[tuple[str, list[str], DataFrame]], wanted: DataFrame) -> DataFrame:
+    """(table, column, value), once each, of the cells of the ends that have a wanted value."""
+    names = [(table, column) for table, columns, _ in parts for column in columns]
+    first = {table: i for i, (table, column) in reversed(list(enumerate(names)))}
+    cells = union([rows.select((F.col("ordinal") + first[table]).cast("short").alias("end"), "value") for table, _, rows in parts])
+    met = cells.join(wanted, "value", "left_semi").distinct()
+    label = [F.element_at(F.array(*[F.lit(n[k]) for n in names]), F.col("end") + 1) for k in (0, 1)]
+    return met.select(label[0].alias("table"), label[1].alias("column"), "value")
+
+
 def value_index(tables: dict[str, DataFrame], rels: DataFrame, path: str, buckets: int = 64) -> DataFrame:
     """(value, table, column): where each value of the columns at the ends of the relationships occurs, stored in buckets of
     the value. Traces that are given it neither scan nor shuffle the tables."""
-    return sink_bucketed(union(_ends(tables, rels)).distinct(), path, ["value"], buckets)
+    parts = []
+    for name, columns, rows in _ends(tables, rels):
+        labels = F.element_at(F.array(*map(F.lit, columns)), F.col("ordinal") + 1)
+        parts.append(rows.select(F.lit(name).alias("table"), labels.alias("column"), "value"))
+    return sink_bucketed(union(parts).distinct(), path, ["value"], buckets)
 
 
-def _ends(tables: dict[str, DataFrame], rels: DataFrame) -> list[DataFrame]:
-    """(table, column, value) of the cells of each table that stand at an end of a relationship."""
+def _ends(tables: dict[str, DataFrame], rels: DataFrame) -> list[tuple[str, list[str], DataFrame]]:
+    """(table, columns, cells (ordinal, value)) of each table's columns that stand at an end of a relationship."""
     ends = [tuple(r) for r in rels.select("source_table", "source_column").union(rels.select("target_table", "target_column")).distinct().collect()]
     parts = []
     for name in sorted({t for t, _ in ends}):
         columns = sorted(c for t, c in ends if t == name)
-        labels = F.element_at(F.array(*map(F.lit, columns)), F.col("ordinal") + 1)
-        parts.append(unpivoted(tables[name], columns).select(F.lit(name).alias("table"), labels.alias("column"), "value"))
+        parts.append((name, columns, unpivoted(tables[name], columns)))
     return parts
 
 
@@ -155,8 +168,8 @@ def trace(tables: dict[str, DataFrame], rels: DataFrame, seeds: DataFrame, max_d
     if index is not None:
         there = cut(looked_up(index, seeds))
     else:
-        wanted = seeds.select("value").distinct()
-        there = cut(union([cells.join(wanted, "value", "left_semi").select("table", "column", "value").distinct() for cells in _ends(tables, rels)]))
+        # rows of a number and a value: names would make most of the memory of the sorts of this join
+        there = cut(_there(_ends(tables, rels), seeds.select("value").distinct()))
     back = rels.select("rank", F.col("target_table").alias("from_table"), F.col("target_column").alias("from_column"), F.col("source_table").alias("to_table"), F.col("source_column").alias("to_column"))
     steps = rels.select("rank", F.col("source_table").alias("from_table"), F.col("source_column").alias("from_column"), F.col("target_table").alias("to_table"), F.col("target_column").alias("to_column")).unionByName(back)
     steps = F.broadcast(steps)  # one row a relationship

@@ -1,11 +1,12 @@
 """What shows only beyond the smallest scale: larger keys, and work that follows the rows and not their pairs."""
 
 import random
+import re
 
 import duckdb
 import pytest
 
-from relscope.operators import edges
+from relscope.operators import edges, search
 from relscope.plans import catalog
 
 
@@ -42,3 +43,13 @@ def test_ranges_of_intervals_are_not_merged_by_their_bytes(spark):
         assert edges.sliced(rows).select("slice").distinct().count() == 8
     finally:
         spark.conf.set("spark.sql.shuffle.partitions", before)
+
+
+def test_cells_of_traces_are_sorted_without_names(spark):
+    a = spark.createDataFrame([(1, "x"), (1, "y"), (2, None)], "k int, v string")
+    b = spark.createDataFrame([("1",), ("x",), ("z",)], "k string")
+    rels = spark.createDataFrame([(0, "a", "k", "b", "k"), (1, "a", "v", "b", "k")], "rank int, source_table string, source_column string, target_table string, target_column string")
+    wanted = spark.createDataFrame([("1",), ("x",), ("2",), (None,)], "value string")
+    met = search._there(search._ends({"a": a, "b": b}, rels), wanted)
+    assert sorted(map(tuple, met.collect())) == [("a", "k", "1"), ("a", "k", "2"), ("a", "v", "x"), ("b", "k", "1"), ("b", "k", "x")]
+    assert re.search(r"Aggregate \[value#\d+, end#\d+\]", met._jdf.queryExecution().optimizedPlan().toString())
