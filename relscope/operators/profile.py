@@ -18,6 +18,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from .loops import shuffle_partitions
+
 TEXT_LENGTH = 255
 #: Patterns that all non-blank values of a column may fit.
 PATTERNS = {
@@ -117,14 +119,17 @@ def _facts(sums: DataFrame) -> DataFrame:
     )
 
 
-def profile(tables: dict[str, DataFrame], approx: bool = False, rsd: float = 0.02) -> DataFrame:
-    """One row per column of every table, from one scan of each table; approx counts distinct values by sketches.
+def profile(tables: dict[str, DataFrame], approx: bool = False, rsd: float = 0.02, dealt: bool = False) -> DataFrame:
+    """One row per column of every table, from one scan of each table; approx counts distinct values by sketches. With
+    dealt, rows are dealt to all shuffle partitions before they become cells: for tables of many columns in few files, of
+    which a task would else hold the distinct values of all rows of a file.
 
     Columns of empty tables have zeros, and nulls where there is nothing to measure.
     """
     if approx:
         return from_sketches(sketches(tables, rsd))
-    cells = union([_cells(i, df) for i, df in enumerate(tables.values()) if df.columns])
+    rows = {n: df.repartition(shuffle_partitions(df.sparkSession)) if dealt else df for n, df in tables.items()}
+    cells = union([_cells(i, df) for i, df in enumerate(rows.values()) if df.columns])
     keys = cells.groupBy("place", "ordinal", "k1", "k2").agg(F.count(F.lit(1)).alias("held"), F.max("len").alias("len"), F.max("num").alias("num"))
     known = F.col("k1").isNotNull()
     sums = keys.groupBy("place", "ordinal").agg(

@@ -171,7 +171,7 @@ def fits_sql(names):
 @query("suggest_type", f"WITH p AS ({profile_sql(['patterns', 'typed'])}), f AS ({fits_sql(['patterns', 'typed'])}) {types_sql()}")
 def _(spark, sf_dir):
     tables = {n: view(spark, sf_dir, n) for n in ("patterns", "typed")}
-    return prof.suggest_type(prof.profile(tables), prof.pattern_fit(tables))
+    return prof.suggest_type(prof.profile(tables, dealt=True), prof.pattern_fit(tables))
 
 
 @query("detect_keys", f'WITH {KEYED} SELECT "table", "column", key_type, nullable FROM keyed')

@@ -6,7 +6,7 @@ import re
 import duckdb
 import pytest
 
-from relscope.operators import edges, search
+from relscope.operators import edges, profile, search
 from relscope.plans import catalog
 
 
@@ -53,3 +53,10 @@ def test_cells_of_traces_are_sorted_without_names(spark):
     met = search._there(search._ends({"a": a, "b": b}, rels), wanted)
     assert sorted(map(tuple, met.collect())) == [("a", "k", "1"), ("a", "k", "2"), ("a", "v", "x"), ("b", "k", "1"), ("b", "k", "x")]
     assert re.search(r"Aggregate \[value#\d+, end#\d+\]", met._jdf.queryExecution().optimizedPlan().toString())
+
+
+def test_rows_are_dealt_before_they_become_cells(spark):
+    table = spark.range(300).selectExpr("id", "id % 7 as few", "cast(id as string) as s").coalesce(1)
+    dealt = profile.profile({"t": table}, dealt=True)
+    assert "REPARTITION_BY_NUM" in dealt._jdf.queryExecution().toString()
+    assert sorted(map(tuple, dealt.collect())) == sorted(map(tuple, profile.profile({"t": table}).collect()))
