@@ -34,12 +34,25 @@ def reach(edges: DataFrame, starts: DataFrame, depth: int | None = None, directi
 
 
 def component(edges: DataFrame, start: str) -> DataFrame:
-    """(src, dst, type): the edges of the undirected component of a node, in rounds by the logarithm of its paths."""
-    found = cut(components(edges.select(F.col("src").alias("node"), F.col("dst").alias("root"))))
+    """(src, dst, type): the edges of the undirected component of a node, in rounds by the logarithm of its paths.
+
+    Nodes with one edge lead nowhere, so rounds are over the edges between other nodes alone, of which row tables have far
+    fewer; an edge is in the component if one of its ends is found there. Nodes with an edge to themselves or to nothing
+    stay in, as such an edge has no other end.
+    """
+    kind = edges.schema["src"].dataType
+    pairs = cut(edges.where("src <> dst").select(F.greatest("src", "dst").alias("u"), F.least("src", "dst").alias("v")).distinct())
+    odd = edges.where("src = dst or dst is null").select(F.col("src").alias("node")).distinct()
+    ends = union([pairs.select(F.col("u").alias("node")), pairs.select(F.col("v").alias("node")), odd, odd])
+    inner = ends.groupBy("node").agg(F.count(F.lit(1)).alias("n")).where((F.col("n") > 1) | (F.col("node") == start)).select("node")
+    between = pairs.join(inner.withColumnRenamed("node", "u"), "u", "left_semi").join(inner.withColumnRenamed("node", "v"), "v", "left_semi")
+    found = cut(components(between.select(F.col("u").alias("node"), F.col("v").alias("root"))))
     own = found.where(F.col("node") == start).select("component")
-    nodes = found.join(F.broadcast(own), "component").select(F.col("node").alias("src"))  # own is one row
-    alone = edges.sparkSession.createDataFrame([(start,)], "src string").select(F.col("src").cast(edges.schema["src"].dataType).alias("src"))
-    return edges.join(nodes.unionByName(alone).distinct(), "src", "left_semi")
+    alone = edges.sparkSession.createDataFrame([(start,)], "node string").select(F.col("node").cast(kind).alias("node"))
+    nodes = found.join(F.broadcast(own), "component").select("node").unionByName(alone).distinct()  # own is one row
+    by_src, by_dst = nodes.withColumnRenamed("node", "src"), nodes.withColumnRenamed("node", "dst")
+    behind = edges.where("src is not null").join(by_dst, "dst", "left_semi").join(by_src, "src", "left_anti")
+    return edges.join(by_src, "src", "left_semi").unionByName(behind.select(edges.columns))
 
 
 def _ends(edges: DataFrame) -> DataFrame:

@@ -55,6 +55,24 @@ def test_cells_of_traces_are_sorted_without_names(spark):
     assert re.search(r"Aggregate \[value#\d+, end#\d+\]", met._jdf.queryExecution().optimizedPlan().toString())
 
 
+def test_leaves_take_no_part_in_the_rounds_of_components(spark, monkeypatch):
+    draw, seen, known = random.Random(11), [], edges.components
+    monkeypatch.setattr(edges, "components", lambda df: seen.append(df.count()) or known(df))
+    star = [(f"o{i}", f"c{i % 9}") for i in range(200)] + [(f"c{i}", f"n{i % 3}") for i in range(9)] + [("n0", "r"), ("n1", "r"), ("n2", "q")]
+    odd = [("o1", "o1"), ("o2", None), (None, "c0"), (None, None), ("x", "y"), ("z", "z"), ("o3", "c3"), ("y", None), ("o5", "o5"), ("p1", "p2"), ("p2", "p3")]
+    rows = [(a, b, "t") for a, b in star + odd] + [(f"d{draw.randrange(20)}", f"d{draw.randrange(20)}", "u") for _ in range(12)]
+    df = spark.createDataFrame(rows, "src string, dst string, type string")
+    for start in ("o2", "x"):
+        held = {start}
+        while True:
+            more = held | {n for a, b, _ in rows if a and b and (a in held or b in held) for n in (a, b)}
+            if more == held:
+                break
+            held = more
+        assert sorted(map(str, edges.component(df, start).collect())) == sorted(f"Row(src={a!r}, dst={b!r}, type={t!r})" for a, b, t in rows if a in held), start
+    assert max(seen) < 40
+
+
 def test_rows_are_dealt_before_they_become_cells(spark):
     table = spark.range(300).selectExpr("id", "id % 7 as few", "cast(id as string) as s").coalesce(1)
     dealt = profile.profile({"t": table}, dealt=True)
