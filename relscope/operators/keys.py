@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .loops import cut
+from .loops import cut, cut_round
 
 SUFFIX = "^(.+)_(id|ref|key)$"
 
@@ -56,9 +56,9 @@ def pk_surrogate(df: DataFrame, name: str, order: list[str] | None = None) -> Da
     unique: the rows are sorted once by ranges of the whole order, so a hot first value is split by the columns after it
     and the number of ranges follows the data; a row's place in its range is stored with it, and the sizes of the ranges
     are summed. Without it ids are unique only. Either way the rows are stored once, so an id does not change from one read
-    to the next."""
+    to the next; without an order as a table by columns, in whose schema all of them may be null."""
     if order is None:
-        return cut(df.select((F.monotonically_increasing_id() + 1).alias(name), *[F.col(f"`{c}`") for c in df.columns]))
+        return cut_round(df.select((F.monotonically_increasing_id() + 1).alias(name), *[F.col(f"`{c}`") for c in df.columns]))
     # a range's number and a row's place in it; stored, as they must not change between the two uses
     ranged = df.orderBy(*[F.col(f"`{c}`") for c in order]).select(F.struct(*[F.col(f"`{c}`") for c in df.columns]).alias("row"), F.monotonically_increasing_id().alias("place"))
     stored = cut(ranged).select("row", F.shiftright("place", 33).alias("part"), F.col("place").bitwiseAND((1 << 33) - 1).alias("inside"))

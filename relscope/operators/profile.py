@@ -1,8 +1,9 @@
 """Column profiles: one scan of each table, one aggregation of distinct (column, value) pairs for all tables.
 
 Every cell becomes a narrow row of its column, a key and its measures (a length or a number), which is grouped by key before
-anything is shuffled and then by column. The key of whole numbers, dates, times and flags is the value itself; others, of any
-width, have two 64-bit hashes. Two values of a column are taken for one if both hashes are equal (a chance of n * n / 2^129
+anything is shuffled and then by column. Whole numbers, dates, times and flags share the key of all values that differ in
+their last SHIFT bits alone, and are bits of a long there: dense numbers, as keys of tables are, make a row for 64 of them and
+scattered ones a row each. Others, of any width, have two 64-bit hashes. Two such values of a column are taken for one if both hashes are equal (a chance of n * n / 2^129
 for n distinct values). The built-in count of several distinct columns would multiply rows of all columns' width instead.
 
 Sketches stand for the distinct values where a profile may be approximate. They are kept with the sums that the other facts
@@ -21,6 +22,8 @@ from pyspark.sql import types as T
 from .loops import shuffle_partitions
 
 TEXT_LENGTH = 255
+#: Last bits of a whole number that are a place in a long instead of a part of the key.
+SHIFT = 6
 #: Patterns that all non-blank values of a column may fit.
 PATTERNS = {
     "uuid": r"^[0-9a-fA-F]{8}-[0-9a-fA-F]{4}-[0-9a-fA-F]{4}-[0-9a-fA-F]{4}-[0-9a-fA-F]{12}$",
@@ -29,6 +32,16 @@ PATTERNS = {
     "ip": r"^\d{1,3}\.\d{1,3}\.\d{1,3}\.\d{1,3}",
     "money": r"^-?\d+\.\d{2}$",
 }
+#: Patterns that the text of a float or decimal may fit (digits, a sign, one dot, an exponent, NaN, Infinity).
+NUMERIC = ("money",)
+#: What a text that fits the pattern holds for certain; null for null.
+HELD = {
+    "uuid": lambda v: F.length(v) == 36,
+    "email": lambda v: v.contains("@"),
+    "json": lambda v: v.contains("{") | v.contains("["),
+    "ip": lambda v: v.contains("."),
+    "money": lambda v: v.contains("."),
+}
 
 
 def display_type(data_type: T.DataType) -> str:
@@ -70,16 +83,16 @@ def _has_map(kind: T.DataType) -> bool:
     return isinstance(kind, (T.MapType, T.VariantType))
 
 
-def _key(name: str, kind: T.DataType) -> tuple[Column, Column]:
-    """(k1, k2): a cell's value as a long, or two hashes of it; k1 is null for nulls alone. Maps, which have no hash, count by
-    their text."""
+def _key(name: str, kind: T.DataType) -> tuple[Column, Column | None]:
+    """(k1, k2): a cell's value as a long and no k2, or two hashes of it; k1 is null for nulls alone. Maps, which have no
+    hash, count by their text."""
     value = F.col(f"`{name}`")
     if isinstance(kind, (T.ByteType, T.ShortType, T.IntegerType, T.LongType, T.BooleanType)):
-        return value.cast("long"), F.lit(0).cast("long")
+        return value.cast("long"), None
     if isinstance(kind, T.DateType):
-        return F.unix_date(value).cast("long"), F.lit(0).cast("long")
+        return F.unix_date(value).cast("long"), None
     if isinstance(kind, T.TimestampType):
-        return F.unix_micros(value), F.lit(0).cast("long")
+        return F.unix_micros(value), None
     shown = value.cast("string") if _has_map(kind) else value
     return F.when(value.isNotNull(), F.xxhash64(shown)), F.xxhash64(F.lit("salt"), shown)
 
@@ -92,11 +105,13 @@ def _measures(field: T.StructField) -> tuple[Column, Column]:
 
 
 def _cells(place: int, df: DataFrame) -> DataFrame:
-    """(place, ordinal, k1, k2, len, num): a row for every cell."""
-    cells = []
+    """(place, ordinal, k1, k2, bits, len, num): a row for every cell; bits are the values it has under its key."""
+    cells, one, last = [], F.lit(1).cast("long"), F.lit((1 << SHIFT) - 1).cast("long")
     for i, f in enumerate(df.schema.fields):
         (k1, k2), (length, number) = _key(f.name, f.dataType), _measures(f)
-        cells.append(F.struct(F.lit(i).alias("ordinal"), k1.alias("k1"), k2.alias("k2"), length.alias("len"), number.alias("num")))
+        bits = one if k2 is not None else F.call_function("shiftleft", one, k1.bitwiseAND(last).cast("int"))
+        k1, k2 = (k1, k2) if k2 is not None else (F.shiftright(k1, SHIFT), F.lit(0).cast("long"))
+        cells.append(F.struct(F.lit(i).alias("ordinal"), k1.alias("k1"), k2.alias("k2"), bits.alias("bits"), length.alias("len"), number.alias("num")))
     return df.select(F.explode(F.array(*cells)).alias("c")).select(F.lit(place).alias("place"), "c.*")
 
 
@@ -130,11 +145,11 @@ def profile(tables: dict[str, DataFrame], approx: bool = False, rsd: float = 0.0
         return from_sketches(sketches(tables, rsd))
     rows = {n: df.repartition(shuffle_partitions(df.sparkSession)) if dealt else df for n, df in tables.items()}
     cells = union([_cells(i, df) for i, df in enumerate(rows.values()) if df.columns])
-    keys = cells.groupBy("place", "ordinal", "k1", "k2").agg(F.count(F.lit(1)).alias("held"), F.max("len").alias("len"), F.max("num").alias("num"))
+    keys = cells.groupBy("place", "ordinal", "k1", "k2").agg(F.count(F.lit(1)).alias("held"), F.bit_or("bits").alias("bits"), F.max("len").alias("len"), F.min("num").alias("low"), F.max("num").alias("high"))
     known = F.col("k1").isNotNull()
     sums = keys.groupBy("place", "ordinal").agg(
-        F.sum("held").alias("n"), F.sum(F.when(known, F.col("held"))).alias("total_count"), F.count("k1").alias("unique_count"), F.sum(F.col("held") * F.col("len")).alias("chars"),
-        F.max("len").alias("max_len"), F.min("num").alias("min_num"), F.max("num").alias("max_num"),
+        F.sum("held").alias("n"), F.sum(F.when(known, F.col("held"))).alias("total_count"), F.sum(F.when(known, F.bit_count("bits").cast("long"))).alias("unique_count"), F.sum(F.col("held") * F.col("len")).alias("chars"),
+        F.max("len").alias("max_len"), F.min("low").alias("min_num"), F.max("high").alias("max_num"),
     )
     return _facts(_names(tables).join(sums, ["place", "ordinal"], "left"))
 
@@ -198,7 +213,8 @@ def enum_values(tables: dict[str, DataFrame], chosen: DataFrame, most: int = 15)
 
 
 def pattern_fit(tables: dict[str, DataFrame]) -> DataFrame:
-    """(table, column, and one boolean a pattern): whether all non-blank values fit it, for string and float columns."""
+    """(table, column, and one boolean a pattern): whether all non-blank values fit it, for string and float columns. What
+    every hit of a pattern holds is looked for first, and the text of a number is only tried for what numbers can look like."""
     parts = []
     for name, df in tables.items():
         fields = [f for f in df.schema.fields if display_type(f.dataType) in ("VARCHAR", "FLOAT") and not isinstance(f.dataType, (T.ArrayType, T.MapType, T.StructType))]
@@ -208,7 +224,8 @@ def pattern_fit(tables: dict[str, DataFrame]) -> DataFrame:
         for i, f in enumerate(fields):
             value = F.trim(F.col(f"`{f.name}`").cast("string"))
             value = F.when(value != "", value)
-            aggregates += [F.coalesce(F.every(value.rlike(p)), F.lit(False)).alias(f"{k}{i}") for k, p in PATTERNS.items()]
+            can = NUMERIC if display_type(f.dataType) == "FLOAT" else PATTERNS
+            aggregates += [(F.coalesce(F.every(HELD[k](value) & value.rlike(p)), F.lit(False)) if k in can else F.lit(False)).alias(f"{k}{i}") for k, p in PATTERNS.items()]
             aggregates.append(F.max(F.length(value)).cast("long").alias(f"longest{i}"))
             rows.append(F.struct(F.lit(f.name).alias("column"), *[F.col(f"{k}{i}").alias(k) for k in PATTERNS], F.col(f"longest{i}").alias("longest")))
         parts.append(df.agg(*aggregates).select(F.explode(F.array(*rows)).alias("r")).select(F.lit(name).alias("table"), "r.*"))

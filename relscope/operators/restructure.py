@@ -284,12 +284,11 @@ def rebuild_tables(tables: dict[str, DataFrame], plan: DataFrame, rels: DataFram
         own = rows[old]
         new = own[0]["new_table"]
         typed = df.select(*[F.col(f"`{r['column']}`").cast(CASTS.get(r["target_type"], "string")).alias(r["new_column"]) for r in own])
-        typed = apply_strict(typed, [r["new_column"] for r in own if r["not_null"]])
-        keys = [r["new_column"] for r in own if r["is_pk"]]
+        strict, keys = [r["new_column"] for r in own if r["not_null"]], [r["new_column"] for r in own if r["is_pk"]]
         if not keys:
             keys = [_surrogate(new, typed.columns)]
-            typed = pk_surrogate(typed, keys[0])
-        out[new] = typed
+            typed, strict = pk_surrogate(typed, keys[0]), [*keys, *strict]
+        out[new] = apply_strict(typed, strict)
         found.append((new, "pk", ",".join(keys), None, None))
         for kind, test in (("not_null", "not_null"), ("unique", "is_unique"), ("enum", "is_enum")):
             found += [(new, kind, r["new_column"], None, None) for r in own if r[test]]

@@ -6,6 +6,8 @@ import re
 
 from pyspark.sql import DataFrame, SparkSession
 
+from ..operators.loops import cut_round
+
 GIVEN = "region nation customer supplier part orders lineitem events documents embeddings pages benchmark labels conversations".split()
 
 #: Each table of the shop: its SQL, and its columns with their display types before lengths are known.
@@ -101,6 +103,11 @@ def shop(spark: SparkSession, sf_dir: str, names=None) -> dict[str, DataFrame]:
     return {n: view(spark, sf_dir, n) for n in (names or SHOP)}
 
 
+def stored(tables: dict[str, DataFrame]) -> dict[str, DataFrame]:
+    """The shop's tables for work that reads them more than once: those that take a shuffle to make are made once."""
+    return {n: cut_round(df) if "DISTINCT" in text_of(n) else df for n, df in tables.items()}
+
+
 def sql(name: str) -> str:
     """The fixture as a subquery of the oracle."""
     return f"({_fill(text_of(name), str)})"

@@ -7,7 +7,7 @@ import duckdb
 import pytest
 
 from relscope.operators import edges, profile, search
-from relscope.plans import catalog
+from relscope.plans import catalog, fixtures
 
 
 def test_declared_types_of_larger_keys_match_sql(spark, tmp_path):
@@ -78,3 +78,33 @@ def test_rows_are_dealt_before_they_become_cells(spark):
     dealt = profile.profile({"t": table}, dealt=True)
     assert "REPARTITION_BY_NUM" in dealt._jdf.queryExecution().toString()
     assert sorted(map(tuple, dealt.collect())) == sorted(map(tuple, profile.profile({"t": table}).collect()))
+
+
+def test_dense_numbers_share_the_groups_of_a_profile(spark):
+    dense = spark.range(-640, 640).selectExpr("id", "cast(id as int) as few")
+    assert profile._cells(0, dense).select("ordinal", "k1", "k2").distinct().count() == 2 * 20
+    odd = [-(2**63), -(2**63) + 1, -65, -64, -1, 0, 1, 63, 64, 2**63 - 1, 2**63 - 1, None]
+    rows = [(n, n is not None and n > 0, None if n is None else n % 7 / 4, None if n is None else str(n)) for n in odd]
+    facts = profile.profile({"t": spark.createDataFrame(rows, "n long, b boolean, f double, s string")}).collect()
+    got = {r.column: (r.unique_count, r.total_count, r.row_count, r.min_num, r.max_num, r.max_len) for r in facts}
+    floats = [r[2] for r in rows if r[2] is not None]
+    assert got == {
+        "n": (10, 11, 12, float(-(2**63)), float(2**63), None), "b": (2, 12, 12, None, None, None),
+        "f": (len(set(floats)), 11, 12, min(floats), max(floats), None), "s": (10, 11, 12, None, None, 20),
+    }
+
+
+def test_patterns_are_looked_for_only_where_they_can_be(spark):
+    rows = [("a@b.c", 1.25, "10.0.0.1"), (None, -3.75, " 10.2.3.4 "), ("  ", 0.5, "")]
+    df = spark.createDataFrame(rows, "s string, f double, a string").selectExpr("*", "cast(f as decimal(9,2)) as d")
+    fit = profile.pattern_fit({"t": df})
+    hits = {(r.column, k) for r in fit.collect() for k in profile.PATTERNS if r[k]}
+    assert hits == {("s", "email"), ("a", "ip"), ("d", "money")}
+    plan = fit._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("RLIKE") == 2 * len(profile.PATTERNS) + 2
+
+
+def test_tables_that_take_a_shuffle_are_made_once(spark, tmp_path):
+    tables = fixtures.stored(fixtures.shop(spark, "/root/testdata/sf0.001", ["supply", "regions"]))
+    assert not any("Aggregate" in df._jdf.queryExecution().optimizedPlan().toString() for df in tables.values())
+    assert sorted(map(tuple, tables["supply"].collect())) == sorted(map(tuple, fixtures.view(spark, "/root/testdata/sf0.001", "supply").collect()))
