@@ -9,7 +9,7 @@ from ..operators import keys, relationships
 from ..operators import profile as prof
 from ..operators.loops import scratch
 from . import fixtures
-from .fixtures import profile_sql, shop, sql, view
+from .fixtures import profile_sql, shop, sql, stored, view
 
 QUERIES: dict = {}
 ORACLE: dict = {}
@@ -232,7 +232,7 @@ BY_VALUE = f"""{KEYED}, cells AS MATERIALIZED ({CELLS}),
 
 @query("rel_by_value", f"WITH {BY_VALUE} SELECT * FROM by_value")
 def _(spark, sf_dir):
-    tables = shop(spark, sf_dir)
+    tables = stored(shop(spark, sf_dir))
     return relationships.by_value(tables, keys.detect_keys(prof.settled(prof.profile(tables))))
 
 
@@ -242,7 +242,8 @@ def _(spark, sf_dir):
     "SELECT * EXCLUDE (r) FROM every QUALIFY row_number() OVER (PARTITION BY source_table, source_column, target_table, target_column ORDER BY r) = 1",
 )
 def _(spark, sf_dir):
-    tables, keyed = shop(spark, sf_dir), keyed_of(spark, sf_dir)
+    tables = stored(shop(spark, sf_dir))
+    keyed = keys.detect_keys(prof.settled(prof.profile(tables)))
     value = relationships.by_value(tables, keyed)
     return relationships.combine({"name": relationships.by_name(keyed), "self": relationships.self_references(keyed), "value": value})
 
