@@ -1,7 +1,7 @@
 """Column profiles: one scan of each table, one aggregation of distinct (column, value) pairs for all tables.
 
-Every cell becomes a narrow row of its column, a key and its measures (a length or a number), which is grouped by key before
-anything is shuffled and then by column. Whole numbers, dates, times and flags share the key of all values that differ in
+Every cell becomes a narrow row of its column, a key and its measure (a length or a number), which is grouped by key, table
+by table and before anything is shuffled, and then by column. Whole numbers, dates, times and flags share the key of all values that differ in
 their last SHIFT bits alone, and are bits of a long there: dense numbers, as keys of tables are, make a row for 64 of them and
 scattered ones a row each. Others, of any width, have two 64-bit hashes. Two such values of a column are taken for one if both hashes are equal (a chance of n * n / 2^129
 for n distinct values). The built-in count of several distinct columns would multiply rows of all columns' width instead.
@@ -63,6 +63,15 @@ def union(parts: list[DataFrame]) -> DataFrame:
     return reduce(DataFrame.unionByName, parts)
 
 
+def stacked(df: DataFrame, cells: list[dict[str, Column]]) -> DataFrame:
+    """A row for every row of df and each of cells, which give the same names a value each. UNPIVOT writes such rows as they
+    are; to explode an array of structs makes an object of every value first."""
+    names = list(cells[0])
+    wide = df.select(*[value.alias(f"{n}_{i}") for i, c in enumerate(cells) for n, value in c.items()])
+    sets = ", ".join("(" + ", ".join(f"{n}_{i}" for n in names) + ")" for i in range(len(cells)))
+    return df.sparkSession.sql(f"SELECT {', '.join(names)} FROM {{wide}} UNPIVOT INCLUDE NULLS (({', '.join(names)}) FOR cell IN ({sets}))", wide=wide)
+
+
 def unpivoted(df: DataFrame, names: list[str]) -> DataFrame:
     """(ordinal, value): every cell of the named columns as a string, nulls left out."""
     cells = F.array(*[F.struct(F.lit(i).alias("ordinal"), F.col(f"`{c}`").cast("string").alias("value")) for i, c in enumerate(names)])
@@ -105,14 +114,26 @@ def _measures(field: T.StructField) -> tuple[Column, Column]:
 
 
 def _cells(place: int, df: DataFrame) -> DataFrame:
-    """(place, ordinal, k1, k2, bits, len, num): a row for every cell; bits are the values it has under its key."""
+    """(place, ordinal, k1, k2, bits, measure): a row for every cell; bits are the values it has under its key."""
     cells, one, last = [], F.lit(1).cast("long"), F.lit((1 << SHIFT) - 1).cast("long")
     for i, f in enumerate(df.schema.fields):
         (k1, k2), (length, number) = _key(f.name, f.dataType), _measures(f)
         bits = one if k2 is not None else F.call_function("shiftleft", one, k1.bitwiseAND(last).cast("int"))
         k1, k2 = (k1, k2) if k2 is not None else (F.shiftright(k1, SHIFT), F.lit(0).cast("long"))
-        cells.append(F.struct(F.lit(i).alias("ordinal"), k1.alias("k1"), k2.alias("k2"), bits.alias("bits"), length.alias("len"), number.alias("num")))
-    return df.select(F.explode(F.array(*cells)).alias("c")).select(F.lit(place).alias("place"), "c.*")
+        measure = length.cast("double") if isinstance(f.dataType, T.StringType) else number
+        cells.append({"ordinal": F.lit(i), "k1": k1, "k2": k2, "bits": bits, "measure": measure})
+    return stacked(df, cells).select(F.lit(place).alias("place"), "*")
+
+
+def _keys(place: int, df: DataFrame) -> DataFrame:
+    """(place, ordinal, k1, held, bits, len, low, high): a row for every key of a column, held by so many rows; len is the
+    length of a string, low and high are the least and largest number."""
+    texts = [isinstance(f.dataType, T.StringType) for f in df.schema.fields]
+    is_text = F.element_at(F.array(*map(F.lit, texts)), F.col("ordinal") + 1)
+    keys = _cells(place, df).groupBy("ordinal", "k1", "k2").agg(F.count(F.lit(1)).alias("held"), F.bit_or("bits").alias("bits"), F.min("measure").alias("low"), F.max("measure").alias("high"))
+    return keys.select(
+        F.lit(place).alias("place"), "ordinal", "k1", "held", "bits", F.when(is_text, F.col("high").cast("long")).alias("len"), F.when(~is_text, F.col("low")).alias("low"), F.when(~is_text, F.col("high")).alias("high")
+    )
 
 
 def _names(tables: dict[str, DataFrame]) -> DataFrame:
@@ -144,8 +165,7 @@ def profile(tables: dict[str, DataFrame], approx: bool = False, rsd: float = 0.0
     if approx:
         return from_sketches(sketches(tables, rsd))
     rows = {n: df.repartition(shuffle_partitions(df.sparkSession)) if dealt else df for n, df in tables.items()}
-    cells = union([_cells(i, df) for i, df in enumerate(rows.values()) if df.columns])
-    keys = cells.groupBy("place", "ordinal", "k1", "k2").agg(F.count(F.lit(1)).alias("held"), F.bit_or("bits").alias("bits"), F.max("len").alias("len"), F.min("num").alias("low"), F.max("num").alias("high"))
+    keys = union([_keys(i, df) for i, df in enumerate(rows.values()) if df.columns])
     known = F.col("k1").isNotNull()
     sums = keys.groupBy("place", "ordinal").agg(
         F.sum("held").alias("n"), F.sum(F.when(known, F.col("held"))).alias("total_count"), F.sum(F.when(known, F.bit_count("bits").cast("long"))).alias("unique_count"), F.sum(F.col("held") * F.col("len")).alias("chars"),
@@ -207,14 +227,25 @@ def enum_values(tables: dict[str, DataFrame], chosen: DataFrame, most: int = 15)
     for name, columns in wanted.items():
         columns = sorted(columns)
         labels = F.element_at(F.array(*[F.lit(c) for c in columns]), F.col("ordinal") + 1)
-        distinct = unpivoted(tables[name], columns).distinct()
-        parts.append(distinct.groupBy("ordinal").agg(F.array_sort(F.collect_set("value")).alias("values")).where(F.size("values") <= most).select(F.lit(name).alias("table"), labels.alias("column"), "values"))
+        distinct = stacked(tables[name], [{"ordinal": F.lit(i), "value": F.col(f"`{c}`").cast("string")} for i, c in enumerate(columns)]).distinct().where("value is not null")
+        # a list of what is distinct: under a set the optimizer drops the distinct, and every row would reach the set
+        parts.append(distinct.groupBy("ordinal").agg(F.array_sort(F.collect_list("value")).alias("values")).where(F.size("values") <= most).select(F.lit(name).alias("table"), labels.alias("column"), "values"))
     return union(parts) if parts else chosen.select("table", "column", F.array().cast("array<string>").alias("values")).limit(0)
 
 
+def _may_be_money(value: Column, kind: T.DataType) -> Column:
+    """What a number whose text has two decimals holds for certain. A double's text ends in no 0 behind a first decimal, so
+    ten times the number is not whole; a decimal's has as many decimals as its type."""
+    if isinstance(kind, T.DecimalType):
+        return F.lit(kind.scale == 2)
+    tenfold = value.cast("double") * 10
+    return tenfold != F.rint(tenfold)
+
+
 def pattern_fit(tables: dict[str, DataFrame]) -> DataFrame:
-    """(table, column, and one boolean a pattern): whether all non-blank values fit it, for string and float columns. What
-    every hit of a pattern holds is looked for first, and the text of a number is only tried for what numbers can look like."""
+    """(table, column, one boolean a pattern, longest): whether all non-blank values fit it, for string and float columns, and
+    the length of the longest string without blanks around. What every hit of a pattern holds is looked for first: a number
+    becomes text only where it may be a hit."""
     parts = []
     for name, df in tables.items():
         fields = [f for f in df.schema.fields if display_type(f.dataType) in ("VARCHAR", "FLOAT") and not isinstance(f.dataType, (T.ArrayType, T.MapType, T.StructType))]
@@ -222,11 +253,15 @@ def pattern_fit(tables: dict[str, DataFrame]) -> DataFrame:
             continue
         aggregates, rows = [], []
         for i, f in enumerate(fields):
-            value = F.trim(F.col(f"`{f.name}`").cast("string"))
-            value = F.when(value != "", value)
-            can = NUMERIC if display_type(f.dataType) == "FLOAT" else PATTERNS
-            aggregates += [(F.coalesce(F.every(HELD[k](value) & value.rlike(p)), F.lit(False)) if k in can else F.lit(False)).alias(f"{k}{i}") for k, p in PATTERNS.items()]
-            aggregates.append(F.max(F.length(value)).cast("long").alias(f"longest{i}"))
+            value, number = F.col(f"`{f.name}`"), display_type(f.dataType) == "FLOAT"
+            if number:
+                fits, longest = {k: F.when(value.isNotNull(), _may_be_money(value, f.dataType) & value.cast("string").rlike(PATTERNS[k])) for k in NUMERIC}, F.lit(None)
+            else:
+                value = F.trim(value.cast("string"))
+                value = F.when(value != "", value)
+                fits, longest = {k: HELD[k](value) & value.rlike(p) for k, p in PATTERNS.items()}, F.max(F.length(value))
+            aggregates += [(F.coalesce(F.every(fits[k]), F.lit(False)) if k in fits else F.lit(False)).alias(f"{k}{i}") for k in PATTERNS]
+            aggregates.append(longest.cast("long").alias(f"longest{i}"))
             rows.append(F.struct(F.lit(f.name).alias("column"), *[F.col(f"{k}{i}").alias(k) for k in PATTERNS], F.col(f"longest{i}").alias("longest")))
         parts.append(df.agg(*aggregates).select(F.explode(F.array(*rows)).alias("r")).select(F.lit(name).alias("table"), "r.*"))
     return union(parts)

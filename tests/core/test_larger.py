@@ -108,3 +108,45 @@ def test_tables_that_take_a_shuffle_are_made_once(spark, tmp_path):
     tables = fixtures.stored(fixtures.shop(spark, "/root/testdata/sf0.001", ["supply", "regions"]))
     assert not any("Aggregate" in df._jdf.queryExecution().optimizedPlan().toString() for df in tables.values())
     assert sorted(map(tuple, tables["supply"].collect())) == sorted(map(tuple, fixtures.view(spark, "/root/testdata/sf0.001", "supply").collect()))
+
+
+def test_cells_are_unpivoted_and_grouped_table_by_table(spark):
+    frames = {"t": spark.range(300).selectExpr("id", "cast(id as string) as s"), "u": spark.range(9).selectExpr("id / 4 as f", "cast(null as string) as none")}
+    facts = profile.profile(frames)
+    plan = facts._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("Expand") == 2 and "Generate" not in plan and plan.index("Union") < plan.index("Expand")
+    got = {(r.table, r.column): (r.unique_count, r.total_count, r.row_count, r.avg_len, r.max_len, r.min_num, r.max_num) for r in facts.collect()}
+    assert got == {
+        ("t", "id"): (300, 300, 300, None, None, 0.0, 299.0), ("t", "s"): (300, 300, 300, (10 + 2 * 90 + 3 * 200) / 300, 3, None, None),
+        ("u", "f"): (9, 9, 9, None, None, 0.0, 2.0), ("u", "none"): (0, 0, 9, None, None, None, None),
+    }
+
+
+def test_numbers_become_text_only_where_it_may_be_money(spark):
+    draw = random.Random(3)
+    odd = [0.0, -0.0, 0.05, 0.01, 0.001, -0.25, 1.5, 2.0, 9999999.99, 1e7 + 0.25, 131072.02, 838861.06, 999999.9, float("nan"), float("inf"), None]
+    rows = [(v,) for v in odd + [round(draw.uniform(-1, 1) * 10 ** draw.randrange(8), draw.randrange(4)) for _ in range(3000)]]
+    df = spark.createDataFrame(rows, "d double").selectExpr("d", "cast(d as float) as f", "case when d < 1e7 then cast(d as decimal(12,2)) end as two", "case when d < 1e7 then cast(d as decimal(12,3)) end as three")
+    for field in df.schema.fields:
+        value = df[field.name]
+        hits, may = value.cast("string").rlike(profile.PATTERNS["money"]), profile._may_be_money(value, field.dataType)
+        assert df.where(hits & ~may).count() == 0, field
+        assert field.name == "three" or df.where(hits & may).count() > 300
+    assert df.where(~profile._may_be_money(df["d"], df.schema["d"].dataType)).count() > 1000
+    wanted = df.where("cast(d as string) rlike '^-?[0-9]+[.][0-9]{2}$'").select("d", "two", "three")
+    assert {(r.column, r.money) for r in profile.pattern_fit({"t": wanted}).collect()} == {("d", True), ("two", True), ("three", False)}
+
+
+def test_values_of_enums_are_distinct_before_they_are_gathered(spark):
+    df = spark.range(40).selectExpr("case when id % 5 > 0 then concat('v', id % 5) end as a", "id % 2 as b", "id")
+    chosen = spark.createDataFrame([("t", "a"), ("t", "b"), ("t", "id")], "table string, column string")
+    made = profile.enum_values({"t": df}, chosen)
+    assert sorted(map(tuple, made.collect())) == [("t", "a", ["v1", "v2", "v3", "v4"]), ("t", "b", ["0", "1"])]
+    assert made._jdf.queryExecution().optimizedPlan().toString().count("Aggregate") == 2
+
+
+def test_decisions_of_a_rebuild_store_no_table(spark, monkeypatch):
+    stored = []
+    monkeypatch.setattr(fixtures, "cut_round", lambda df: stored.append(df) or df)
+    assert catalog.QUERIES["rebuild_decisions"](spark, "/root/testdata/sf0.001").count() > 0
+    assert not stored
