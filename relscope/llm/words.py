@@ -8,7 +8,7 @@ import pyarrow.compute as pc
 
 
 def split_words(texts, at_spaces: bool = False) -> tuple[np.ndarray, list[str], np.ndarray]:
-    """(codes, distinct, counts): every word's index into the distinct words, and the number of words of each text.
+    """(codes, distinct, counts): every word's index into the distinct words, none of them empty, and the number of words of each text.
 
     Words are what ASCII white space separates; at_spaces splits at single blanks and line feeds only, which leaves
     empty words out as well but keeps other white space inside words.
@@ -21,10 +21,12 @@ def split_words(texts, at_spaces: bool = False) -> tuple[np.ndarray, list[str],
     flat, counts = lists.flatten(), np.diff(lists.offsets.to_numpy())
     coded = flat.dictionary_encode()
     codes, distinct = coded.indices.to_numpy(zero_copy_only=False).astype(np.int64), coded.dictionary.to_numpy(zero_copy_only=False).tolist()
-    if "" in (empty := {w: i for i, w in enumerate(distinct) if not w}):
+    if "" in (empty := {w: i for i, w in enumerate(distinct) if not w}):  # beside white space at the ends of a text, and for an empty text
         keep = codes != empty[""]
         counts = np.add.reduceat(np.append(keep, False).astype(np.int64), np.append(0, np.cumsum(counts))[:-1]) * (counts > 0) if len(counts) else counts
         codes = codes[keep]
+        codes -= codes > empty[""]
+        del distinct[empty[""]]
     return codes, distinct, counts
 
 

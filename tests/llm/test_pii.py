@@ -5,7 +5,7 @@ import re
 
 import numpy as np
 
-from relscope.llm import pii, queries
+from relscope.llm import pii, queries, words
 
 SF = "/root/testdata/sf0.01"
 BRUTE = {
@@ -163,3 +163,16 @@ def test_odd_rows_and_redaction(spark):
     rows = {(r.doc_id, r.text, r.n_chars) for r in clean.collect()}
     assert rows == {(1, None, None), (1, "", 0), (2, "é mail [EMAIL], [IP] [PHONE]", 28), (None, "x", 1)}
     assert pii.personal_data(docs.limit(0)).count() == 0
+
+
+def test_white_space_at_the_ends_of_texts(spark, tmp_path):
+    field, plain = pii.trained(), "Ask Mr. Henry Ford about a.b@c.example.com"
+    for beside in ("", "   ", "\n", " a", "a\t", plain + "\n", "Mr. "):
+        assert pii.find([plain, beside, plain], field) == [pii.find([t], field)[0] for t in (plain, beside, plain)]
+        assert [(k, plain[a:b]) for k, a, b in pii.find([beside, plain], field)[1]] == [("email", "a.b@c.example.com"), ("name", "Henry Ford")]
+    codes, distinct, counts = words.split_words([" a b  a ", "", " ", "c a"])
+    assert ([distinct[c] for c in codes], distinct, counts.tolist()) == (["a", "b", "a", "c", "a"], ["a", "b", "c"], [3, 0, 0, 2])
+    rows = [(0, plain), (1, None), (2, ""), (3, f" {plain}\n"), (4, " ")]
+    spark.createDataFrame(rows, "doc_id long, text string").coalesce(1).write.parquet(f"{tmp_path}/documents.parquet")
+    got = {r.doc_id: (r.n_email, r.spans) for r in queries.op6_pii(spark, str(tmp_path)).collect()}
+    assert got == {0: (1, "email:25:42,name:8:18"), 1: (0, ""), 2: (0, ""), 3: (1, "email:26:43,name:9:19"), 4: (0, "")}
