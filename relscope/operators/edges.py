@@ -2,8 +2,12 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+import math
+
+from pyspark.ml.feature import Bucketizer
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from .graphs import chains, components, shortened
 from .loops import cut_round as cut
@@ -184,23 +188,63 @@ def _strong_parts(left: DataFrame) -> DataFrame:
 
 #: Targets that one caller may hold in one row.
 MOST_TARGETS = 4096
+#: Targets, those of several fields of a caller too, that a task is to bring to its callers.
+TASK_TARGETS = 1 << 23
+
+
+def _halves(kind: T.DataType) -> tuple[Column, Column, Column]:
+    """Of targets: what those that may share an array have in common, the four bytes that tell them apart, and the target
+    again of columns `common` and `own`. Only longs are worth it; others share all and are kept as they are."""
+    if not isinstance(kind, T.LongType):
+        return F.lit(0), F.col("target"), F.col("own")
+    return F.shiftright("target", 31), F.col("target").bitwiseAND(2**31 - 1).cast("int"), F.shiftleft("common", 31).bitwiseOR(F.col("own").cast("long"))
+
+
+def _ranged(met: DataFrame, calls: DataFrame, parts: int) -> tuple[DataFrame, list[str]]:
+    """met with the range of callers that each row is of, of `parts` that hold about as many calls each, and what to group it
+    by. Callers close to each other often have fields in common, and equal arrays that follow each other in a block of the
+    shuffle are stored about once. Only whole numbers have ranges here; others are dealt out by themselves."""
+    if not isinstance(calls.schema["caller"].dataType, T.IntegralType):
+        return met, ["caller"]
+    cuts = calls.agg(F.percentile_approx(F.col("caller").cast("double"), [i / parts for i in range(1, parts)], max(10000, 10 * parts))).first()[0]
+    splits = [-math.inf, *sorted(set(cuts or [])), math.inf]
+    if len(splits) < 3:
+        return met, ["caller"]
+    of = Bucketizer(splits=splits, inputCol="at", outputCol="callers")
+    return of.transform(met.withColumn("at", F.col("caller").cast("double"))).drop("at"), ["callers", "caller"]
 
 
-def resolve(calls: DataFrame, assigned: DataFrame, known: DataFrame, most: int = MOST_TARGETS) -> DataFrame:
+def resolve(calls: DataFrame, assigned: DataFrame, known: DataFrame, most: int = MOST_TARGETS, task: int = TASK_TARGETS) -> DataFrame:
     """(caller, target): calls through a field resolved to what is assigned to it, once each, for known targets only.
 
     A caller's fields bring arrays of targets to it, a row a call, and its distinct targets become rows where they are met:
-    so the shuffle holds a row for each call, and none for each pair. Callers whose fields have more than `most` targets in
-    all, and null ones, go by pairs instead, so no row grows with a caller or a field. Both ways give the same pairs.
+    so the shuffle holds a row for each call, and none for each pair. A task brings at most about `task` targets to its
+    callers, which it sorts in memory: where the session's partitions are too few for that, there are more of them, by
+    ranges of callers. Callers whose fields have more than `most` targets in all, and null ones, go by pairs instead, so no
+    row grows with a caller or a field; they are looked for only where the most calls of a caller times the most targets of
+    a field are more than `most`. Both ways give the same pairs.
     """
     calls, pairs = calls.select("caller", "field"), cut(assigned.select("field", "target").distinct().join(known, "target", "left_semi"))
     sizes = pairs.groupBy("field").agg(F.count(F.lit(1)).alias("n"))
-    heavy = cut(calls.join(sizes, "field").groupBy("caller").agg(F.sum("n").alias("n")).where((F.col("n") > most) | F.col("caller").isNull()).select("caller"))
-    some = not heavy.isEmpty()
-    light = calls.join(heavy, "caller", "left_anti").where("caller is not null") if some else calls
-    lists = pairs.join(sizes.where(F.col("n") > most), "field", "left_anti").groupBy("field").agg(F.sort_array(F.collect_list("target")).alias("targets"))
-    met = light.join(lists, "field").select("caller", "targets").repartition("caller")
-    out = met.groupBy("caller").agg(F.array_distinct(F.flatten(F.collect_list("targets"))).alias("targets")).select("caller", F.explode("targets").alias("target"))
+    widest = sizes.agg(F.max("n")).first()[0] or 0
+    by_caller = calls.groupBy("caller").agg(F.count(F.lit(1)).alias("n"))
+    made = by_caller.agg(F.sum("n").alias("all"), F.max("n").alias("most"), F.count_if(F.col("caller").isNull()).alias("none")).first()
+    light, some, brought = calls, False, (made["all"] or 0) * widest
+    if made["none"] or (made["most"] or 0) * widest > most:
+        sums = cut(calls.join(sizes, "field").groupBy("caller").agg(F.sum("n").alias("n")))
+        heavy = cut(sums.where((F.col("n") > most) | F.col("caller").isNull()).select("caller"))
+        brought = sums.where((F.col("n") <= most) & F.col("caller").isNotNull()).agg(F.sum("n")).first()[0] or 0
+        if some := not heavy.isEmpty():
+            light = calls.join(heavy, "caller", "left_anti").where("caller is not null")
+    few = pairs.join(sizes.where(F.col("n") > most), "field", "left_anti") if widest > most else pairs
+    common, own, target = _halves(pairs.schema["target"].dataType)
+    lists = few.repartition("field").groupBy("field", common.alias("common")).agg(F.sort_array(F.collect_list(own)).alias("own"))
+    met, near, parts = light.join(lists, "field").drop("field"), ["caller"], shuffle_partitions(calls.sparkSession)
+    if brought > parts * task:
+        parts = -(-brought // task)
+        met, near = _ranged(met, light, parts)
+    out = met.repartition(parts, near[0]).groupBy(*near, "common").agg(F.array_distinct(F.flatten(F.collect_list("own"))).alias("own"))
+    out = out.select("caller", "common", F.explode("own").alias("own")).select("caller", target.alias("target"))
     if some:
         rest = calls.join(heavy.withColumnRenamed("caller", "c"), F.col("caller").eqNullSafe(F.col("c")), "left_semi").distinct()
         out = out.unionByName(rest.join(pairs, "field").select("caller", "target").distinct())

@@ -35,6 +35,25 @@ def test_calls_are_resolved_without_a_shuffle_of_pairs(spark, most):
         assert "hashpartitioning(caller" in (plan := lone._jdf.queryExecution().toString()) and "target" not in "".join(x.split(")")[0] for x in plan.split("hashpartitioning(caller")[1:])
 
 
+@pytest.mark.parametrize("most, kind", [(60, "long"), (4096, "long"), (4096, "string"), (4096, "int")])
+def test_targets_of_a_task_are_bounded(spark, most, kind):
+    draw = random.Random(6)
+    wide = [-(2**63), -(2**31) - 1, -(2**31), -1, 0, 1, 2**31 - 1, 2**31, 2**62, 2**63 - 1] if kind == "long" else list(range(10))
+    targets = [str(t) if kind == "string" else t for t in [*wide, *range(100, 130)]]
+    called = [(draw.choice([-(2**63), -7, *range(50), 2**63 - 1]), draw.randrange(20)) for _ in range(400)] + [(3, f) for f in range(20)]
+    given = [(draw.randrange(20), draw.choice(targets)) for _ in range(200)]
+    calls, assigned = spark.createDataFrame(called, "caller long, field int"), spark.createDataFrame(given, f"field int, target {kind}")
+    known = spark.createDataFrame([(t,) for t in targets[1:]], f"target {kind}")
+    want = {(c, t) for c, f in called for g, t in given if f == g and t != targets[0]}
+    got = edges.resolve(calls, assigned, known, most, 500)
+    assert sorted(map(tuple, got.collect())) == sorted(want)
+    dealt = [int(n) for n in re.findall(r"hashpartitioning\(callers#\d+, (\d+)\)", got._jdf.queryExecution().toString())]
+    assert dealt and min(dealt) > 2
+    given_callers = calls.selectExpr("cast(caller as string) as caller", "field")
+    named = edges.resolve(given_callers, assigned, known, most, 500)
+    assert sorted(map(tuple, named.collect())) == sorted((str(c), t) for c, t in want)
+
+
 def test_ranges_of_intervals_are_not_merged_by_their_bytes(spark):
     rows = spark.range(5000).selectExpr("id % 7 as owner", "id as start", "1L as size")
     before = spark.conf.get("spark.sql.shuffle.partitions")
