@@ -4,7 +4,6 @@ from __future__ import annotations
 
 import math
 
-from pyspark.ml.feature import Bucketizer
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -204,6 +203,10 @@ def _ranged(met: DataFrame, calls: DataFrame, parts: int) -> tuple[DataFrame, li
     """met with the range of callers that each row is of, of `parts` that hold about as many calls each, and what to group it
     by. Callers close to each other often have fields in common, and equal arrays that follow each other in a block of the
     shuffle are stored about once. Only whole numbers have ranges here; others are dealt out by themselves."""
+    try:
+        from pyspark.ml.feature import Bucketizer
+    except ImportError:  # it needs numpy, as nothing else here does
+        return met, ["caller"]
     if not isinstance(calls.schema["caller"].dataType, T.IntegralType):
         return met, ["caller"]
     cuts = calls.agg(F.percentile_approx(F.col("caller").cast("double"), [i / parts for i in range(1, parts)], max(10000, 10 * parts))).first()[0]
